@@ -5,7 +5,42 @@ from __future__ import annotations
 from plyset.llm import queries as q
 
 QUERIES = {
+    "op3_minhash_near_dedup": q.op3,
+    "op4_secret_scan": q.op4,
+    "op5_warc_dictionary": q.op5,
     "op10_best_fit_packing": q.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM sets UNION SELECT links.y, reach.r FROM reach JOIN links ON links.x = reach.doc_id AND reach.r < links.y)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.r AS component_id, sets.doc_id = c.r AS kept
+FROM sets JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": OP3_SQL,
+    "op5_warc_dictionary": OP5_SQL,
+}
