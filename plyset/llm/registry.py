@@ -8,6 +8,7 @@ QUERIES = {
     "op3_minhash_near_dedup": q.op3,
     "op4_secret_scan": q.op4,
     "op5_warc_dictionary": q.op5,
+    "op9_int8_embedding_dedup": q.op9,
     "op10_best_fit_packing": q.op10,
 }
 
@@ -40,7 +41,23 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM f
 """
 
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT links.y, reach.r FROM reach JOIN links ON links.x = reach.vec_id AND reach.r < links.y)
+SELECT v.vec_id, coalesce(k.n, 0) AS n_links, c.r AS component_id, v.vec_id = c.r AS kept
+FROM v JOIN (SELECT vec_id, min(r) AS r FROM reach GROUP BY vec_id) c USING (vec_id)
+LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x) k USING (vec_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": OP3_SQL,
     "op5_warc_dictionary": OP5_SQL,
+    "op9_int8_embedding_dedup": OP9_SQL,
 }
