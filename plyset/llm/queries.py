@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyset.llm import embedding_dedup, near_dedup, packing, secrets, warc
+from plyset.llm import embedding_dedup, lm, near_dedup, packing, secrets, warc
 from plyset.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_by_fold(table(spark, sf_dir, "documents"), mod=7, held=2)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 

@@ -8,6 +8,7 @@ QUERIES = {
     "op3_minhash_near_dedup": q.op3,
     "op4_secret_scan": q.op4,
     "op5_warc_dictionary": q.op5,
+    "op7_bloom_lm": q.op7,
     "op9_int8_embedding_dedup": q.op9,
     "op10_best_fit_packing": q.op10,
 }
@@ -59,5 +60,6 @@ LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x) k USING (vec
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": OP3_SQL,
     "op5_warc_dictionary": OP5_SQL,
+    "op7_bloom_lm": q.op7,
     "op9_int8_embedding_dedup": OP9_SQL,
 }
