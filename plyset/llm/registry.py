@@ -5,6 +5,7 @@ from __future__ import annotations
 from plyset.llm import queries as q
 
 QUERIES = {
+    "op2_decontaminate": q.op2,
     "op3_minhash_near_dedup": q.op3,
     "op4_secret_scan": q.op4,
     "op5_warc_dictionary": q.op5,
