@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyset.llm import decontaminate, embedding_dedup, lm, near_dedup, packing, secrets, warc
+from plyset.llm import decontaminate, embedding_dedup, line_dedup, lm, near_dedup, packing, secrets, warc
 from plyset.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_by_fold(table(spark, sf_dir, "documents"), mod=7, held=2)
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "removed_words", "removed_chunks", "text")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 

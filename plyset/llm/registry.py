@@ -10,6 +10,7 @@ QUERIES = {
     "op4_secret_scan": q.op4,
     "op5_warc_dictionary": q.op5,
     "op7_bloom_lm": q.op7,
+    "op8_line_chunk_dedup": q.op8,
     "op9_int8_embedding_dedup": q.op9,
     "op10_best_fit_packing": q.op10,
 }
