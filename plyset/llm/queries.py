@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyset.llm import decontaminate, embedding_dedup, line_dedup, lm, near_dedup, packing, secrets, warc
+from plyset.llm import decontaminate, embedding_dedup, langid, line_dedup, lm, near_dedup, packing, quality, secrets, warc
 from plyset.llm.common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_by_fold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mod=3, held=1)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +35,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_by_fold(table(spark, sf_dir, "documents"), mod=4, held=2)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_by_fold(table(spark, sf_dir, "documents"), mod=7, held=2)
 

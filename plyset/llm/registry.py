@@ -5,10 +5,12 @@ from __future__ import annotations
 from plyset.llm import queries as q
 
 QUERIES = {
+    "op1_quality_rules": q.op1,
     "op2_decontaminate": q.op2,
     "op3_minhash_near_dedup": q.op3,
     "op4_secret_scan": q.op4,
     "op5_warc_dictionary": q.op5,
+    "op6_language_id": q.op6,
     "op7_bloom_lm": q.op7,
     "op8_line_chunk_dedup": q.op8,
     "op9_int8_embedding_dedup": q.op9,
