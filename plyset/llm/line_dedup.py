@@ -2,10 +2,10 @@
 
 Lines are what ends at a line break; lines of more than ``LONG`` words are wrapped after words that
 their hash chooses (one in ``WRAP``), so that a long paragraph is many lines whose ends depend on
-its words alone. A rolling hash over the last two lines ends a chunk at every other line or so,
-after two lines at least; a wrapped paragraph's ends are chunk ends as well. Insertions therefore
-shift no boundary but those beside them, and a passage that two documents share has the same chunks
-in both, but for the two that reach over its ends.
+its words alone. A rolling hash over the last two lines ends a chunk after one in ``LINES``; a
+wrapped paragraph's ends are chunk ends as well. Insertions therefore shift no boundary but those
+beside them, and a passage that two documents share has the same chunks in both, but for those
+that reach over its ends where it begins or ends inside a paragraph.
 
 1. Each batch of texts sends every distinct chunk once, with its bytes, its first place and how
    often it occurs. Grouping by hash and bytes is the byte comparison; a hash that belongs to two
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from plyset.llm.common import staged
 from plyset.llm.text import batches, mix, owners, range_hash, string_bytes, words
 
-LONG, WRAP, MIN_WORDS = 16, 4, 20
+LONG, WRAP, LINES, MIN_WORDS = 8, 3, 3, 20
 
 
 def chunks(column, long: int = LONG, wrap: int = WRAP):
@@ -63,16 +63,9 @@ def chunks(column, long: int = LONG, wrap: int = WRAP):
     unit_doc, unit_long, ends_line = doc[unit_starts], is_long[unit_starts], last_of_line[unit_ends - 1]
     next_doc, next_long = np.r_[unit_doc[1:], -1], np.r_[unit_long[1:], False]
     hard = (unit_doc != next_doc) | ends_line & (unit_long | next_long)
-    rolled = mix(np.r_[np.uint64(0), unit[:-1]] * np.uint64(0x9FB21C651E98DF25) + unit)
-    segment_first = np.r_[True, hard[:-1]]
-    soft = (rolled & np.uint64(1) == 0) & ~hard
-    # of consecutive candidates every other one is taken, so that no chunk has a single line
-    run_first = soft & (np.r_[True, ~soft[:-1]] | segment_first)
-    at = np.arange(m)
-    head = np.maximum.accumulate(np.where(run_first, at, -1))
-    place = at - head + segment_first[np.maximum(head, 0)]
-    soft &= place % 2 == 0
-    soft[:-1] &= ~hard[1:]  # nor the rest before a paragraph's end
+    before = np.where(np.r_[True, hard[:-1]], np.uint64(0), np.r_[np.uint64(0), unit[:-1]])  # texts and paragraphs start afresh
+    rolled = mix(before * np.uint64(0x9FB21C651E98DF25) + unit)
+    soft = rolled % np.uint64(LINES) == 0
     chunk_ends = np.flatnonzero(soft | hard) + 1
     chunk_starts = np.r_[0, chunk_ends[:-1]]
     first_word, last_word = unit_starts[chunk_starts], unit_ends[chunk_ends - 1]
