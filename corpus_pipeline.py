@@ -1,19 +1,76 @@
-"""The corpus pipeline: stages that each apply one operator to what the one before kept."""
+"""The corpus pipeline: stages that each apply one operator to what the one before kept.
+
+Every stage but the last returns documents with the columns it got, fewer or changed:
+
+1. language ID drops what it rejects: texts without a letter, and those whose language it scores
+   below ``REJECT`` (it learns from all given rows that have a language, on a bounded sample);
+2. line dedup removes repeated passages, and documents of which nothing is left;
+3. near-dedup keeps one document of each group, on shingles of five words;
+4. decontamination drops documents that leak a test item;
+5. packing returns the pieces of all that is left, with their places in sequences.
+
+Rows with a null id pass stages 1, 2 and 4 by their text; stage 3 can't name a group by them and
+keeps them. Run over an empty table, every stage returns no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plyset.llm import decontaminate, langid, line_dedup, near_dedup, packing
+from plyset.llm.common import staged, table
+from plyset.llm.queries import tokenizer_file
+
+REJECT = 0.2
+WORDS = 5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    typed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    model = langid.learn(typed)
+    out = langid.predict(docs, model, *docs.columns)
+    return out.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= REJECT)).select(*docs.columns)
+
+
+def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(docs)
+    left = (F.col("removed_words") == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]")
+    out = out.filter(F.coalesce(left, F.lit(True)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
-STAGES: list = []
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = near_dedup.near_duplicates(docs, n=WORDS).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left").filter("_kept is not null or doc_id is null")
+    return out.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_file())
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_chunks),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Stages 1, 2, 3 (bands of hashes) and 5 (search) can't be said in SQL; tests check them by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written as Parquet and read again."""
-    from plyset.llm.common import staged, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
