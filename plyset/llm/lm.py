@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyset.llm.common import crc_mod, staged
+from plyset.llm.common import crc_mod, drop_folder, new_folder, staged
 from plyset.llm.text import batches, mix, string_bytes, words
 
-BATCH, BUCKET = 16 << 20, 24 << 20
+BATCH, BUCKET = 8 << 20, 24 << 20
 BITS, PROBES, MAX_FILTER = 10, 6, 256 << 20
 MU = 30.0
 END, BEGIN = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x632BE59BD9B4E019)
@@ -242,8 +242,13 @@ def score(docs: DataFrame, train: F.col, mu: float = MU, max_filter: int = MAX_F
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), train.alias("train"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, size // BUCKET)
-    asked = staged(ask(docs, buckets), "asked")
+    folder = new_folder(spark, "asked")
+    ask(docs, buckets).write.partitionBy("kind").parquet(folder)
+    asked = spark.read.schema(ASKED).parquet(folder)
     answered = staged(answer(asked, (max_filter * 8 // buckets, buckets)), "answered")
+    for kind in (0, 1):  # answered: only the batches themselves are read again
+        drop_folder(spark, f"{folder}/kind={kind}")
+    asked = spark.read.schema(ASKED.removeprefix("kind int, ")).parquet(f"{folder}/kind=2")
 
     # the filter: max_filter bytes at most, and two counts a bucket
     regions: list[bytes] = [bytes(128)] * buckets
@@ -254,7 +259,7 @@ def score(docs: DataFrame, train: F.col, mu: float = MU, max_filter: int = MAX_F
     offsets = np.cumsum([0, *map(len, regions)])
     held = spark.sparkContext.broadcast((np.frombuffer(b"".join(regions), np.uint8), offsets))
     del regions
-    starts = asked.filter("kind = 2").select(F.col("batch"), F.lit(-1).cast("long").alias("bucket"), "n", "a", "b")
+    starts = asked.select(F.col("batch"), F.lit(-1).cast("long").alias("bucket"), "n", "a", "b")
     replies = answered.filter("batch is not null").select("batch", "bucket", "n", "a", "b")
     total = float(n + v + 1)
 
