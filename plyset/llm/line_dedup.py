@@ -7,33 +7,34 @@ wrapped paragraph's ends are chunk ends as well. Insertions therefore shift no b
 beside them, and a passage that two documents share has the same chunks in both, but for those
 that reach over its ends where it begins or ends inside a paragraph.
 
-1. Each batch of texts sends every distinct chunk once, with its bytes, its first place and how
-   often it occurs. Grouping by hash and bytes is the byte comparison; a hash that belongs to two
-   different chunks removes nothing.
-2. Chunks found more than once in all documents meet the batches' occurrence lists (hash and places
-   only). The first place, by document id and then by position, keeps its text.
-3. Each document drops its runs of later occurrences that have at least ``min_words`` words.
-
-A chunk that a third of all documents hold is one row per batch in every shuffle, and the list of
-a document's chunks is no longer than the document.
+1. A pass over whole texts gives each document's chunk hashes. Grouped by hash, their smallest and
+   largest document ids tell which chunks several documents hold; ids are aggregated before they
+   are shuffled, so a chunk that a third of all documents hold is no hot key.
+2. Runs of at least ``min_words`` words of chunks that an earlier document holds are a document's
+   list (never longer than itself); the document with the smallest id keeps its text.
+3. Only documents with such a list meet it in a join: a Bloom filter of their keys, of at most
+   ``bloom.MAX_FILTER`` bytes, lets the others pass where they are.
+4. Byte comparison: the joined documents' shared chunks are grouped by hash and bytes, and a hash
+   that stands for two different chunks removes nothing.
+5. Each document drops its list's runs.
 
 Defined results: null texts stay null, empty ones empty. A document with a null id is neither
-changed nor counted. Rows equal in id and text are one document, with one result for each. Extra
-columns are kept as they are. A document may end up empty; ``removed_words`` tells.
+changed nor counted. Rows of one id are one document: what only they share stays. Extra columns
+are kept as they are. A document may end up empty; ``removed_words`` tells.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plyset.llm.bloom import may_hold
 from plyset.llm.common import staged
 from plyset.llm.text import batches, mix, owners, range_hash, string_bytes, words
 
-LONG, WRAP, LINES, MIN_WORDS = 8, 3, 3, 20
+LONG, WRAP, LINES, MIN_WORDS = 8, 4, 3, 20
 
 
 def chunks(column, long: int = LONG, wrap: int = WRAP):
@@ -79,94 +80,113 @@ def chunks(column, long: int = LONG, wrap: int = WRAP):
     return data, unit_doc[chunk_starts], starts[first_word], ends[last_word - 1], last_word - first_word, key
 
 
-def _found(docs: DataFrame, texts: bool) -> DataFrame:
-    """Of each batch, a row per distinct chunk: with its bytes and first place, or with all its places."""
-    places = pa.struct([("doc_id", pa.int64()), ("th", pa.int64()), ("k", pa.int32())])
+def marks(docs: DataFrame) -> DataFrame:
+    """doc_id, th and the chunks of each text, in order: hash and number of words."""
+    kind = pa.struct([("h", pa.int64()), ("n", pa.int32())])
+
+    def run(stream):
+        for part in batches(stream, "text", 4 << 20):
+            _, doc, _, _, count, key = chunks(part.column("text"))
+            ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
+            items = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int32))], fields=list(kind))
+            columns = [part.column("doc_id").combine_chunks(), part.column("th").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends), items)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "chunks"])
+
+    return docs.mapInArrow(run, "doc_id long, th long, chunks array<struct<h:long,n:int>>")
+
+
+def shared_chunks(marked: DataFrame, min_words: int) -> DataFrame:
+    """Positions k of the chunks that each document is to drop, and ~k of those that the first document keeps."""
+    spread = marked.select("doc_id", F.explode(F.array_distinct("chunks.h")).alias("h"))
+    ends = spread.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    again = staged(ends.filter("first <> last").select("h", "first"), "again")
+    places = marked.select("doc_id", "th", F.posexplode("chunks").alias("k", "c")).select("doc_id", "th", "k", "c.h", "c.n")
+    places = staged(places.join(again, "h"), "places")
+    # runs of later chunks within a document, as islands of consecutive positions
+    within = Window.partitionBy("doc_id", "th")
+    later = places.filter("doc_id > first").withColumn("island", F.col("k") - F.row_number().over(within.orderBy("k")))
+    later = later.withColumn("words", F.sum("n").over(Window.partitionBy("doc_id", "th", "island"))).filter(F.col("words") >= min_words)
+    later = staged(later.select("doc_id", "th", "k", "h"), "later")
+    firsts = places.filter("doc_id = first").join(later.select("h").distinct(), "h", "left_semi").select("doc_id", "th", F.bitwise_not("k").alias("k"))
+    return later.select("doc_id", "th", "k").unionByName(firsts).groupBy("doc_id", "th").agg(F.collect_list("k").alias("shared"))
+
+
+def shared_bytes(joined: DataFrame) -> DataFrame:
+    """Hash and bytes of the shared chunks of joined documents, once for each batch of texts."""
 
     def run(stream):
-        for part in batches(stream, "text", 16 << 20):
+        for part in batches(stream, "text", 4 << 20):
             data, doc, lo, hi, _, key = chunks(part.column("text"))
-            if not len(key):
-                continue
-            k = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            ids, th = (part.column(c).combine_chunks().to_numpy() for c in ("doc_id", "th"))
-            size = hi - lo
-            order = np.lexsort((k, th[doc], ids[doc], key))
-            same = np.r_[False, key[order][1:] == key[order][:-1]]
-            if texts:  # bytes decide: equal hashes of unlike chunks are told apart here already
-                inside = np.zeros(len(data) + 1, np.int32)
-                np.add.at(inside, lo, 1)
-                np.add.at(inside, hi, -1)
-                packed = data[np.cumsum(inside[:-1]) > 0]
-                ends = np.concatenate([[0], np.cumsum(size)])
-                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(packed)])
-                t = pa.table({"h": pa.array(key.view(np.int64)), "chunk": raw, "doc_id": ids[doc], "th": th[doc], "k": k.astype(np.int32), "n": np.ones(len(k), np.int64)}).take(pa.array(order))
-                t = t.group_by(["h", "chunk"], use_threads=False).aggregate([("doc_id", "first"), ("th", "first"), ("k", "first"), ("n", "sum")])
-                first = pa.StructArray.from_arrays([pc.cast(t.column(c).combine_chunks(), f.type) for c, f in zip(("doc_id_first", "th_first", "k_first"), places)], fields=list(places))
-                out = pa.table({"h": t.column("h"), "chunk": t.column("chunk").cast(pa.binary()), "first": first, "n": t.column("n_sum")})
-            else:
-                edges = np.flatnonzero(~same)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[edges, len(order)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(ids[doc[order]]), pa.array(th[doc[order]]), pa.array(k[order].astype(np.int32))], fields=list(places)))
-                out = pa.table({"h": pa.array(key[order][edges].view(np.int64)), "places": lists})
-            yield from out.combine_chunks().to_batches(max_chunksize=100_000)
-
-    at = "struct<doc_id:long,th:long,k:int>"
-    return docs.mapInArrow(run, f"h long, chunk binary, first {at}, n long" if texts else f"h long, places array<{at}>")
+            first = np.searchsorted(doc, np.arange(part.num_rows))
+            lists = part.column("_shared").combine_chunks()
+            k = lists.flatten().to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = np.sort(first[rows] + np.where(k < 0, ~k, k))
+            seen = {(int(key[i]), data[lo[i] : hi[i]].tobytes()) for i in at}
+            if seen:
+                h, chunk = zip(*seen)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(chunk, pa.binary())], names=["h", "chunk"])
+
+    return joined.filter("_shared is not null").select("text", "_shared").mapInArrow(run, "h long, chunk binary")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with cleaned ``text`` and the columns ``removed_words`` and ``removed_chunks``."""
-    tagged = docs.withColumn("_th", F.xxhash64("text"))
-    counted = tagged.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("_th").alias("th")).filter("doc_id is not null and text is not null")
-    by_bytes = _found(counted, True).groupBy("h", "chunk").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-    by_hash = by_bytes.groupBy("h").agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.sum("n").alias("n"))
-    again = staged(by_hash.filter("kinds = 1 and n > 1").select("h", "first"), "again")
-    later = _found(counted, False).join(again, "h").select("first", F.explode("places").alias("p")).filter("p <> first")
-    drop = later.groupBy(F.col("p.doc_id").alias("_id"), F.col("p.th").alias("_th")).agg(F.collect_set("p.k").alias("_drop"))
-    drop = staged(drop, "drop")
-
     names = docs.columns
-    joined = tagged.withColumn("_id", F.col("doc_id").cast("long")).join(drop, ["_id", "_th"], "left").select(*names, "_drop")
-    schema = joined.drop("_drop").withColumn("removed_words", F.lit(0).cast("long")).withColumn("removed_chunks", F.lit(0).cast("long")).schema
+    tagged = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64("text"))
+    known = tagged.filter("_id is not null and text is not null").select(F.col("_id").alias("doc_id"), F.col("text").cast("string"), F.col("_th").alias("th"))
+    marked = staged(marks(known), "marks")
+    shared = shared_chunks(marked, min_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("shared").alias("_shared"))
+    shared = staged(shared.withColumn("key", F.xxhash64("_id", "_th")), "shared")
+    test = may_hold(shared)
+    tagged = tagged.withColumn("_may", test(F.xxhash64("_id", "_th")))
+    joined = staged(tagged.filter("_may").join(shared.drop("key"), ["_id", "_th"], "left").select(*names, "_shared"), "joined")
+    unlike = shared_bytes(joined).groupBy("h", "chunk").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # hashes of 64 bits that unlike chunks share: next to none, and held back as rows are
+    apart = staged(unlike, "unlike")
+    joined = joined.withColumn("_keep", F.array().cast("array<int>"))
+    if not apart.isEmpty():
+        places = marked.select(F.xxhash64("doc_id", "th").alias("_key"), F.posexplode("chunks.h").alias("k", "h")).join(apart, "h").groupBy("_key").agg(F.collect_list("k").alias("_bad"))
+        key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
+        joined = joined.withColumn("_key", key).join(places, "_key", "left").withColumn("_keep", F.coalesce("_bad", "_keep")).select(*names, "_shared", "_keep")
+
+    rest = tagged.filter("not _may").select(*names, F.lit(0).cast("long").alias("removed_words"), F.lit(0).cast("long").alias("removed_chunks"))
 
     def run(stream):
         for part in batches(stream, "text", 4 << 20):
-            column, drops = part.column("text").combine_chunks(), part.column("_drop").combine_chunks()
-            touched = np.flatnonzero(drops.is_valid().to_numpy(zero_copy_only=False))
+            column, lists, keep = (part.column(c).combine_chunks() for c in ("text", "_shared", "_keep"))
             n = part.num_rows
-            gone, pieces, fresh = np.zeros(n, np.int64), np.zeros(n, np.int64), {}
-            if len(touched):
-                some = column.take(pa.array(touched))
-                data, doc, lo, hi, count, _ = chunks(some)
-                _, offsets = string_bytes(some)
-                first = np.searchsorted(doc, np.arange(len(touched) + 1))
-                for x, row in enumerate(touched):
-                    a, b = first[x], first[x + 1]
-                    marked = np.zeros(b - a + 1, bool)
-                    marked[np.array(drops[int(row)].as_py(), np.int64)] = True
-                    edges = np.flatnonzero(np.diff(np.r_[False, marked].astype(np.int8)))
-                    text = data[offsets[x] : offsets[x + 1]].tobytes()
-                    kept, at = [], 0
-                    for i, j in zip(edges[::2], edges[1::2]):
-                        size = int(count[a + i : a + j].sum())
-                        if size < min_words:
-                            continue
-                        s, e = int(lo[a + i] - offsets[x]), int(hi[a + j - 1] - offsets[x])
-                        gone[row] += size
-                        pieces[row] += j - i
-                        kept.append(text[at:s])
-                        at = e
-                        whole = s == 0 or text[s - 1 : s] == b"\n"
-                        if whole and text[e : e + 1] == b"\n":
-                            at = e + 1  # the line goes with its break
-                    if kept:
-                        fresh[int(row)] = b"".join([*kept, text[at:]]).decode()
-            if fresh:
-                values = column.to_pylist()
-                for row, text in fresh.items():
-                    values[row] = text
-                column = pa.array(values, column.type)
-            columns = [column if c == "text" else part.column(c).combine_chunks() for c in names]
+            gone, pieces = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            data, doc, lo, hi, count, _ = chunks(column)
+            _, offsets = string_bytes(column)
+            first = np.searchsorted(doc, np.arange(n + 1))
+            values = column.to_pylist()
+            for row in range(n):
+                if not lists[row].is_valid:
+                    continue
+                a, b = first[row], first[row + 1]
+                k = np.array(lists[row].as_py(), np.int64)
+                marked = np.zeros(b - a + 1, bool)
+                marked[k[k >= 0]] = True
+                marked[np.array(keep[row].as_py(), np.int64)] = False
+                edges = np.flatnonzero(np.diff(np.r_[False, marked].astype(np.int8)))
+                text = data[offsets[row] : offsets[row + 1]].tobytes()
+                kept, at = [], 0
+                for i, j in zip(edges[::2], edges[1::2]):
+                    size = int(count[a + i : a + j].sum())
+                    if size < min_words:
+                        continue
+                    s, e = int(lo[a + i] - offsets[row]), int(hi[a + j - 1] - offsets[row])
+                    gone[row] += size
+                    pieces[row] += j - i
+                    kept.append(text[at:s])
+                    at = e
+                    whole = s == 0 or text[s - 1 : s] == b"\n"
+                    if whole and text[e : e + 1] == b"\n":
+                        at = e + 1  # the line goes with its break
+                if kept:
+                    values[row] = b"".join([*kept, text[at:]]).decode()
+            columns = [pa.array(values, column.type) if c == "text" else part.column(c).combine_chunks() for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone), pa.array(pieces)], names=[*names, "removed_words", "removed_chunks"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, rest.schema).unionByName(rest)

@@ -9,7 +9,7 @@ the corpus needs for ``BUCKET`` bytes of text each, so their memory stays the sa
 
 Log-frequency filter: an n-gram seen c times is inserted at the levels 1 .. 1 + floor(log2 c). Its
 count is read back by probing level after level until one is missing; errors are one-sided, and
-reading one level too high costs as many false hits in a row. A region takes ``BITS`` bits for each
+reading one level too high costs as many false hits in a row. A region takes ``bloom.BITS`` bits for each
 insertion; the whole filter never exceeds ``MAX_FILTER`` bytes (a fixed bound, which is why it may
 be broadcast): past it every region gets its share of that bound and false hits become likelier.
 
@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plyset.llm.bloom import fill, levels_of
 from plyset.llm.common import crc_mod, drop_folder, new_folder, staged
 from plyset.llm.text import batches, mix, string_bytes, words
 
 BATCH, BUCKET = 8 << 20, 24 << 20
-BITS, PROBES, MAX_FILTER = 10, 6, 256 << 20
+MAX_FILTER = 256 << 20
 MU = 30.0
 END, BEGIN = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x632BE59BD9B4E019)
 ONE, TWO = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -93,54 +94,7 @@ def counted(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[first], np.diff(np.r_[first, len(a)]).astype(np.uint32)
 
 
-# -- the filter -------------------------------------------------------------------------------
-
-
-def bits_at(items: np.ndarray, level: np.ndarray, size: int) -> np.ndarray:
-    """Bit positions (items x PROBES) in a region of ``size`` bits."""
-    a = mix(items + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    b = mix(a ^ np.uint64(0x94D049BB133111EB)) | np.uint64(1)
-    steps = a[:, None] + np.arange(PROBES, dtype=np.uint64)[None, :] * b[:, None]
-    return ((steps >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
-
-
-def fill(items: np.ndarray, counts: np.ndarray, most_bits: int) -> bytes:
-    """A region that holds the items at their levels."""
-    levels = np.frexp(counts.astype(np.float64))[1]  # 1 + floor(log2 c)
-    size = int(min(max(1024, BITS * int(levels.sum())), most_bits, (1 << 32) - 64))
-    size = -(-size // 8) * 8
-    region = np.zeros(size // 8, np.uint8)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        own = items[levels >= level]
-        for k in range(0, len(own), 1 << 17):
-            at = bits_at(own[k : k + (1 << 17)], np.uint64(level) * np.ones(len(own[k : k + (1 << 17)]), np.uint64), size).ravel()
-            np.bitwise_or.at(region, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-    return region.tobytes()
-
-
-def levels_of(items: np.ndarray, bucket: np.ndarray, filter_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The level read back for each item: probes go on until one misses."""
-    data, offsets = filter_
-    level = np.zeros(len(items), np.int64)
-    for k in range(0, len(items), 1 << 17):
-        alive = np.arange(k, min(k + (1 << 17), len(items)))
-        n = 0
-        while len(alive):
-            n += 1
-            own = bucket[alive]
-            size = (offsets[own + 1] - offsets[own]) * 8
-            a = mix(items[alive] + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            b = mix(a ^ np.uint64(0x94D049BB133111EB)) | np.uint64(1)
-            here = np.ones(len(alive), bool)
-            for j in range(PROBES):
-                at = (((a + np.uint64(j) * b) >> np.uint64(32)) * size.astype(np.uint64)) >> np.uint64(32)
-                here &= (data[offsets[own] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                if j == 1 and not here.all():  # most absent items are gone after two probes
-                    keep = here
-                    alive, own, size, a, b, here = alive[keep], own[keep], size[keep], a[keep], b[keep], here[keep]
-            alive = alive[here]
-            level[alive] = n
-    return level
+# -- counts and items ---------------------------------------------------------------------------
 
 
 def middle(level: np.ndarray) -> np.ndarray:
