@@ -98,8 +98,12 @@ def train(pages: DataFrame) -> bytes:
     """The dictionary, or nothing where the sample is too small for one."""
     import zstandard
 
-    sample = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"))
-    rows = sample.orderBy(F.xxhash64(F.col("page_id").cast("long"))).limit(SAMPLE).collect()
+    chosen = F.xxhash64(F.col("page_id").cast("long"))
+    smallest = pages.select(chosen.alias("h")).distinct().orderBy("h").limit(SAMPLE).collect()  # numbers alone are sorted
+    if not smallest:
+        return b""
+    sample = pages.filter(chosen <= smallest[-1].h).select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"))
+    rows = sample.orderBy(chosen).limit(2 * SAMPLE).collect()
     records = []
     for r in rows:
         payload = r.html.encode()[:SAMPLE_BYTES]
@@ -142,7 +146,7 @@ def write(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
                         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{part:03d}.warc.zst"
                         if part == 0:
                             system.create_dir(base, recursive=True)
-                        out, part = system.open_output_stream(f"{base}/{name}"), part + 1
+                        out, part = system.open_output_stream(f"{base}/{name}", compression=None), part + 1
                         at = out.write(lead) if lead else 0
                     frame = press.compress(build_record(page, url, html.encode(), digest, refers, revisit))
                     out.write(frame)
@@ -162,7 +166,7 @@ def read_file(system, path: str, chunk: int = 1 << 20):
     """The records of one archive, in order; memory for one record at a time."""
     import zstandard
 
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         data = f.read(8)
         made = None
         if len(data) == 8 and struct.unpack("<I", data[:4])[0] == SKIPPABLE:

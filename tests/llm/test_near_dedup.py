@@ -15,8 +15,8 @@ def shingle_set(text, n=2):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
 
 
-def brute(rows):
-    sets = {d: shingle_set(t) for d, t in rows if d is not None}
+def brute(rows, n=2):
+    sets = {d: shingle_set(t, n) for d, t in rows if d is not None}
     root = {d: d for d in sets}
 
     def find(x):
