@@ -1,0 +1 @@
+"""Nothing streams here yet: frontiers advance ply by ply as batches, each written before the next."""
