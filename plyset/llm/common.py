@@ -9,7 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What Spark hands to a Python worker at once: texts can be long, and its own bound is 64 MB.
+ARROW_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of Arrow batches to ``ARROW_BYTES``, so that workers need little memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) != f"{ARROW_BYTES}b":
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +59,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, survives lost executors and keeps a non-deterministic step from running twice.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

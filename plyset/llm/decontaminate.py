@@ -133,7 +133,7 @@ def _block(docs: DataFrame, items: list, threshold: float, seed: int, rare: int)
         return spark.createDataFrame([], LEAKS)
 
     def count(stream):
-        for part in batches(stream, "text", 4 << 20):
+        for part in batches(stream, "text", 2 << 20):
             _, doc, _, found, at = grams_of(part.column("text"), seed)
             hit, gram = every.value.find(found)
             pairs = np.unique(doc[at[hit]].astype(np.int64) << 32 | gram)
@@ -154,7 +154,7 @@ def _block(docs: DataFrame, items: list, threshold: float, seed: int, rare: int)
     def search(stream):
         seeds, texts, ids = held.value
         lengths = np.array([len(t) for t in texts])
-        for part in batches(stream, "text", 4 << 20):
+        for part in batches(stream, "text", 2 << 20):
             words_, doc, first, found, at = grams_of(part.column("text"), seed)
             hit, gram = seeds.find(found)
             if not len(hit):

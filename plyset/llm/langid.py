@@ -145,8 +145,8 @@ class Model:
 def vectors(docs: DataFrame) -> DataFrame:
     def run(stream):
         for part in batches(stream, "text", 1 << 20):
-            for lo in range(0, part.num_rows, 256):
-                some = part.slice(lo, 256)
+            for lo in range(0, part.num_rows, 128):
+                some = part.slice(lo, 128)
                 x = features(some.column("text"))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id").combine_chunks(), some.column("lang").combine_chunks(), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
@@ -180,8 +180,8 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     def run(stream):
         model = held.value
         for part in batches(stream, "_lower", 1 << 20):
-            for lo in range(0, part.num_rows, 256):
-                some = part.slice(lo, 256)
+            for lo in range(0, part.num_rows, 128):
+                some = part.slice(lo, 128)
                 lang, score = model.predict(features(some.column("_lower")))
                 letters = some.column("_letters").to_numpy()
                 names = np.where(letters, np.array([*model.langs], object)[lang], UNKNOWN)

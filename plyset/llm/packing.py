@@ -205,7 +205,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, close: int
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def cut(stream):
-        for part in batches(stream, "text", 4 << 20):
+        for part in batches(stream, "text", 2 << 20):
             enc = encoder(spec.value)
             ids_of, texts = part.column("doc_id").to_pylist(), part.column("text")
             out: list[tuple] = []

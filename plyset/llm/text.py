@@ -6,10 +6,12 @@ works on UTF-8 bytes, where those separators never occur inside a character.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -114,8 +116,27 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system: worker processes are used again and would keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def batches(stream, text: str, limit: int):
     """Arrow batches cut or joined so that each holds about ``limit`` bytes of ``text``, a row at least."""
+    try:
+        for k, part in enumerate(_cut(stream, text, limit)):
+            yield part
+            if k % 8 == 7:
+                release()
+    finally:
+        release()
+
+
+def _cut(stream, text: str, limit: int):
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in stream:
