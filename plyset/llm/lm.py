@@ -33,7 +33,7 @@ from plyset.llm.bloom import fill, levels_of
 from plyset.llm.common import crc_mod, drop_folder, new_folder, staged
 from plyset.llm.text import batches, mix, string_bytes, words
 
-BATCH, BUCKET = 8 << 20, 24 << 20
+BATCH, BUCKET = 6 << 20, 16 << 20
 MAX_FILTER = 256 << 20
 MU = 30.0
 END, BEGIN = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x632BE59BD9B4E019)
@@ -194,7 +194,9 @@ def score(docs: DataFrame, train: F.col, mu: float = MU, max_filter: int = MAX_F
     """A row per document; ``train`` is a boolean column: which documents to learn from."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), train.alias("train"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if not rows:
+        return spark.createDataFrame([], SCORED)
     buckets = max(16, size // BUCKET)
     folder = new_folder(spark, "asked")
     ask(docs, buckets).write.partitionBy("kind").parquet(folder)
