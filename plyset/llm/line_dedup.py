@@ -11,7 +11,8 @@ that reach over its ends where it begins or ends inside a paragraph.
    largest document ids tell which chunks several documents hold; ids are aggregated before they
    are shuffled, so a chunk that a third of all documents hold is no hot key.
 2. Runs of at least ``min_words`` words of chunks that an earlier document holds are a document's
-   list (never longer than itself); the document with the smallest id keeps its text.
+   list (never longer than itself), without a chunk of less than ``STRAY`` words at a run's end that
+   another document than its neighbour's had first; the document with the smallest id keeps its text.
 3. Only documents with such a list meet it in a join: a Bloom filter of their keys, of at most
    ``bloom.MAX_FILTER`` bytes, lets the others pass where they are.
 4. Byte comparison: the joined documents' shared chunks are grouped by hash and bytes, and a hash
@@ -34,7 +35,7 @@ from plyset.llm.bloom import may_hold
 from plyset.llm.common import staged
 from plyset.llm.text import batches, mix, owners, range_hash, string_bytes, words
 
-LONG, WRAP, LINES, MIN_WORDS = 8, 4, 3, 20
+LONG, WRAP, LINES, MIN_WORDS, STRAY = 8, 4, 3, 20, 8
 
 
 def chunks(column, long: int = LONG, wrap: int = WRAP):
@@ -85,7 +86,7 @@ def marks(docs: DataFrame) -> DataFrame:
     kind = pa.struct([("h", pa.int64()), ("n", pa.int32())])
 
     def run(stream):
-        for part in batches(stream, "text", 4 << 20):
+        for part in batches(stream, "text", 2 << 20):
             _, doc, _, _, count, key = chunks(part.column("text"))
             ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
             items = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int32))], fields=list(kind))
@@ -106,6 +107,11 @@ def shared_chunks(marked: DataFrame, min_words: int) -> DataFrame:
     within = Window.partitionBy("doc_id", "th")
     later = places.filter("doc_id > first").withColumn("island", F.col("k") - F.row_number().over(within.orderBy("k")))
     later = later.withColumn("words", F.sum("n").over(Window.partitionBy("doc_id", "th", "island"))).filter(F.col("words") >= min_words)
+    # a short chunk beside a run that was first met in another document is no part of the passage
+    ends = Window.partitionBy("doc_id", "th", "island").orderBy("k")
+    before, after = F.lag("first").over(ends), F.lead("first").over(ends)
+    stray = (before.isNull() & (after != F.col("first"))) | (after.isNull() & (before != F.col("first")))
+    later = later.withColumn("stray", F.coalesce(stray, F.lit(False)) & (F.col("n") < STRAY)).filter("not stray")
     later = staged(later.select("doc_id", "th", "k", "h"), "later")
     firsts = places.filter("doc_id = first").join(later.select("h").distinct(), "h", "left_semi").select("doc_id", "th", F.bitwise_not("k").alias("k"))
     return later.select("doc_id", "th", "k").unionByName(firsts).groupBy("doc_id", "th").agg(F.collect_list("k").alias("shared"))
@@ -115,7 +121,7 @@ def shared_bytes(joined: DataFrame) -> DataFrame:
     """Hash and bytes of the shared chunks of joined documents, once for each batch of texts."""
 
     def run(stream):
-        for part in batches(stream, "text", 4 << 20):
+        for part in batches(stream, "text", 2 << 20):
             data, doc, lo, hi, _, key = chunks(part.column("text"))
             first = np.searchsorted(doc, np.arange(part.num_rows))
             lists = part.column("_shared").combine_chunks()
@@ -153,7 +159,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rest = tagged.filter("not _may").select(*names, F.lit(0).cast("long").alias("removed_words"), F.lit(0).cast("long").alias("removed_chunks"))
 
     def run(stream):
-        for part in batches(stream, "text", 4 << 20):
+        for part in batches(stream, "text", 2 << 20):
             column, lists, keep = (part.column(c).combine_chunks() for c in ("text", "_shared", "_keep"))
             n = part.num_rows
             gone, pieces = np.zeros(n, np.int64), np.zeros(n, np.int64)
