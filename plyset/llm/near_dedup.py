@@ -10,14 +10,20 @@
    smallest id goes on, so copies never multiply.
 3. Each bucket proposes a star: its smallest id against every other. Stars bound candidates by the
    number of bucket entries. They are confirmed on full sets by ``100 * common >= 80 * union``.
-4. What stars could miss: two members of one bucket that are both linked otherwise or not at all.
-   After components of the confirmed links are known, buckets whose members lie in different
-   components are taken up again: those outside their centre's component are compared with the
-   bucket's members in other components. Jaccard distance is a metric, so the distances to the
-   centre that step 3 has measured rule most of these out (|d(c,a) - d(c,b)| > 0.2), as do sizes.
-   No pair inside one component is ever compared, since it can't change the result.
-
-So all pairs that share a bucket are decided exactly, and components are those of the full graph
+4. What stars could miss are two members of one star that are linked with each other but not both
+   with its centre. After the components of the confirmed links are known, stars whose centres lie
+   in one component are taken together, and those that reach into other components are taken up
+   again. Their reference is the set of shingles that most members
+   hold; D(x) are those in which x differs from it, and s(x) = |x| / 9 - |D(x)|. A link allows two
+   members to differ in (|x| + |y|) / 9 shingles and they differ in |D(x)| + |D(y)| -
+   2|D(x) & D(y)|, so: members with s(x) + s(y) >= 0 are linked for certain; let t have the largest
+   s, then all with s(y) >= -s(t) are linked with t; and each of the others shares at least
+   -(s(x) + s(y)) / 2 > 0 elements of D with whatever it links with. Hence only pairs that share
+   one of the rarest elements of both D, early enough to share as many as they need, are
+   candidates (prefix and positional filter), and D alone decides them, exactly. Edits are mostly a copy's own, so a large family has few candidates, and no pair inside
+   one component is ever compared.
+
+So all pairs that share a bucket (or a centre) are decided exactly, and components are those of the full graph
 of links but for the bands' miss rate. Nothing is capped or sampled.
 
 Defined results: null and empty texts and texts of white space alone have an empty set and link
@@ -33,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plyset.llm.bloom import may_hold
 from plyset.llm.common import staged
 from plyset.llm.graph import components
 from plyset.llm.text import batches, mix, owners, shingles, string_bytes, words
@@ -86,7 +93,7 @@ def band_keys(shingle_set: np.ndarray) -> np.ndarray:
 
 def sign(docs: DataFrame, n: int) -> DataFrame:
     def run(stream):
-        for part in batches(stream, "text", 4 << 20):
+        for part in batches(stream, "text", 2 << 20):
             sets = document_sets(part.column("text"), n)
             sizes = np.array([len(s) for s in sets], np.int64)
             f1 = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else 0 for s in sets], np.uint64)
@@ -103,7 +110,7 @@ def sign(docs: DataFrame, n: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(stream):
-        for part in batches(stream, "text", 4 << 20):
+        for part in batches(stream, "text", 2 << 20):
             sets = document_sets(part.column("text"), n)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
@@ -113,15 +120,61 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, size_a, size_b) of candidate pairs, on full sets. A hub's set goes to its pairs, skew and all."""
+    """(a, b, size_a, size_b, common) of candidate pairs, on full sets. A hub's set goes to its pairs, skew and all."""
     b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     both = pairs.select("a", "b").join(b, "b").join(a, "a")
-    return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), F.size("sa").alias("size_a"), F.size("sb").alias("size_b"))
+    return both.select("a", "b", F.size("sa").alias("size_a"), F.size("sb").alias("size_b"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
 
 LINKED = "100 * common >= 80 * (size_a + size_b - common)"
-SIZES_FIT = "100 * least({0}, {1}) >= 80 * greatest({0}, {1})"
+
+
+def missed(checked: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members of stars of one component that lie in different components; see the module, step 4."""
+    comp = found.select(F.col("node").alias("x"), F.col("component").alias("comp"))
+    centre = found.select(F.col("node").alias("r"), F.col("component").alias("c"))
+    stars = checked.select(F.col("a").alias("r"), F.col("b").alias("x")).join(comp, "x", "left").join(centre, "r", "left")
+    stars = stars.select(F.coalesce("c", "r").alias("c"), "r", "x", F.coalesce("comp", "x").alias("comp"))
+    stars = stars.select("c", "x", "comp").unionByName(stars.select("c", F.col("r").alias("x"), F.col("c").alias("comp"))).distinct()
+    stars = staged(stars, "stars")
+    # three members at least (two were compared), one of them outside the centres' component
+    open_ = stars.groupBy("c").agg(F.count("*").alias("m"), F.max((F.col("comp") != F.col("c")).cast("int")).alias("o")).filter("m > 2 and o = 1")
+    open_ = staged(open_.select("c", "m"), "open")
+    held = lambda name, array: sets.select(F.col("rep").alias(name), F.col("shingles").alias(array))
+    stars = stars.join(open_.select("c"), "c", "left_semi").join(held("x", "sx"), "x").join(held("c", "sc"), "c")
+    off = F.concat(F.array_except("sc", "sx"), F.array_except("sx", "sc"))
+    stars = staged(stars.select("c", "x", "comp", F.size("sx").alias("n"), off.alias("off")), "stars")
+    each = stars.select("c", F.explode("off").alias("e")).join(open_, "c")
+    flips = each.groupBy("c", "m", "e").agg(F.count("*").alias("k")).filter("2 * k > m").groupBy("c").agg(F.collect_list("e").alias("flip"))
+    none = F.array().cast("array<long>")
+    family = stars.join(flips, "c", "left").withColumn("flip", F.coalesce("flip", none))
+    family = family.withColumn("d", F.concat(F.array_except("off", "flip"), F.array_except("flip", "off"))).drop("off", "flip")
+    family = staged(family.withColumn("s", F.col("n") - 9 * F.size("d")), "family")
+    top = staged(family.groupBy("c").agg(F.max(F.struct("s", F.col("x").alias("t"), F.col("comp").alias("tc"))).alias("b")).select("c", F.col("b.s").alias("ts"), "b.t", "b.tc"), "top")
+    family = family.join(top, "c").withColumn("inside", F.col("s") + F.col("ts") >= 0)
+    sure = family.filter("inside and x <> t and comp <> tc").select(F.col("t").alias("a"), F.col("x").alias("b"))
+
+    # everyone else shares elements with whomever it links with; the rarest first
+    family = family.withColumn("comp", F.when(F.col("inside"), F.col("tc")).otherwise(F.col("comp")))
+    each = family.select("c", "x", F.explode("d").alias("e"))
+    df = staged(each.groupBy("c", "e").agg(F.count("*").alias("df")), "df")
+    order = each.join(df.filter("df > 1"), ["c", "e"]).groupBy("c", "x").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("order"))
+    family = staged(family.join(order, ["c", "x"]), "family")  # none left: every element is its own, so no link was missed
+    need = F.when(F.col("inside"), F.floor((F.col("ts") - F.col("s")) / 18) + 1).otherwise(F.greatest(F.lit(1), F.ceil(-(F.col("s") + F.col("ts")) / 18)))
+    rest = F.greatest(F.lit(0), F.size("order") - need + 1).cast("int")  # elements found once can't be shared
+    family = family.withColumn("p", F.slice("order", F.lit(1), rest)).withColumn("m", F.size("order"))
+    indexed = family.select("c", "x", F.col("comp").alias("xcomp"), F.col("inside").alias("xin"), F.col("s").alias("xs"), F.col("m").alias("xm"), F.posexplode("p.e").alias("xk", "e"))
+    asking = family.filter("not inside").select("c", F.col("x").alias("f"), F.col("comp").alias("fcomp"), F.col("s").alias("fs"), F.col("m").alias("fm"), F.posexplode("p.e").alias("fk", "e"))
+    # from the first element that two share on, neither has more to share than what follows it
+    enough = "-(fs + xs) <= 18 * least(fm - fk, xm - xk)"
+    pairs = asking.join(indexed, ["c", "e"]).filter(f"fcomp <> xcomp and (xin or f < x) and {enough}").select("c", "f", "x").distinct()
+    one = family.select("c", F.col("x").alias("f"), F.col("n").alias("size_a"), F.col("d").alias("da"))
+    two = family.select("c", "x", F.col("n").alias("size_b"), F.col("d").alias("db"))
+    both = pairs.join(one, ["c", "f"]).join(two, ["c", "x"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    both = both.withColumn("common", ((F.col("size_a") + F.col("size_b") - apart) / 2).cast("int"))
+    return sure.unionByName(both.filter(LINKED).select(F.col("f").alias("a"), F.col("x").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
@@ -133,37 +186,21 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
 
     # buckets of more than one class, each entry with its bucket's centre
     reps = named.select("doc_id", "n_shingles", "f1", "f2", "bands").join(classes, ["f1", "f2", "n_shingles"]).filter("doc_id = rep")
-    entries = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    entries = reps.select("rep", F.explode("bands").alias("key"))
     entries = staged(entries, "entries")
-    centres = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last")).filter("c.rep <> last")
-    centres = staged(centres.select("key", F.col("c.rep").alias("c"), F.col("c.n").alias("cn")), "centres")
-    members = staged(entries.join(centres, "key").select("key", "rep", "n", "c", "cn"), "members")
+    centres = entries.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last")).filter("c <> last")
+    centres = staged(centres.select("key", "c"), "centres")
+    stars = staged(entries.join(centres, "key").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
 
-    stars = members.filter("rep <> c").filter(SIZES_FIT.format("n", "cn")).select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = staged(stars, "stars")
-    needed = members.select("rep").distinct()
-    texts = docs.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id")
+    needed = staged(stars.select(F.col("b").alias("doc_id")).distinct(), "needed")
+    test = may_hold(needed.select(F.xxhash64("doc_id").alias("key")))  # texts of no star stay where they are
+    texts = docs.filter(test(F.xxhash64("doc_id"))).join(needed, "doc_id")
     sets = staged(full_sets(texts, n), "sets")
-    checked = staged(confirm(stars, sets), "checked")
+    checked = staged(confirm(stars.filter("a <> b"), sets), "checked")
     links = checked.filter(LINKED).select("a", "b")
     found = staged(components(links), "components")
 
-    # members that their centre's component doesn't hold, against the bucket's other components
-    label = found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    labelled = members.join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    labelled = labelled.join(found.select(F.col("node").alias("c"), F.col("component").alias("ccomp")), "c", "left").withColumn("ccomp", F.coalesce("ccomp", "c"))
-    labelled = staged(labelled, "labelled")
-    open_keys = labelled.filter("comp <> ccomp").select("key").distinct()
-    far = checked.select(F.col("a").alias("c"), F.col("b").alias("rep"), (1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("d"))
-    rest = labelled.join(open_keys, "key", "left_semi").join(far, ["c", "rep"], "left")
-    rest = staged(rest.withColumn("d", F.when(F.col("rep") == F.col("c"), 0.0).otherwise(F.col("d"))), "rest")
-    one = rest.filter("comp <> ccomp").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("d").alias("xd"))
-    # a centre was compared with all members that its size lets it link with
-    two = rest.filter("rep <> c").select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), F.col("d").alias("yd"))
-    near = F.expr("xd is null or yd is null or abs(xd - yd) <= 0.2 + 1e-9")
-    pairs = one.join(two, "key").filter("xc <> yc").filter(SIZES_FIT.format("xn", "yn")).filter(near)
-    pairs = staged(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    more = confirm(pairs, sets).filter(LINKED).select("a", "b")
+    more = missed(checked, found, sets)
     more = staged(more, "more")
     if not more.isEmpty():
         label = found.select("node", "component")
