@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plyset.functions import predicates as P
 from plyset.functions.board import DIAGONAL, STRAIGHT, ray, show_rows
 from plyset.plans.game import Game
+from plyset.plans.moves import MEETS
 from plyset.shape import Shape
 
 
@@ -58,18 +59,21 @@ class Othello(Game):
     def lost(self, side: int) -> P.Predicate:
         return self._more(1 - side)
 
-    def edges(self, positions: DataFrame, side: int) -> DataFrame:
+    def placements(self, positions: DataFrame, side: int) -> DataFrame:
         own, other = side + 1, 2 - side
-        spark = positions.sparkSession
         rows = [(end, own, at, [at, *between], [(i, 1 << other) for i in between] + [(at, 1)]) for at, between, end in self.turns()]
-        table = spark.createDataFrame(rows, "layer int, char tinyint, at int, put array<int>, need array<struct<l:int,m:long>>")
+        table = positions.sparkSession.createDataFrame(rows, "layer int, char tinyint, at int, put array<int>, need array<struct<l:int,m:long>>")
         slots = positions.select("p", F.posexplode("p").alias("layer", "char"))
-        met = slots.join(F.broadcast(table), ["layer", "char"]).filter(F.expr("forall(need, n -> (shiftright(n.m, cast(p[n.l] as int)) & 1) = 1)"))
+        met = slots.join(F.broadcast(table), ["layer", "char"]).filter(F.expr(MEETS))
         grouped = met.groupBy("p", "at").agg(F.flatten(F.collect_list("put")).alias("put"))
         turned = F.transform("p", lambda c, i: F.when(F.array_contains("put", i), F.lit(own).cast("tinyint")).otherwise(c))
-        placed = grouped.select("p", turned.alias("q"))
-        at = lambda i: F.col("p")[i]
-        passes = positions.filter((~self.can_place(side) & self.can_place(1 - side)).column(at)).select("p", F.col("p").alias("q"))
+        return grouped.select("p", turned.alias("q"))
+
+    def edges(self, positions: DataFrame, side: int) -> DataFrame:
+        placed = self.placements(positions, side)
+        stuck = positions.join(placed.select("p").distinct(), "p", "left_anti")
+        other = self.placements(stuck, 1 - side).select("p").distinct()
+        passes = stuck.join(other, "p", "left_semi").select("p", F.col("p").alias("q"))
         return placed.unionByName(passes)
 
     def forward(self, side, s):

@@ -19,6 +19,8 @@ from plyset.functions import predicates as P
 from plyset.shape import Shape
 
 MOST_RULES = 200_000
+#: The position is named outside the lambda too: the optimizer otherwise can take the test for one of the rules alone.
+MEETS = "if(p[0] >= 0, forall(need, n -> (shiftright(n.m, cast(p[n.l] as int)) & 1) = 1), false)"
 RULE = "layer int, char tinyint, rule int, need array<struct<l:int,m:long>>, put map<int,tinyint>"
 
 
@@ -181,7 +183,7 @@ def apply(positions: DataFrame, rules: list[Rule], shape: Shape) -> DataFrame:
         some = positions if rest is P.ALWAYS else positions.filter(rest.column(lambda i: F.col("p")[i]))
         slots = some.select("p", F.posexplode("p").alias("layer", "char"))
         met = slots.join(F.broadcast(table) if len(rows) <= MOST_RULES else table, ["layer", "char"])
-        met = met.filter(F.expr("forall(need, n -> (shiftright(n.m, cast(p[n.l] as int)) & 1) = 1)"))
+        met = met.filter(F.expr(MEETS))
         new = F.transform("p", lambda c, i: F.coalesce(F.try_element_at("put", i), c))
         made = met.select("p", new.alias("q"))
         out = made if out is None else out.unionByName(made)

@@ -125,3 +125,17 @@ def test_chess_boards():
 def test_small_endgame(spark):
     db = {r.ply: r.n for r in chess.endgame_database(spark, "Q", 1).groupBy("ply").count().withColumnRenamed("count", "n").collect()}
     assert db[0] == 364 and db[1] > 0  # mates of king and queen against king
+
+
+def test_analysis(spark, tmp_path):
+    from plyset.plans.analysis import analyse, frontier
+    from plyset.sources import Catalog
+
+    g = get_game("tictactoe_2")
+    held = analyse(g, spark, f"file://{tmp_path}", 4, 3, 20)
+    assert held and all(held.values())
+    catalog = Catalog(spark, f"file://{tmp_path}/sets")
+    assert catalog.load_by_name("tictactoe_2/forward,ply=002").size() == 12 and frontier(g, catalog, 2).size() == 12
+    assert catalog.load_by_name("tictactoe_2/backward,ply_max=003,side=0,winning").size() > 0
+    assert catalog.vacuum() == []
+    assert spark.read.option("sep", "\t").option("header", True).csv(f"file://{tmp_path}/stats").count() == 4
