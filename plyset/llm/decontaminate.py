@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from plyset.llm.common import staged
 from plyset.llm.text import batches, owners, shingles, string_bytes, words
 
-SEED, RARE, BLOCK = 3, 5, 16 << 20
+SEED, RARE, BLOCK = 3, 5, 8 << 20
 MATCH, MISS, GAP = 2, -1, -1
 LEAKS = "doc_id long, item_id long, score double, start_word long, end_word long"
 
@@ -143,8 +143,9 @@ def _block(docs: DataFrame, items: list, threshold: float, seed: int, rare: int)
 
     df = np.zeros(len(every.value.grams), np.int64)
     total = docs.count()
-    for r in docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        df[r.gram] = r.n  # one row per n-gram of the block at most
+    found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = found.toArrow()  # two numbers per n-gram of the block at most
+    df[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     mine = df[np.searchsorted(every.value.grams, grams)]
     middle = np.array([np.median(mine[item == i]) if (item == i).any() else 0 for i in range(len(items))])
     keep = (mine <= middle[item]) | (mine * 1_000_000 <= rare * total)
