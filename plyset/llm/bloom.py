@@ -67,8 +67,32 @@ def levels_of(items: np.ndarray, bucket: np.ndarray, filter_: tuple[np.ndarray,
     return level
 
 
-def may_hold(keys: DataFrame, max_filter: int = MAX_FILTER):
-    """A column function that is true for all keys (a long each) and few others; the filter's size is bounded."""
+class KeyFilter:
+    """True for all keys that it was built from and few others; ``test`` works on arrays, ``column`` on a Spark column of longs."""
+
+    def __init__(self, parts, buckets: int):
+        self.parts, self.buckets = parts, buckets
+
+    def test(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        bucket = keys % self.buckets
+        for b in np.unique(bucket):
+            own = np.flatnonzero(bucket == b)
+            bits = self.parts.value[b]
+            at = bits_at(keys[own].view(np.uint64), np.ones(len(own), np.uint64), len(bits) * 8)
+            out[own] = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+        return out
+
+    def column(self, keys):
+        @F.pandas_udf("boolean")
+        def held(column: pd.Series) -> pd.Series:
+            return pd.Series(self.test(column.to_numpy(np.int64)))
+
+        return held(keys)
+
+
+def key_filter(keys: DataFrame, max_filter: int = MAX_FILTER) -> KeyFilter:
+    """A filter of the frame's ``key`` column (longs) of ``max_filter`` bytes at most, broadcast to the workers."""
     n = keys.count()
     buckets = max(1, n >> 17)
     share = max_filter * 8 // buckets
@@ -80,18 +104,4 @@ def may_hold(keys: DataFrame, max_filter: int = MAX_FILTER):
     parts: list[bytes] = [bytes(128)] * buckets
     for r in keys.select(F.pmod("key", F.lit(buckets)).cast("long").alias("bucket"), "key").groupBy("bucket").applyInArrow(region, "bucket long, bits binary").toLocalIterator():
         parts[r.bucket] = bytes(r.bits)
-    held = keys.sparkSession.sparkContext.broadcast([np.frombuffer(b, np.uint8) for b in parts])
-
-    @F.pandas_udf("boolean")
-    def test(column: pd.Series) -> pd.Series:
-        keys = column.to_numpy(np.int64)
-        out = np.zeros(len(keys), bool)
-        bucket = keys % buckets
-        for b in np.unique(bucket):
-            own = np.flatnonzero(bucket == b)
-            bits = held.value[b]
-            at = bits_at(keys[own].view(np.uint64), np.ones(len(own), np.uint64), len(bits) * 8)
-            out[own] = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-        return pd.Series(out)
-
-    return test
+    return KeyFilter(keys.sparkSession.sparkContext.broadcast([np.frombuffer(b, np.uint8) for b in parts]), buckets)

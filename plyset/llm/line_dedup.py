@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyset.llm.bloom import may_hold
+from plyset.llm.bloom import key_filter
 from plyset.llm.common import staged
 from plyset.llm.text import batches, mix, owners, range_hash, string_bytes, words
 
@@ -144,8 +144,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marked = staged(marks(known), "marks")
     shared = shared_chunks(marked, min_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("shared").alias("_shared"))
     shared = staged(shared.withColumn("key", F.xxhash64("_id", "_th")), "shared")
-    test = may_hold(shared)
-    tagged = tagged.withColumn("_may", test(F.xxhash64("_id", "_th")))
+    tagged = tagged.withColumn("_may", key_filter(shared).column(F.xxhash64("_id", "_th")))
     joined = staged(tagged.filter("_may").join(shared.drop("key"), ["_id", "_th"], "left").select(*names, "_shared"), "joined")
     unlike = shared_bytes(joined).groupBy("h", "chunk").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     # hashes of 64 bits that unlike chunks share: next to none, and held back as rows are
