@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyset.llm.bloom import may_hold
+from plyset.llm.bloom import KeyFilter, key_filter
 from plyset.llm.common import staged
 from plyset.llm.graph import components
 from plyset.llm.text import batches, mix, owners, shingles, string_bytes, words
@@ -108,15 +108,21 @@ def sign(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
-def full_sets(docs: DataFrame, n: int) -> DataFrame:
+def full_sets(docs: DataFrame, n: int, needed: KeyFilter) -> DataFrame:
+    """The sets of the documents whose ids the filter holds, and of few others: no text is shuffled for them."""
+
     def run(stream):
         for part in batches(stream, "text", 2 << 20):
+            part = part.filter(pa.array(needed.test(part.column("key").to_numpy())))
+            if not part.num_rows:
+                continue
             sets = document_sets(part.column("text"), n)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks(), lists], names=["rep", "shingles"])
 
-    return docs.mapInArrow(run, "rep long, shingles array<long>")
+    named = docs.filter("doc_id is not null and text is not null")
+    return named.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "rep long, shingles array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,10 +198,8 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
     centres = staged(centres.select("key", "c"), "centres")
     stars = staged(entries.join(centres, "key").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
 
-    needed = staged(stars.select(F.col("b").alias("doc_id")).distinct(), "needed")
-    test = may_hold(needed.select(F.xxhash64("doc_id").alias("key")))  # texts of no star stay where they are
-    texts = docs.filter(test(F.xxhash64("doc_id"))).join(needed, "doc_id")
-    sets = staged(full_sets(texts, n), "sets")
+    needed = key_filter(staged(stars.select(F.xxhash64("b").alias("key")).distinct(), "needed"))
+    sets = staged(full_sets(docs, n, needed), "sets")
     checked = staged(confirm(stars.filter("a <> b"), sets), "checked")
     links = checked.filter(LINKED).select("a", "b")
     found = staged(components(links), "components")
