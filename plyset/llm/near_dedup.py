@@ -11,9 +11,9 @@
 3. Each bucket proposes a star: its smallest id against every other. Stars bound candidates by the
    number of bucket entries. They are confirmed on full sets by ``100 * common >= 80 * union``.
 4. What stars could miss are two members of one star that are linked with each other but not both
-   with its centre. After the components of the confirmed links are known, stars whose centres lie
-   in one component are taken together, and those that reach into other components are taken up
-   again. Their reference is the set of shingles that most members
+   with its centre. After the components of the confirmed links are known, stars are taken together
+   by the smallest component that they reach, and those that reach into others are taken up again.
+   Their reference is the set of shingles that most members
    hold; D(x) are those in which x differs from it, and s(x) = |x| / 9 - |D(x)|. A link allows two
    members to differ in (|x| + |y|) / 9 shingles and they differ in |D(x)| + |D(y)| -
    2|D(x) & D(y)|, so: members with s(x) + s(y) >= 0 are linked for certain; let t have the largest
@@ -137,12 +137,15 @@ LINKED = "100 * common >= 80 * (size_a + size_b - common)"
 
 
 def missed(checked: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between members of stars of one component that lie in different components; see the module, step 4."""
+    """Links (a, b) between members of stars that lie in different components; see the module, step 4."""
     comp = found.select(F.col("node").alias("x"), F.col("component").alias("comp"))
     centre = found.select(F.col("node").alias("r"), F.col("component").alias("c"))
     stars = checked.select(F.col("a").alias("r"), F.col("b").alias("x")).join(comp, "x", "left").join(centre, "r", "left")
-    stars = stars.select(F.coalesce("c", "r").alias("c"), "r", "x", F.coalesce("comp", "x").alias("comp"))
-    stars = stars.select("c", "x", "comp").unionByName(stars.select("c", F.col("r").alias("x"), F.col("c").alias("comp"))).distinct()
+    stars = staged(stars.select("r", "x", F.coalesce("comp", "x").alias("comp"), F.coalesce("c", "r").alias("rcomp")), "stars")
+    # a star goes by the smallest component that it reaches: an outsider's own star joins the family that it meets
+    family_of = stars.groupBy("r", "rcomp").agg(F.min("comp").alias("c")).select("r", "rcomp", F.least("c", "rcomp").alias("c"))
+    inner = stars.select("r", "x", "comp").join(family_of.select("r", "c"), "r").select("c", "x", "comp")
+    stars = inner.unionByName(family_of.select("c", F.col("r").alias("x"), F.col("rcomp").alias("comp"))).distinct()
     stars = staged(stars, "stars")
     # three members at least (two were compared), one of them outside the centres' component
     open_ = stars.groupBy("c").agg(F.count("*").alias("m"), F.max((F.col("comp") != F.col("c")).cast("int")).alias("o")).filter("m > 2 and o = 1")
