@@ -1,22 +1,28 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-1. A pass over whole texts counts in how many documents each ``SEED``-gram of the test items occurs.
-2. An item's seeds are its rarest n-grams: those at or below the median of its own document counts
-   (at least half of them, so every item has seeds, however often it leaked), and those found in at
-   most ``RARE`` of a million documents.
-3. A second pass looks seeds up in each text. Hits of an item that may belong to one alignment make
-   a window of the text; each window is aligned with the item (match +2, mismatch and gap -1), all
-   windows of a batch at once. The score is the best alignment's share of the item's full score; a
-   document leaks an item from ``threshold`` on. Edits, insertions and losses of up to about a third
-   of the words stay above 0.5, and so does half of an item word for word.
-
-Both passes read the documents in place, without a shuffle: the test items are a query set. They
+"""Benchmark decontamination: seeds of two words, then Smith-Waterman alignment of words.
+
+The score of an alignment (match +2, mismatch and gap -1) is its share of the item's full score; a
+document leaks an item from ``threshold`` on. Edits, insertions and losses of up to about a third
+of the words stay above 0.5, and so does half of an item word for word.
+
+Seeds lose no such alignment. Say it has m matches and e edits, 2m - e >= 2tn for an item of n words
+and the threshold t. Of its m - 1 steps from a match to the next at most e/2 <= m - tn hold two edits
+or more, so at least T = ceil(tn) - 1 steps hold one edit at most: both words are one or two places
+apart in the item, and one or two in the text. Such pairs are hashed alike whatever their distance.
+
+1. Of an item's n - 1 places where a pair starts, the T // 2 whose pairs are most frequent among the
+   items may be left out: T - T // 2 of the others are still met by each alignment (a common pair
+   would be looked up for nearly every item).
+2. One pass looks the pairs up in each text. Where so many hits of an item lie within the longest
+   stretch that an alignment can take (3n - 2tn words), the words around are a window; each window
+   is aligned with the item, all windows of a batch at once.
+
+The pass reads the documents in place, without a shuffle: the test items are a query set. They
 are taken in blocks of at most ``BLOCK`` bytes of text, chosen by a hash of their ids, so what is
 sent to the workers has a fixed bound and larger benchmarks take more passes.
 
 Defined results: null and empty texts, and items of fewer than ``SEED`` words, leak nothing;
 repeated rows are reported each, as are items of equal text; ids may be null; empty tables give no
-rows; extra columns are ignored.
+rows; extra columns are ignored. A threshold must ask for more than one word of an item.
 """
 
 from __future__ import annotations
@@ -27,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyset.llm.common import staged
-from plyset.llm.text import batches, owners, shingles, string_bytes, words
+from plyset.llm.text import batches, mix, owners, string_bytes, words
 
-SEED, RARE, BLOCK = 3, 5, 8 << 20
+SEED, BLOCK = 3, 8 << 20
+HITS = 1 << 20
 MATCH, MISS, GAP = 2, -1, -1
 LEAKS = "doc_id long, item_id long, score double, start_word long, end_word long"
 
@@ -57,54 +64,82 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, at
 
 
-def windows_of(item: np.ndarray, hit: np.ndarray, place: np.ndarray, lengths: np.ndarray, end: int):
-    """Merge hits (by item, then position) to (item, from, to) word ranges of one text."""
-    order = np.lexsort((hit, item))
-    open_ = None
-    for k in order:
-        i, n = int(item[k]), int(lengths[item[k]])
-        slack = n // 3 + 4
-        lo, hi = max(0, int(hit[k] - place[k]) - slack), min(end, int(hit[k] - place[k]) + n + slack)
-        if open_ and open_[0] == i and lo <= open_[2]:
-            open_[1], open_[2] = min(open_[1], lo), max(open_[2], hi)
-        else:
-            if open_:
-                yield tuple(open_)
-            open_ = [i, lo, hi]
-    if open_:
-        yield tuple(open_)
-
-
 class Seeds:
-    """Sorted n-gram hashes with their postings, and a small table that rules most hashes out."""
-
-    def __init__(self, grams: np.ndarray, item: np.ndarray, place: np.ndarray):
-        order = np.argsort(grams, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.grams, self.first = np.unique(grams[order], return_index=True)
+    """Sorted hashes of pairs with the items that hold each, and a table that rules most hashes out."""
+
+    def __init__(self, grams: np.ndarray, item: np.ndarray):
+        order = np.lexsort((item, grams))
+        grams, item = grams[order], item[order]
+        new = np.r_[True, (grams[1:] != grams[:-1]) | (item[1:] != item[:-1])] if len(grams) else np.empty(0, bool)
+        grams, self.item = grams[new], item[new]
+        self.grams, self.first = np.unique(grams, return_index=True)
         self.last = np.r_[self.first[1:], len(grams)]
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(self.grams & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.mask = np.uint64((1 << max(20, (8 * len(grams)).bit_length())) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[(self.grams & self.mask).astype(np.int64)] = True
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``hashes`` that are seeds, and which."""
-        near = np.flatnonzero(self.table[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
+        near = np.flatnonzero(self.table[(hashes & self.mask).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.grams, hashes[near]), len(self.grams) - 1)
         same = self.grams[at] == hashes[near]
         return near[same], at[same]
 
 
-def grams_of(column, n: int):
-    """Word hashes, the text that each lies in, each text's first word; n-grams within texts and their positions."""
+def words_of(column):
+    """Word hashes, the text that each lies in, and each text's first word."""
     data, offsets = string_bytes(column)
     starts, _, hashes = words(data, offsets)
-    doc = owners(starts, offsets)
-    grams = shingles(hashes, n)
-    inside = np.flatnonzero(doc[: len(grams)] == doc[n - 1 :]) if len(grams) else np.empty(0, np.int64)
-    return hashes, doc, np.searchsorted(starts, offsets), grams[inside], inside
-
-
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, seed: int = SEED, rare: int = RARE) -> DataFrame:
+    return hashes, owners(starts, offsets), np.searchsorted(starts, offsets)
+
+
+def pairs_of(hashes: np.ndarray, doc: np.ndarray):
+    """Of words one and two places apart in a text: the first one's place, and a hash of both in order."""
+    once = mix(hashes) * np.uint64(0x9FB21C651E98DF25)
+    for apart in (1, 2):
+        at = np.flatnonzero(doc[:-apart] == doc[apart:])
+        yield at, mix(once[at] + hashes[at + apart])
+
+
+def needed(lengths: np.ndarray, threshold: float) -> np.ndarray:
+    """Steps of one edit at most in any alignment that reaches the threshold."""
+    return np.maximum(np.ceil(threshold * lengths - 1e-9).astype(np.int64) - 1, 1)
+
+
+def seeds_of(hashes: np.ndarray, item: np.ndarray, lengths: np.ndarray, threshold: float) -> Seeds:
+    """The pairs of all items without each item's most frequent starts."""
+    at, grams = map(np.concatenate, zip(*pairs_of(hashes, item)))
+    which, held = np.unique(grams, return_inverse=True)
+    often = np.bincount(held, minlength=len(which))[held]
+    most = np.zeros(len(hashes), np.int64)
+    np.maximum.at(most, at, often)
+    starts = np.unique(at)
+    order = starts[np.lexsort((-most[starts], item[starts]))]
+    rank = np.arange(len(order)) - np.searchsorted(item[order], item[order])
+    keep = np.zeros(len(hashes), bool)
+    keep[order] = (rank >= needed(lengths, threshold)[item[order]] // 2) & (lengths[item[order]] >= SEED)
+    return Seeds(grams[keep[at]], item[at[keep[at]]])
+
+
+def windows_of(item: np.ndarray, doc: np.ndarray, at: np.ndarray, need: np.ndarray, span: np.ndarray):
+    """Where ``need`` hits of an item lie within its span of a text: (doc, item, from, to), in places of the batch."""
+    order = np.lexsort((at, item, doc))
+    item, doc, at = item[order], doc[order], at[order]
+    new = np.r_[True, (at[1:] != at[:-1]) | (item[1:] != item[:-1])]  # a place counts once
+    item, doc, at = item[new], doc[new], at[new]
+    last = np.arange(len(at)) + need[item] - 1
+    inside = np.minimum(last, len(at) - 1)
+    good = (last < len(at)) & (item[inside] == item) & (doc[inside] == doc) & (at[inside] - at < span[item])
+    item, doc, at = item[good], doc[good], at[good]
+    if not len(at):
+        return []
+    apart = np.r_[True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 2 * span[item[1:]])]
+    a = np.flatnonzero(apart)
+    b = np.r_[a[1:], len(at)] - 1
+    return list(zip(doc[a].tolist(), item[a].tolist(), (at[a] - span[item[a]]).tolist(), (at[b] + span[item[b]]).tolist()))
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
     """A row (doc_id, item_id, score, start_word, end_word) per document and item that it leaks."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null").distinct()
@@ -113,7 +148,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, seed: int =
     parts = []
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK bytes
-        parts.append(_block(docs, sorted(own, key=lambda r: (r.item_id is None, r.item_id or 0, r.text)), threshold, seed, rare))
+        parts.append(_block(docs, sorted(own, key=lambda r: (r.item_id is None, r.item_id or 0, r.text)), threshold))
     if not parts:
         return docs.sparkSession.createDataFrame([], LEAKS)
     out = parts[0]
@@ -122,55 +157,46 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, seed: int =
     return out
 
 
-def _block(docs: DataFrame, items: list, threshold: float, seed: int, rare: int) -> DataFrame:
+def _block(docs: DataFrame, items: list, threshold: float) -> DataFrame:
     spark = docs.sparkSession
-    hashes, _, first, grams, where = grams_of(pa.array([r.text for r in items], pa.large_string()), seed)
+    hashes, item, first = words_of(pa.array([r.text for r in items], pa.large_string()))
     texts = [hashes[first[i] : first[i + 1]] for i in range(len(items))]
-    item = np.searchsorted(first, where, "right") - 1
-    place = where - first[item]
-    every = spark.sparkContext.broadcast(Seeds(grams, item, place))
-    if len(grams) == 0:
+    lengths = np.diff(first)
+    if not (lengths >= SEED).any():
         return spark.createDataFrame([], LEAKS)
-
-    def count(stream):
-        for part in batches(stream, "text", 2 << 20):
-            _, doc, _, found, at = grams_of(part.column("text"), seed)
-            hit, gram = every.value.find(found)
-            pairs = np.unique(doc[at[hit]].astype(np.int64) << 32 | gram)
-            gram, n = np.unique(pairs & 0xFFFFFFFF, return_counts=True)
-            if len(gram):
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    df = np.zeros(len(every.value.grams), np.int64)
-    total = docs.count()
-    found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    found = found.toArrow()  # two numbers per n-gram of the block at most
-    df[found.column("gram").to_numpy()] = found.column("n").to_numpy()
-    mine = df[np.searchsorted(every.value.grams, grams)]
-    middle = np.array([np.median(mine[item == i]) if (item == i).any() else 0 for i in range(len(items))])
-    keep = (mine <= middle[item]) | (mine * 1_000_000 <= rare * total)
-    ids = [r.item_id for r in items]
-    held = spark.sparkContext.broadcast((Seeds(grams[keep], item[keep], place[keep]), texts, ids))
+    held = spark.sparkContext.broadcast((seeds_of(hashes, item, lengths, threshold), texts, [r.item_id for r in items]))
 
     def search(stream):
         seeds, texts, ids = held.value
         lengths = np.array([len(t) for t in texts])
+        need = needed(lengths, threshold)
+        need -= need // 2
+        span = np.floor((3 - 2 * threshold) * lengths + 1e-9).astype(np.int64)
         for part in batches(stream, "text", 2 << 20):
-            words_, doc, first, found, at = grams_of(part.column("text"), seed)
-            hit, gram = seeds.find(found)
-            if not len(hit):
+            words_, doc, first = words_of(part.column("text"))
+            if not len(words_):
                 continue
+            at, gram = [], []
+            for places, found in pairs_of(words_, doc):
+                hit, which = seeds.find(found)
+                at.append(places[hit])
+                gram.append(which)
+            at, gram = np.concatenate(at), np.concatenate(gram)
+            order = np.argsort(at, kind="stable")
+            at, gram = at[order], gram[order]
             times = seeds.last[gram] - seeds.first[gram]
-            posting = np.repeat(seeds.first[gram] - np.cumsum(times) + times, times) + np.arange(times.sum())
-            at = np.repeat(at[hit], times)
-            order = np.argsort(doc[at], kind="stable")
-            at, posting = at[order], posting[order]
-            edges = np.flatnonzero(np.r_[True, np.diff(doc[at]) != 0])
-            todo = []
-            for i, j in zip(edges, np.r_[edges[1:], len(at)]):
-                d = int(doc[at[i]])
-                for w in windows_of(seeds.item[posting[i:j]], at[i:j] - first[d], seeds.place[posting[i:j]], lengths, int(first[d + 1] - first[d])):
-                    todo.append((d, *w))
+            total = np.r_[0, np.cumsum(times)]
+            edges = np.r_[np.flatnonzero(np.r_[True, np.diff(doc[at]) != 0]), len(at)] if len(at) else np.zeros(1, np.int64)
+            todo, i = [], 0
+            while i < len(edges) - 1:  # whole texts, of about HITS hits together
+                j = max(i + 1, int(np.searchsorted(total[edges], total[edges[i]] + HITS, "right")) - 1)
+                lo, hi = edges[i], edges[j]
+                many = times[lo:hi]
+                posting = np.repeat(seeds.first[gram[lo:hi]] - total[lo:hi] + total[lo], many) + np.arange(many.sum())
+                where = np.repeat(at[lo:hi], many)
+                for d, n, a, b in windows_of(seeds.item[posting], doc[where], where, need, span):
+                    todo.append((d, n, max(0, a - int(first[d])), min(int(first[d + 1]), b) - int(first[d])))
+                i = j
             todo.sort(key=lambda w: (lengths[w[1]], w[3] - w[2]))
             best: dict[tuple[int, int], tuple] = {}
             k = 0

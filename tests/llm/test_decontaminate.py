@@ -74,3 +74,33 @@ def test_clean_and_empty(spark):
     assert sorted(r.item_id for r in decontaminate.clean(docs, items).collect()) == [2, 3]
     assert leaks(docs.limit(0), items).collect() == [] and leaks(docs, items.limit(0)).collect() == []
     assert decontaminate.clean(docs, items.limit(0)).count() == 3
+
+
+def test_no_leak_is_missed(spark):
+    rng = random.Random(3)
+    items = [(i, " ".join(f"i{i}x{rng.randrange(400)}" if rng.random() < 0.6 else word(rng) for _ in range(40))) for i in range(14)]
+    docs, fresh = [], lambda: f"n{rng.randrange(10**6)}"
+
+    def put(words, times=1):
+        for _ in range(times):
+            docs.append((len(docs), " ".join([fresh() for _ in range(30)] + words + [fresh() for _ in range(30)])))
+
+    w = [t.split() for _, t in items]
+    put(w[0])
+    put(w[1][:21])  # half an item, alone
+    put(w[2][19:])
+    put([fresh() if k % 5 == 4 else x for k, x in enumerate(w[3])])
+    put([fresh() if k % 3 == 2 else x for k, x in enumerate(w[4])])
+    put([y for x in w[5] for y in (x, fresh())])  # a word after each word
+    put([x for k, x in enumerate(w[6]) if k % 3])
+    put(w[7][:21], 30)  # halves and variants copied many times
+    put([fresh() if k % 5 == 4 else x for k, x in enumerate(w[8])], 30)
+    put(w[9], 30)
+    put(w[9][:20] + w[9][26:])
+    for k in (10, 11, 12, 13):
+        for _ in range(25):
+            put(edited(rng, w[k], rng.choice([0.2, 0.3, 0.4, 0.5])))
+    got = {(r.doc_id, r.item_id): r.score for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i): s for d, t in docs for i, x in items if (s := smith_waterman(x.split(), t.split()) / 80) >= 0.5}
+    assert len(want) > 130 and all((k, n) in want for k, n in ((1, 1), (2, 2), (3, 3), (5, 5), (6, 6)))
+    assert got == pytest.approx(want)
