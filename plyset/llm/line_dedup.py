@@ -15,8 +15,9 @@ that reach over its ends where it begins or ends inside a paragraph.
    another document than its neighbour's had first; the document with the smallest id keeps its text.
 3. Only documents with such a list meet it in a join: a Bloom filter of their keys, of at most
    ``bloom.MAX_FILTER`` bytes, lets the others pass where they are.
-4. Byte comparison: the joined documents' shared chunks are grouped by hash and bytes, and a hash
-   that stands for two different chunks removes nothing.
+4. Byte comparison: a chunk's hash takes in the white space between its words, so a variant with
+   other spacing is another chunk. The joined documents' shared chunks are grouped by hash and bytes,
+   and a hash that stands for two different chunks removes nothing.
 5. Each document drops its list's runs.
 
 Defined results: null texts stay null, empty ones empty. A document with a null id is neither
@@ -33,11 +34,35 @@ from pyspark.sql import functions as F
 
 from plyset.llm.bloom import key_filter
 from plyset.llm.common import staged
-from plyset.llm.text import batches, mix, owners, range_hash, string_bytes, words
+from plyset.llm.text import _BYTE, batches, mix, owners, range_hash, string_bytes, words
 
 LONG, WRAP, LINES, MIN_WORDS, STRAY = 8, 4, 3, 20, 8
 
 
+def ranges(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``range_hash`` of ascending ranges, in segments, so that many need little memory."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 20), "right")))
+        lo, hi = starts[i], ends[j - 1]
+        out[i:j] = range_hash(codes[lo:hi], starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
+
+
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The words' hashes, each with the white space before it where that isn't one blank."""
+    out = hashes.copy()
+    plain = (starts[1:] - ends[:-1] == 1) & (data[ends[:-1]] == 32)
+    at = np.flatnonzero(~plain) + 1
+    size = starts[at] - ends[at - 1]
+    last = np.cumsum(size)
+    gaps = _BYTE[data[np.repeat(ends[at - 1] - last + size, size) + np.arange(size.sum())]]
+    out[at] = mix(out[at] ^ ranges(gaps, last - size, last))
+    return out
+
+
 def chunks(column, long: int = LONG, wrap: int = WRAP):
     """Of all chunks in a column of texts: text, first and last byte, words, hash; and the bytes."""
     data, offsets = string_bytes(column)
@@ -54,14 +79,7 @@ def chunks(column, long: int = LONG, wrap: int = WRAP):
     is_long = (np.bincount(of_line) > long)[of_line]
     unit_ends = np.flatnonzero(last_of_line | is_long & (hashes % np.uint64(wrap) == 0)) + 1
     unit_starts = np.r_[0, unit_ends[:-1]]
-    m = len(unit_ends)
-    unit = np.empty(m, np.uint64)
-    i = 0
-    while i < m:
-        j = max(i + 1, int(np.searchsorted(unit_ends, unit_starts[i] + (1 << 20), "right")))
-        lo, hi = unit_starts[i], unit_ends[j - 1]
-        unit[i:j] = range_hash(hashes[lo:hi], unit_starts[i:j] - lo, unit_ends[i:j] - lo)
-        i = j
+    unit = ranges(hashes, unit_starts, unit_ends)
     unit_doc, unit_long, ends_line = doc[unit_starts], is_long[unit_starts], last_of_line[unit_ends - 1]
     next_doc, next_long = np.r_[unit_doc[1:], -1], np.r_[unit_long[1:], False]
     hard = (unit_doc != next_doc) | ends_line & (unit_long | next_long)
@@ -71,13 +89,8 @@ def chunks(column, long: int = LONG, wrap: int = WRAP):
     chunk_ends = np.flatnonzero(soft | hard) + 1
     chunk_starts = np.r_[0, chunk_ends[:-1]]
     first_word, last_word = unit_starts[chunk_starts], unit_ends[chunk_ends - 1]
-    key = np.empty(len(chunk_ends), np.uint64)
-    i = 0
-    while i < len(key):
-        j = max(i + 1, int(np.searchsorted(chunk_ends, chunk_starts[i] + (1 << 20), "right")))
-        lo, hi = chunk_starts[i], chunk_ends[j - 1]
-        key[i:j] = range_hash(unit[lo:hi], chunk_starts[i:j] - lo, chunk_ends[i:j] - lo)
-        i = j
+    # boundaries depend on words alone, hashes on the white space between a chunk's words as well
+    key = mix(hashes[first_word] * np.uint64(0x9FB21C651E98DF25) + ranges(spaced(data, starts, ends, hashes), first_word + 1, last_word))
     return data, unit_doc[chunk_starts], starts[first_word], ends[last_word - 1], last_word - first_word, key
 
 

@@ -62,3 +62,17 @@ def test_repeats_within_one_document_stay(spark, rng):
     p = para(60)
     df = spark.createDataFrame([(1, p + "\n" + p), (1, p + "\n" + p), (2, para(50))], "doc_id long, text string")
     assert all(r.removed_words == 0 for r in dedup(df).collect())
+
+
+def test_a_variant_in_white_space_holds_no_copy_back(spark, rng):
+    para = maker(rng)
+    p, lines = para(70), "\n".join(para(6) for _ in range(12))
+    half = p.split(" ", 35)[:35]
+    spaces = [p, *["  ".join([" ".join(half), p[len(" ".join(half)) + 1 :]])], p.replace(" ", "\t"), lines.replace("\n", "\r\n"), lines.replace("\n", "\n\n")]
+    rows = [(i, para(30) + "\n" + (p, lines)[i % 2] + "\n" + para(30)) for i in range(40)]
+    rows += [(100 + i, para(30) + "\n" + x + "\n" + para(30)) for i, x in enumerate(spaces)]
+    got = {r.doc_id: r for r in dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, t in rows[2:41]:
+        assert got[i].text == t.replace((p, lines)[i % 2] + "\n", ""), i
+    for i in (102, 103, 104):  # variants through and through
+        assert got[i].text == dict(rows)[i]
