@@ -1,28 +1,29 @@
 """Line dedup by content-defined chunks of lines.
 
-Lines are what ends at a line break; lines of more than ``LONG`` words are wrapped after words that
-their hash chooses (one in ``WRAP``), so that a long paragraph is many lines whose ends depend on
-its words alone. A rolling hash over the last two lines ends a chunk after one in ``LINES``; a
-wrapped paragraph's ends are chunk ends as well. Insertions therefore shift no boundary but those
-beside them, and a passage that two documents share has the same chunks in both, but for those
-that reach over its ends where it begins or ends inside a paragraph.
+A paragraph (a line of more than ``LONG`` words, or the lines of no more between two such) is cut at
+those words whose two-word hash is the least of some ``WINDOW`` hashes in a row, and at its ends.
+Insertions therefore shift no boundary but those beside them, and of a passage that two documents
+share, 2 * WINDOW + 1 words within a paragraph are enough for a chunk that both have. A chunk's hash
+covers ``COVER`` words of its paragraph at least, so that a short chunk is no chance hit.
 
 1. A pass over whole texts gives each document's chunk hashes. Grouped by hash, their smallest and
    largest document ids tell which chunks several documents hold; ids are aggregated before they
    are shuffled, so a chunk that a third of all documents hold is no hot key.
-2. Runs of at least ``min_words`` words of chunks that an earlier document holds are a document's
-   list (never longer than itself), without a chunk of less than ``STRAY`` words at a run's end that
-   another document than its neighbour's had first; the document with the smallest id keeps its text.
-3. Only documents with such a list meet it in a join: a Bloom filter of their keys, of at most
-   ``bloom.MAX_FILTER`` bytes, lets the others pass where they are.
+2. Consecutive chunks that the same earlier document had first are a run; its first and last chunk
+   ask that document for the ``AROUND`` words before and after them.
+3. Only documents with such runs, or asked by one, meet their lists in a join: a Bloom filter of their
+   keys, of at most ``bloom.MAX_FILTER`` bytes, lets the others pass where they are.
 4. Byte comparison: a chunk's hash takes in the white space between its words, so a variant with
    other spacing is another chunk. The joined documents' shared chunks are grouped by hash and bytes,
-   and a hash that stands for two different chunks removes nothing.
-5. Each document drops its list's runs.
+   and a run with a hash that stands for two different chunks removes nothing.
+5. Each run is extended word by word on both sides as far as its bytes equal the first document's.
+   No match goes on beyond ``AROUND`` words without another shared chunk. Runs of at least
+   ``min_words`` words then are dropped; the document with the smallest id keeps its text.
 
 Defined results: null texts stay null, empty ones empty. A document with a null id is neither
 changed nor counted. Rows of one id are one document: what only they share stays. Extra columns
-are kept as they are. A document may end up empty; ``removed_words`` tells.
+are kept as they are. A document may end up empty; ``removed_words`` tells, and ``removed_chunks``
+how many chunks lost words.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from plyset.llm.bloom import key_filter
 from plyset.llm.common import staged
 from plyset.llm.text import _BYTE, batches, mix, owners, range_hash, string_bytes, words
 
-LONG, WRAP, LINES, MIN_WORDS, STRAY = 8, 4, 3, 20, 8
+LONG, WINDOW, COVER, AROUND, MIN_WORDS = 8, 16, 12, 40, 20
+BLANK = bytes([9, 10, 11, 12, 13, 32])
 
 
 def ranges(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -63,7 +65,26 @@ def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.nd
     return out
 
 
-def chunks(column, long: int = LONG, wrap: int = WRAP):
+def least(hashes: np.ndarray, part: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words whose two-word hash is the least (the last such) of some WINDOW in a row within a part that begins at first."""
+    n = len(hashes) - WINDOW
+    if n <= 0:
+        return np.empty(0, np.int64)
+    low = np.uint64(0xFFFFFF)
+    place = (np.arange(len(hashes)) - first).astype(np.uint64) & low
+    value = (mix(hashes[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[1:]) & ~low) | (low - place[:-1])
+    size = 1
+    while size < WINDOW:
+        value = np.minimum(value[:-size], value[size:])
+        size *= 2
+    whole = np.flatnonzero(part[:n] == part[WINDOW:])
+    back = (low - (value[whole] & low) - place[whole]) & low
+    chosen = np.zeros(len(hashes), bool)
+    chosen[whole + back.astype(np.int64)] = True
+    return np.flatnonzero(chosen)
+
+
+def chunks(column, long: int = LONG):
     """Of all chunks in a column of texts: text, first and last byte, words, hash; and the bytes."""
     data, offsets = string_bytes(column)
     starts, ends, hashes = words(data, offsets, fold=False)
@@ -77,21 +98,22 @@ def chunks(column, long: int = LONG, wrap: int = WRAP):
     last_of_line = np.r_[line[1:] != line[:-1], True]
     of_line = np.cumsum(last_of_line) - last_of_line
     is_long = (np.bincount(of_line) > long)[of_line]
-    unit_ends = np.flatnonzero(last_of_line | is_long & (hashes % np.uint64(wrap) == 0)) + 1
-    unit_starts = np.r_[0, unit_ends[:-1]]
-    unit = ranges(hashes, unit_starts, unit_ends)
-    unit_doc, unit_long, ends_line = doc[unit_starts], is_long[unit_starts], last_of_line[unit_ends - 1]
-    next_doc, next_long = np.r_[unit_doc[1:], -1], np.r_[unit_long[1:], False]
-    hard = (unit_doc != next_doc) | ends_line & (unit_long | next_long)
-    before = np.where(np.r_[True, hard[:-1]], np.uint64(0), np.r_[np.uint64(0), unit[:-1]])  # texts and paragraphs start afresh
-    rolled = mix(before * np.uint64(0x9FB21C651E98DF25) + unit)
-    soft = rolled % np.uint64(LINES) == 0
-    chunk_ends = np.flatnonzero(soft | hard) + 1
-    chunk_starts = np.r_[0, chunk_ends[:-1]]
-    first_word, last_word = unit_starts[chunk_starts], unit_ends[chunk_ends - 1]
+    hard = np.r_[doc[1:] != doc[:-1], True] | last_of_line & (is_long | np.r_[is_long[1:], False])
+    part_ends = np.flatnonzero(hard) + 1
+    part_starts = np.r_[0, part_ends[:-1]]
+    part = np.cumsum(hard) - hard
+    cut = np.r_[True, hard[:-1]]
+    cut[least(hashes, part, part_starts[part])] = True
+    first = np.flatnonzero(cut)
+    last = np.r_[first[1:], n]
+    own = part[first]
+    to = np.minimum(part_ends[own], np.maximum(last, first + COVER))
+    since = np.where(to - first < COVER, np.maximum(part_starts[own], to - COVER), first)
     # boundaries depend on words alone, hashes on the white space between a chunk's words as well
-    key = mix(hashes[first_word] * np.uint64(0x9FB21C651E98DF25) + ranges(spaced(data, starts, ends, hashes), first_word + 1, last_word))
-    return data, unit_doc[chunk_starts], starts[first_word], ends[last_word - 1], last_word - first_word, key
+    key = ranges(spaced(data, starts, ends, hashes), since + 1, to)
+    key = mix(hashes[since] * np.uint64(0x9FB21C651E98DF25) + key)
+    key = mix(key + ((first - since) << 32 | (last - first)).astype(np.uint64))
+    return data, doc[first], starts[first], ends[last - 1], last - first, key
 
 
 def marks(docs: DataFrame) -> DataFrame:
@@ -109,25 +131,72 @@ def marks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th long, chunks array<struct<h:long,n:int>>")
 
 
-def shared_chunks(marked: DataFrame, min_words: int) -> DataFrame:
-    """Positions k of the chunks that each document is to drop, and ~k of those that the first document keeps."""
+def shared_chunks(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per document, chunks to compare (k of later copies, ~k of first ones) and the places asked for what lies around
+    (2k before, 2k + 1 after); and per run's end its document, chunks a to b, side and the chunk that asks."""
     spread = marked.select("doc_id", F.explode(F.array_distinct("chunks.h")).alias("h"))
     ends = spread.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     again = staged(ends.filter("first <> last").select("h", "first"), "again")
-    places = marked.select("doc_id", "th", F.posexplode("chunks").alias("k", "c")).select("doc_id", "th", "k", "c.h", "c.n")
+    places = marked.select("doc_id", "th", F.posexplode("chunks.h").alias("k", "h"))
     places = staged(places.join(again, "h"), "places")
-    # runs of later chunks within a document, as islands of consecutive positions
-    within = Window.partitionBy("doc_id", "th")
-    later = places.filter("doc_id > first").withColumn("island", F.col("k") - F.row_number().over(within.orderBy("k")))
-    later = later.withColumn("words", F.sum("n").over(Window.partitionBy("doc_id", "th", "island"))).filter(F.col("words") >= min_words)
-    # a short chunk beside a run that was first met in another document is no part of the passage
-    ends = Window.partitionBy("doc_id", "th", "island").orderBy("k")
-    before, after = F.lag("first").over(ends), F.lead("first").over(ends)
-    stray = (before.isNull() & (after != F.col("first"))) | (after.isNull() & (before != F.col("first")))
-    later = later.withColumn("stray", F.coalesce(stray, F.lit(False)) & (F.col("n") < STRAY)).filter("not stray")
-    later = staged(later.select("doc_id", "th", "k", "h"), "later")
-    firsts = places.filter("doc_id = first").join(later.select("h").distinct(), "h", "left_semi").select("doc_id", "th", F.bitwise_not("k").alias("k"))
-    return later.select("doc_id", "th", "k").unionByName(firsts).groupBy("doc_id", "th").agg(F.collect_list("k").alias("shared"))
+    # runs: islands of consecutive positions that one document had first
+    within = Window.partitionBy("doc_id", "th", "first").orderBy("k")
+    later = places.filter("doc_id > first").withColumn("island", F.col("k") - F.row_number().over(within))
+    runs = later.groupBy("doc_id", "th", "first", "island").agg(F.min(F.struct("k", "h")).alias("a"), F.max(F.struct("k", "h")).alias("b"))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a.h").alias("h")), F.struct(F.lit(1).alias("side"), F.col("b.h").alias("h"))))
+    asked = staged(runs.select("doc_id", "th", F.col("a.k").alias("a"), F.col("b.k").alias("b"), sides.alias("s")).select("doc_id", "th", "a", "b", "s.side", "s.h"), "asked")
+    firsts = places.filter("doc_id = first")
+    wanted = firsts.join(asked.select("h", "side").distinct(), "h").select("doc_id", "th", F.lit(None).cast("int").alias("k"), (2 * F.col("k") + F.col("side")).alias("at"))
+    every = places.select("doc_id", "th", F.when(F.col("doc_id") > F.col("first"), F.col("k")).otherwise(F.bitwise_not("k")).alias("k"), F.lit(None).cast("int").alias("at"))
+    return every.unionByName(wanted).groupBy("doc_id", "th").agg(F.collect_list("k").alias("shared"), F.collect_list("at").alias("around")), asked
+
+
+def around(joined: DataFrame) -> DataFrame:
+    """Hash, side and bytes of what lies beside the chunks that were asked for."""
+
+    def run(stream):
+        for part in batches(stream, "text", 2 << 20):
+            data, doc, lo, hi, _, key = chunks(part.column("text"))
+            _, offsets = string_bytes(part.column("text"))
+            starts, ends, _ = words(data, offsets, fold=False)
+            first = np.searchsorted(doc, np.arange(part.num_rows))
+            lists = part.column("_around").combine_chunks()
+            v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at, side = first[row] + v // 2, v % 2
+            begin, end = np.searchsorted(starts, offsets[row]), np.searchsorted(starts, offsets[row + 1])
+            left = starts[np.maximum(begin, np.searchsorted(starts, lo[at]) - AROUND)]
+            right = ends[np.minimum(end, np.searchsorted(starts, hi[at]) + AROUND) - 1]
+            seen = {(int(key[i]), int(s), data[a:b].tobytes()) for i, s, a, b in zip(at, side, np.where(side, hi[at], left), np.where(side, right, lo[at]))}
+            if seen:
+                h, s, found = zip(*seen)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(s, pa.int32()), pa.array(found, pa.binary())], names=["h", "side", "beside"])
+
+    found = joined.filter("size(_around) > 0").select("text", "_around").mapInArrow(run, "h long, side int, beside binary")
+    return found.groupBy("h", "side").agg(F.collect_set("beside").alias("beside"))
+
+
+def common(own: bytes, other: bytes) -> int:
+    """Bytes of the whole words (with the white space before them) with which both begin.
+
+    One word alone beyond a line break may be alike by chance and isn't counted, unless it is the whole line.
+    """
+    n = next((i for i, (x, y) in enumerate(zip(own, other)) if x != y), min(len(own), len(other)))
+    if own[n : n + 1].strip(BLANK) or other[n : n + 1].strip(BLANK):  # within a word of one of them
+        while n and other[n - 1] not in BLANK:
+            n -= 1
+    n = len(other[:n].rstrip(BLANK))
+    p = other.rfind(b"\n", 0, n)
+    if p >= 0 and len(other[p:n].split()) == 1 and (own[n : n + 1].strip(b"\r\n") or other[n : n + 1].strip(b"\r\n")):
+        n = len(other[:p].rstrip(BLANK))
+    return n
+
+
+def extended(text: bytes, s: int, e: int, before: list[bytes], after: list[bytes]) -> tuple[int, int]:
+    """The range with the words on both sides that also lie there in the first document."""
+    left = max((common(text[max(0, s - len(x) - 1) : s][::-1], x[::-1]) for x in before), default=0)
+    right = max((common(text[e : e + len(x) + 1], x) for x in after), default=0)
+    return s - left, e + right
 
 
 def shared_bytes(joined: DataFrame) -> DataFrame:
@@ -155,27 +224,32 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tagged = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64("text"))
     known = tagged.filter("_id is not null and text is not null").select(F.col("_id").alias("doc_id"), F.col("text").cast("string"), F.col("_th").alias("th"))
     marked = staged(marks(known), "marks")
-    shared = shared_chunks(marked, min_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("shared").alias("_shared"))
+    shared, asked = shared_chunks(marked)
+    shared = shared.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("shared").alias("_shared"), F.col("around").alias("_around"))
     shared = staged(shared.withColumn("key", F.xxhash64("_id", "_th")), "shared")
     tagged = tagged.withColumn("_may", key_filter(shared).column(F.xxhash64("_id", "_th")))
-    joined = staged(tagged.filter("_may").join(shared.drop("key"), ["_id", "_th"], "left").select(*names, "_shared"), "joined")
+    joined = staged(tagged.filter("_may").join(shared.drop("key"), ["_id", "_th"], "left").select(*names, "_shared", "_around"), "joined")
     unlike = shared_bytes(joined).groupBy("h", "chunk").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     # hashes of 64 bits that unlike chunks share: next to none, and held back as rows are
     apart = staged(unlike, "unlike")
-    joined = joined.withColumn("_keep", F.array().cast("array<int>"))
+    beside = staged(around(joined), "beside")
+    runs = staged(asked.join(beside, ["h", "side"], "left").select(F.xxhash64("doc_id", "th").alias("_key"), "a", "b", "side", "beside"), "runs")
+    runs = runs.groupBy("_key").agg(F.collect_list(F.struct("a", "b", "side", "beside")).alias("_runs"))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    joined = joined.withColumn("_key", key).join(runs, "_key", "left").withColumn("_keep", F.array().cast("array<int>"))
     if not apart.isEmpty():
         places = marked.select(F.xxhash64("doc_id", "th").alias("_key"), F.posexplode("chunks.h").alias("k", "h")).join(apart, "h").groupBy("_key").agg(F.collect_list("k").alias("_bad"))
-        key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
-        joined = joined.withColumn("_key", key).join(places, "_key", "left").withColumn("_keep", F.coalesce("_bad", "_keep")).select(*names, "_shared", "_keep")
+        joined = joined.join(places, "_key", "left").withColumn("_keep", F.coalesce("_bad", "_keep"))
+    joined = joined.select(*names, "_runs", "_keep")
 
     rest = tagged.filter("not _may").select(*names, F.lit(0).cast("long").alias("removed_words"), F.lit(0).cast("long").alias("removed_chunks"))
 
     def run(stream):
         for part in batches(stream, "text", 2 << 20):
-            column, lists, keep = (part.column(c).combine_chunks() for c in ("text", "_shared", "_keep"))
+            column, lists, keep = (part.column(c).combine_chunks() for c in ("text", "_runs", "_keep"))
             n = part.num_rows
             gone, pieces = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            data, doc, lo, hi, count, _ = chunks(column)
+            data, doc, lo, hi, _, _ = chunks(column)
             _, offsets = string_bytes(column)
             first = np.searchsorted(doc, np.arange(n + 1))
             values = column.to_pylist()
@@ -183,20 +257,26 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 if not lists[row].is_valid:
                     continue
                 a, b = first[row], first[row + 1]
-                k = np.array(lists[row].as_py(), np.int64)
-                marked = np.zeros(b - a + 1, bool)
-                marked[k[k >= 0]] = True
-                marked[np.array(keep[row].as_py(), np.int64)] = False
-                edges = np.flatnonzero(np.diff(np.r_[False, marked].astype(np.int8)))
                 text = data[offsets[row] : offsets[row + 1]].tobytes()
+                bad = set(keep[row].as_py())
+                runs: dict[tuple, list] = {}
+                for r in lists[row].as_py():
+                    runs.setdefault((r["a"], r["b"]), [[], []])[r["side"]] += r["beside"] or []
+                drop: list[list[int]] = []
+                for (i, j), sides in runs.items():
+                    s, e = extended(text, int(lo[a + i] - offsets[row]), int(hi[a + j] - offsets[row]), *sides)
+                    if len(text[s:e].split()) >= min_words and not (bad and bad.intersection(range(i, j + 1))):
+                        drop.append([s, e])
                 kept, at = [], 0
-                for i, j in zip(edges[::2], edges[1::2]):
-                    size = int(count[a + i : a + j].sum())
-                    if size < min_words:
-                        continue
-                    s, e = int(lo[a + i] - offsets[row]), int(hi[a + j - 1] - offsets[row])
-                    gone[row] += size
-                    pieces[row] += j - i
+                whole_runs: list[list[int]] = []
+                for s, e in sorted(drop):
+                    if whole_runs and (s <= whole_runs[-1][1] or not text[whole_runs[-1][1] : s].strip(BLANK)):
+                        whole_runs[-1][1] = max(e, whole_runs[-1][1])
+                    else:
+                        whole_runs.append([s, e])
+                for s, e in whole_runs:
+                    gone[row] += len(text[s:e].split())
+                    pieces[row] += np.searchsorted(lo[a:b], offsets[row] + e) - np.searchsorted(hi[a:b], offsets[row] + s, "right")
                     kept.append(text[at:s])
                     at = e
                     whole = s == 0 or text[s - 1 : s] == b"\n"

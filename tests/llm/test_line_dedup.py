@@ -76,3 +76,25 @@ def test_a_variant_in_white_space_holds_no_copy_back(spark, rng):
         assert got[i].text == t.replace((p, lines)[i % 2] + "\n", ""), i
     for i in (102, 103, 104):  # variants through and through
         assert got[i].text == dict(rows)[i]
+
+
+def test_passages_of_51_to_80_words_go_whole(spark, rng):
+    para = maker(rng)
+    rows, want = [], {}
+    for i in range(120):  # somewhere in paragraphs, among short lines, or both
+        n = rng.randint(51, 80)
+        passage = para(n)
+        if i % 3:
+            w = passage.split()
+            passage = "".join(x + ("\n" if k % 8 == 7 and (i % 3 == 1 or k > 30) else " ") for k, x in enumerate(w)).rstrip()
+        for j in (i, 1000 + i):
+            before, after = (para(rng.randint(1, 60)).replace(" ", "\n" if i % 5 == 0 else " ") for _ in range(2))
+            rows.append((j, f"{before} {passage} {after}"))
+        want[1000 + i] = (f"{before}  {after}", n)
+    got = {r.doc_id: r for r in dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    exact = 0
+    for i, (text, n) in want.items():
+        assert n - 1 <= got[i].removed_words <= n + 2, (i, n, got[i].removed_words)  # a word beyond a line break stays; one beside may be the same by chance
+        assert got[i].removed_chunks > 0 and got[i - 1000].removed_words == 0
+        exact += got[i].text == text
+    assert exact >= 100
