@@ -1,9 +1,9 @@
-"""Bloom filters of bounded size: log-frequency regions, and a filter of keys before a join.
+"""Bloom filters: log-frequency regions, and a filter of keys of bounded size before a join.
 
 An item seen c times is inserted at the levels 1 .. 1 + floor(log2 c); reading probes level after
 level until one is missing. Plain membership is level 1. Filters are built in regions, one for each
-bucket of items, so that tasks fill them apart; a region never takes more bits than its share of the
-whole filter's bound.
+bucket of items, so that tasks fill them apart. Regions grow with their items; only those of a filter
+that is broadcast take no more bits than their share of its bound.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def bits_at(items: np.ndarray, level: np.ndarray, size: int) -> np.ndarray:
 
 
 def fill(items: np.ndarray, counts: np.ndarray, most_bits: int) -> bytes:
-    """A region that holds the items at their levels."""
+    """A region that holds the items at their levels, of ``most_bits`` at most."""
     levels = np.frexp(counts.astype(np.float64))[1]  # 1 + floor(log2 c)
     size = int(min(max(1024, BITS * int(levels.sum())), most_bits, (1 << 32) - 64))
     size = -(-size // 8) * 8
@@ -42,14 +42,14 @@ def fill(items: np.ndarray, counts: np.ndarray, most_bits: int) -> bytes:
     return region.tobytes()
 
 
-def levels_of(items: np.ndarray, bucket: np.ndarray, filter_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The level read back for each item: probes go on until one misses."""
+def levels_of(items: np.ndarray, bucket: np.ndarray, filter_: tuple[np.ndarray, np.ndarray], highest: int = 64) -> np.ndarray:
+    """The level read back for each item: probes go on until one misses, to the ``highest`` level inserted at most."""
     data, offsets = filter_
     level = np.zeros(len(items), np.int64)
     for k in range(0, len(items), 1 << 17):
         alive = np.arange(k, min(k + (1 << 17), len(items)))
         n = 0
-        while len(alive):
+        while len(alive) and n < highest:
             n += 1
             own = bucket[alive]
             size = (offsets[own + 1] - offsets[own]) * 8

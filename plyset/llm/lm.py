@@ -2,16 +2,16 @@
 
 Texts are taken in batches of about ``BATCH`` bytes. A batch numbers its distinct tokens and sends
 each to the bucket of its hash, once, with its count in the batch's training texts; its distinct
-training bigrams go the same way. So a token that every document holds is one entry per batch, and
-no key can be hot. A bucket merges all batches' counts: it answers each batch with the exact counts
-of the tokens it asked for, and it fills its own region of the Bloom filter. Buckets are as many as
-the corpus needs for ``BUCKET`` bytes of text each, so their memory stays the same at any size.
+bigrams go the same way. So a token that every document holds is one entry per batch, and
+no key can be hot. A bucket merges all batches' counts and fills its own region of the Bloom filter;
+it answers each batch with the exact counts of the tokens that it asked for, and with the levels that
+the region gives for its tokens and bigrams. Buckets are as many as the corpus needs for ``BUCKET``
+bytes of text each, so their memory stays the same at any size, and no filter is sent around.
 
 Log-frequency filter: an n-gram seen c times is inserted at the levels 1 .. 1 + floor(log2 c). Its
 count is read back by probing level after level until one is missing; errors are one-sided, and
 reading one level too high costs as many false hits in a row. A region takes ``bloom.BITS`` bits for each
-insertion; the whole filter never exceeds ``MAX_FILTER`` bytes (a fixed bound, which is why it may
-be broadcast): past it every region gets its share of that bound and false hits become likelier.
+insertion, however many there are, so what the model keeps grows with the input.
 
 Model: P(w | h) = (c(h, w) + MU * P(w)) / (c(h) + MU) with P(w) = (c(w) + 1) / (N + V + 1), all
 counts as the filter returns them (the middle of the level's range), c(h, w) at most c(h); h is the
@@ -34,8 +34,8 @@ from plyset.llm.common import crc_mod, drop_folder, new_folder, staged
 from plyset.llm.text import batches, mix, string_bytes, words
 
 BATCH, BUCKET = 6 << 20, 16 << 20
-MAX_FILTER = 256 << 20
 MU = 30.0
+MOST_BITS = (1 << 32) - 64  # bit positions have 32 bits: some 25 times what a bucket's text can need
 END, BEGIN = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x632BE59BD9B4E019)
 ONE, TWO = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -88,10 +88,13 @@ def bigrams(sequence: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return mix(mix(before) * np.uint64(0x9FB21C651E98DF25) + sequence)
 
 
-def counted(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a = np.sort(a)
+def counted(a: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of an array, and how many of each there are where ``learn`` is true."""
+    order = np.argsort(a)
+    a = a[order]
     first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
-    return a[first], np.diff(np.r_[first, len(a)]).astype(np.uint32)
+    total = np.r_[0, np.cumsum(learn[order])]
+    return a[first], np.diff(total[np.r_[first, len(a)]]).astype(np.uint32)
 
 
 # -- counts and items ---------------------------------------------------------------------------
@@ -103,18 +106,13 @@ def middle(level: np.ndarray) -> np.ndarray:
     return np.where(level == 0, 0.0, np.sqrt(low * (2 * low - 1)))
 
 
-def item_of(hashes: np.ndarray, kind: np.uint64, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    own, rest = bucket_of(hashes, buckets)
-    return mix((own.astype(np.uint64) << np.uint64(32)) + rest ^ kind), own
-
-
 # -- the three passes -------------------------------------------------------------------------
 
 ASKED = "kind int, key long, batch long, n long, a binary, b binary"
 
 
 def ask(docs: DataFrame, buckets: int) -> DataFrame:
-    """Of each batch: a row for itself (kind 2), and for each bucket its tokens (0) and training bigrams (1)."""
+    """Of each batch: a row for itself (kind 2), and for each bucket its tokens (0) and bigrams (1), with their training counts."""
 
     def run(stream):
         from pyspark import TaskContext
@@ -133,7 +131,7 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
             edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             for i, j in zip(edges, np.r_[edges[1:], len(own)]):
                 rows.append((0, int(own[i]), batch, j - i, squeeze(gaps(tokens[i:j])), squeeze(counts[i:j])))
-            pairs, counts = counted(bigrams(sequence, lengths)[learn])
+            pairs, counts = counted(bigrams(sequence, lengths), learn)
             own, rest = bucket_of(pairs, buckets)
             edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
             for i, j in zip(edges, [*edges[1:], len(own)]):
@@ -147,11 +145,11 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, ASKED)
 
 
-ANSWERED = "bucket long, batch long, n long, a binary, b binary"
+ANSWERED = "kind int, bucket long, batch long, n long, a binary, b binary, c binary"
 
 
-def answer(asked: DataFrame, most_bits: int) -> DataFrame:
-    """Of each bucket: its region with token and type counts (batch null), and counts for each batch."""
+def answer(asked: DataFrame, buckets: int) -> DataFrame:
+    """Of each bucket: a row for itself (kind 2: tokens, types), and for each batch its tokens' counts and levels (0) and its bigrams' levels (1)."""
 
     def run(key, t):
         bucket = key[0].as_py()
@@ -167,22 +165,30 @@ def answer(asked: DataFrame, most_bits: int) -> DataFrame:
         of, values, tokens, counts = load(0, np.uint64)
         distinct, inverse = np.unique(tokens, return_inverse=True)
         total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
-        rows, at = [], 0
-        for i, v in zip(of, values):
-            rows.append((bucket, int(batch[i]), len(v), squeeze(total[inverse[at : at + len(v)]]), squeeze(v)))
-            at += len(v)
         seen = total > 0
-        _, rest = bucket_of(distinct[seen], most_bits[1])
+        _, rest = bucket_of(distinct, buckets)
         base = np.uint64(bucket) << np.uint64(32)
         ones = mix(base + rest ^ ONE)
-        _, _, pairs, counts = load(1, np.uint32)
-        pairs, inverse = np.unique(pairs, return_inverse=True)
+        of2, values2, pairs, counts = load(1, np.uint32)
+        pairs, inverse2 = np.unique(pairs, return_inverse=True)
         twos = mix(base + pairs ^ TWO)
-        total2 = np.bincount(inverse, counts, len(pairs)).astype(np.int64)
-        region = fill(np.concatenate([ones, twos]), np.concatenate([total[seen], total2]), most_bits[0])
-        rows.append((bucket, None, int(total.sum()), region, int(seen.sum()).to_bytes(8, "little")))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=["bucket", "batch", "n", "a", "b"])
+        total2 = np.bincount(inverse2, counts, len(pairs)).astype(np.int64)
+        items, many = np.concatenate([ones[seen], twos[total2 > 0]]), np.concatenate([total[seen], total2[total2 > 0]])
+        region = np.frombuffer(fill(items, many, MOST_BITS), np.uint8)
+        filter_, highest = (region, np.array([0, len(region)])), int(many.max(initial=0)).bit_length()
+        level = levels_of(ones, np.zeros(len(ones), np.int64), filter_, highest).astype(np.uint8)
+        level2 = levels_of(twos, np.zeros(len(twos), np.int64), filter_, highest).astype(np.uint8)
+        rows, at = [(2, bucket, None, int(total.sum()), None, int(seen.sum()).to_bytes(8, "little"), None)], 0
+        for i, v in zip(of, values):
+            own = inverse[at : at + len(v)]
+            rows.append((0, bucket, int(batch[i]), len(v), squeeze(total[own]), squeeze(v), squeeze(level[own])))
+            at += len(v)
+        at = 0
+        for i, v in zip(of2, values2):
+            rows.append((1, bucket, int(batch[i]), len(v), None, None, squeeze(level2[inverse2[at : at + len(v)]])))
+            at += len(v)
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=["kind", "bucket", "batch", "n", "a", "b", "c"])
 
     return asked.filter("kind < 2").groupBy(F.col("key").alias("bucket")).applyInArrow(run, ANSWERED)
 
@@ -190,7 +196,7 @@ def answer(asked: DataFrame, most_bits: int) -> DataFrame:
 SCORED = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, train: F.col, mu: float = MU, max_filter: int = MAX_FILTER) -> DataFrame:
+def score(docs: DataFrame, train: F.col, mu: float = MU) -> DataFrame:
     """A row per document; ``train`` is a boolean column: which documents to learn from."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), train.alias("train"))
@@ -201,43 +207,35 @@ def score(docs: DataFrame, train: F.col, mu: float = MU, max_filter: int = MAX_F
     folder = new_folder(spark, "asked")
     ask(docs, buckets).write.partitionBy("kind").parquet(folder)
     asked = spark.read.schema(ASKED).parquet(folder)
-    answered = staged(answer(asked, (max_filter * 8 // buckets, buckets)), "answered")
+    answered = staged(answer(asked, buckets), "answered")
     for kind in (0, 1):  # answered: only the batches themselves are read again
         drop_folder(spark, f"{folder}/kind={kind}")
     asked = spark.read.schema(ASKED.removeprefix("kind int, ")).parquet(f"{folder}/kind=2")
 
-    # the filter: max_filter bytes at most, and two counts a bucket
-    regions: list[bytes] = [bytes(128)] * buckets
     n = v = 0
-    for r in answered.filter("batch is null").select("bucket", "n", "a", "b").toLocalIterator():
-        regions[r.bucket] = bytes(r.a)
+    for r in answered.filter("kind = 2").select("n", "b").toLocalIterator():  # two counts a bucket
         n, v = n + r.n, v + int.from_bytes(r.b, "little")
-    offsets = np.cumsum([0, *map(len, regions)])
-    held = spark.sparkContext.broadcast((np.frombuffer(b"".join(regions), np.uint8), offsets))
-    del regions
-    starts = asked.select(F.col("batch"), F.lit(-1).cast("long").alias("bucket"), "n", "a", "b")
-    replies = answered.filter("batch is not null").select("batch", "bucket", "n", "a", "b")
+    starts = asked.select(F.lit(2).alias("kind"), F.col("batch"), F.lit(-1).cast("long").alias("bucket"), "n", "a", "b", F.lit(None).cast("binary").alias("c"))
+    replies = answered.filter("kind < 2").select("kind", "batch", "bucket", "n", "a", "b", "c")
     total = float(n + v + 1)
 
     def run(key, t):
-        bucket, size = t.column("bucket").to_numpy(), t.column("n").to_numpy()
-        a, b = t.column("a"), t.column("b")
-        own = int(np.flatnonzero(bucket == -1)[0])
+        kind, bucket, size = (t.column(x).to_numpy() for x in ("kind", "bucket", "n"))
+        a, b, c = (t.column(x) for x in ("a", "b", "c"))
+        own = int(np.flatnonzero(kind == 2)[0])
         inverse = unsqueeze(a[own].as_py(), np.uint32, int(size[own]))
         ids, valid, train, lengths = np.frombuffer(b[own].as_py(), "<i8").reshape(4, -1)
-        order = [int(i) for i in np.argsort(bucket) if bucket[i] >= 0]
+        order, order2 = ([int(i) for i in np.argsort(bucket) if kind[i] == which] for which in (0, 1))
         counts = np.concatenate([unsqueeze(a[i].as_py(), np.int64, int(size[i])) for i in order])
         tokens = np.concatenate([unsqueeze(b[i].as_py(), np.uint64, int(size[i])) for i in order])
         first = np.cumsum(lengths) - lengths
         base = np.add.reduceat(np.log10((counts + 1) / total)[inverse], first)
         known = np.add.reduceat((counts > 0)[inverse].astype(np.int64), first)
-        # the model: counts by probes
-        filter_ = held.value
-        c1 = middle(levels_of(*item_of(tokens, ONE, buckets), filter_))
+        # the model: counts from levels
+        c1 = middle(np.concatenate([unsqueeze(c[i].as_py(), np.uint8, int(size[i])) for i in order]))
         sequence = tokens[inverse]
-        pairs = bigrams(sequence, lengths)
-        distinct, at = np.unique(pairs, return_inverse=True)
-        c2 = middle(levels_of(*item_of(distinct, TWO, buckets), filter_))[at]
+        _, at = np.unique(bigrams(sequence, lengths), return_inverse=True)  # in the order of buckets, as sent
+        c2 = middle(np.concatenate([unsqueeze(c[i].as_py(), np.uint8, int(size[i])) for i in order2]))[at]
         history = np.empty(len(sequence))
         history[1:] = c1[inverse[:-1]]
         history[first] = c1[np.searchsorted(tokens, END)]  # as many texts begin as end

@@ -69,3 +69,16 @@ def test_packing_of_arrays():
     h = mix(np.arange(5000, dtype=np.uint64))
     own, _ = bucket_of(h, 37)
     assert (own == np.array([int(x) * 37 >> 64 for x in h])).all()
+
+
+def test_what_the_model_keeps_has_no_bound(spark, monkeypatch):
+    full = (np.full(64, 255, np.uint8), np.array([0, 64]))
+    assert (levels_of(mix(np.arange(100, dtype=np.uint64)), np.zeros(100, np.int64), full, highest=3) == 3).all()
+
+    def refuse(*_):
+        raise AssertionError("the filter was broadcast")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    rows = [(i, f"a b c{i % 7} d{i}") for i in range(60)]
+    got = {r.doc_id: r for r in score_by_fold(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(got) == 60 and all(r.score < 0 for r in got.values())
