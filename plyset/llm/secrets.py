@@ -10,7 +10,8 @@ placeholders score nothing); literals that score at least ``threshold`` are span
 
 The patterns' spans (``assign``, ``access``, ``hex``) are kept whatever the lexer finds.
 
-It is one pass over whole texts without a shuffle; work is linear in a text's length.
+It is one pass over whole texts without a shuffle; work is linear in a text's length, and nothing in
+it has a fixed length: names, padding, literals, elements, and the parts of a joined value.
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; ids
 may be null and repeat; extra columns are ignored.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,12 +35,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 OPERATOR = re.compile(r"[=:]")
-NAME_BEFORE = re.compile(r"[A-Za-z_$][A-Za-z0-9_.\-$]*$")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-$")
 QUOTED = re.compile(r"""[rbfuRBFU]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`)""")
 BARE = re.compile(r"""[^\s"'`,;#<>(){}\[\]]+""")
 REFERENCE = re.compile(r"\$\{?([A-Za-z_]\w*)\}?|([A-Za-z_][\w.]*)(?=[ \t]*(?:[;,)}\n+]|$))")
 JOIN = re.compile(r"[ \t]*[+.][ \t]*")
-ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{0,63})>([^<>\n]{1,512})</\1>")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\n]++)</\1>")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 #: How much each word of a target's name says that its value is secret; pairs count as joined words.
@@ -65,72 +67,122 @@ def strength(literal: str) -> float:
     if n < 6 or PLACEHOLDER.match(literal):
         return 0.0
     kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
-    seen = {c: literal.count(c) for c in set(literal[:256])}
-    total = sum(seen.values())
-    bits = -sum(k / total * math.log2(k / total) for k in seen.values())
+    bits = -sum(k / n * math.log2(k / n) for k in Counter(literal).values())
     spaces = literal.count(" ")
     score = min(1.0, bits / 3.2) * min(1.0, 0.25 + 0.25 * kinds) * min(1.0, 0.4 + n / 20)
     return score * (0.4 if spaces and spaces * 8 > n else 1.0)
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Name-literal pairs in order: the target's name and the spans of what it holds, constants resolved."""
-    found: list[tuple[str, list[tuple[int, int]]]] = []
-    known: dict[str, list[tuple[int, int]]] = {}
+def back(text: str, p: int, chars: str) -> int:
+    """Where the characters before ``p`` begin that are all of ``chars``."""
+    while p and text[p - 1] in chars:
+        p -= 1
+    return p
+
+
+def target(text: str, p: int) -> str | None:
+    """The name that the operator at ``p`` gives a value to."""
+    p = back(text, p, " \t")
+    if p and text[p - 1] in ":=!<>+*/|&~":
+        if text[p - 1] != ":":
+            return None
+        p = back(text, p - 1, " \t")
+    end = first = back(text, back(text, back(text, p, "\"'"), "] \t"), "\"'")
+    while first and text[first - 1] in NAME:
+        first -= 1
+    while first < end and text[first] in "0123456789.-":
+        first += 1
+    return text[first:end] or None
+
+
+Part = tuple[int, int] | int
+
+
+def lex(text: str) -> list[tuple[str, list[Part]]]:
+    """Name-literal pairs in order: the target's name, and spans or the numbers of earlier pairs whose value it takes up."""
+    found: list[tuple[str, list[Part]]] = []
+    known: dict[str, int] = {}
     free = 0
     for m in OPERATOR.finditer(text):
         p = m.start()
         if p < free:
             continue
-        left = text[max(0, p - 130) : p].rstrip(" \t")
-        if left.endswith((":", "=", "!", "<", ">", "+", "*", "/", "|", "&", "~")):
-            if not left.endswith(":"):
-                continue
-            left = left[:-1].rstrip(" \t")
-        left = left.rstrip("\"'")
-        name = NAME_BEFORE.search(left.rstrip("] \t").rstrip("\"'"))
+        name = target(text, p)
         if not name:
             continue
         at = p + 1
-        while at < len(text) and text[at] in " \t=>:" and at < p + 40:
+        while at < len(text) and text[at] in " \t=>:":
             if text[at] == "=" and text[at - 1] == "=":
                 break  # a comparison
             at += 1
         if at < len(text) and text[at] == "=":
             free = at + 1
             continue
-        spans: list[tuple[int, int]] = []
+        parts: list[Part] = []
         while at < len(text):
             q = QUOTED.match(text, at)
             if q:
-                spans.append(q.span(q.lastindex))
+                parts.append(q.span(q.lastindex))
                 at = q.end()
             else:
                 r = REFERENCE.match(text, at)
                 key = (r[1] or r[2]) if r else None
                 if key in known:
-                    spans += known[key]
+                    parts.append(known[key])
                     at = r.end()
                 else:
                     b = BARE.match(text, at)
-                    if not b or spans:
+                    if not b or parts:
                         break
-                    spans.append(b.span())
+                    parts.append(b.span())
                     at = b.end()
             j = JOIN.match(text, at)
-            if not j or len(spans) > 16:
+            if not j:
                 break
             at = j.end()
-        spans = spans[:16]
-        if spans:
+        if parts:
             free = at
-            known[name[0].lstrip("$")] = spans
-            found.append((name[0], spans))
+            known[name.lstrip("$")] = len(found)
+            found.append((name, parts))
     if "</" in text:
         found += [(m[1], [m.span(2)]) for m in ELEMENT.finditer(text)]
     return found
 
 
+def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Name-literal pairs in order: the target's name and the spans of what it holds, constants resolved, each once."""
+    found = lex(text)
+    out = []
+    for name, parts in found:
+        spans: dict[tuple[int, int], None] = {}
+        seen, todo = set(), parts[::-1]
+        while todo:
+            x = todo.pop()
+            if not isinstance(x, int):
+                spans[x] = None
+            elif x not in seen:
+                seen.add(x)
+                todo += found[x][1][::-1]
+        out.append((name, list(spans)))
+    return out
+
+
+def named_spans(text: str, threshold: float) -> list[tuple[int, int]]:
+    """Spans of literals that score at least ``threshold`` for a name that holds them, itself or through constants."""
+    found = lex(text)
+    most = [sensitivity(name) for name, _ in found]
+    named = []
+    for i in range(len(found) - 1, -1, -1):  # a pair takes up earlier ones only
+        if most[i] < threshold:
+            continue
+        for x in found[i][1]:
+            if isinstance(x, int):
+                most[x] = max(most[x], most[i])
+            elif most[i] * strength(text[x[0] : x[1]]) >= threshold:
+                named.append(x)
+    return list(dict.fromkeys(named))
+
+
 def scan(text: str, threshold: float = 0.5) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by start and then by kind in the order of KINDS."""
     spans: list[tuple[str, int, int]] = []
@@ -141,14 +193,7 @@ def scan(text: str, threshold: float = 0.5) -> list[tuple[str, int, int]]:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text)]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "=" in text or ":" in text or "</" in text:
-        named = {}
-        for name, held in pairs(text):
-            s = sensitivity(name)
-            if s >= threshold:
-                for a, b in held:
-                    if s * strength(text[a:b]) >= threshold:
-                        named[(a, b)] = None
-        spans += [("named", a, b) for a, b in named]
+        spans += [("named", a, b) for a, b in named_spans(text, threshold)]
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

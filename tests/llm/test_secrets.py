@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -70,3 +72,29 @@ def test_defined_results(spark):
     df = spark.createDataFrame([(None, "password=abcdef1", 1), (2, None, 2), (2, None, 2)], "doc_id long, text string, spans int")
     assert sorted((r.doc_id or 0, r.n_assign) for r in digest(find(df)).collect()) == [(0, 1), (2, 0), (2, 0)]
     assert find(df.limit(0)).collect() == []
+
+
+def test_nothing_has_a_fixed_length():
+    rng = random.Random(8)
+    secret = lambda n: "".join(rng.choice("abcdefghijkLMNOPQRSTUV0123456789") for _ in range(n))
+    named = lambda text: [text[a:b] for k, a, b in scan(text) if k == "named"]
+    s = secret(2000)
+    assert named(f"<privateKey>{s}</privateKey>") == [s]
+    assert named(f"<{'x' * 80}Password>{s}</{'x' * 80}Password>") == [s]
+    parts = [secret(24) for _ in range(40)]
+    joined = " + ".join(f'"{p}"' for p in parts)
+    assert named(f"db_passphrase = {joined}") == parts
+    assert named(f"x = {joined}\ny = x\ndb_pwd = y") == parts
+    assert named("db_passphrase =" + " " * 100 + "Tr0ub4dor&3xQ") == ["Tr0ub4dor&3xQ"]
+    assert named(f"db_passphrase{' ' * 200}= Tr0ub4dor&3xQ") == ["Tr0ub4dor&3xQ"]
+    assert named("passphrase_" + "z" * 300 + " = 'Tr0ub4dor&3xQ'") == ["Tr0ub4dor&3xQ"]
+    assert strength("a" * 300 + secret(3000)) > 0.9
+
+
+def test_work_stays_linear():
+    deep = "a0 = 'Tr0ub4dor&3xQ'\n" + "".join(f"a{i} = a{i - 1} + a{i - 1}\n" for i in range(1, 20_000)) + "db_pwd = a19999"
+    begin = time.process_time()
+    assert [deep[a:b] for k, a, b in scan(deep) if k == "named"] == ["Tr0ub4dor&3xQ"]
+    for text in ("a" + " " * 400_000 + "=", "x = " * 80_000, "<a>" * 100_000, "<" + "a" * 400_000, "a:" + " :" * 100_000):
+        scan(text)
+    assert time.process_time() - begin < 15
