@@ -11,7 +11,6 @@ QUERIES = {
     "op4_secret_scan": q.op4,
     "op5_warc_dictionary": q.op5,
     "op6_language_id": q.op6,
-    "op7_bloom_lm": q.op7,
     "op8_line_chunk_dedup": q.op8,
     "op9_int8_embedding_dedup": q.op9,
     "op10_best_fit_packing": q.op10,
@@ -64,6 +63,5 @@ LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x) k USING (vec
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": OP3_SQL,
     "op5_warc_dictionary": OP5_SQL,
-    "op7_bloom_lm": q.op7,
     "op9_int8_embedding_dedup": OP9_SQL,
 }

@@ -28,6 +28,24 @@ def test_agrees_with_sql(spark, name):
     assert sorted(map(repr, told.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_corpus_queries_agree_with_sql(spark):
+    import duckdb
+
+    from plyset.llm import registry
+
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+    con = duckdb.connect()
+    for name in ("documents", "pages", "embeddings"):
+        con.execute(f"create view {name} as select * from '{DATA}/{name}.parquet'")
+    for name, sql in registry.ORACLE_SQL.items():
+        told = con.execute(sql)
+        columns = [c[0] for c in told.description]
+        df = registry.QUERIES[name](spark, DATA)
+        assert sorted(df.columns) == sorted(columns), name
+        assert sorted(map(repr, told.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*columns).collect()), name
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).columns == ["c0", "c1", "c2", "c3"]
