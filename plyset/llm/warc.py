@@ -2,9 +2,9 @@
 
 A file begins with a skippable frame that holds the dictionary, as the public ``.warc.zst``
 convention has it; each record follows as one frame, so that any record can be read alone. The
-dictionary is trained once per write on a bounded sample of the records (``SAMPLE`` of them, at
-most ``SAMPLE_BYTES`` of each; a fixed rule over hashes of ids chooses them) and sent to the
-writers; its size is ``DICTIONARY`` bytes at most. Where there are too few records to train on,
+dictionary is trained once per write on a bounded sample of the records (``SAMPLE`` of them
+or as many as make ``ENOUGH`` bytes, at most ``SAMPLE_BYTES`` of each; a fixed rule over hashes of ids chooses them) and sent to the
+writers; its size is ``DICTIONARY`` bytes at most, and less for small input. Where there are too few records to train on,
 files have no such frame, which readers accept.
 
 Payloads of at least ``REVISIT_FROM`` bytes that occur again are written once: the record with the
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from plyset.llm.common import new_folder, staged
 
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 256, 16_384, 65_536
+ENOUGH = 100 * DICTIONARY
 REVISIT_FROM = 100
 FILE_BYTES = 1 << 30
 SKIPPABLE = 0x184D2A5D
@@ -95,25 +96,28 @@ def decide(pages: DataFrame) -> DataFrame:
 
 
 def train(pages: DataFrame) -> bytes:
-    """The dictionary, or nothing where the sample is too small for one."""
+    """The dictionary, a quarter of the sample at most, or nothing where there are fewer than 16 records."""
     import zstandard
 
     chosen = F.xxhash64(F.col("page_id").cast("long"))
-    smallest = pages.select(chosen.alias("h")).distinct().orderBy("h").limit(SAMPLE).collect()  # numbers alone are sorted
-    if not smallest:
-        return b""
-    sample = pages.filter(chosen <= smallest[-1].h).select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"))
-    rows = sample.orderBy(chosen).limit(2 * SAMPLE).collect()
-    records = []
-    for r in rows:
-        payload = r.html.encode()[:SAMPLE_BYTES]
-        records.append(build_record(r.page_id, r.url, payload, hashlib.sha256(payload).hexdigest(), None, False))
-    if len(records) < 16 or sum(map(len, records)) < 4 * DICTIONARY:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICTIONARY, records, k=256, d=8).as_bytes()
-    except zstandard.ZstdError:
+    n = SAMPLE
+    while True:
+        smallest = pages.select(chosen.alias("h")).distinct().orderBy("h").limit(n).collect()  # numbers alone are sorted
+        if not smallest:
+            return b""
+        sample = pages.filter(chosen <= smallest[-1].h).select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"))
+        rows = sample.orderBy(chosen).limit(2 * n).collect()
+        records = []
+        for r in rows:
+            payload = r.html.encode()[:SAMPLE_BYTES]
+            records.append(build_record(r.page_id, r.url, payload, hashlib.sha256(payload).hexdigest(), None, False))
+        size = sum(map(len, records))
+        if size >= ENOUGH or len(smallest) < n and len(rows) < 2 * n:  # or all pages are in
+            break
+        n = max(2 * n, n * ENOUGH // size)
+    if len(records) < 16:
         return b""
+    return zstandard.train_dictionary(min(DICTIONARY, size // 4), records, k=256, d=8).as_bytes()
 
 
 def open_folder(uri: str):

@@ -73,3 +73,13 @@ def test_damage_is_noticed():
     for bad in (record.replace(b"payload\r\n", b"paYload\r\n"), record[:-1], b"x" + record):
         with pytest.raises((ValueError, KeyError)):
             warc.parse_record(bad)
+
+
+def test_short_records_have_a_dictionary_too(spark):
+    schema = "page_id long, url string, html string"
+    many = spark.createDataFrame([(i, f"http://a.example/{i}", f"<p>page {i * 7919}</p>") for i in range(2000)], schema)
+    assert len(warc.train(many)) > 40_000
+    few = spark.createDataFrame([(i, f"http://a.example/{i}", f"<p>page {i * 7919}</p>") for i in range(20)], schema)
+    assert 256 <= len(warc.train(few)) <= 4096
+    assert warc.train(spark.createDataFrame([(None, "u", "same")] * 20, schema))
+    assert warc.round_trip(few).count() == 20
