@@ -26,6 +26,8 @@ from plyset.llm.common import staged
 from plyset.llm.text import batches
 from plyset.llm.tokens import encoder
 
+#: Nodes of the search: so many for each distinct length, and at least so many.
+NODES, LEAST_NODES = 8, 4000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -122,13 +124,35 @@ def fillings(room: int, lengths: np.ndarray, counts: np.ndarray, most: int, deep
     return kept or [()]
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, most: int = 6) -> list[tuple[dict[int, int], int]]:
+def bound(lengths: np.ndarray, left: np.ndarray, capacity: int) -> int:
+    """Sequences needed at least: by volume, or by pieces over half with what fits beside none."""
+    total = int((lengths * left).sum())
+    volume, most_of = -(-total // capacity), 0
+    big = lengths * 2 > capacity
+    n_big = int(left[big].sum())
+    for k in {0, *np.linspace(0, capacity // 2, 9).astype(int).tolist()}:
+        alone = lengths > capacity - k
+        mid = big & ~alone
+        small = (lengths >= k) & ~big
+        spare = int(((capacity - lengths) * left)[mid].sum())
+        rest = int((lengths * left)[small].sum())
+        most_of = max(most_of, n_big + max(0, -(-(rest - spare) // capacity)))
+    return max(volume, most_of)
+
+
+def nodes_for(lengths: int) -> int:
+    return max(LEAST_NODES, NODES * lengths)
+
+
+def complete(counts: dict[int, int], capacity: int, nodes: int | None = None, most: int = 6) -> list[tuple[dict[int, int], int]]:
     """Bin completion: fillings with multiplicities that hold all pieces, in few sequences.
 
-    ``nodes`` bounds the branch-and-bound search; the best packing met so far is returned, which is
+    ``nodes`` bounds the branch-and-bound search (by default it follows the number of distinct lengths,
+    as a single dive takes about a node for each); the best packing met so far is returned, which is
     best-fit decreasing at worst and known to be optimal when it reaches the lower bound.
     """
     counts = {n: k for n, k in counts.items() if k}
+    nodes = nodes_for(len(counts)) if nodes is None else nodes
     best = best_fit(counts, capacity)
     fewest = sum(n for _, n in best)
     if not counts:
@@ -136,29 +160,14 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, most: int
     lengths = np.array(sorted(counts), np.int64)
     left = np.array([counts[int(n)] for n in lengths], np.int64)
 
-    def bound(left: np.ndarray) -> int:
-        """Sequences needed at least: by volume, or by pieces over half with what fits beside none."""
-        total = int((lengths * left).sum())
-        volume, most_of = -(-total // capacity), 0
-        big = lengths * 2 > capacity
-        n_big = int(left[big].sum())
-        for k in {0, *np.linspace(0, capacity // 2, 9).astype(int).tolist()}:
-            alone = lengths > capacity - k
-            mid = big & ~alone
-            small = (lengths >= k) & ~big
-            spare = int(((capacity - lengths) * left)[mid].sum())
-            rest = int((lengths * left)[small].sum())
-            most_of = max(most_of, n_big + max(0, -(-(rest - spare) // capacity)))
-        return max(volume, most_of)
-
-    least = bound(left)
+    least = bound(lengths, left, capacity)
     # depth first, without recursion: each level keeps the fillings that it has not tried yet
     stack: list[tuple[np.ndarray, int, list, list]] = []
     used, path = 0, []
     while fewest > least and nodes > 0:
         nodes -= 1
         pending: list = []
-        if left.any() and used + bound(left) < fewest:
+        if left.any() and used + bound(lengths, left, capacity) < fewest:
             top = int(np.flatnonzero(left)[-1])
             rest = left.copy()
             rest[top] -= 1
@@ -224,7 +233,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, close: int
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, close: int = 0, nodes: int = 4000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, close: int = 0, nodes: int | None = None) -> DataFrame:
     """One row per piece with ``sequence_id`` and ``offset``; see the module."""
     spark = docs.sparkSession
     # A piece's salt spreads the ranking of a length that many pieces share over tasks.

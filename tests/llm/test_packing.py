@@ -114,3 +114,13 @@ def test_pieces_and_places(spark):
             at += length
         assert at <= 2048
     assert pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_file()).collect() == []
+
+
+def test_nodes_follow_the_distinct_lengths(monkeypatch):
+    from plyset.llm import packing
+
+    asked = []
+    monkeypatch.setattr(packing, "nodes_for", lambda n: asked.append(n) or 1)
+    assert complete({n: 1 for n in range(30, 90)} | {7: 0}, 100) and asked == [60]
+    monkeypatch.undo()
+    assert packing.nodes_for(2000) == 2 * packing.nodes_for(1000) and packing.nodes_for(3) >= 4000
