@@ -62,7 +62,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     bounded_batches(spark)
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:
@@ -70,7 +72,25 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged frame that no later step reads."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop_folder(df.sparkSession, folder)
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete the files of staged frames that no later step reads."""
+    for df in frames:
+        drop_folder(df.sparkSession, df.staged_at)
+
+
+def as_row(docs: DataFrame, *apart: str) -> Column:
+    """All columns but ``apart`` as one struct, so that no column of a step's own can clash with theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in apart))
+
+
+def without(docs: DataFrame, key: Column, bad: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` (a long) isn't in the staged frame ``bad`` (``key``); null keys stay.
+
+    A Bloom filter of the bad keys lets most rows pass where they are; only those that it holds meet ``bad`` in a join.
+    """
+    from plyset.llm.bloom import key_filter
+
+    tagged = docs.select(as_row(docs).alias("row"), key.alias("key"))
+    tagged = tagged.withColumn("may", F.coalesce(key_filter(bad).column(F.coalesce("key", F.lit(0))) & F.col("key").isNotNull(), F.lit(False)))
+    rest = tagged.filter("may").join(bad.select("key"), "key", "left_anti").select("row")
+    return tagged.filter("not may").select("row").unionByName(rest).select("row.*")

@@ -9,7 +9,7 @@ from plyset.llm.common import drop_staged, staged
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for each node of ``edges`` (a long, b long); component: its smallest node.
+    """(node, component) for each node of ``edges`` (a, b of one orderable type: longs, or structs); component: its smallest node.
 
     Each round hangs neighbours under the smallest node in reach; edges never grow in number, and a
     star forest is left when nothing changes (after about log of the longest path). Rounds are

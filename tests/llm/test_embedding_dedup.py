@@ -5,11 +5,13 @@ import numpy as np
 from plyset.llm.embedding_dedup import near_duplicates, quantise, tile_links
 
 
-def brute(rows, threshold=0.93):
+def brute(rows, threshold=0.93, kind=np.float32):
+    """Every row is a node of its own, whatever its id."""
     ok = [k for k, (i, e, label) in enumerate(rows) if i is not None and label is not None and e and all(x is not None and math.isfinite(x) for x in e) and any(e)]
-    v = {k: np.array(rows[k][1], np.float32).astype(np.float64) for k in ok}
-    links = {k: 0 for k in range(len(rows))}
-    root = {r[0]: r[0] for r in rows if r[0] is not None}
+    v = {k: np.array(rows[k][1], kind).astype(np.float64) for k in ok}
+    unit = {k: (x / np.abs(x).max()) / np.linalg.norm(x / np.abs(x).max()) for k, x in v.items()}
+    links = [0] * len(rows)
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
@@ -18,12 +20,23 @@ def brute(rows, threshold=0.93):
 
     for a in ok:
         for b in ok:
-            if a < b and rows[a][2] == rows[b][2] and len(v[a]) == len(v[b]) and v[a] @ v[b] / (np.linalg.norm(v[a]) * np.linalg.norm(v[b])) >= threshold:
+            if a < b and rows[a][2] == rows[b][2] and len(v[a]) == len(v[b]) and unit[a] @ unit[b] >= threshold:
                 links[a] += 1
                 links[b] += 1
-                x, y = find(rows[a][0]), find(rows[b][0])
+                x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return [(i, links[k], find(i) if i is not None else None) for k, (i, _, _) in enumerate(rows)]
+    least: dict[int, int] = {}
+    for k in ok:
+        least[find(k)] = min(least.get(find(k), rows[k][0]), rows[k][0])
+    return [(i, links[k], least.get(find(k), i), i is not None and least.get(find(k), i) == i) for k, (i, _, _) in enumerate(rows)]
+
+
+def key(r):
+    return tuple((x is None, x or 0) for x in r)
+
+
+def run(df, **how):
+    return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicates(df, **how).collect()), key=key)
 
 
 def test_matches_brute_force(spark):
@@ -39,14 +52,26 @@ def test_matches_brute_force(spark):
         rows.append((i, [float(np.float32(x)) for x in v], label))
     copy = rows[5][1]
     rows += [(300 + i, copy, rows[5][2]) for i in range(20)]
+    rows += [(i, rows[k][1], rows[k][2]) for i, k in ((7, 90), (7, 91), (8, 90), (8, 8), (250, 3))]  # ids that repeat, with other vectors
     rows += [(400, None, 0), (401, [0.0] * 12, 0), (402, [float("nan")] * 12, 0), (403, [None, 1.0], 0), (404, copy, None), (405, [], 0), (406, copy[:3], rows[5][2]), (407, [float("inf")] + copy[1:], 0), (None, copy, rows[5][2])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
-    got = [(r.vec_id, r.n_links, r.component_id) for r in near_duplicates(df, block=16).collect()]
-    key = lambda r: tuple((x is None, x or 0) for x in r)
-    assert sorted(got, key=key) == sorted(brute(rows), key=key)
+    want = sorted(brute(rows), key=key)
+    for block, side in ((16, 8), (3, 2), (2048, 8)):
+        assert run(df, block=block, side=side) == want
     assert near_duplicates(df.limit(0)).collect() == []
 
 
+def test_doubles_keep_their_precision(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=5) * 10.0 ** rng.integers(-200, 200)).tolist(), 1) for i in range(60)]
+    rows += [(100 + i, (np.array(rows[i][1]) * (1 + rng.normal(size=5) * 0.2)).tolist(), 1) for i in range(40)]
+    rows += [(200, [1e60, 0.0], 1), (201, [1e60, 0.0], 1), (202, [1e60, 1e50], 1), (203, [1e308, -0.0], 1), (204, [-1e308, 0.0], 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, n_links string")
+    got = run(df, block=16)
+    assert got == sorted(brute(rows, kind=np.float64), key=key)
+    assert [r[1] for r in got if r[0] in (200, 201, 202, 203, 204)] == [3, 3, 3, 3, 0]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 24)) * rng.lognormal(size=(200, 1))
