@@ -30,6 +30,11 @@ def crc_mod(col: str, mod: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string")) % mod, F.lit(0))
 
 
+def drawn(hashed: Column, rate: Column) -> Column:
+    """Whether a 64-bit hash falls to a sample of the given rate, however small the rate is."""
+    return F.pmod(hashed, F.lit(1 << 52)).cast("double") < rate * float(1 << 52)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -78,6 +83,21 @@ def drop_staged(*frames: DataFrame) -> None:
         drop_folder(df.sparkSession, df.staged_at)
 
 
+class Scratch:
+    """Staged frames of one operator, deleted together when it has no more use for them."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        self.frames.append(staged(df, name))
+        return self.frames[-1]
+
+    def drop(self, *but: DataFrame) -> None:
+        drop_staged(*(f for f in self.frames if all(f is not b for b in but)))
+        self.frames = list(but)
+
+
 def as_row(docs: DataFrame, *apart: str) -> Column:
     """All columns but ``apart`` as one struct, so that no column of a step's own can clash with theirs."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in apart))

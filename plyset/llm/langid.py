@@ -5,15 +5,17 @@ are one space), as square roots of counts at unit length. Families are told apar
 vector machines one against the rest; the languages of a family by one for each pair, whose votes
 (then margins) decide. All machines minimise the squared hinge loss by dual coordinate descent.
 
-Learning takes a bounded sample: about ``SAMPLE`` documents of each language, chosen by a hash of
-their ids; their feature vectors (fixed size) are collected, not their texts. Scoring is one pass
+Learning takes a bounded sample: about ``SAMPLE`` documents of each language (fewer, where more than
+``MOST / SAMPLE`` languages share ``MOST``), chosen by a hash of their rows at a rate that follows
+the count, equal rows once; their feature vectors (fixed size) are collected, not their texts. Scoring is one pass
 over whole texts in batches: a histogram and a product with a matrix of all machines' weights. The
 model is a matrix of ``DIMENSIONS`` by the number of machines.
 
 The score is the family's probability times the weakest pair's, as logistic functions of margins.
 
 Defined results: ``und`` with score 0 for null texts and texts without any letter, and for all if
-nothing could be learnt; ids may be null and repeat; extra columns are ignored.
+nothing could be learnt; ids may be null and repeat, rows may be equal; extra columns are ignored, or
+carried along under any name as one struct (``predict``).
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyset.llm.common import crc_mod
+from plyset.llm.common import as_row, crc_mod, drawn
 from plyset.llm.text import batches, string_bytes
 
-SAMPLE, DIMENSIONS = 350, 8192
+SAMPLE, MOST, DIMENSIONS = 350, 8_000, 8192
 SHARPNESS = 4.0
 UNKNOWN = "und"
 
@@ -153,15 +155,16 @@ def vectors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", F.lower("text").alias("text")).mapInArrow(run, "doc_id long, lang string, x binary")
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on about ``sample`` documents of each language in ``docs`` (doc_id, text, lang)."""
-    docs = docs.filter("lang is not null and text is not null")
+def learn(docs: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Model | None:
+    """Fit on about ``sample`` documents of each language in ``docs`` (doc_id, text, lang), about ``most`` in all."""
+    docs = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
     counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return None
-    chance = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000))
-    rate = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1_000_000, round(sample / n * 1_000_000) + 1))))
-    rows = vectors(docs.filter(chance < rate[F.col("lang")])).collect()
+    each = min(sample, max(1, most // len(counts)))
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, rate double")
+    some = docs.join(F.broadcast(rates), "lang").filter(drawn(F.xxhash64("doc_id", "lang", "text"), F.col("rate")))
+    rows = vectors(some.select("doc_id", "text", "lang").distinct()).collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.x))
     if not rows:
         return None
@@ -169,24 +172,24 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return Model(x, np.array([r.lang for r in rows]))
 
 
-def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """row (all columns of ``docs`` as one struct), lang_pred and score."""
+    source = docs.select(as_row(docs).alias("row"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.lower("text").alias("lower"))
     if model is None:
-        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return source.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.lower("text").alias("_lower"))
-    schema = source.drop("_letters", "_lower").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = source.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(stream):
         model = held.value
-        for part in batches(stream, "_lower", 1 << 20):
+        for part in batches(stream, "lower", 1 << 20):
             for lo in range(0, part.num_rows, 128):
                 some = part.slice(lo, 128)
-                lang, score = model.predict(features(some.column("_lower")))
-                letters = some.column("_letters").to_numpy()
+                lang, score = model.predict(features(some.column("lower")))
+                letters = some.column("letters").to_numpy()
                 names = np.where(letters, np.array([*model.langs], object)[lang], UNKNOWN)
-                columns = [some.column(c).combine_chunks() for c in keep] + [pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+                columns = [some.column("row").combine_chunks(), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
 
@@ -195,5 +198,5 @@ def predict_by_fold(docs: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score; text and lang of the held-out fold are never learnt from."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     model = learn(docs.filter(crc_mod("doc_id", mod) != held))
-    out = predict(docs, model, "doc_id")
+    out = predict(docs.select("doc_id", "text"), model).select("row.doc_id", "lang_pred", "score")
     return out.select("doc_id", (crc_mod("doc_id", mod) == held).alias("held_out"), "lang_pred", "score")

@@ -12,7 +12,7 @@
 Labels, languages, sources and ids are never inputs of a score.
 
 Defined results: null texts are scored as empty ones, whose statistics are all 0; rows without a
-label aren't learnt from; if labels of one kind only (or none) are known, every score is that
+label aren't learnt from, and of several rows of one labelled id one (that with the least statistics) is; if labels of one kind only (or none) are known, every score is that
 kind's share with one example of each added; repeated rows are scored each; extra columns are
 ignored.
 """
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyset.llm.common import crc_mod
+from plyset.llm.common import crc_mod, drawn
 
 SAMPLE = 8_000
 TREES, DEPTH, RATE, LEAST, BINS = 24, 3, 0.3, 8, 32
@@ -32,7 +32,7 @@ LASSO, STEPS = 0.002, 300
 STATISTICS = ("chars", "words", "word_length", "distinct_words", "lines", "distinct_lines", "words_per_line", "upper", "symbols", "digits", "points")
 
 
-def statistics(text: Column) -> DataFrame:
+def statistics(text: Column) -> dict[str, Column]:
     """The statistics of a text as Spark columns, by name; counts first, then ratios of counts."""
     t = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(F.lower(t), r"[\x09-\x0D\x20]+"), lambda w: w != "")
@@ -168,12 +168,14 @@ def compiled(model: Model) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on a sample of labelled rows: (doc_id, label) with label 0 or 1."""
-    labels = labels.filter("doc_id is not null and label is not null")
+    labels = labels.select("doc_id", "label").filter("doc_id is not null and label is not null")
     n = labels.count()
-    share = min(1.0, sample / max(1, n))
-    # about ``sample`` rows of two numbers: a fixed bound, so they may be broadcast
-    some = labels.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_000)) < round(share * 1_000_000))
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "doc_id", "label").orderBy("doc_id", *STATISTICS).collect()
+    # about ``sample`` rows of two numbers: a fixed bound, so they may be broadcast; equal rows count once
+    some = labels.filter(drawn(F.xxhash64("doc_id", "label"), F.lit(min(1.0, sample / max(1, n))))).distinct()
+    found = with_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "doc_id", "label")
+    # an id can have many rows: one of them is learnt from, so that no more than the sample is collected
+    found = found.groupBy("doc_id", "label").agg(F.min(F.struct(*STATISTICS)).alias("s")).select("doc_id", "label", "s.*")
+    rows = found.orderBy("doc_id", "label").collect()
     x = np.array([[r[s] for s in STATISTICS] for r in rows], np.float64).reshape(-1, len(STATISTICS))
     return fit(x, np.array([r.label for r in rows], np.float64))
 

@@ -83,3 +83,114 @@ def test_compiled_rules_say_what_the_rules_say(spark):
     assert np.allclose(got, want) and ((want > 0.5) == y).mean() > 0.97
     assert len(rules) < len(quality.extract(x, y))
     assert quality.fit(x, np.ones(400))[1] == [] and quality.fit(x[:0], y[:0]) == (0.0, [])
+
+
+def plain_statistics(text):
+    import regex
+
+    t = text or ""
+    words = [w for w in regex.split(r"[\x09-\x0D\x20]+", t.lower()) if w]
+    lines = t.split("\n") if t else []
+    part = lambda a, b: a / b if b else 0.0
+    space = sum(c in "\t\n\x0b\x0c\r " for c in t)
+    kinds = (len(regex.findall(p, t)) for p in (r"\p{Lu}", r"[^\p{L}\p{N}\x09-\x0D\x20.,]", r"\p{N}", "[.,]"))
+    return (
+        float(len(t)), float(len(words)), part(len(t) - space, len(words)), part(len(set(words)), len(words)), float(len(lines)), part(len(set(lines)) if t else 0, len(lines)),
+        part(len(words), len(lines)), *(part(k, len(t)) for k in kinds),
+    )
+
+
+def test_statistics_against_plain_python(spark):
+    rng = random.Random(12)
+    alphabet = "abcXYZ ÄÖß0129.,;:#\n\t\r\x0b\u4e2d\U0001f600-é "
+    texts = [None, "", " ", "\n", "\n\n", "a", "A.\nA.", "word " * 3000] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 120))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in quality.with_statistics(df, "doc_id").collect()}
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i], plain_statistics(t)), (t, got[i], plain_statistics(t))
+
+
+def test_samples_are_bounded_and_never_empty(spark):
+    rng = random.Random(3)
+    rows = [(7, sentence(rng, "en", 5), "en")] * 3000 + [(i, sentence(rng, lang, 9), lang) for i in range(2000) for lang in [("en", "de")[i % 2]]] + [(None, sentence(rng, "de", 4), "de")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = []
+    vectors = langid.vectors
+    langid.vectors = lambda some: seen.append(some.count()) or vectors(some)
+    try:
+        assert langid.learn(df, sample=100) is not None and langid.learn(df, most=10) is not None
+    finally:
+        langid.vectors = vectors
+    assert seen[0] <= 350 and seen[1] <= 40
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, label int")
+    bounds = []
+    fit = quality.fit
+    quality.fit = lambda x, y: bounds.append(len(y)) or fit(x, y)
+    try:
+        quality.learn(df, labels, sample=200)
+    finally:
+        quality.fit = fit
+    assert 100 < bounds[0] < 320
+
+
+def test_sampling_rates_do_not_vanish(spark):
+    from pyspark.sql import functions as F
+
+    from plyset.llm.common import drawn
+
+    some = spark.range(4_000_000).filter(drawn(F.xxhash64("id"), F.lit(8_000 / 1e11)))  # as with 1e11 rows: nothing here, but not by rounding
+    assert some.count() <= 3
+    assert 20 < spark.range(4_000_000).filter(drawn(F.xxhash64("id"), F.lit(1e-5))).count() < 70
+    assert spark.range(1000).filter(drawn(F.xxhash64("id"), F.lit(1.0))).count() == 1000
+    # the rate itself is kept down to 52 bits: a hash below 8000 / 1e11 * 2**52 is drawn
+    at = int(8_000 / 1e11 * 2**52)
+    got = spark.createDataFrame([(at - 1,), (at + 1,)], "h long").select(drawn(F.col("h"), F.lit(8_000 / 1e11)).alias("d")).collect()
+    assert [r.d for r in got] == [True, False]
+
+
+def plain_features(text):
+    code = {**{c: c - 96 for c in range(97, 123)}, **{c: c - 64 for c in range(65, 91)}, **{c: c - 101 for c in range(128, 256)}}
+    seq = []
+    for b in (text or "").encode():
+        c = code.get(b, 0)
+        if c or not seq or seq[-1]:
+            seq.append(c)
+    out = np.zeros(langid.DIMENSIONS)
+    for order, seed in ((2, 0x9E3779B1), (3, 0x85EBCA6B)):
+        for k in range(len(seq) - order + 1):
+            h = 0
+            for c in seq[k : k + order]:
+                h = (h * 155 + c) % 2**32
+            out[(h * seed % 2**32) >> 19] += 1
+    out = np.sqrt(out)
+    return out / max(np.linalg.norm(out), 1e-9)
+
+
+def test_features_and_votes_against_plain_python():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = ["", "a", "  ab  cd", "ÄÖ! 漢字", "..."] + [sentence(rng, rng.choice(list(SYLLABLES)), rng.randint(1, 30)) for _ in range(60)]
+    x = langid.features(pa.array(texts))
+    assert np.allclose(x, [plain_features(t) for t in texts], atol=1e-6)
+    langs = np.array([rng.choice(list(SYLLABLES)) for _ in texts])
+    model = langid.Model(x, langs)
+    got, score = model.predict(x)
+    margins = x @ model.weights
+    names, sure = list(model.families), lambda m: 1 / (1 + np.exp(-langid.SHARPNESS * m))
+    for i in range(len(texts)):
+        ranked = sorted(range(len(names)), key=lambda k: -margins[i, k])
+        own, column = model.families[names[ranked[0]]], len(names)
+        for f in names[: ranked[0]]:
+            column += len(model.pairs[f])
+        votes, weakest = [0.0] * len(own), [np.inf] * len(own)
+        for a, b in model.pairs[names[ranked[0]]]:
+            m = margins[i, column]
+            column += 1
+            votes[a if m >= 0 else b] += 1
+            for who, side in ((a, 1), (b, -1)):
+                votes[who] += side * 1e-3 * np.tanh(m)
+                weakest[who] = min(weakest[who], side * m)
+        best = int(np.argmax(votes))
+        want = sure(margins[i, ranked[0]] - margins[i, ranked[1]]) * (sure(weakest[best]) if len(own) > 1 else 1)
+        assert model.langs[got[i]] == own[best] and abs(score[i] - want) < 1e-6
