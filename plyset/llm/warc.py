@@ -4,13 +4,14 @@ A file begins with a skippable frame that holds the dictionary, as the public ``
 convention has it; each record follows as one frame, so that any record can be read alone. The
 dictionary is trained once per write on a bounded sample of the records (``SAMPLE`` of them
 or as many as make ``ENOUGH`` bytes, at most ``SAMPLE_BYTES`` of each; a fixed rule over hashes of ids chooses them) and sent to the
-writers; its size is ``DICTIONARY`` bytes at most, and less for small input. Where there are too few records to train on,
-files have no such frame, which readers accept.
+writers; its size is ``DICTIONARY`` bytes at most, and less for small input. Where the library has too little to train on
+(fewer than 16 records, or records that share nothing), the dictionary is plain content: the sample's own bytes.
 
 Payloads of at least ``REVISIT_FROM`` bytes that occur again are written once: the record with the
-smallest page id is the response, the others are revisits that keep its HTTP header. Only the
-digests of payloads that do occur again meet the pages in a join, and the pages are its streamed
-side, so that adaptive execution can split a digest that a third of them share.
+smallest page id is the response, the others are revisits that keep its HTTP header. What is decided
+is decided on ids, digests and sizes, in a table of their own; revisits are written from it. Payloads
+aren't shuffled: a Bloom filter of the revisits' keys leaves their pages out where they are read, and a
+second one of the few pages that the first holds by chance brings those back, through a join of few rows.
 
 Tasks write through ``pyarrow.fs`` to the folder given as a URI. A file's name holds the task
 attempt, and only files whose task ended well are listed in the index, so a lost executor or a
@@ -33,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyset.llm.common import new_folder, staged
+from plyset.llm.bloom import key_filter
+from plyset.llm.common import drop_staged, new_folder, staged
 
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 256, 16_384, 65_536
 ENOUGH = 100 * DICTIONARY
@@ -47,8 +49,10 @@ INDEX = "file string, offset long, length long, page_id long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def build_record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def build_record(page_id, url, payload: bytes | None, size: int, digest: str, refers_to) -> bytes:
+    """A response, or a revisit where there is no payload."""
+    revisit = payload is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
@@ -84,19 +88,34 @@ def parse_record(record: bytes) -> tuple:
     return page("WARC-Record-ID"), fields.get("WARC-Target-URI"), size, digest, fields["WARC-Type"], page("WARC-Refers-To"), None if revisit else payload
 
 
+DECIDED = ("page_id", "url", "html", "digest", "size", "refers_to")
+
+
 def decide(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and whether and whom each page's record revisits."""
+    """DECIDED: a row for each page; html is null for those that revisit ``refers_to``."""
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
-    again = p.filter(F.octet_length("html") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    again = staged(again.filter((F.col("n") > 1) & F.col("first").isNotNull()).drop("n"), "again")
-    p = p.join(again, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return p.select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
+    p = p.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("size", F.octet_length("html").cast("long"))
+    meta = staged(p.drop("html"), "meta")
+    again = meta.filter(F.col("size") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
+    again = staged(again.filter("n > 1 and refers_to is not null").drop("n"), "again")
+    revisits = meta.join(again, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = staged(revisits.select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "size", "refers_to"), "revisits")
+    key = F.xxhash64("page_id", "digest")
+    may = key_filter(revisits.select(key.alias("key")).distinct())
+    same = (F.col("a.digest") == F.col("b.digest")) & F.col("a.page_id").eqNullSafe(F.col("b.page_id"))
+    only = lambda df: df.select("page_id", "digest").distinct().alias("b")
+    chance = staged(meta.filter(may.column(key)).alias("a").join(only(revisits), same, "left_anti").select("page_id", "digest"), "chance")
+    responses = p.withColumn("refers_to", F.lit(None).cast("long")).select(*DECIDED)
+    found = responses.filter(~may.column(key))
+    if not chance.isEmpty():
+        back = key_filter(chance.select(key.alias("key")).distinct())
+        found = found.unionByName(responses.filter(may.column(key) & back.column(key)).alias("a").join(only(chance), same, "left_semi"))
+    drop_staged(meta, again)
+    return found.unionByName(revisits)
 
 
 def train(pages: DataFrame) -> bytes:
-    """The dictionary, a quarter of the sample at most, or nothing where there are fewer than 16 records."""
+    """The dictionary: trained, of a quarter of the sample at most, or else plain content; nothing for no records."""
     import zstandard
 
     chosen = F.xxhash64(F.col("page_id").cast("long"))
@@ -110,14 +129,17 @@ def train(pages: DataFrame) -> bytes:
         records = []
         for r in rows:
             payload = r.html.encode()[:SAMPLE_BYTES]
-            records.append(build_record(r.page_id, r.url, payload, hashlib.sha256(payload).hexdigest(), None, False))
+            records.append(build_record(r.page_id, r.url, payload, len(payload), hashlib.sha256(payload).hexdigest(), None))
         size = sum(map(len, records))
         if size >= ENOUGH or len(smallest) < n and len(rows) < 2 * n:  # or all pages are in
             break
         n = max(2 * n, n * ENOUGH // size)
-    if len(records) < 16:
-        return b""
-    return zstandard.train_dictionary(min(DICTIONARY, size // 4), records, k=256, d=8).as_bytes()
+    if len(records) >= 16:
+        try:
+            return zstandard.train_dictionary(min(DICTIONARY, size // 4), records, k=256, d=8).as_bytes()
+        except zstandard.ZstdError:  # the library finds no segments to share
+            pass
+    return b"".join(records)[:DICTIONARY]
 
 
 def open_folder(uri: str):
@@ -143,7 +165,7 @@ def write(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
         try:
             for batch in stream:
                 rows = []
-                for page, url, html, digest, revisit, refers in zip(*(c.to_pylist() for c in batch.columns)):
+                for page, url, html, digest, size, refers in zip(*(c.to_pylist() for c in batch.columns)):
                     if out is None or at >= FILE_BYTES:
                         if out is not None:
                             out.close()
@@ -152,7 +174,7 @@ def write(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
                             system.create_dir(base, recursive=True)
                         out, part = system.open_output_stream(f"{base}/{name}", compression=None), part + 1
                         at = out.write(lead) if lead else 0
-                    frame = press.compress(build_record(page, url, html.encode(), digest, refers, revisit))
+                    frame = press.compress(build_record(page, url, None if html is None else html.encode(), size, digest, refers))
                     out.write(frame)
                     rows.append((name, at, len(frame), page))
                     at += len(frame)

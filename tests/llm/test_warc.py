@@ -56,7 +56,7 @@ def test_round_trip(spark, tmp_path):
     record = press.decompressobj().decompress(raw[one.offset : one.offset + one.length])
     assert record.startswith(b"WARC/1.1\r\n") and warc.parse_record(record)[0] == 7
     # the dictionary pays
-    bare = sum(len(zstandard.compress(warc.build_record(i, u, (h or "").encode(), "", None, False))) for i, u, h in pages)
+    bare = sum(len(zstandard.compress(warc.build_record(i, u, (h or "").encode(), len((h or "").encode()), "", None))) for i, u, h in pages)
     assert index.agg({"length": "sum"}).first()[0] < bare
 
 
@@ -68,7 +68,7 @@ def test_few_records_and_none(spark):
 
 
 def test_damage_is_noticed():
-    record = warc.build_record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, False)
+    record = warc.build_record(1, "u", b"payload", 7, hashlib.sha256(b"payload").hexdigest(), None)
     assert warc.parse_record(record)[6] == b"payload"
     for bad in (record.replace(b"payload\r\n", b"paYload\r\n"), record[:-1], b"x" + record):
         with pytest.raises((ValueError, KeyError)):
@@ -83,3 +83,23 @@ def test_short_records_have_a_dictionary_too(spark):
     assert 256 <= len(warc.train(few)) <= 4096
     assert warc.train(spark.createDataFrame([(None, "u", "same")] * 20, schema))
     assert warc.round_trip(few).count() == 20
+
+
+def test_pages_that_the_filter_holds_by_chance_come_back(spark, monkeypatch, tmp_path):
+    rng = random.Random(9)
+    html = ["<p>" + "".join(rng.choice("abcdef ") for _ in range(rng.choice([20, 150, 400]))) + "</p>" for _ in range(60)]
+    rows = [(i, f"u{i}", html[rng.randrange(60)] if i % 3 else html[1] + "x" * 200) for i in range(300)] + [(None, "n", html[4]), (7, "u", html[9]), (None, "m", html[1] + "x" * 200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    plain = sorted(map(repr, warc.round_trip(df, f"file://{tmp_path}/a", payloads=True).collect()))
+    whole = warc.key_filter
+    monkeypatch.setattr(warc, "key_filter", lambda keys: whole(keys, max_filter=2))  # holds nearly everything
+    assert sorted(map(repr, warc.round_trip(df, f"file://{tmp_path}/b", payloads=True).collect())) == plain
+    assert len(plain) == len(rows)
+
+
+def test_a_few_records_have_a_plain_dictionary(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"<p>page {i} of a small site</p>") for i in range(5)], "page_id long, url string, html string")
+    assert 500 < len(warc.train(df)) <= warc.DICTIONARY
+    folder = f"file://{tmp_path}/few"
+    assert {r.page_id for r in warc.read(warc.write(df, folder), folder).collect()} == set(range(5))
+    assert warc.train(df.limit(0)) == b""
