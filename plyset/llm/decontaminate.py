@@ -18,7 +18,8 @@ apart in the item, and one or two in the text. Such pairs are hashed alike whate
 
 The pass reads the documents in place, without a shuffle: the test items are a query set. They
 are taken in blocks of at most ``BLOCK`` bytes of text, chosen by a hash of their ids, so what is
-sent to the workers has a fixed bound and larger benchmarks take more passes.
+sent to the workers has a fixed bound. ``leaks`` reads the documents once for each block; ``clean`` reads
+them once, and sends each batch through all blocks.
 
 Defined results: null and empty texts, and items of fewer than ``SEED`` words, leak nothing;
 repeated rows are reported each, as are items of equal text; ids may be null; empty tables give no
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyset.llm.common import staged
+from plyset.llm.common import as_row
 from plyset.llm.text import batches, mix, owners, string_bytes, words
 
 SEED, BLOCK = 3, 8 << 20
@@ -139,42 +140,25 @@ def windows_of(item: np.ndarray, doc: np.ndarray, at: np.ndarray, need: np.ndarr
     return list(zip(doc[a].tolist(), item[a].tolist(), (at[a] - span[item[a]]).tolist(), (at[b] + span[item[b]]).tolist()))
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """A row (doc_id, item_id, score, start_word, end_word) per document and item that it leaks."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK)
-    parts = []
-    for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK bytes
-        parts.append(_block(docs, sorted(own, key=lambda r: (r.item_id is None, r.item_id or 0, r.text)), threshold))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], LEAKS)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _block(docs: DataFrame, items: list, threshold: float) -> DataFrame:
-    spark = docs.sparkSession
+def finder(spark, items: list, threshold: float):
+    """A function of batches of texts that gives each with its leaks (row, item_id, score, start_word, end_word); or nothing, if no item is long enough."""
     hashes, item, first = words_of(pa.array([r.text for r in items], pa.large_string()))
     texts = [hashes[first[i] : first[i + 1]] for i in range(len(items))]
     lengths = np.diff(first)
     if not (lengths >= SEED).any():
-        return spark.createDataFrame([], LEAKS)
+        return None
     held = spark.sparkContext.broadcast((seeds_of(hashes, item, lengths, threshold), texts, [r.item_id for r in items]))
 
-    def search(stream):
+    def search(parts):
         seeds, texts, ids = held.value
         lengths = np.array([len(t) for t in texts])
         need = needed(lengths, threshold)
         need -= need // 2
         span = np.floor((3 - 2 * threshold) * lengths + 1e-9).astype(np.int64)
-        for part in batches(stream, "text", 2 << 20):
+        for part in parts:
             words_, doc, first = words_of(part.column("text"))
             if not len(words_):
+                yield part, []
                 continue
             at, gram = [], []
             for places, found in pairs_of(words_, doc):
@@ -216,18 +200,64 @@ def _block(docs: DataFrame, items: list, threshold: float) -> DataFrame:
                     row = (int(scores[x]) / (MATCH * int(lengths[i])), lo + int(ends[x]) - int(back), lo + int(ends[x]))
                     if (d, i) not in best or row[0] > best[d, i][0]:
                         best[d, i] = row
-            if best:
-                doc_ids = part.column("doc_id").combine_chunks()
-                docs_, items_ = zip(*best)
-                columns = [doc_ids.take(pa.array(docs_)), pa.array([ids[i] for i in items_], pa.int64())]
-                columns += [pa.array(c, t) for c, t in zip(zip(*best.values()), (pa.float64(), pa.int64(), pa.int64()))]
+            yield part, [(d, ids[i], *row) for (d, i), row in best.items()]
+
+    return search
+
+
+def blocks_of(items: DataFrame):
+    """The items in blocks of about ``BLOCK`` bytes of text."""
+    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK)
+    for block in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        yield sorted(own, key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """A row (doc_id, item_id, score, start_word, end_word) per document and item that it leaks."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = spark.createDataFrame([], LEAKS)
+    for own in blocks_of(items):
+        find = finder(spark, own, threshold)
+        if find is not None:
+            out = out.unionByName(docs.mapInArrow(rows_of(find), LEAKS))
+    return out
+
+
+def rows_of(find):
+    def run(stream):
+        for part, found in find(batches(stream, "text", 2 << 20)):
+            if found:
+                rows, *rest = zip(*found)
+                columns = [part.column("doc_id").combine_chunks().take(pa.array(rows))]
+                columns += [pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "start_word", "end_word"])
 
-    return docs.mapInArrow(search, LEAKS)
+    return run
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that leak no item, all columns kept; rows with a null id are judged by their text alone."""
-    tagged = docs.withColumn("_th", F.xxhash64("text"))
-    bad = staged(leaks(tagged.select(F.col("_th").alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("_th")).distinct(), "leaking")
-    return tagged.join(bad, "_th", "left_anti").drop("_th")
+    """The documents that leak no item, all columns kept under any name; each row is judged by its own text.
+
+    One pass, without a shuffle: rows go through one block of items after another.
+    """
+    left = docs.select(as_row(docs, "text").alias("row"), F.col("text").cast("string").alias("text"))
+    for own in blocks_of(items):
+        find = finder(docs.sparkSession, own, threshold)
+        if find is not None:
+            left = left.mapInArrow(clean_of(find), left.schema)
+    kind = docs.schema["text"].dataType
+    return left.select(*(F.col("text").cast(kind).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def clean_of(find):
+    def run(stream):
+        for part, found in find(batches(stream, "text", 2 << 20)):
+            clean_ = np.ones(part.num_rows, bool)
+            clean_[[row for row, *_ in found]] = False
+            yield from part.filter(pa.array(clean_)).combine_chunks().to_batches()
+
+    return run
