@@ -11,7 +11,7 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 16
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -98,3 +98,99 @@ def test_passages_of_51_to_80_words_go_whole(spark, rng):
         assert got[i].removed_chunks > 0 and got[i - 1000].removed_words == 0
         exact += got[i].text == text
     assert exact >= 100
+
+
+def test_against_brute_force(spark):
+    """Every word is unique but for copies, so a removed word tells its place; matches are found by comparing all documents."""
+    rng = random.Random(17)
+    fresh = iter(f"w{k:x}" for k in rng.sample(range(1 << 24), 60_000))
+    gap = lambda k: "\n" if k % 11 == 10 else " "
+
+    def text_of(words):
+        return "".join(w + gap(rng.randint(0, 40)) for w in words).rstrip()
+
+    pool = [text_of([next(fresh) for _ in range(rng.randint(8, 90))]) for _ in range(40)]
+    rows = []
+    for i in range(150):
+        parts = [rng.choice(pool) if rng.random() < 0.5 else text_of([next(fresh) for _ in range(rng.randint(1, 60))]) for _ in range(rng.randint(1, 6))]
+        rows.append((i, "\n".join(parts) if rng.random() < 0.5 else " ".join(parts)))
+    rows += [(300, None), (301, ""), (None, rows[5][1]), (7, rows[7][1])]
+    got = {r.doc_id: r for r in dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    source = dict(rows[:150])
+    first = {}  # the smallest id that holds each whole pool passage
+    for p in pool:
+        first[p] = min((i for i, t in source.items() if p in t), default=None)
+    for i, text in source.items():
+        left, words = set(got[i].text.split()), text.split()
+        gone = [w for w in dict.fromkeys(words) if w not in left]
+        # nothing goes that doesn't stand, with at least MIN_WORDS words around it, byte for byte in an earlier document
+        earlier = [t for j, t in source.items() if j < i]
+        for w in gone[:: max(1, len(gone) // 12)]:
+            at = text.index(w)
+            assert any(_match(text, at, t) >= MIN_WORDS for t in earlier if w in t), (i, w)
+        # whole passages of over 50 words that an earlier document holds go, but for a word beside a line break
+        for p in pool:
+            if len(p.split()) > 50 and p in text and first[p] < i:
+                assert len(left & set(p.split())) <= 2, (i, p)
+    assert got[300].text is None and got[301].text == "" and got[None].text == rows[5][1]
+
+
+def _match(text, at, other):
+    """Words of the longest stretch around ``at`` that the other text holds as well."""
+    best = 0
+    place = other.find(text[at : at + len(text[at:].split(None, 1)[0])])
+    while place >= 0:
+        a = 0
+        while at - a > 0 and place - a > 0 and text[at - a - 1] == other[place - a - 1]:
+            a += 1
+        b = 0
+        while at + b < len(text) and place + b < len(other) and text[at + b] == other[place + b]:
+            b += 1
+        best = max(best, len(text[at - a : at + b].split()))
+        place = other.find(text[at : at + 6], place + 1)
+    return best
+
+
+def test_columns_of_any_name_are_kept(spark, rng):
+    para = maker(rng)
+    p = para(60)
+    names = ["row", "id", "th", "key", "may", "shared", "around", "runs", "bad", "_id", "_th", "_may", "_shared", "_keep", "_key", "removed_words", "Removed_Chunks", "doc", "h"]
+    rows = [(i, para(20) + "\n" + p, *(f"{n}{i}" for n in names)) for i in range(4)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    got = dedup(df).orderBy("doc_id").collect()
+    assert [r.removed_words for r in got] == [0, 60, 60, 60]
+    for r, want in zip(got, rows):
+        for n, v in zip(names, want[2:]):
+            assert n.lower().startswith("removed") or r[n] == v
+
+
+def test_unlike_chunks_of_one_hash_are_held_back(spark, rng, monkeypatch):
+    from plyset.llm import line_dedup
+
+    para = maker(rng)
+    p, q = para(60), para(60)
+    rows = [(i, para(20) + "\n" + (p, q)[i % 2]) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r.removed_words for r in dedup(df).collect()) == 6 * 60
+    real = line_dedup.told_apart
+
+    def lying(data, h, lo, hi):  # as if every chunk's bytes had been met in two forms
+        h, lo, hi = real(data, h, lo, hi)
+        import numpy as np
+
+        return np.r_[h, h], np.r_[lo, lo], np.r_[hi, hi - 1]
+
+    monkeypatch.setattr(line_dedup, "told_apart", lying)
+    assert all(r.removed_words == 0 and r.text == rows[r.doc_id][1] for r in dedup(df).collect())
+
+
+def test_told_apart_compares_bytes():
+    import numpy as np
+
+    from plyset.llm.line_dedup import told_apart
+
+    data = np.frombuffer(b"abcdabceabcdxx", np.uint8)
+    h = np.array([5, 5, 5, 9, 5])
+    lo, hi = np.array([0, 4, 8, 0, 12]), np.array([4, 8, 12, 2, 14])
+    got = told_apart(data, h, lo, hi)
+    assert [(int(x), bytes(data[a:b])) for x, a, b in zip(*got)] == [(5, b"abcd"), (5, b"abce"), (5, b"xx"), (9, b"ab")]
