@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyset.llm.bloom import KeyFilter, key_filter
-from plyset.llm.common import staged
+from plyset.llm.common import Scratch, drop_staged
 from plyset.llm.graph import components
 from plyset.llm.text import batches, mix, owners, shingles, string_bytes, words
 
@@ -136,8 +136,13 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 LINKED = "100 * common >= 80 * (size_a + size_b - common)"
 
 
-def missed(checked: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between members of stars that lie in different components; see the module, step 4."""
+#: Members of a family that meet its centre's set, or its majority's, in one group of a join.
+SPREAD = 512
+
+
+def missed(checked: DataFrame, found: DataFrame, sets: DataFrame, kept: Scratch) -> DataFrame | None:
+    """Links (a, b) between members of stars that lie in different components, or nothing to look for; see the module, step 4."""
+    staged = kept.staged
     comp = found.select(F.col("node").alias("x"), F.col("component").alias("comp"))
     centre = found.select(F.col("node").alias("r"), F.col("component").alias("c"))
     stars = checked.select(F.col("a").alias("r"), F.col("b").alias("x")).join(comp, "x", "left").join(centre, "r", "left")
@@ -149,19 +154,24 @@ def missed(checked: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     stars = staged(stars, "stars")
     # three members at least (two were compared), one of them outside the centres' component
     open_ = stars.groupBy("c").agg(F.count("*").alias("m"), F.max((F.col("comp") != F.col("c")).cast("int")).alias("o")).filter("m > 2 and o = 1")
-    open_ = staged(open_.select("c", "m"), "open")
-    held = lambda name, array: sets.select(F.col("rep").alias(name), F.col("shingles").alias(array))
-    stars = stars.join(open_.select("c"), "c", "left_semi").join(held("x", "sx"), "x").join(held("c", "sc"), "c")
+    open_ = staged(open_.select("c", "m", F.ceil(F.col("m") / SPREAD).cast("long").alias("salts")), "open")
+    if open_.isEmpty():
+        return None
+    # what a family has once is dealt to each of its salts, so that no family's members meet in one task
+    dealt = lambda df: df.join(open_.select("c", "salts"), "c").withColumn("z", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    stars = stars.join(open_, "c").withColumn("z", F.pmod(F.xxhash64("x"), "salts")).select("c", "z", "m", "x", "comp")
+    stars = stars.join(sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx")), "x")
+    stars = stars.join(dealt(sets.select(F.col("rep").alias("c"), F.col("shingles").alias("sc"))), ["c", "z"])
     off = F.concat(F.array_except("sc", "sx"), F.array_except("sx", "sc"))
-    stars = staged(stars.select("c", "x", "comp", F.size("sx").alias("n"), off.alias("off")), "stars")
-    each = stars.select("c", F.explode("off").alias("e")).join(open_, "c")
+    stars = staged(stars.select("c", "z", "m", "x", "comp", F.size("sx").alias("n"), off.alias("off")), "stars")
+    each = stars.select("c", "m", F.explode("off").alias("e"))
     flips = each.groupBy("c", "m", "e").agg(F.count("*").alias("k")).filter("2 * k > m").groupBy("c").agg(F.collect_list("e").alias("flip"))
     none = F.array().cast("array<long>")
-    family = stars.join(flips, "c", "left").withColumn("flip", F.coalesce("flip", none))
+    family = stars.drop("m").join(dealt(flips), ["c", "z"], "left").withColumn("flip", F.coalesce("flip", none))
     family = family.withColumn("d", F.concat(F.array_except("off", "flip"), F.array_except("flip", "off"))).drop("off", "flip")
     family = staged(family.withColumn("s", F.col("n") - 9 * F.size("d")), "family")
-    top = staged(family.groupBy("c").agg(F.max(F.struct("s", F.col("x").alias("t"), F.col("comp").alias("tc"))).alias("b")).select("c", F.col("b.s").alias("ts"), "b.t", "b.tc"), "top")
-    family = family.join(top, "c").withColumn("inside", F.col("s") + F.col("ts") >= 0)
+    top = family.groupBy("c").agg(F.max(F.struct("s", F.col("x").alias("t"), F.col("comp").alias("tc"))).alias("b")).select("c", F.col("b.s").alias("ts"), "b.t", "b.tc")
+    family = family.join(staged(dealt(top), "top"), ["c", "z"]).withColumn("inside", F.col("s") + F.col("ts") >= 0)
     sure = family.filter("inside and x <> t and comp <> tc").select(F.col("t").alias("a"), F.col("x").alias("b"))
 
     # everyone else shares elements with whomever it links with; the rarest first
@@ -188,6 +198,8 @@ def missed(checked: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of ``docs``; see the module."""
+    kept = Scratch()
+    staged = kept.staged
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = staged(sign(docs, n), "signed")
     named = signed.filter("doc_id is not null and n_shingles > 0")
@@ -200,6 +212,8 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
     centres = entries.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last")).filter("c <> last")
     centres = staged(centres.select("key", "c"), "centres")
     stars = staged(entries.join(centres, "key").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    drop_staged(entries, centres)
+    kept.frames = [signed, classes, stars]
 
     needed = key_filter(staged(stars.select(F.xxhash64("b").alias("key")).distinct(), "needed"))
     sets = staged(full_sets(docs, n, needed), "sets")
@@ -207,9 +221,9 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
     links = checked.filter(LINKED).select("a", "b")
     found = staged(components(links), "components")
 
-    more = missed(checked, found, sets)
-    more = staged(more, "more")
-    if not more.isEmpty():
+    more = missed(checked, found, sets, kept)
+    more = None if more is None else staged(more, "more")
+    if more is not None and not more.isEmpty():
         label = found.select("node", "component")
         between = more.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
         between = between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -218,6 +232,7 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
 
     of_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_class = staged(of_class.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component")), "of_class")
+    kept.drop(signed, of_class)
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
