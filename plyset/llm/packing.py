@@ -2,12 +2,18 @@
 
 A document's pieces have at most ``capacity`` tokens, so all that the search needs is how many
 pieces there are of each length: at most ``capacity`` numbers, whatever the corpus. The driver
-searches on these counts; rows never leave the executors. The search takes the longest length
-left, enumerates undominated fillings of the rest of its sequence and uses each as often as the
-counts allow; it prunes by the waste that an improvement could still afford, with the best-fit
-decreasing solution as first incumbent. A found packing is at most a few thousand different
-fillings (each uses up a length or splits a group), again a bound by ``capacity`` alone, and is
-broadcast as ranges of ranks: the k-th piece of a length finds its sequence by binary search.
+searches on these counts; rows never leave the executors. The best-fit decreasing solution is the
+first incumbent. The search takes the longest length left and enumerates the undominated fillings of
+the rest of its sequence, all those whose waste an improvement could still afford, least waste first
+(lazily, so only those that are tried are made); it prunes by lower bounds on the sequences needed.
+
+The search broadens: rounds that try at most 1, 2, 4 .. fillings at each node, each as often as the
+counts allow, and a last one that tries every filling once at a time, which is exact. ``effort``
+bounds the steps of all rounds together (by default in proportion to the number of distinct lengths);
+when it runs out, the best packing met stands: best-fit decreasing at worst, optimal if it reaches
+the lower bound. A found packing is at most a few thousand different fillings (each uses up a length
+or splits a group), again a bound by ``capacity`` alone, and is broadcast as ranges of ranks: the k-th
+piece of a length finds its sequence by binary search.
 
 Defined results: null text is empty and gives one piece (the closing token); repeated rows are
 packed each; ids may be null; an empty table gives no rows; extra columns are ignored.
@@ -15,7 +21,9 @@ packed each; ids may be null; an empty table gives no rows; extra columns are ig
 
 from __future__ import annotations
 
+import bisect
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +34,12 @@ from plyset.llm.common import staged
 from plyset.llm.text import batches
 from plyset.llm.tokens import encoder
 
-#: Nodes of the search: so many for each distinct length, and at least so many.
-NODES, LEAST_NODES = 8, 4000
+#: Steps of the search (a node counts ``NODE`` of them): so many for each distinct length, and at least so many.
+STEPS, LEAST_STEPS, NODE = 1000, 400_000, 40
+#: Fillings of more pieces aren't tested for dominance: they stay, which costs steps and loses nothing.
+TESTED = 10
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NUMBERED = PIECES + ", task int, nth long"
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -84,44 +95,62 @@ def dominated(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
     return sum(small) <= sum(large) and lay(0, list(large))
 
 
-def fillings(room: int, lengths: np.ndarray, counts: np.ndarray, most: int, deepest: int = 4) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first. ``lengths`` ascend; counts are what is left.
+class Effort:
+    """Steps that are left to a search."""
 
-    Each is built longest first; its last piece is the longest that fits. The walk stops after a
-    number of steps in proportion to ``most``; more are then left unenumerated, never pieces unpacked.
-    """
-    found: dict[tuple[int, ...], None] = {}
-    steps = [most * 12]
-    alive = np.flatnonzero(counts > 0)
-    values, have = lengths[alive], counts[alive].tolist()
-
-    def walk(room: int, top: int, taken: tuple[int, ...]) -> None:
-        k = min(top, int(np.searchsorted(values, room, "right")) - 1)
-        if k >= 0 and taken.count(int(values[k])) >= have[k]:
-            k -= 1
-        if k < 0 or steps[0] <= 0:
-            found[taken] = None
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def take(self, n: int = 1) -> bool:
+        self.left -= n
+        return self.left >= 0
+
+
+def summing(total: int, values: list[int], have: list[int], effort: Effort):
+    """All multisets of values (ascending, each at most as often as it is there) with that sum, longest pieces first."""
+    dead: set[tuple[int, int]] = set()  # sums that the first so many values can't make
+
+    def walk(rest: int, top: int, taken: tuple[int, ...]):
+        top = min(top, bisect.bisect_right(values, rest) - 1)
+        if top < 0 or (rest, top) in dead:
             return
-        first = True
-        while k >= 0 and steps[0] > 0:
-            v = int(values[k])
-            if taken.count(v) < have[k]:
-                steps[0] -= 1
-                walk(room - v, k, (*taken, v))
-                if v == room or not first and len(taken) + 1 >= deepest:
-                    return  # what fills the room with one piece dominates the rest
-                first = False
-            k -= max(1, (k + 1) // 8)  # spread over all lengths
-
-    walk(room, len(values) - 1, ())
-    ranked = sorted(found, key=lambda f: (room - sum(f), len(f)))
+        found = False
+        for k in range(top, -1, -1):
+            v = values[k]
+            for m in range(min(have[k], rest // v), 0, -1):
+                if not effort.take():
+                    return
+                if m * v == rest:
+                    found = True
+                    yield (*taken, *[v] * m)
+                elif k:
+                    for f in walk(rest - m * v, k - 1, (*taken, *[v] * m)):
+                        found = True
+                        yield f
+        if not found and effort.left >= 0:
+            dead.add((rest, top))
+
+    yield from walk(total, len(values) - 1, ())
+
+
+def fillings(room: int, lengths: np.ndarray, counts: np.ndarray, waste: int, effort: Effort):
+    """The undominated ways to fill ``room`` but for ``waste``, least waste first. ``lengths`` ascend; counts are what is left."""
+    alive = np.flatnonzero((counts > 0) & (lengths <= room))
+    values, have = lengths[alive].tolist(), counts[alive].tolist()
+    if sum(v * n for v, n in zip(values, have)) <= room:  # all that is left fits
+        yield tuple(v for v, n in zip(reversed(values), reversed(have)) for _ in range(n))
+        return
     kept: list[tuple[int, ...]] = []
-    for f in ranked:
-        if len(kept) == most:
-            break
-        if len(f) > 8 or not any(len(g) <= 8 and dominated(f, g) for g in kept):
-            kept.append(f)
-    return kept or [()]
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        for f in summing(total, values, have, effort) if total else [()]:
+            used = Counter(f)
+            if any(used[v] < n for v, n in zip(values, have) if v <= room - total):
+                continue  # another piece fits
+            if len(f) > TESTED or not any(len(g) <= TESTED and dominated(f, g) for g in kept):
+                kept.append(f)
+                yield f
+        if effort.left < 0:
+            return
 
 
 def bound(lengths: np.ndarray, left: np.ndarray, capacity: int) -> int:
@@ -140,57 +169,65 @@ def bound(lengths: np.ndarray, left: np.ndarray, capacity: int) -> int:
     return max(volume, most_of)
 
 
-def nodes_for(lengths: int) -> int:
-    return max(LEAST_NODES, NODES * lengths)
+def steps_for(lengths: int) -> int:
+    return max(LEAST_STEPS, STEPS * lengths)
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int | None = None, most: int = 6) -> list[tuple[dict[int, int], int]]:
-    """Bin completion: fillings with multiplicities that hold all pieces, in few sequences.
+Packing = list[tuple[dict[int, int], int]]
 
-    ``nodes`` bounds the branch-and-bound search (by default it follows the number of distinct lengths,
-    as a single dive takes about a node for each); the best packing met so far is returned, which is
-    best-fit decreasing at worst and known to be optimal when it reaches the lower bound.
-    """
+
+def complete(counts: dict[int, int], capacity: int, effort: int | None = None) -> Packing:
+    """Bin completion: fillings with multiplicities that hold all pieces, in few sequences; see the module."""
     counts = {n: k for n, k in counts.items() if k}
-    nodes = nodes_for(len(counts)) if nodes is None else nodes
+    left = Effort(steps_for(len(counts)) if effort is None else effort)
     best = best_fit(counts, capacity)
-    fewest = sum(n for _, n in best)
-    if not counts:
-        return []
     lengths = np.array(sorted(counts), np.int64)
-    left = np.array([counts[int(n)] for n in lengths], np.int64)
-
-    least = bound(lengths, left, capacity)
-    # depth first, without recursion: each level keeps the fillings that it has not tried yet
-    stack: list[tuple[np.ndarray, int, list, list]] = []
-    used, path = 0, []
-    while fewest > least and nodes > 0:
-        nodes -= 1
-        pending: list = []
-        if left.any() and used + bound(lengths, left, capacity) < fewest:
+    pieces = np.array([counts[int(n)] for n in lengths], np.int64)
+    least = bound(lengths, pieces, capacity) if counts else 0
+    width: int | None = 1
+    while sum(n for _, n in best) > least and left.left > 0:
+        best, cut = search(lengths, pieces, capacity, best, least, width, left)
+        if width is None:
+            break
+        width = 2 * width if cut else None
+    return best
+
+
+def search(lengths: np.ndarray, pieces: np.ndarray, capacity: int, best: Packing, least: int, width: int | None, effort: Effort) -> tuple[Packing, bool]:
+    """One round, depth first: the best packing met, and whether a node had more fillings than ``width``."""
+    fewest = sum(n for _, n in best)
+    left, used, path, cut = pieces, 0, [], False
+    # without recursion: each level keeps what it has not tried yet
+    stack: list[tuple] = []
+    while fewest > least and effort.take(NODE):
+        pending = iter(())
+        if not left.any():
+            if used < fewest:
+                fewest, best = used, path
+        elif used + bound(lengths, left, capacity) < fewest:
             top = int(np.flatnonzero(left)[-1])
             rest = left.copy()
             rest[top] -= 1
-            waste = (fewest - 1) * capacity - used * capacity - int((lengths * left).sum())
-            pending = [f for f in fillings(capacity - int(lengths[top]), lengths, rest, most) if capacity - int(lengths[top]) - sum(f) <= waste]
-            pending = [(int(lengths[top]), *f) for f in reversed(pending)]
-        elif not left.any() and used < fewest:
-            fewest, best = used, list(path)
-        stack.append((left, used, pending, path))
-        while stack and not stack[-1][2]:
-            stack.pop()
-        if not stack:
+            waste = (fewest - 1 - used) * capacity - int((lengths * left).sum())
+            pending = fillings(capacity - int(lengths[top]), lengths, rest, waste, effort)
+        stack.append((left, used, path, pending, 0))
+        filling = None
+        while stack and filling is None:
+            left, used, path, pending, tried = stack.pop()
+            filling = next(pending, None)
+            if filling is not None and width is not None and tried == width:
+                cut, filling = True, None
+        if filling is None:
             break
-        left, used, pending, path = stack[-1]
-        filling = pending.pop()
-        pieces = {v: filling.count(v) for v in dict.fromkeys(filling)}
-        at = {v: int(np.searchsorted(lengths, v)) for v in pieces}
-        times = min(int(left[at[v]]) // m for v, m in pieces.items())
+        stack.append((left, used, path, pending, tried + 1))
+        filling = Counter((int(lengths[np.flatnonzero(left)[-1]]), *filling))
+        at = {v: int(np.searchsorted(lengths, v)) for v in filling}
+        times = 1 if width is None else min(int(left[at[v]]) // m for v, m in filling.items())
         left = left.copy()
-        for v, m in pieces.items():
+        for v, m in filling.items():
             left[at[v]] -= m * times
-        used, path = used + times, [*path, (pieces, times)]
-    return best
+        used, path = used + times, [*path, (dict(filling), times)]
+    return best, cut
 
 
 def slots(packing: list[tuple[dict[int, int], int]], capacity: int, counts: dict[int, int]) -> dict[str, np.ndarray]:
@@ -209,11 +246,17 @@ def slots(packing: list[tuple[dict[int, int], int]], capacity: int, counts: dict
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, close: int = 0) -> DataFrame:
-    """Pieces of each document with their ids' crc32; only a document's first piece can be shorter."""
+    """Pieces of each document with their ids' crc32, each with its task and its number among the task's pieces of that length.
+
+    Only a document's first piece can be shorter than the capacity.
+    """
     with open(tokenizer, "rb") as f:  # a few MB at most; the executors get its content
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def cut(stream):
+        from pyspark import TaskContext
+
+        task, seen = TaskContext.get().partitionId(), {}
         for part in batches(stream, "text", 2 << 20):
             enc = encoder(spec.value)
             ids_of, texts = part.column("doc_id").to_pylist(), part.column("text")
@@ -224,30 +267,28 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, close: int
                 end = (len(ids) - 1) % capacity + 1
                 k = 0
                 while at < len(ids):
-                    out.append((doc, k, at, end - at, zlib.crc32(ids[at:end].tobytes())))
+                    nth = seen[end - at] = seen.get(end - at, -1) + 1
+                    out.append((doc, k, at, end - at, zlib.crc32(ids[at:end].tobytes()), task, nth))
                     at, end, k = end, end + capacity, k + 1
-            names = ("doc_id", "piece", "start", "length", "ids_crc32")
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            names = ("doc_id", "piece", "start", "length", "ids_crc32", "task", "nth")
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=list(names))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, NUMBERED)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, close: int = 0, nodes: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, close: int = 0, effort: int | None = None) -> DataFrame:
     """One row per piece with ``sequence_id`` and ``offset``; see the module."""
     spark = docs.sparkSession
-    # A piece's salt spreads the ranking of a length that many pieces share over tasks.
+    # A piece's rank among those of its length: its number within the task that cut it, after the tasks before.
+    # So nothing is sorted, and what meets in a join is one task's pieces of a length, however many have that length.
     pieces = staged(pieces_of(docs, tokenizer, capacity, close), "pieces")
-    by_length = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    salts = max(1, sum(by_length.values()) // 200_000)
-    held = spark.sparkContext.broadcast(slots(complete(by_length, capacity, nodes), capacity, by_length))
-
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = sizes.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(within).cast("long") - 1)
-    ranked = ranked.join(before, ["length", "_salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_before")).alias("_rank"))
+    of_task = staged(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "of_task")
+    by_length = {r[0]: r[1] for r in of_task.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
+    held = spark.sparkContext.broadcast(slots(complete(by_length, capacity, effort), capacity, by_length))
+    before = of_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    ranked = pieces.join(before.hint("shuffle_hash"), ["length", "task"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("_rank"))
 
     def place(stream):
         s = held.value
