@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyset.llm import decontaminate, langid, line_dedup, near_dedup, packing
-from plyset.llm.common import staged, table
+from plyset.llm.common import drop_staged, staged, table, without
 from plyset.llm.queries import tokenizer_file
 
 REJECT = 0.2
@@ -28,24 +28,29 @@ WORDS = 5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     typed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    model = langid.learn(typed)
-    out = langid.predict(docs, model, *docs.columns)
-    return out.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= REJECT)).select(*docs.columns)
+    out = langid.predict(docs, langid.learn(typed))
+    return out.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= REJECT)).select("row.*")
 
 
 def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs)
+    out = line_dedup.cleaned(docs)
     left = (F.col("removed_words") == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]")
     out = out.filter(F.coalesce(left, F.lit(True)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+
+    def column(c: str):
+        kind = docs.schema[c].dataType
+        if c == "text":
+            return F.col("text").cast(kind).alias(c)
+        if c == "n_chars":  # follows the text
+            return F.when(F.col("removed_words") > 0, F.char_length("text").cast(kind)).otherwise(F.col("row.n_chars")).alias(c)
+        return F.col(f"row.`{c}`").alias(c)
+
+    return out.select(*(column(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs, n=WORDS).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left").filter("_kept is not null or doc_id is null")
-    return out.select(*docs.columns)
+    gone = near_dedup.near_duplicates(docs, n=WORDS).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("key")).distinct()
+    return without(docs, F.col("doc_id").cast("long"), staged(gone, "gone"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result written as Parquet and read again."""
+    """All stages over ``documents``, each one's result written as Parquet and read again; what no stage reads any more is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            drop_staged(before)
     return docs
