@@ -82,3 +82,60 @@ def test_what_the_model_keeps_has_no_bound(spark, monkeypatch):
     rows = [(i, f"a b c{i % 7} d{i}") for i in range(60)]
     got = {r.doc_id: r for r in score_by_fold(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert len(got) == 60 and all(r.score < 0 for r in got.values())
+
+
+def plain_model(rows, learnt, mu=30.0):
+    """The docstring's model with exact levels, in plain Python."""
+    one, two = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if learnt(i):
+            own = tokens(t)
+            one.update(own)
+            two.update(zip(["<begin>", *own], own))
+    level = lambda c: math.floor(math.log2(c)) + 1 if c else 0
+    mid = lambda q: math.sqrt(2 ** (q - 1) * (2**q - 1)) if q else 0.0
+    n, v = sum(one.values()), len(one)
+    out = []
+    for i, t in rows:
+        own, total = tokens(t), 0.0
+        for h, w in zip(["<begin>", *own], own):
+            ch = mid(level(one[None] if h == "<begin>" else one[h]))  # as many texts begin as end
+            p1 = (mid(level(one[w])) + 1) / (n + v + 1)
+            total += math.log10(min(1.0, (min(mid(level(two[h, w])), ch) + mu * p1) / (ch + mu)))
+        out.append((i, total))
+    return out
+
+
+def test_score_against_plain_python(spark, monkeypatch):
+    from plyset.llm import lm
+    from plyset.llm.bloom import bits_at
+
+    def wide(items, counts, most):  # so many bits that no probe hits by chance
+        levels = np.frexp(counts.astype(np.float64))[1]
+        size = max(1 << 16, 4096 * int(levels.sum())) // 8 * 8
+        region = np.zeros(size // 8, np.uint8)
+        for q in range(1, int(levels.max(initial=0)) + 1):
+            own = items[levels >= q]
+            at = bits_at(own, np.full(len(own), q, np.uint64), size).ravel()
+            np.bitwise_or.at(region, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        return region.tobytes()
+
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice("ab cd ef G h ij K l mn op".split()) for _ in range(rng.randint(0, 30)))) for i in range(150)]
+    rows += [(200, None), (201, "  "), (202, "never seen before"), (3, rows[3][1])]
+    learnt = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lm, "fill", wide)
+    got = sorted((r.doc_id, r.score) for r in score_by_fold(df).collect())
+    want = sorted(plain_model(rows, learnt))
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-9)
+    monkeypatch.undo()
+    near = sorted((r.doc_id, r.score) for r in score_by_fold(df).collect())  # chance hits only raise what is read
+    assert np.mean([abs(a - b) <= 0.05 * abs(b) + 0.1 for (_, a), (_, b) in zip(near, want)]) > 0.9
+
+    def tiny(items, counts, most):  # every bit set
+        return b"\xff" * 16
+
+    monkeypatch.setattr(lm, "fill", tiny)
+    full = {r.doc_id: r for r in score_by_fold(df).collect()}
+    assert len(full) == len({i for i, _ in rows}) and all(math.isfinite(r.score) for r in full.values())

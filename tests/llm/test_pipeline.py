@@ -74,3 +74,26 @@ def test_empty(spark, folder, tmp_path):
     spark.read.parquet(f"{base}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     os.symlink(f"{base}/benchmark.parquet", f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_columns_of_any_name_pass_every_stage(spark, folder):
+    base, docs, _ = folder
+    names = ["score", "lang_pred", "_lower", "_kept", "_th", "th", "row", "key", "may", "id", "removed_words", "removed_chunks", "_shared", "_keep", "shared", "runs", "ends", "bad", "letters", "lower", "component_id", "kept", "item_id", "length", "task", "nth", "task_id"]
+    wide = spark.createDataFrame([(*d, *(f"{n}{d[0]}" for n in names)) for d in docs], ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *(f"`{n}` string" for n in names)]))
+    plain, now = spark.read.parquet(f"{base}/documents.parquet"), wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, rows = stage(spark, now, base).collect(), stage(spark, plain, base).collect()
+        assert {r.doc_id for r in got} == {r.doc_id for r in rows}, name
+        for r in got:
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+        now, plain = spark.createDataFrame(got, wide.schema), spark.createDataFrame(rows, plain.schema)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, now, base).collect()} == {r.doc_id for r in plain.collect()}
+
+
+def test_repeated_rows_and_null_ids(spark, folder):
+    base, docs, _ = folder
+    rows = [(None, docs[0][1], "en", "s", 0), (None, docs[0][1], None, None, None), docs[3], docs[3], (None, None, None, None, None)]
+    now = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, base).collect(), now.schema)
+        assert sorted((r.doc_id is None, r.text) for r in now.collect()) == sorted([(True, docs[0][1])] * 2 + [(False, docs[3][1])] * 2), name

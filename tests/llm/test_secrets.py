@@ -98,3 +98,43 @@ def test_work_stays_linear():
     for text in ("a" + " " * 400_000 + "=", "x = " * 80_000, "<a>" * 100_000, "<" + "a" * 400_000, "a:" + " :" * 100_000):
         scan(text)
     assert time.process_time() - begin < 15
+
+
+def plain_named(lines, threshold=0.5):
+    """Named spans of assignments one to a line, read line by line: values are joined literals and names given before."""
+    text, known, found = "\n".join(lines), {}, []
+    at = 0
+    for line in lines:
+        m = re.fullmatch(r"(\w+)(\s*)=(\s*)(.*)", line)
+        spans, p = [], at + m.start(4)
+        for part in m[4].split(" + "):
+            if part[0] in "\"'":
+                spans.append((p + 1, p + len(part) - 1))
+            else:
+                spans += known.get(part, [])
+            p += len(part) + 3
+        known[m[1]] = list(dict.fromkeys(spans))
+        found += [s for s in known[m[1]] if sensitivity(m[1]) * strength(text[slice(*s)]) >= threshold]
+        at += len(line) + 1
+    return text, sorted(set(found))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_named_spans_against_a_reader_of_lines(seed):
+    rng = random.Random(seed)
+    letters = "abcdefghijkLMNOPQ0123456789-_&"
+    names = ["title", "x", "part_a", "dbPassphrase", "client_credential", "privateKey", "note", "auth_key", "pwd_hint", "B" * 90 + "_credential"]
+    lines, given = [], []
+    for k in range(rng.randint(1, 25)):
+        parts = []
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 40])):
+            if given and rng.random() < 0.3:
+                parts.append(rng.choice(given))
+            else:
+                quote = rng.choice("\"'")
+                parts.append(quote + "".join(rng.choice(letters) for _ in range(rng.choice([3, 12, 30, 900]))) + quote)
+        name = rng.choice(names) + (str(k) if rng.random() < 0.5 else "")
+        lines.append(f"{name}{' ' * rng.choice([0, 1, 60])}={' ' * rng.choice([0, 1, 100])}{' + '.join(parts)}")
+        given.append(name)
+    text, want = plain_named(lines)
+    assert sorted((a, b) for k, a, b in scan(text) if k == "named") == want
