@@ -7,11 +7,14 @@ batches (``plyset.games.chess``), and tests use it as the oracle of the set-base
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import lru_cache
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
 
+#: Piece letters by character (empty first), and castling rights by bit.
+PIECES, RIGHTS = "." + "".join(white + white.lower() for white in "PNBRQK"), "KQkq"
+
 _KNIGHT = ((1, 2), (2, 1), (-1, 2), (-2, 1), (1, -2), (2, -1), (-1, -2), (-2, -1))
 _ROOK = ((1, 0), (-1, 0), (0, 1), (0, -1))
 _BISHOP = ((1, 1), (1, -1), (-1, 1), (-1, -1))
@@ -212,6 +215,76 @@ class Board:
                 out.append((square_name(a) + square_name(b) + promote.lower(), after))
         return out
 
+    def reaches(self, other: Board) -> bool:
+        """Whether a legal move leads to the other board, clocks aside."""
+        for a, b, promote in self._candidates():
+            if self.cells[b] not in "Kk":
+                after = self._moved(a, b, promote)
+                if after.cells == other.cells and after.slots() == other.slots() and not after.check(self.white):
+                    return True
+        return False
+
+    def unmoves(self) -> list[Board]:
+        """All boards with a legal move to this one, clocks aside: pieces taken back, with every piece they may have
+        captured, every right they may have had and every pawn that could have been taken en passant."""
+        out: dict[tuple, Board] = {}
+        white = not self.white
+        for cells in self._before(white):
+            homes = [r for r, k, i in (("K", 60, 63), ("Q", 60, 56), ("k", 4, 7), ("q", 4, 0)) if cells[k] == "kK"[r.isupper()] and cells[i] == "rR"[r.isupper()]]
+            if set(self.castling) - set(homes):
+                continue
+            more = [r for r in homes if r not in self.castling]
+            row, up, pawn = (16, -8, "p") if white else (40, 8, "P")
+            passed = [i for i in range(row, row + 8) if cells[i] == cells[i + up] == "." and cells[i - up] == pawn]
+            for k in range(1 << len(more)):
+                rights = set(self.castling).union(r for n, r in enumerate(more) if k >> n & 1)
+                for ep in (-1, *passed):
+                    b = Board(cells, white, "".join(r for r in RIGHTS if r in rights), ep)
+                    if b.reaches(self):
+                        out[b.slots()] = b
+        return list(out.values())
+
+    def _before(self, white: bool):
+        """Cells of boards that one piece of the side could have moved from; rules are left to the check afterwards."""
+        cells, own = self.cells, str.upper if white else str.lower
+        dy, last, mine = (-8, 0, "PNBRQK") if white else (8, 7, "pnbrqk")
+        takes = mine.swapcase()[:-1]
+
+        def moved(b, a, piece, taken="."):
+            c = list(cells)
+            c[a], c[b] = piece, taken
+            return "".join(c)
+
+        for b, piece in enumerate(cells):
+            if piece not in mine:
+                continue
+            pawns = piece == own("p") or b // 8 == last and piece != own("k")  # a pawn, or what one has become
+            if pawns and 0 <= b - dy < 64:
+                if cells[b - dy] == ".":
+                    yield moved(b, b - dy, own("p"))
+                    if piece == own("p") and 0 <= b - 2 * dy < 64 and cells[b - 2 * dy] == ".":
+                        yield moved(b, b - 2 * dy, piece)
+                for a in (b - dy + dx for dx in (-1, 1) if 0 <= b % 8 + dx < 8):
+                    if cells[a] == ".":
+                        yield from (moved(b, a, own("p"), x) for x in takes if x not in "Pp" or b // 8 not in (0, 7))
+                        if piece == own("p") and cells[b - dy] == ".":
+                            yield moved(b, a, piece)[: b - dy] + own("p").swapcase() + moved(b, a, piece)[b - dy + 1 :]
+            if piece == own("p"):
+                continue
+            for way in piece_rays(piece, b):
+                for a in way:
+                    if cells[a] != ".":
+                        break
+                    yield moved(b, a, piece)
+                    yield from (moved(b, a, piece, x) for x in takes if x not in "Pp" or b // 8 not in (0, 7))
+        row = 56 if white else 0
+        for king, rook, corner in ((6, 5, 7), (2, 3, 0)):
+            if cells[row + king] == own("k") and cells[row + rook] == own("r") and cells[row + 4] == cells[row + corner] == ".":
+                c = list(cells)
+                c[row + king] = c[row + rook] = "."
+                c[row + 4], c[row + corner] = own("k"), own("r")
+                yield "".join(c)
+
     def play(self, uci: str) -> Board:
         for text, after in self.moves():
             if text == uci:
@@ -243,21 +316,14 @@ class Board:
     # -- positions as slots -------------------------------------------------------------------
 
     def slots(self) -> tuple[int, ...]:
-        """The king's square of the side to move, then 64 characters: en-passant pawns and rooks that may castle are pieces of their own."""
-        at = {c: i for i, c in enumerate(".KkQqBbNnRrPp")}
-        out = [at[c] for c in self.cells]
-        if self.en_passant >= 0:
-            pawn = self.en_passant + (8 if self.en_passant // 8 == 2 else -8) * (1 if self.en_passant // 8 in (2, 5) else 0)
-            if self.cells[pawn] in "Pp":
-                out[pawn] = 13 if self.cells[pawn] == "P" else 14
-        for right, i, c in (("K", 63, 15), ("Q", 56, 15), ("k", 7, 16), ("q", 0, 16)):
-            if right in self.castling:
-                out[i] = c
-        return (max(0, self.cells.find("K" if self.white else "k")), *out)
+        """64 squares by piece letter (``PIECES``), then castling rights as four bits (``RIGHTS``), then the file of the
+        pawn that may be taken en passant, counted from 1 (0: none). The side to move is no part of it."""
+        rights = sum(1 << k for k, r in enumerate(RIGHTS) if r in self.castling)
+        return (*(PIECES.index(c) for c in self.cells), rights, self.en_passant % 8 + 1 if self.en_passant >= 0 else 0)
 
     @staticmethod
     def from_slots(slots, white: bool) -> Board:
-        cells = "".join(".KkQqBbNnRrPpPpRr"[c] for c in slots[1:])
-        castling = "".join(r for r, i, c in (("K", 63, 15), ("Q", 56, 15), ("k", 7, 16), ("q", 0, 16)) if slots[1 + i] == c)
-        ep = next((i + (8 if c == 13 else -8) for i, c in enumerate(slots[1:]) if c in (13, 14)), -1)
-        return replace(Board(cells, white, castling), en_passant=ep)
+        *squares, rights, file = slots
+        castling = "".join(r for k, r in enumerate(RIGHTS) if rights >> k & 1)
+        ep = -1 if not file else (16 if white else 40) + file - 1
+        return Board("".join(PIECES[c] for c in squares), white, castling, ep)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from plyset.functions import predicates as P
 from plyset.functions.board import queen_moves, show_rows
 from plyset.operators.positions import PositionSet
 from plyset.plans.game import Game
-from plyset.plans.moves import MoveGraph
+from plyset.plans.moves import MoveGraph, Rule
 from plyset.shape import Shape
 
 
@@ -32,26 +34,25 @@ class Amazons(Game):
             p[y * w + x] = 2
         return tuple(p)
 
+    @lru_cache(maxsize=None)  # noqa: B019
+    def turns(self) -> list[tuple[int, int, int, frozenset[int]]]:
+        """(from, to, arrow, squares that must be empty): every whole turn of a queen, the square it left counting as empty for the arrow."""
+        lines: dict[int, list[tuple[int, frozenset[int]]]] = {}
+        for a, b, between in queen_moves(self.width, self.height):
+            lines.setdefault(a, []).append((b, frozenset((b, *between))))
+        return [(a, b, to, way | shot - {a}) for a, ways in lines.items() for b, way in ways for to, shot in lines[b]]
+
+    @lru_cache(maxsize=None)  # noqa: B019
+    def rules(self, side: int) -> list[Rule]:
+        """A turn is one rule: what must hold before all of it, and the squares that it writes."""
+        own, out = side + 1, []
+        for a, b, to, free in self.turns():
+            when = P.every([P.fixed(self.shape, a, own), *(P.fixed(self.shape, i, 0) for i in sorted(free))])
+            out.append(Rule(when, tuple(sorted(({a: 0, b: own} | {to: 3}).items()))))
+        return out
+
     def move_graph(self, side: int) -> MoveGraph:
-        moves = queen_moves(self.width, self.height)
-        empty = lambda cells: [P.fixed(self.shape, i, 0) for i in cells]
-        g = MoveGraph(self.shape)
-        g.add_node("begin")
-        cells = range(len(self.shape))
-        for i in cells:
-            g.add_node(f"lift {i}", {i: (side + 1, 0)})
-            g.add_edge(f"lift {i}", "begin", f"lift {i}")
-        for i in cells:
-            g.add_node(f"drop {i}", {i: (0, side + 1)})
-        for i in cells:
-            g.add_node(f"shoot {i}", {i: (0, 3)})
-        g.add_node("end")
-        for a, b, between in moves:
-            g.add_edge(f"move {a} {b}", f"lift {a}", f"drop {b}", empty(between))
-            g.add_edge(f"shot {a} {b}", f"drop {a}", f"shoot {b}", empty(between))
-        for i in cells:
-            g.add_edge(f"end {i}", f"shoot {i}", "end")
-        return g
+        return MoveGraph.of_rules(self.shape, self.rules(side))
 
     def successors(self, side, position):
         moves = queen_moves(self.width, self.height)

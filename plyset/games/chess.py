@@ -7,23 +7,27 @@ rows is that of distinct boards, not of paths.
 
 from __future__ import annotations
 
+import functools
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyset.functions import chess as C
 from plyset.functions import predicates as P
+from plyset.operators.positions import PositionSet
+from plyset.plans.game import Game, packed, unpacked
 from plyset.shape import Shape
 from plyset.storage import materialise
 
-#: Characters by slot, in order: fixed values of the encoding (see ``Board.slots``).
-ALPHABET = (".", "K", "k", "Q", "q", "B", "b", "N", "n", "R", "r", "P", "p", "ep P", "ep p", "castling R", "castling r")
+RIGHTS_SLOT, FILE_SLOT = 64, 65
 
 
 def position_shape() -> Shape:
-    return Shape((64, *(len(ALPHABET),) * 64))
+    """64 squares by piece letter, castling rights, en-passant file (see ``Board.slots``)."""
+    return Shape((*(len(C.PIECES),) * 64, 1 << len(C.RIGHTS), 9))
 
 
 def boards(spark: SparkSession, *fens: str) -> DataFrame:
@@ -89,7 +93,7 @@ def states(df: DataFrame) -> DataFrame:
 
 
 def as_slots(df: DataFrame) -> DataFrame:
-    """board and its slots c0..c64."""
+    """board and its slots c0..c65."""
 
     def run(stream):
         for batch in stream:
@@ -97,25 +101,21 @@ def as_slots(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([C.Board.parse(b).slots() for b in names], pa.list_(pa.int8()))], names=["board", "p"])
 
     both = df.select("board").mapInArrow(run, "board string, p array<tinyint>")
-    return both.select("board", *(F.col("p")[i].alias(f"c{i}") for i in range(65)))
+    return both.select("board", *(F.col("p")[i].alias(c) for i, c in enumerate(position_shape().columns)))
 
 
 # -- predicates over slots: side 0 is white ----------------------------------------------------
 
 
-def _chars(letters: str) -> frozenset[int]:
-    return frozenset(i for i, a in enumerate(ALPHABET) if a[-1] in letters)
-
-
 def _own(kind: str, side: int) -> frozenset[int]:
-    return _chars(kind.upper() if side == 0 else kind.lower())
+    return frozenset(C.PIECES.index(k.upper() if side == 0 else k.lower()) for k in kind)
 
 
 def at(square: int, letters: str) -> P.Predicate:
-    return P.Among(square + 1, _chars(letters))
+    return P.Among(square, frozenset(map(C.PIECES.index, letters)))
 
 
-_EMPTY = frozenset([0])
+_EMPTY, SQUARES = frozenset([0]), tuple(range(64))
 
 
 @lru_cache(maxsize=None)
@@ -125,27 +125,22 @@ def threat(side: int, square: int) -> P.Predicate:
     for kind, steps, far in (("n", C._KNIGHT, False), ("k", C._ROOK + C._BISHOP, False), ("rq", C._ROOK, True), ("bq", C._BISHOP, True)):
         for way in C.rays(square, steps, far):
             for n, i in enumerate(way):
-                attackers = frozenset().union(*(_own(k, 1 - side) for k in kind))
-                ways.append(P.every([P.Among(i + 1, attackers), *(P.Among(j + 1, _EMPTY) for j in way[:n])]))
+                ways.append(P.every([P.Among(i, _own(kind, 1 - side)), *(P.Among(j, _EMPTY) for j in way[:n])]))
     y = square // 8 + (1 if side == 1 else -1)
     if 0 <= y < 8:
-        ways += [P.Among(y * 8 + square % 8 + dx + 1, _own("p", 1 - side)) for dx in (-1, 1) if 0 <= square % 8 + dx < 8]
+        ways += [P.Among(y * 8 + square % 8 + dx, _own("p", 1 - side)) for dx in (-1, 1) if 0 <= square % 8 + dx < 8]
     return P.some(ways)
 
 
 def king(side: int) -> P.Predicate:
-    """Slot 0 names the square of the side's only king."""
-    mine = _own("k", side)
-    one = P.Count(tuple(range(1, 65)), mine, 1, 1)
-    return P.every([one, P.some([P.every([P.Among(0, frozenset([s])), P.Among(s + 1, mine)]) for s in range(64)])])
+    """The side has one king."""
+    return P.Count(SQUARES, _own("k", side), 1, 1)
 
 
 @lru_cache(maxsize=None)
 def check(side: int) -> P.Predicate:
     """The side to move stands in check."""
-    mine = _own("k", side)
-    ways = [P.every([P.Among(0, frozenset([s])), P.Among(s + 1, mine), threat(side, s)]) for s in range(64)]
-    return P.every([P.Count(tuple(range(1, 65)), mine, 1, 1), P.some(ways)])
+    return P.every([king(side), P.some([P.every([P.Among(s, _own("k", side)), threat(side, s)]) for s in SQUARES])])
 
 
 def not_check(side: int) -> P.Predicate:
@@ -154,42 +149,116 @@ def not_check(side: int) -> P.Predicate:
 
 def can_move_capture(side: int, square: int) -> P.Predicate:
     """A hostile piece that isn't the king stands there."""
-    return P.Among(square + 1, frozenset().union(*(_own(k, 1 - side) for k in "qbnrp")))
+    return P.Among(square, _own("qbnrp", 1 - side))
 
 
 def can_move_basic(side: int, square: int) -> P.Predicate:
     """Empty, or to be captured."""
-    return P.Among(square + 1, frozenset([0]).union(*(_own(k, 1 - side) for k in "qbnrp")))
+    return P.Among(square, _EMPTY | _own("qbnrp", 1 - side))
 
 
 def legal_shared() -> P.Predicate:
-    """No pawns on the outer rows, en-passant pawns on their rows, castling rooks in their corners with the king at home, one king each."""
-    tests: list[P.Predicate] = []
-    for s in range(64):
-        allowed = set(range(len(ALPHABET)))
-        if s // 8 in (0, 7):
-            allowed -= {11, 12, 13, 14}
-        if s // 8 != 4:
-            allowed -= {13}
-        if s // 8 != 3:
-            allowed -= {14}
-        if s not in (56, 63):
-            allowed -= {15}
-        if s not in (0, 7):
-            allowed -= {16}
-        tests.append(P.Among(s + 1, frozenset(allowed)))
-        if s in (56, 63, 0, 7):
-            rook, home, k = (15, 60, 1) if s > 32 else (16, 4, 2)
-            tests.append(P.some([~P.Among(s + 1, frozenset([rook])), P.Among(home + 1, frozenset([k]))]))
-    tests += [P.Count(tuple(range(1, 65)), frozenset([k]), 1, 1) for k in (1, 2)]
-    return P.every(tests)
+    """No pawns on the outer rows, rights only with king and rook at home, one king each."""
+    pawns = _own("p", 0) | _own("p", 1)
+    tests: list[P.Predicate] = [P.Among(s, frozenset(range(len(C.PIECES))) - pawns) for s in SQUARES if s // 8 in (0, 7)]
+    for k, (right, home, corner) in enumerate((("K", 60, 63), ("Q", 60, 56), ("k", 4, 7), ("q", 4, 0))):
+        without = P.Among(RIGHTS_SLOT, frozenset(r for r in range(16) if not r >> k & 1))
+        tests.append(P.some([without, P.every([at(home, "kK"[right.isupper()]), at(corner, "rR"[right.isupper()])])]))
+    return P.every([*tests, king(0), king(1)])
 
 
 def legal(side: int) -> P.Predicate:
     """What every position with ``side`` to move satisfies; that the other side stands in check isn't excluded."""
-    own, other = (13, 14) if side == 0 else (14, 13)
-    squares = tuple(range(1, 65))
-    return P.every([legal_shared(), P.Count(squares, frozenset([own]), 0, 0), P.Count(squares, frozenset([other]), 0, 1), king(side)])
+    row, up, pawn = (16, -8, "p") if side == 0 else (40, 8, "P")
+    passed = [P.every([P.Among(FILE_SLOT, frozenset([x + 1])), at(row + x, "."), at(row + x + up, "."), at(row + x - up, pawn)]) for x in range(8)]
+    return P.every([legal_shared(), P.some([P.Among(FILE_SLOT, _EMPTY), *passed])])
+
+
+class Mated(P.Predicate):
+    """The side to move is checkmated: no test of fixed slots, so legal moves are generated for what passes ``check``."""
+
+    def __init__(self, side: int, known: tuple[tuple[int, int], ...] = ()):
+        self.side, self.known = side, known
+
+    def __eq__(self, other):
+        return isinstance(other, Mated) and (self.side, self.known) == (other.side, other.known)
+
+    def __hash__(self):
+        return hash((self.side, self.known))
+
+    def column(self, at):
+        known, white = dict(self.known), self.side == 0
+
+        @F.pandas_udf("boolean")
+        def mated(p: pd.Series) -> pd.Series:
+            return pd.Series([bool(C.Board.from_slots(map(int, x), white).checkmate()) for x in p])
+
+        slot = lambda i: F.lit(known[i]).cast("tinyint") if i in known else at(i)
+        return F.when(check(self.side).given(known).column(at), mated(F.array(*(slot(i) for i in range(66))))).otherwise(False)
+
+    def given(self, known):
+        every = dict(self.known) | {i: c for i, c in known.items() if i < 66}
+        if len(every) == 66:
+            return P.constant(C.Board.from_slots([every[i] for i in range(66)], self.side == 0).checkmate())
+        return Mated(self.side, tuple(sorted(every.items())))
+
+
+class Chess(Game):
+    """Chess over slots. Its moves aren't rules of fixed slots: a generator makes them, forward and back, in Arrow batches.
+
+    The universe is never enumerated: frontiers, backward steps from given positions and combined solves work.
+    """
+
+    name = "chess"
+
+    def __init__(self, start: str = C.START):
+        self.shape, self.start_board = position_shape(), C.Board.parse(start)
+        if not self.start_board.white:
+            raise ValueError("side 0 is white and moves first")
+
+    def initial(self):
+        return self.start_board.slots()
+
+    def lost(self, side: int) -> P.Predicate:
+        return Mated(side)
+
+    def successors(self, side, position):
+        return [after.slots() for _, after in C.Board.from_slots(position, side == 0).moves()]
+
+    @staticmethod
+    def _spread(positions: DataFrame, to) -> DataFrame:
+        def run(stream):
+            for batch in stream:
+                rows = [(p, q) for p in batch.column("p").to_pylist() for q in to(p)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int8())) for c in zip(*rows)], names=["p", "q"])
+
+        return positions.select("p").mapInArrow(run, "p array<tinyint>, q array<tinyint>")
+
+    def edges(self, positions: DataFrame, side: int) -> DataFrame:
+        return self._spread(positions, lambda p: [after.slots() for _, after in C.Board.from_slots(p, side == 0).moves()])
+
+    def backward(self, side: int, s: PositionSet) -> PositionSet:
+        back = self._spread(packed(s, self.shape), lambda q: [b.slots() for b in C.Board.from_slots(q, side == 1).unmoves()])
+        return unpacked(back.select(F.col("q").alias("p")), self.shape, distinct=True)
+
+    def before(self, side, where):
+        raise NotImplementedError("chess moves aren't rules of fixed slots")
+
+    def move_graph(self, side):
+        raise NotImplementedError("chess moves aren't rules of fixed slots")
+
+    def reversed(self, s: PositionSet) -> PositionSet:
+        """Sides swapped: rows from top to bottom, colours, rights."""
+        swap = {i: C.PIECES.index(k.swapcase()) for i, k in enumerate(C.PIECES)}
+        mapped = lambda c, to: F.element_at(F.array(*(F.lit(to[k]).cast("tinyint") for k in range(len(to)))), F.col(c).cast("int") + 1)
+        cells = [mapped(f"c{(7 - i // 8) * 8 + i % 8}", swap).alias(f"c{i}") for i in SQUARES]
+        rights = mapped(f"c{RIGHTS_SLOT}", {k: (k >> 2) | (k & 3) << 2 for k in range(16)}).alias(f"c{RIGHTS_SLOT}")
+        rows = s.frame().select(*cells, rights, f"c{FILE_SLOT}")
+        return PositionSet.from_frame(rows, self.shape, distinct=False)
+
+    def show(self, position):
+        return "\n".join(" ".join(C.PIECES[c] for c in position[8 * y : 8 * y + 8]) for y in range(8))
 
 
 def lost(df: DataFrame) -> DataFrame:
@@ -226,13 +295,28 @@ def piece_universe(spark: SparkSession, pieces: str, white: bool = True) -> Data
     return df.mapInArrow(run, "board string")
 
 
+def materials(pieces: str) -> list[str]:
+    """What is left of the pieces after any captures and promotions, themselves included."""
+    found, todo = {}, ["".join(sorted(pieces))]
+    while todo:
+        own = todo.pop()
+        if own in found:
+            continue
+        found[own] = None
+        for k, c in enumerate(own):
+            rest = own[:k] + own[k + 1 :]
+            todo += [rest, *("".join(sorted(rest + q)) for q in ("QRBN" if c == "P" else "qrbn") if c in "Pp")]
+    return sorted(found, key=lambda m: (len(m), m))
+
+
 def endgame_database(spark: SparkSession, pieces: str, plies: int) -> DataFrame:
-    """board, ply: boards of the given pieces whose side to move is mated (0) or wins or loses within ``plies``.
+    """board, ply: boards of the given pieces, and of what captures and promotions leave of them, whose side to move is
+    mated (0) or wins or loses within ``plies``.
 
-    Odd plies hold wins (a move into a lost board), even ones losses (every move leads into a won
-    board). Boards after captures aren't of these pieces and count as undecided.
+    Odd plies hold wins (a move into a lost board), even ones losses (every move leads into a won board).
     """
-    universe = materialise(piece_universe(spark, pieces, True).union(piece_universe(spark, pieces, False)), "universe")
+    parts = [piece_universe(spark, m, white) for m in materials(pieces) for white in (True, False)]
+    universe = materialise(functools.reduce(DataFrame.union, parts), "universe")
     edges = materialise(successors(universe).select("board", "next"), "edges")
     done = materialise(lost(universe).withColumn("ply", F.lit(0)), "db")
     for ply in range(1, plies + 1):

@@ -80,6 +80,25 @@ class MoveGraph:
         self._edge_names.add(name)
         self.edges.append(Edge(name, a, b, list(conditions)))
 
+    @classmethod
+    def of_rules(cls, shape: Shape, rules: list[Rule]) -> MoveGraph:
+        """One node for each rule, between a first and a last node; slots that a rule writes must hold one character before."""
+        g = cls(shape)
+        g.add_node("first")
+        for k, rule in enumerate(rules):
+            sets, rest = split(rule)
+            changes = {}
+            for i, after in rule.put:
+                (before,) = sets[i]
+                changes[i] = (before, after)
+            tests = [P.Among(i, c) for i, c in sorted(sets.items()) if i not in changes]
+            g.add_node(f"rule {k}", changes, pre=[*tests, *([] if rest is P.ALWAYS else [rest])])
+            g.add_edge(f"to {k}", "first", f"rule {k}")
+        g.add_node("last")
+        for k in range(len(rules)):
+            g.add_edge(f"from {k}", f"rule {k}", "last")
+        return g
+
     def optimized(self) -> MoveGraph:
         """Without nodes on no path from the first to the last."""
         last = len(self.nodes) - 1

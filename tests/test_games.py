@@ -65,7 +65,7 @@ def test_reversed_boards(spark):
 
 
 def test_names_and_graphs():
-    for bad in ("chess", "othello_3x4", "breakthrough_4x3", "tictactoe_x"):
+    for bad in ("chess_4", "othello_3x4", "breakthrough_4x3", "tictactoe_x"):
         with pytest.raises(ValueError):
             get_game(bad)
     g = MoveGraph(Shape((2, 2)))
@@ -125,6 +125,37 @@ def test_chess_boards():
 def test_small_endgame(spark):
     db = {r.ply: r.n for r in chess.endgame_database(spark, "Q", 1).groupBy("ply").count().withColumnRenamed("count", "n").collect()}
     assert db[0] == 364 and db[1] > 0  # mates of king and queen against king
+    assert chess.materials("Pr") == ["", "B", "N", "P", "Q", "R", "r", "Br", "Nr", "Pr", "Qr", "Rr"]
+
+
+def test_chess_is_a_game(spark):
+    import random
+
+    from plyset.plans.game import solve_forward_backward
+
+    g = get_game("chess")
+    assert [s.size() for s in g.frontiers(spark, 2)] == [1, 20, 400]
+    one = g.positions_forward(spark, 1)
+    turned = g.reversed(g.start(spark))
+    assert g.reversed(one).equals(g.forward(1, turned)) and g.reversed(g.reversed(one)).equals(one)
+    mate = chess.Chess("6k1/5ppp/8/8/8/8/5PPP/R5K1 w - -")
+    table = {r.ply: r for r in solve_forward_backward(mate, spark, 2).collect()}
+    assert (table[0].win, table[1].lose) == (1, 1)  # the rook mates on the last row
+    rng = random.Random(5)
+    for fen in ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq -", "n1n5/PPPk4/8/8/8/8/4Kppp/5N1N b - -", "8/8/8/3pP3/8/8/4k2K/8 w - d6"):
+        b = Board.parse(fen)
+        for _, after in rng.sample(b.moves(), 3):
+            before = {x.slots() for x in after.unmoves()}
+            assert b.slots() in before
+            assert all(after.slots() in {y.slots() for _, y in Board.from_slots(x, b.white).moves()} for x in list(before)[:5])
+    end = Board.parse("8/8/8/8/8/5k2/8/R6K b - -")
+    back = {tuple(p) for p in g.backward(0, PositionSet.from_string(spark, g.shape, end.slots()))}
+    want = set()  # whatever the other side's man may have been is among them
+    for i in range(64):
+        if end.cells[i] == "." and abs(i % 8 - 7) <= 1 and i // 8 >= 6:
+            want.add(Board("".join("K" if k == i else "." if end.cells[k] == "K" else c for k, c in enumerate(end.cells)), True).slots())
+    want = {w for w in want if end.slots() in {y.slots() for _, y in Board.from_slots(w, True).moves()}}
+    assert want and want <= back
 
 
 def test_analysis(spark, tmp_path):
