@@ -175,7 +175,7 @@ def legal(side: int) -> P.Predicate:
 
 
 class Mated(P.Predicate):
-    """The side to move is checkmated: no test of fixed slots, so legal moves are generated for what passes ``check``."""
+    """The side to move is checkmated: no test of fixed slots, so legal moves are generated, in Arrow batches."""
 
     def __init__(self, side: int, known: tuple[tuple[int, int], ...] = ()):
         self.side, self.known = side, known
@@ -194,7 +194,7 @@ class Mated(P.Predicate):
             return pd.Series([bool(C.Board.from_slots(map(int, x), white).checkmate()) for x in p])
 
         slot = lambda i: F.lit(known[i]).cast("tinyint") if i in known else at(i)
-        return F.when(check(self.side).given(known).column(at), mated(F.array(*(slot(i) for i in range(66))))).otherwise(False)
+        return mated(F.array(*(slot(i) for i in range(66))))
 
     def given(self, known):
         every = dict(self.known) | {i: c for i, c in known.items() if i < 66}

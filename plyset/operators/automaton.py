@@ -9,16 +9,20 @@ equal roots: comparing roots compares sets.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyset.functions import predicates as P
 from plyset.operators.positions import PositionSet
 from plyset.shape import Shape
 from plyset.storage import materialise
 
 REJECT, ACCEPT = "0", "1"
+#: Rests of a predicate at one slot that the driver holds while it builds an automaton from it.
+MOST_RESTS = 1_000_000
 
 
 def _state_of(next_: str = "next"):
@@ -49,6 +53,65 @@ class Automaton:
         out = cls(s.spark, s.shape, root, layers)
         return out.complement() if s.where is None and s.negated else out
 
+    @classmethod
+    def matching(cls, spark: SparkSession, shape: Shape, where: P.Predicate) -> Automaton:
+        """From a predicate, without a position: top down what is left to test after each slot, bottom up the states."""
+        levels, now = [], [where.given({})]
+        for i, size in enumerate(shape.sizes):
+            steps = {p: [p.given({i: c}) for c in range(size)] for p in now}
+            levels.append(steps)
+            now = list(dict.fromkeys(q for to in steps.values() for q in to))
+            if len(now) > MOST_RESTS:
+                raise ValueError(f"more than {MOST_RESTS} different rests of the predicate at slot {i}")
+        names = {P.ALWAYS: ACCEPT, P.NEVER: REJECT}
+        layers: list[DataFrame] = []
+        for i in range(len(shape) - 1, -1, -1):
+            rows, own = {}, {P.ALWAYS: ACCEPT, P.NEVER: REJECT}
+            for p, to in levels[i].items():
+                next_ = [names[q] for q in to]
+                uniform = next_[0] in (REJECT, ACCEPT) and len(set(next_)) == 1
+                own[p] = next_[0] if uniform else hashlib.sha256(",".join(next_).encode()).hexdigest()
+                if not uniform:
+                    rows[own[p]] = next_
+            layers.insert(0, spark.createDataFrame(list(rows.items()), "state string, next array<string>"))
+            names = own
+        return cls(spark, shape, names[where.given({})], layers)
+
+    def change(self, changes: dict[int, tuple[int, int]]) -> Automaton:
+        """Positions whose listed slots hold ``before``, with ``after`` written there: from the deepest listed slot upward
+        each state becomes another; what lies below stays."""
+        if not changes:
+            return self
+        for layer, (before, after) in changes.items():
+            if not (0 <= before < self.shape.layer(layer) and 0 <= after < self.shape.layer(layer)):
+                raise ValueError("a change is out of the shape's range")
+        layers = list(self.layers)
+        become: DataFrame | None = None  # old and new names of the layer below
+        for i in range(max(changes), -1, -1):
+            rows = self._full(i)
+            if become is not None:
+                each = rows.select("state", F.posexplode("next").alias("c", "old")).join(become, "old")
+                rows = each.groupBy("state").agg(F.sort_array(F.collect_list(F.struct("c", "new"))).alias("o")).select("state", F.transform("o", lambda x: x["new"]).alias("next"))
+            if i in changes:
+                before, after = changes[i]
+                kept = F.element_at("next", before + 1)
+                spots = F.array(*(kept if c == after else F.lit(REJECT) for c in range(self.shape.sizes[i])))
+                rows = rows.select("state", spots.alias("next"))
+            rows = materialise(rows.select("state", "next", _state_of().alias("new")), f"change{i:03d}")
+            layers[i] = rows.filter(~F.col("new").isin(REJECT, ACCEPT)).select(F.col("new").alias("state"), "next").distinct()
+            become = rows.select(F.col("state").alias("old"), "new")
+        root = become.filter(F.col("old") == self.root).first()["new"]
+        return Automaton(self.spark, self.shape, root, layers)._reached()
+
+    def _reached(self) -> Automaton:
+        """Without states that no path from the root meets."""
+        layers, now = [], self.spark.createDataFrame([(self.root,)], "state string")
+        for i, layer in enumerate(self.layers):
+            kept = materialise(layer.join(now, "state", "left_semi"), f"reached{i:03d}")
+            layers.append(kept)
+            now = kept.select(F.explode("next").alias("state")).distinct()
+        return Automaton(self.spark, self.shape, self.root, layers)
+
     def _constants(self, layer: int) -> DataFrame:
         rows = [(k, [k] * self.shape.sizes[layer]) for k in (REJECT, ACCEPT)]
         return self.spark.createDataFrame(rows, "state string, next array<string>")

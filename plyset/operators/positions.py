@@ -71,8 +71,9 @@ class PositionSet:
 
     @classmethod
     def from_frame(cls, df: DataFrame, shape: Shape, distinct: bool = True) -> PositionSet:
-        """Rows of a DataFrame whose columns are the slots in order; values are trusted to fit the shape."""
-        rows = df.select(*(F.coalesce(F.col(c).cast("tinyint"), F.lit(0).cast("tinyint")).alias(n) for c, n in zip(df.columns, shape.columns)))
+        """Rows of a DataFrame whose columns are the slots in order; values are trusted to fit the shape, but a null fails."""
+        refuse = F.raise_error(F.lit("a position has a null slot")).cast("tinyint")
+        rows = df.select(*(F.coalesce(F.col(c).cast("tinyint"), refuse).alias(n) for c, n in zip(df.columns, shape.columns)))
         return cls(df.sparkSession, shape, rows=rows.distinct() if distinct else rows)
 
     # -- forms --------------------------------------------------------------------------------

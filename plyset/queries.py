@@ -7,19 +7,28 @@ independently computed counts.
 
 from __future__ import annotations
 
+import contextlib
+import io
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyset.functions.board import show_column
-from plyset.functions.predicates import count_character, fixed
+from plyset.cli import main
+from plyset.functions.predicates import count_character, every, fixed, some
 from plyset.games import chess, get_game
 from plyset.operators import checks
-from plyset.operators.automaton import Automaton
-from plyset.operators.positions import PositionSet, intersection, union
+from plyset.operators.automaton import Automaton, fold
+from plyset.operators.positions import PositionSet, bound_within, intersection, union
+from plyset.plans import moves
+from plyset.plans.analysis import analyse
 from plyset.plans.game import packed, solve_forward_backward, unpacked, with_fractions
 from plyset.shape import Shape
+from plyset.sources.catalog import Catalog, write_tsv
+from plyset.storage import shared_dir
 
 SHAPE = Shape((16, 16, 7, 50))
 
@@ -67,11 +76,11 @@ def q_linear(spark, d):
 
 def q_checks(spark, d):
     a, r, n = (flag(spark, d, f) for f in "ARN")
-    every = lineitem(spark, d)
+    all_ = lineitem(spark, d)
     parts = [a, r - a, n - a - r]
     return _one(
-        spark, equal_self=checks.equal(every, union(spark, SHAPE, [n, r, a])), equal_other=checks.equal(a, r), subset_a=checks.subset(a, every), subset_back=checks.subset(every, a),
-        partition_parts=checks.partition(every, parts), partition_bad=checks.partition(every, [a, r, n]), disjoint_parts=checks.disjoint(parts[0], parts[1]), disjoint_ar=checks.disjoint(a, r),
+        spark, equal_self=checks.equal(all_, union(spark, SHAPE, [n, r, a])), equal_other=checks.equal(a, r), subset_a=checks.subset(a, all_), subset_back=checks.subset(all_, a),
+        partition_parts=checks.partition(all_, parts), partition_bad=checks.partition(all_, [a, r, n]), disjoint_parts=checks.disjoint(parts[0], parts[1]), disjoint_ar=checks.disjoint(a, r),
     )
 
 
@@ -186,8 +195,211 @@ def q_chess_checks(spark, d):
     df = chess.frontier(chess.boards(spark, "r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq -"))
     told = chess.states(df)
     slots = chess.as_slots(df)
-    both = slots.select("board", chess.check(1).column(PositionSet._at).alias("by_slots"), chess.legal(1).column(PositionSet._at).alias("legal")).join(told, "board")
-    return both.agg(F.count("*").alias("boards"), F.sum((F.col("check") != F.col("by_slots")).cast("long")).alias("differ"), F.sum(F.col("legal").cast("long")).alias("legal"))
+    both = slots.select("board", chess.not_check(1).column(PositionSet._at).alias("free"), chess.legal(1).column(PositionSet._at).alias("legal")).join(told, "board")
+    return both.agg(F.count("*").alias("boards"), F.sum((F.col("check") == F.col("free")).cast("long")).alias("differ"), F.sum(F.col("legal").cast("long")).alias("legal"))
+
+
+def q_catalog(spark, d):
+    """Sets kept, found by name and by hash, built once, and removed when no name points to them."""
+    folder = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex[:12]}"
+    catalog, a, r = Catalog(spark, folder), flag(spark, d, "A"), flag(spark, d, "R")
+    key, loose = catalog.save(a, "returned"), catalog.save(r)
+    built = [catalog.load_or_build("either", lambda: a | r).size(), catalog.load_or_build("either", lambda: a).size()]
+    again = catalog.save(lineitem(spark, d, "l_returnflag = 'A'"), "copy")
+    write_tsv(catalog.load_by_name("either").frame(), f"{folder}/tsv")
+    tsv = spark.read.option("sep", "\t").option("header", True).csv(f"{folder}/tsv").count()
+    by_hash = catalog.load_by_hash(loose).size()
+    return _one(
+        spark, by_name_n=catalog.load_by_name("returned").size(), by_hash_n=by_hash, got_hash_n=catalog.get(key).size(), got_name_n=catalog.get("copy").size(), built_n=built[0],
+        kept_n=built[1], same_key=key == again, other_key=key != loose, tsv_n=tsv, gone_n=len(catalog.vacuum()), names_n=catalog.names().filter("name not like '#%'").count(),
+    )
+
+
+def q_fingerprint(spark, d):
+    a = flag(spark, d, "A")
+    other = PositionSet.from_frame(a.frame().orderBy(F.rand(1)), SHAPE)
+    return _one(spark, shuffled=a.fingerprint() == other.fingerprint(), complement=a.fingerprint() == (~a).fingerprint(), r=a.fingerprint() == flag(spark, d, "R").fingerprint())
+
+
+def q_bound_within(spark, d):
+    all_, few = lineitem(spark, d).bound(), (flag(spark, d, "A") & PositionSet.fixed(spark, SHAPE, 2, 6)).bound()
+    return _one(spark, few_in_every=bound_within(few, all_), every_in_few=bound_within(all_, few))
+
+
+def q_dnf(spark, d):
+    terms = [{0: 1, 1: 2}, {0: 1, 2: 3}, {3: 49, 2: 0, 1: 7}]
+    where = some([every([fixed(SHAPE, i, c) for i, c in t.items()]) for t in terms])
+    return ints((lineitem(spark, d) & PositionSet.matching(spark, SHAPE, where)).frame())
+
+
+def q_fold(spark, d):
+    sets = [Automaton.of(flag(spark, d, f)) for f in "ARN"]
+    return _one(spark, all_n=fold(sets, lambda a, b: a and b).size(), any_n=fold(sets, lambda a, b: a or b).size())
+
+
+def q_quick_stats(spark, d):
+    return _one(spark, stats=Automaton.of(flag(spark, d, "A")).quick_stats())
+
+
+def q_automaton_change(spark, d):
+    a = Automaton.of(flag(spark, d, "A")).change({0: (1, 2), 2: (3, 5)})
+    return ints(a.positions().frame())
+
+
+def q_automaton_predicate(spark, d):
+    """Sizes of sets that are never enumerated: 8**9 positions."""
+    shape = Shape((8,) * 9)
+    three, some_ = (Automaton.matching(spark, shape, p) for p in (count_character(shape, 0, 3), count_character(shape, 1, 1, 9)))
+    return _one(spark, three_n=three.size(), both_n=(three & some_).size())
+
+
+def q_graph_sizes(spark, d):
+    rows = []
+    for heaps, most in ((1, 3), (2, 3), (3, 4)):
+        g = get_game(f"normalnim_{heaps}x{most}")
+        graph = g.move_graph(0)
+        rows.append((heaps, most, len(graph), len(graph.edges), len(graph.optimized()), len(g.rules(0))))
+    return spark.createDataFrame(rows, "heaps int, most int, nodes int, edges int, pruned int, rules int")
+
+
+def q_graph_reversed(spark, d):
+    g = get_game("normalnim_3x4")
+    s = PositionSet.from_strings(spark, g.shape, [(4, 2, 0), (1, 1, 3)])
+    back = moves.apply(packed(s, g.shape), g.move_graph(0).reversed().optimized().rules(), g.shape)
+    return ints(unpacked(back.select(F.col("q").alias("p")), g.shape, distinct=True).frame())
+
+
+def q_reachable(spark, d):
+    g = get_game("normalnim_3x4")
+    return ints(g.reachable(spark, 0, 3).frame())
+
+
+def q_nim_unknown(spark, d):
+    g = get_game("normalnim_3x4")
+    return ints(unpacked(g.solver(spark).unknown(0, 2), g.shape).frame())
+
+
+def q_nim_built(kind: str, k: int) -> Callable:
+    def run(spark, d):
+        g = get_game("normalnim_3x4")
+        return ints(unpacked(getattr(g.solver(spark), kind)(1, k), g.shape).frame())
+
+    return run
+
+
+def q_othello_won(spark, d):
+    g = get_game("othello_2x2")
+    return ints((PositionSet.matching(spark, g.shape, g.won(0)) & PositionSet.matching(spark, g.shape, g.legal())).frame())
+
+
+def q_names(spark, d):
+    g = get_game("tictactoe_3")
+    rows = [g.names(k, ply_max=p, side=s) for k in ("losing", "winning", "unknown") for p in (0, 7, 12) for s in (0, 1)]
+    rows += [g.names("forward", ply=p) for p in range(3)] + [g.names(k, side=s) for k in ("lost", "won", "has_moves") for s in (0, 1)]
+    return spark.createDataFrame([(r,) for r in rows], "name string")
+
+
+def q_validated(spark, d):
+    """The one-step rules on right sets hold, and on wrong ones don't."""
+    g = get_game("normalnim_2x3")
+    s = g.solver(spark)
+    sets = {(kind, side): unpacked(getattr(s, kind)(side, 6), g.shape) for kind in ("losing", "winning") for side in (0, 1)}
+    none = PositionSet.reject(spark, g.shape)
+    return _one(
+        spark, losing_ok=checks.losing(g, 0, sets["losing", 0], none, sets["winning", 1]), losing_bad=checks.losing(g, 0, sets["winning", 0], none, sets["winning", 1]),
+        winning_ok=checks.winning(g, 0, sets["winning", 0], none, sets["losing", 1]), winning_bad=checks.winning(g, 0, sets["losing", 0], none, sets["losing", 1]),
+        moves_ok=checks.moves(g, 0, sets["winning", 0], 100), solved_ok=checks.solved(g, s, 4), parts_ok=checks.partition(PositionSet.accept(spark, g.shape), [sets["losing", 0], sets["winning", 0]]),
+    )
+
+
+def q_analysis(spark, d):
+    """A whole analysis kept in a catalog, and its table read back from text."""
+    folder = f"{shared_dir(spark)}/analysis-{uuid.uuid4().hex[:12]}"
+    held = analyse(get_game("tictactoe_2"), spark, folder, 4, 3, 20)
+    if not all(held.values()):
+        raise ValueError(f"checks failed: {held}")
+    table = spark.read.option("sep", "\t").option("header", True).csv(f"{folder}/stats")
+    return table.select(*(F.col(c).cast("int").alias(c) for c in ("ply", "win", "lose", "unknown")))
+
+
+#: Positions and what is true of them: check, checkmate, stalemate, too little material, end of the game. Fixed values.
+ENDS = [
+    ("rnb1kbnr/pppp1ppp/8/4p3/6Pq/5P2/PPPPP2P/RNBQKBNR w KQkq -", True, True, False, False, True),
+    ("7k/5Q2/6K1/8/8/8/8/8 b - -", False, False, True, False, True),
+    ("7k/8/6K1/8/8/8/8/6N1 w - -", False, False, False, True, True),
+    ("7k/8/6K1/8/8/8/8/6R1 w - -", False, False, False, False, False),
+    ("4k3/8/8/8/7b/8/8/4K3 w - -", True, False, False, True, True),
+    ("6k1/5ppp/8/8/8/8/8/R3K3 w Q -", False, False, False, False, False),
+    ("R5k1/5ppp/8/8/8/8/8/4K3 b - -", True, True, False, False, True),
+    ("rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -", False, False, False, False, False),
+]
+
+
+def q_chess_ends(spark, d):
+    return chess.states(chess.boards(spark, *(e[0] for e in ENDS)))
+
+
+def q_chess_mated(spark, d):
+    """Mates by the game's own predicate over slots."""
+    out = None
+    for side, letter in enumerate("wb"):
+        slots = chess.as_slots(chess.boards(spark, *(e[0] for e in ENDS if e[0].split()[1] == letter)))
+        df = slots.select("board", chess.Mated(side).column(PositionSet._at).alias("mated"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def q_chess_targets(spark, d):
+    """Squares that a white piece may enter, and those where it takes something, on one board."""
+    slots = chess.as_slots(chess.boards(spark, "r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq -"))
+    test = lambda f: F.array(*(F.when(f(0, s).column(PositionSet._at), F.lit(s)) for s in range(64)))
+    listed = slots.select(F.explode(test(chess.can_move_basic)).alias("square"), test(chess.can_move_capture).alias("takes")).filter("square is not null")
+    return listed.select("square", F.array_contains(F.array_compact("takes"), F.col("square")).alias("takes"))
+
+
+def q_chess_codec(spark, d):
+    """Boards to slots and back, after every first move."""
+    df = chess.frontier(chess.boards(spark, chess.C.START))
+    p = packed(chess.as_slots(df).drop("board"), chess.position_shape())
+
+    def back(stream):
+        for batch in stream:
+            yield pa.RecordBatch.from_arrays([pa.array([chess.C.Board.from_slots(x, False).key() for x in batch.column("p").to_pylist()], pa.string())], names=["board"])
+
+    return p.mapInArrow(back, "board string").select(F.split("board", " ")[0].alias("cells"), F.split("board", " ")[3].alias("passed"))
+
+
+def q_chess_between(spark, d):
+    c = chess.C
+    return spark.createDataFrame([(a, b, len(w)) for a in range(64) for b in range(64) if (w := c.between(a, b)) is not None], "a int, b int, n int")
+
+
+def q_chess_move_table(spark, d):
+    return spark.createDataFrame([(k, a, b, len(w)) for k, a, b, w in chess.C.move_table()], "piece string, a int, b int, n int")
+
+
+def q_chess_uci(spark, d):
+    return chess.successors(chess.boards(spark, chess.C.START)).select("move")
+
+
+def q_chess_unmoves(spark, d):
+    """Boards with a move to the board after 1. e4 that have all men and rights: the first one alone."""
+    g = get_game("chess")
+    after = [q for q in g.successors(0, g.initial()) if q[36]]
+    back = g.backward(0, PositionSet.from_strings(spark, g.shape, after[:1])).frame()
+    men = F.lit(0)
+    for i in range(64):
+        men = men + (F.col(f"c{i}") != 0).cast("int")
+    return back.filter((men == 32) & (F.col("c64") == 15) & (F.col("c65") == 0)).select(F.count("*").over(Window.partitionBy()).cast("int").alias("boards"), *(F.col(f"c{i}").cast("int").alias(f"c{i}") for i in (36, 44, 52)))
+
+
+def q_cli(spark, d):
+    """What the command line prints."""
+    told = io.StringIO()
+    with contextlib.redirect_stdout(told):
+        codes = [main(a.split()) for a in ("graph normalnim_2x3", "print normalnim_2x3 1 3", "solve normalnim_1x3 3", "validate normalnim_2x3 1 10")]
+    lines = [x for x in told.getvalue().splitlines() if x]
+    return spark.createDataFrame([(k, x) for k, x in enumerate(lines)] + [(-1, " ".join(map(str, codes)))], "line int, told string")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -235,6 +447,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chess_divide": q_divide,
     "chess_frontier": q_chess_frontier,
     "chess_checks": q_chess_checks,
+    "catalog": q_catalog,
+    "fingerprint": q_fingerprint,
+    "bound_within": q_bound_within,
+    "dnf": q_dnf,
+    "automaton_fold": q_fold,
+    "quick_stats": q_quick_stats,
+    "automaton_change": q_automaton_change,
+    "automaton_predicate": q_automaton_predicate,
+    "graph_sizes": q_graph_sizes,
+    "graph_reversed": q_graph_reversed,
+    "reachable": q_reachable,
+    "nim_unknown": q_nim_unknown,
+    "nim_losing_2": q_nim_built("losing", 2),
+    "nim_winning_1": q_nim_built("winning", 1),
+    "othello_won": q_othello_won,
+    "result_names": q_names,
+    "validated": q_validated,
+    "analysis": q_analysis,
+    "chess_ends": q_chess_ends,
+    "chess_mated": q_chess_mated,
+    "chess_targets": q_chess_targets,
+    "chess_codec": q_chess_codec,
+    "chess_between": q_chess_between,
+    "chess_move_table": q_chess_move_table,
+    "chess_uci": q_chess_uci,
+    "chess_unmoves": q_chess_unmoves,
+    "cli": q_cli,
 }
 
 _L = "(SELECT DISTINCT CAST(l_partkey % 16 AS INT) AS c0, CAST(l_suppkey % 16 AS INT) AS c1, CAST(l_linenumber - 1 AS INT) AS c2, CAST(l_quantity AS INT) - 1 AS c3 FROM lineitem{})"
@@ -319,3 +558,58 @@ _EMPTY = "(" + " OR ".join(f"c{i} = 0" for i in range(9)) + ")"
 ORACLE_SQL["ttt_lost"] = f"SELECT (SELECT count(*) FROM {_TTT} WHERE {_O}) AS lost_n, (SELECT count(*) FROM {_TTT} WHERE NOT {_O} AND {_EMPTY}) AS moves_n"
 _CELL = lambda k: f"CASE WHEN i = {k} THEN 'x' WHEN j = {k} THEN 'o' ELSE '.' END"
 ORACLE_SQL["ttt_boards"] = "SELECT " + " || chr(10) || ".join("concat_ws(' ', " + ", ".join(_CELL(3 * y + x) for x in range(3)) + ")" for y in range(3)) + " AS board FROM range(9) a(i), range(9) b(j) WHERE i <> j"
+
+
+# -- the operators that no other query names ----------------------------------------------------
+
+_E = f"(SELECT a.c0 AS a0, a.c1 AS a1, a.c2 AS a2, b.* FROM {_NIM} a JOIN {_NIM} b ON (a.c0 > b.c0 AND a.c1 = b.c1 AND a.c2 = b.c2) OR (a.c0 = b.c0 AND a.c1 > b.c1 AND a.c2 = b.c2) OR (a.c0 = b.c0 AND a.c1 = b.c1 AND a.c2 > b.c2))"
+_W1 = f"(SELECT DISTINCT a0 AS c0, a1 AS c1, a2 AS c2 FROM {_E} WHERE c0 + c1 + c2 = 0)"
+_L2 = f"(SELECT * FROM {_NIM} EXCEPT SELECT a0, a1, a2 FROM {_E} e WHERE NOT EXISTS (SELECT * FROM {_W1} w WHERE w.c0 = e.c0 AND w.c1 = e.c1 AND w.c2 = e.c2))"
+_SQ = "(SELECT CAST(i.r AS INT) AS a, CAST(j.r AS INT) AS b, abs(i.r % 8 - j.r % 8) AS dx, abs(i.r // 8 - j.r // 8) AS dy, j.r // 8 - i.r // 8 AS down FROM range(64) i(r), range(64) j(r) WHERE i.r <> j.r)"
+_FAR = "CAST(greatest(dx, dy) - 1 AS INT) AS n"
+_AN, _RN, _NN = (f"(SELECT count(*) FROM {x})" for x in (_A, _R, _N))
+_EITHER = f"(SELECT count(*) FROM (SELECT * FROM {_A} UNION SELECT * FROM {_R}))"
+_FEW = f"(SELECT * FROM {_A} WHERE c2 = 6)"
+
+
+def _ends(*columns: int) -> str:
+    names = ("board", "check", "checkmate", "stalemate", "draw_by_material", "final")
+    rows = [" AS ".join((f"'{e[0]}'", "board")) + "".join(f", {str(e[i]).lower()} AS \"{names[i]}\"" for i in columns) for e in ENDS]
+    return " UNION ALL ".join(f"SELECT {r}" for r in rows)
+
+
+ORACLE_SQL |= {
+    "catalog": f"SELECT {_AN} AS by_name_n, {_RN} AS by_hash_n, {_AN} AS got_hash_n, {_AN} AS got_name_n, {_EITHER} AS built_n, {_EITHER} AS kept_n, true AS same_key, {_AN} <> {_RN} OR EXISTS (SELECT * FROM {_A} EXCEPT SELECT * FROM {_R}) AS other_key, {_EITHER} AS tsv_n, CAST(1 AS BIGINT) AS gone_n, CAST(3 AS BIGINT) AS names_n",
+    "fingerprint": f"SELECT true AS shuffled, false AS complement, NOT EXISTS ((SELECT * FROM {_A} EXCEPT SELECT * FROM {_R}) UNION ALL (SELECT * FROM {_R} EXCEPT SELECT * FROM {_A})) AS r",
+    "bound_within": "SELECT " + ", ".join("(" + " AND ".join(f"NOT EXISTS (SELECT c{i} FROM {x} EXCEPT SELECT c{i} FROM {y})" for i in range(4)) + f") AS {n}" for n, x, y in (("few_in_every", _FEW, _l()), ("every_in_few", _l(), _FEW))),
+    "dnf": f"SELECT * FROM {_l()} WHERE (c0 = 1 AND c1 = 2) OR (c0 = 1 AND c2 = 3) OR (c3 = 49 AND c2 = 0 AND c1 = 7)",
+    "automaton_fold": f"SELECT (SELECT count(*) FROM (SELECT * FROM {_A} INTERSECT SELECT * FROM {_R} INTERSECT SELECT * FROM {_N})) AS all_n, (SELECT count(*) FROM {_l()}) AS any_n",
+    "quick_stats": "SELECT concat((SELECT sum(states) FROM (" + " UNION ALL ".join(_residuals(i) for i in range(4)) + f")), ' states, ', {_AN}, ' positions') AS stats",
+    "automaton_change": f"SELECT CAST(2 AS INT) AS c0, c1, CAST(5 AS INT) AS c2, c3 FROM {_A} WHERE c0 = 1 AND c2 = 3",
+    "automaton_predicate": "SELECT CAST(84 * 117649 AS BIGINT) AS three_n, CAST(84 * (117649 - 46656) AS BIGINT) AS both_n",
+    "graph_sizes": "SELECT CAST(h AS INT) AS heaps, CAST(m AS INT) AS most, CAST(2 + h * t AS INT) AS nodes, CAST(2 * h * t AS INT) AS edges, CAST(2 + h * t AS INT) AS pruned, CAST(h * t AS INT) AS rules FROM (SELECT h, m, m * (m + 1) // 2 AS t FROM (VALUES (1, 3), (2, 3), (3, 4)) v(h, m))",
+    "graph_reversed": ORACLE_SQL["nim_backward"],
+    "reachable": f"SELECT * FROM {_NIM} WHERE 12 - c0 - c1 - c2 >= 3",
+    "nim_unknown": f"SELECT * FROM {_NIM} EXCEPT SELECT * FROM {_W1} EXCEPT SELECT * FROM {_L2}",
+    "nim_losing_2": f"SELECT * FROM {_L2}",
+    "nim_winning_1": f"SELECT * FROM {_W1}",
+    "othello_won": "SELECT * FROM (SELECT " + ", ".join(f"CAST((i // {3**k}) % 3 AS INT) AS c{k}" for k in range(4)) + " FROM range(81) t(i)) WHERE c0 * c1 * c2 * c3 > 0 AND CAST(c0 = 1 AS INT) + CAST(c1 = 1 AS INT) + CAST(c2 = 1 AS INT) + CAST(c3 = 1 AS INT) > 2",
+    "result_names": "SELECT concat('backward,ply_max=', lpad(CAST(p AS VARCHAR), 3, '0'), ',side=', s, ',', k) AS name FROM (VALUES ('losing'), ('winning'), ('unknown')) a(k), (VALUES (0), (7), (12)) b(p), range(2) c(s) UNION ALL SELECT concat('forward,ply=', lpad(CAST(p AS VARCHAR), 3, '0')) FROM range(3) t(p) UNION ALL SELECT concat(k, ',side_to_move=', s) FROM (VALUES ('lost'), ('won')) a(k), range(2) c(s) UNION ALL SELECT concat('has_moves-side=', s) FROM range(2) c(s)",
+    "validated": "SELECT true AS losing_ok, false AS losing_bad, true AS winning_ok, false AS winning_bad, true AS moves_ok, true AS solved_ok, true AS parts_ok",
+    "analysis": _values("ply, win, lose, unknown", [(0, 1, 0, 0), (1, 0, 4, 0), (2, 12, 0, 0), (3, 0, 12, 0)], "CAST(ply AS INT) AS ply, CAST(win AS INT) AS win, CAST(lose AS INT) AS lose, CAST(unknown AS INT) AS unknown"),
+    "chess_ends": _ends(1, 2, 3, 4, 5),
+    "chess_mated": f"SELECT board, checkmate AS mated FROM ({_ends(2)})",
+    "chess_targets": "SELECT CAST(i AS INT) AS square, c <> '.' AS takes FROM (SELECT i, substr('r...k..rp.ppqpb.bn..pnp....PN....p..P.....N..Q.pPPPBBPPPR...K..R', CAST(i + 1 AS INT), 1) AS c FROM range(64) t(i)) WHERE c = '.' OR c IN ('q', 'r', 'b', 'n', 'p')",
+    "chess_between": f"SELECT a, b, {_FAR} FROM {_SQ} WHERE dx = 0 OR dy = 0 OR dx = dy",
+    "chess_move_table": " UNION ALL ".join([
+        f"SELECT 'k' AS piece, a, b, CAST(0 AS INT) AS n FROM {_SQ} WHERE greatest(dx, dy) = 1", f"SELECT 'q', a, b, {_FAR} FROM {_SQ} WHERE dx = 0 OR dy = 0 OR dx = dy", f"SELECT 'r', a, b, {_FAR} FROM {_SQ} WHERE dx = 0 OR dy = 0",
+        f"SELECT 'b', a, b, {_FAR} FROM {_SQ} WHERE dx = dy", f"SELECT 'n', a, b, CAST(0 AS INT) FROM {_SQ} WHERE dx * dy = 2",
+        *(f"SELECT '{p}', a, b, CAST(abs(down) - 1 AS INT) FROM {_SQ} WHERE a // 8 BETWEEN 1 AND 6 AND ((down = {s} AND dx <= 1) OR (down = {2 * s} AND dx = 0 AND a // 8 = {row}))" for p, s, row in (("P", -1, 6), ("p", 1, 1))),
+    ]),
+    "chess_uci": "SELECT concat(chr(CAST(97 + f AS INT)), '2', chr(CAST(97 + f AS INT)), CAST(r AS VARCHAR)) AS move FROM range(8) a(f), range(3, 5) b(r) UNION ALL SELECT * FROM (VALUES ('b1a3'), ('b1c3'), ('g1f3'), ('g1h3'))",
+    "chess_unmoves": "SELECT CAST(1 AS INT) AS boards, CAST(0 AS INT) AS c36, CAST(0 AS INT) AS c44, CAST(1 AS INT) AS c52",
+    "cli": "SELECT CAST(line AS INT) AS line, told FROM (VALUES (-1, '0 0 0 0'), (0, 'side 0: 14 nodes, 14 after pruning, 12 rules'), (1, 'side 1: 14 nodes, 14 after pruning, 12 rules'), (2, '0 3'), (3, '1 3'), (4, '2 3'), (5, 'win within 1'), (6, 'agree')) t(line, told)",
+}
+_PAWN = lambda f: f"concat('rnbqkbnr/pppppppp/8/8/', CASE WHEN r = 4 THEN {f} ELSE '8' END, '/', CASE WHEN r = 3 THEN {f} ELSE '8' END, '/', repeat('P', CAST(f AS INT)), '1', repeat('P', CAST(7 - f AS INT)), '/RNBQKBNR')"
+_ALONE = "concat(CASE WHEN f > 0 THEN CAST(f AS VARCHAR) ELSE '' END, 'P', CASE WHEN f < 7 THEN CAST(7 - f AS VARCHAR) ELSE '' END)"
+ORACLE_SQL["chess_codec"] = f"SELECT {_PAWN(_ALONE)} AS cells, CASE WHEN r = 4 THEN concat(chr(CAST(97 + f AS INT)), '3') ELSE '-' END AS passed FROM range(8) a(f), range(3, 5) b(r) UNION ALL SELECT concat('rnbqkbnr/pppppppp/8/8/8/', k), '-' FROM (VALUES ('N7/PPPPPPPP/R1BQKBNR'), ('2N5/PPPPPPPP/R1BQKBNR'), ('5N2/PPPPPPPP/RNBQKB1R'), ('7N/PPPPPPPP/RNBQKB1R')) t(k)"

@@ -124,3 +124,35 @@ def test_strings(spark):
         PositionSet.from_string(spark, SHAPE, (3, 0, 0))
     with pytest.raises(ValueError):
         PositionSet.accept(spark, SHAPE) & PositionSet.accept(spark, Shape((2,)))
+
+
+def test_automata_of_predicates_and_changes(spark):
+    import itertools
+
+    from plyset.functions.predicates import count_character, fixed, some
+    from plyset.operators.automaton import Automaton
+    from plyset.operators.positions import PositionSet
+    from plyset.shape import Shape
+
+    shape = Shape((3, 2, 4, 2))
+    for where in (count_character(shape, 0, 1, 2), some([fixed(shape, 0, 1) & fixed(shape, 2, 3), fixed(shape, 1, 0)]), ~fixed(shape, 3, 1), count_character(shape, 5, 0)):
+        s = PositionSet.matching(spark, shape, where)
+        a = Automaton.matching(spark, shape, where)
+        assert a == Automaton.of(s) and a.states() == Automaton.of(s).states() and a.size() == s.size()
+    a = Automaton.matching(spark, shape, count_character(shape, 0, 1, 2))
+    every = {p for p in itertools.product(*map(range, shape.sizes)) if 1 <= p.count(0) <= 2}
+    for changes in ({0: (0, 2)}, {1: (1, 1), 3: (0, 1)}, {2: (3, 0)}, {}):
+        want = {tuple(dict(changes).get(i, (c, c))[1] if i in changes else c for i, c in enumerate(p)) for p in every if all(p[i] == b for i, (b, _) in changes.items())}
+        got = a.change(changes)
+        assert set(got.positions()) == want and got == Automaton.of(PositionSet.from_strings(spark, shape, want))
+
+
+def test_null_slots_are_refused(spark):
+    import pytest
+
+    from plyset.operators.positions import PositionSet
+    from plyset.shape import Shape
+
+    df = spark.createDataFrame([(1, None)], "a int, b int")
+    with pytest.raises(Exception, match="null slot"):
+        PositionSet.from_frame(df, Shape((2, 2))).size()
