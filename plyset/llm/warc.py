@@ -98,12 +98,12 @@ def decide(pages: DataFrame) -> DataFrame:
     meta = staged(p.drop("html"), "meta")
     again = meta.filter(F.col("size") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
     again = staged(again.filter("n > 1 and refers_to is not null").drop("n"), "again")
-    revisits = meta.join(again, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = meta.join(again.hint("shuffle_hash"), "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     revisits = staged(revisits.select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "size", "refers_to"), "revisits")
     key = F.xxhash64("page_id", "digest")
     may = key_filter(revisits.select(key.alias("key")).distinct())
     same = (F.col("a.digest") == F.col("b.digest")) & F.col("a.page_id").eqNullSafe(F.col("b.page_id"))
-    only = lambda df: df.select("page_id", "digest").distinct().alias("b")
+    only = lambda df: df.select("page_id", "digest").distinct().hint("shuffle_hash").alias("b")
     chance = staged(meta.filter(may.column(key)).alias("a").join(only(revisits), same, "left_anti").select("page_id", "digest"), "chance")
     responses = p.withColumn("refers_to", F.lit(None).cast("long")).select(*DECIDED)
     found = responses.filter(~may.column(key))
