@@ -8,6 +8,8 @@ stats GAME PLIES           the combined table as tab-separated text, with shares
 print GAME PLY [K]         the first K positions after PLY plies
 graph GAME                 nodes of the move graphs before and after pruning, and their rules
 validate GAME PLY [K]      moves from the first K positions against the game's own generator
+validate-backward GAME PLIES  the one-step rules over the winning and losing positions of the whole universe
+validate-terminal GAME     that no position is both won and lost at the start, and that none of them may be moved from
 moves FEN                  legal chess moves
 perft FEN DEPTH            chess move paths by depth
 divide FEN DEPTH           chess move paths by first move
@@ -67,6 +69,14 @@ def main(args: list[str]) -> int:
         fine = checks.moves(game, number[0] % 2, game.positions_forward(spark, number[0]), number[1] if len(number) > 1 else 1000)
         print("agree" if fine else "DIFFER")
         return int(not fine)
+    elif command == "validate-backward":
+        fine = checks.solved(game, game.solver(spark), number[0])
+        print("agree" if fine else "DIFFER")
+        return int(not fine)
+    elif command == "validate-terminal":
+        fine = all(checks.terminal(game, spark, side) for side in (0, 1))
+        print("agree" if fine else "DIFFER")
+        return int(not fine)
     else:
         print(__doc__)
         return 2

@@ -73,6 +73,15 @@ def moves(game: Game, side: int, some: PositionSet, k: int = 1000) -> bool:
     return want == got
 
 
+def terminal(game: Game, spark, side: int) -> bool:
+    """Whether no position is won and lost for the side to move, and none of either has a move (where the game lets nobody go on)."""
+    won, lost = (PositionSet.matching(spark, game.shape, p) for p in (game.won(side), game.lost(side)))
+    if not disjoint(won, lost):
+        return False
+    may = game.has_moves(spark, side)
+    return disjoint(won, may) and disjoint(lost, may)
+
+
 def solved(game: Game, solver, plies: int) -> bool:
     """The one-step rules over a solver's sets up to ``plies``, and that they part the universe."""
     shape = game.shape

@@ -140,10 +140,15 @@ class Game:
 
 
 class Solver:
-    """Who wins within k plies, over all positions of a universe (by default all of the game's)."""
+    """Who wins within k plies, over all positions of a universe (by default all of the game's).
 
-    def __init__(self, game: Game, spark: SparkSession, universe: PositionSet | None = None):
+    Over the whole universe of a game that can be ``reversed`` (sides swapped), only side 0 is solved: side 1
+    wins or loses where side 0 does in the reversed position, and its moves aren't generated.
+    """
+
+    def __init__(self, game: Game, spark: SparkSession, universe: PositionSet | None = None, mirrored: bool = True):
         self.game, self.spark = game, spark
+        self.mirrored = mirrored and universe is None and hasattr(game, "reversed")
         self.universe = packed(universe or PositionSet.accept(spark, game.shape), game.shape)
         self._edges: dict[int, DataFrame] = {}
         self._memo: dict[tuple, DataFrame] = {}
@@ -171,8 +176,15 @@ class Solver:
         """Positions with a move that leads elsewhere."""
         return self.edges(side).join(targets.withColumnRenamed("p", "q"), "q", "left_anti").select("p").distinct()
 
+    def _other(self, kind: str, k: int) -> DataFrame:
+        """Side 1's positions as side 0's, reversed."""
+        shape = self.game.shape
+        return self._kept((kind, 1, k, "reversed"), lambda: packed(self.game.reversed(unpacked(getattr(self, kind)(0, k), shape)), shape))
+
     def winning(self, side: int, k: int) -> DataFrame:
         g = self.game
+        if side and self.mirrored:
+            return self._other("winning", k)
         if g.normal_play:
             k -= 1 - k % 2  # odd numbers of plies only
             if k < 0:
@@ -187,6 +199,8 @@ class Solver:
 
     def losing(self, side: int, k: int) -> DataFrame:
         g = self.game
+        if side and self.mirrored:
+            return self._other("losing", k)
         if g.normal_play:
             k -= k % 2  # even numbers only
             if k == 0:

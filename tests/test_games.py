@@ -7,7 +7,7 @@ from plyset.functions.chess import START, Board, between, move_table
 from plyset.games import chess, get_game
 from plyset.operators import checks
 from plyset.operators.positions import PositionSet
-from plyset.plans.game import solve_forward_backward, unpacked
+from plyset.plans.game import Solver, solve_forward_backward, unpacked
 from plyset.plans.moves import MoveGraph
 from plyset.shape import Shape
 
@@ -170,3 +170,16 @@ def test_analysis(spark, tmp_path):
     assert catalog.load_by_name("tictactoe_2/backward,ply_max=003,side=0,winning").size() > 0
     assert catalog.vacuum() == []
     assert spark.read.option("sep", "\t").option("header", True).csv(f"file://{tmp_path}/stats").count() == 4
+
+
+def test_a_mirrored_solver_finds_the_same(spark):
+    g = get_game("breakthrough_2x4")
+    one, both = g.solver(spark), Solver(g, spark, mirrored=False)
+    assert one.mirrored and not both.mirrored
+    for k in (0, 1, 2, 3):
+        for kind in ("winning", "losing"):
+            for side in (0, 1):
+                got, want = ({tuple(r.p) for r in getattr(s, kind)(side, k).collect()} for s in (one, both))
+                assert got == want and (want or kind == "winning"), (kind, side, k)
+    assert 1 not in one._edges
+    assert checks.terminal(g, spark, 0) and checks.terminal(get_game("tictactoe_2"), spark, 1)
