@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyset.llm import decontaminate, embedding_dedup, langid, line_dedup, lm, near_dedup, packing, quality, secrets, warc
+from plyset.llm import decontaminate, divergence, embedding_dedup, extraction, langid, line_dedup, lm, near_dedup, packing, quality, secrets, warc
 from plyset.llm.common import table
 
 
@@ -54,3 +54,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))

@@ -15,6 +15,8 @@ QUERIES = {
     "op8_line_chunk_dedup": q.op8,
     "op9_int8_embedding_dedup": q.op9,
     "op10_best_fit_packing": q.op10,
+    "op11_html_extraction": q.op11,
+    "op12_source_divergence": q.op12,
 }
 
 OP3_SQL = r"""
@@ -61,8 +63,34 @@ FROM v JOIN (SELECT vec_id, min(r) AS r FROM reach GROUP BY vec_id) c USING (vec
 LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x) k USING (vec_id)
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+w AS (SELECT lang, source, i, unnest(t) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT lang, source FROM d GROUP BY lang, source),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, v.v FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+tot AS (SELECT lang, source, sum(n) AS n FROM dense GROUP BY lang, source),
+ltot AS (SELECT lang, sum(n) AS n FROM tot GROUP BY lang),
+lterm AS (SELECT lang, term, sum(n) AS n FROM dense GROUP BY lang, term),
+p AS (SELECT dense.lang, dense.source, dense.term, dense.n, 1 + (1000000000::HUGEINT * (dense.n + 5)) // (tot.n + 5 * dense.v) AS p FROM dense JOIN tot USING (lang, source)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (lterm.n + 5)) // (ltot.n + 5 * v.v) AS q FROM lterm JOIN ltot USING (lang) JOIN v USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sums.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST(p.p - q.q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INT) AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INT) AS rank FROM terms) WHERE rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": OP3_SQL,
     "op5_warc_dictionary": OP5_SQL,
     "op9_int8_embedding_dedup": OP9_SQL,
+    "op12_source_divergence": OP12_SQL,
 }

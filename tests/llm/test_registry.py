@@ -9,10 +9,10 @@ from plyset.llm import registry
 DATA = "/root/testdata/sf0.001"
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_twelve_and_the_pipeline_are_registered():
     names = list(entry.queries())
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == list(registry.QUERIES)
-    assert len(registry.QUERIES) == 10 and "pipeline" in names
+    assert [n for k in range(1, 13) for n in names if n.startswith(f"op{k}_")] == list(registry.QUERIES)
+    assert len(registry.QUERIES) == 12 and "pipeline" in names
     assert all(isinstance(sql, str) for sql in registry.ORACLE_SQL.values()) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
 
