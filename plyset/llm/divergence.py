@@ -2,8 +2,8 @@
 
 Sort-based streaming, in two rounds of the same kind:
 
-1. Every document's terms are counted where it is read and pre-aggregated for each batch of a task
-   (``FLUSH`` entries at most), so that a term that stands everywhere arrives once for each batch and
+1. Every document's terms are counted where it is read and pre-aggregated in its task (``FLUSH``
+   rows are held at most), so that a term that stands everywhere arrives about once for each task and
    source. The partial counts are dealt by (lang, term) and sorted by (lang, term, source, document);
    one scan over the runs adds up document frequency and counts, and passes on the terms in at least
    ``MIN_DOCS`` documents with their counts by source.
@@ -29,20 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyset.llm.common import Scratch, bounded_batches
-from plyset.llm.text import release
+from plyset.llm.text import batches, release, string_bytes
 
 MIN_DOCS = 30
 TOP = 50
 SMOOTH = 5
 SCALE = 1_000_000_000
-FLUSH = 200_000
-CHUNK = 1 << 20
+FLUSH = 1_500_000
+CHUNK = 1 << 22
 CELLS = 1 << 21
-RUN_TERMS = 20_000
+RUN_TERMS = 4_000
 
 #: Bytes that belong to a term, A-Z lower-cased; all others become blanks.
 TERM = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -70,58 +71,100 @@ def terms_of(text: bytes) -> Counter:
 PARTIAL = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("doc", pa.int64()), ("docs", pa.int64()), ("n", pa.int64())])
 
 
+def counted(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, doc: np.ndarray) -> pa.Table:
+    """(group, term, doc, docs, n) of many texts, given as bytes: by each group of texts its terms, with the first text that has one."""
+    mapped = np.frombuffer(TERM, np.uint8)[data]
+    inside = mapped != 32
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before = np.concatenate([[False], inside[:-1]])
+    starts = np.flatnonzero(inside & (~before | edge[:-1]))
+    ends = np.flatnonzero(inside & (~np.concatenate([inside[1:], [False]]) | edge[1:])) + 1
+    at = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=at[1:])
+    tokens = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(mapped[inside].tobytes())]).dictionary_encode()
+    code, width = tokens.indices.to_numpy().astype(np.int64), max(1, len(tokens.dictionary))
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    held, n = np.unique(owner * width + code, return_counts=True)  # by document and term
+    owner, code = held // width, held % width
+    key, first, back = np.unique(group[owner] * width + code, return_index=True, return_inverse=True)
+    return pa.table(
+        {
+            "group": pa.array(key // width), "term": tokens.dictionary.take(pa.array(key % width)), "doc": pa.array(doc[owner[first]]),
+            "docs": pa.array(np.bincount(back, minlength=len(key)).astype(np.int64)), "n": pa.array(np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)),
+        }
+    )
+
+
+def long_counted(text: bytes, group: int, doc: int) -> pa.Table:
+    """The same of one very long text, piece by piece."""
+    found = terms_of(text)
+    k = len(found)
+    return pa.table({"group": pa.array([group] * k, pa.int64()), "term": pa.array(list(found), pa.binary()), "doc": pa.array([doc] * k, pa.int64()), "docs": pa.array([1] * k, pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
+
+
+def merged(tables: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(tables).group_by(["group", "term"], use_threads=False).aggregate([("doc", "min"), ("docs", "sum"), ("n", "sum")])
+    return out.select(["group", "term", "doc_min", "docs_sum", "n_sum"]).rename_columns(["group", "term", "doc", "docs", "n"])
+
+
 def partial_counts(docs: DataFrame) -> DataFrame:
-    """(lang, term, source, first document of the batch, documents, occurrences): one row for each batch of a task that holds the term."""
+    """(lang, term, source, first document, documents, occurrences): about one row for each task, source and term."""
     typed = docs.select(
-        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.monotonically_increasing_id().alias("doc"),
+        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("doc"),
     )
 
     def run(stream):
-        held: dict[tuple[str, str], tuple[int, Counter, Counter]] = {}
-
-        def out():
-            for (lang, source), (doc, docs_, n) in held.items():
-                terms = list(n)
-                for k in range(0, len(terms), 1 << 14):
-                    own = terms[k : k + (1 << 14)]
-                    names = pa.array(own, pa.binary()).cast(pa.string())
-                    same = [pa.array([v] * len(own), pa.string()) for v in (lang, source)]
-                    yield pa.RecordBatch.from_arrays(
-                        [same[0], names, same[1], pa.array([doc] * len(own), pa.int64()), pa.array([docs_[t] for t in own], pa.int64()), pa.array([n[t] for t in own], pa.int64())], schema=PARTIAL
-                    )
-
-        size = 0
-        for batch in stream:
-            for lang, source, text, doc in zip(*(batch.column(c) for c in ("lang", "source", "text", "doc"))):
-                found = terms_of(text.as_py())
-                if not found:
-                    continue
-                _, docs_, n = held.setdefault((lang.as_py(), source.as_py()), (doc.as_py(), Counter(), Counter()))
-                before = len(n)
-                docs_.update(found.keys())
-                n.update(found)
-                size += len(n) - before
-                if size >= FLUSH:
-                    yield from out()
-                    held, size = {}, 0
-        yield from out()
-        release()
+        groups: dict[tuple[str, str], int] = {}
+        held: list[pa.Table] = []
+
+        def out(t: pa.Table):
+            names = [pa.array([g[k] for g in groups], pa.string()) for k in (0, 1)]
+            own = t.column("group").combine_chunks()
+            columns = [names[0].take(own), t.column("term").combine_chunks().cast(pa.string()), names[1].take(own), *(t.column(c).combine_chunks() for c in ("doc", "docs", "n"))]
+            whole = pa.RecordBatch.from_arrays(columns, schema=PARTIAL)
+            for k in range(0, len(whole), 1 << 14):
+                yield whole.slice(k, 1 << 14)
+
+        for part in batches(stream, "text", CHUNK):
+            group = np.array([groups.setdefault(x, len(groups)) for x in zip(part.column("lang").to_pylist(), part.column("source").to_pylist())], np.int64)
+            doc = part.column("doc").to_numpy()
+            data, offsets = string_bytes(part.column("text"))
+            if len(data) > 2 * CHUNK:  # one text alone
+                found = [long_counted(data[offsets[k] : offsets[k + 1]].tobytes(), int(group[k]), int(doc[k])) for k in range(len(doc))]
+            else:
+                found = [counted(data, offsets, group, doc)]
+            held += [t for t in found if len(t)]
+            if sum(map(len, held)) >= FLUSH:
+                held = [merged(held)]
+                if len(held[0]) >= FLUSH // 2:
+                    yield from out(held.pop())
+        if held:
+            yield from out(merged(held))
 
     return typed.mapInArrow(run, "lang string, term string, source string, doc long, docs long, n long")
 
 
+def changes(*columns: pa.Array) -> np.ndarray:
+    """Where a row differs from the one before it; the first one does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    return out
+
+
 def kept_terms(partial: DataFrame, min_docs: int) -> DataFrame:
     """(lang, term, sources, counts) of the terms in at least ``min_docs`` of the language's documents."""
 
     def run(stream):
-        """Runs of equal (lang, term), and in them of equal source, may go on from batch to batch."""
-        now, docs, sources, counts = None, 0, [], []
+        """Runs of equal (lang, term), and in them of equal source; the last run of a batch may go on in the next."""
+        open_: tuple[tuple[str, str], int, list[str], list[int]] | None = None
         done: list[tuple] = []
 
-        def close():
-            if now is not None and docs >= min_docs:
-                done.append((*now, sources, counts))
+        def close(run_):
+            if run_ is not None and run_[1] >= min_docs:
+                done.append((*run_[0], run_[2], run_[3]))
 
         def flush():
             columns = list(zip(*done)) or [[]] * 4
@@ -129,22 +172,39 @@ def kept_terms(partial: DataFrame, min_docs: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "term", "sources", "counts"])
 
         for batch in stream:
-            columns = [batch.column(c) for c in ("lang", "term", "source", "docs", "n")]
-            for lang, term, source, d, n in zip(*(c.to_pylist() for c in columns)):
-                if (lang, term) != now:
-                    close()
-                    now, docs, sources, counts = (lang, term), 0, [], []
-                docs += d
-                if sources and sources[-1] == source:
-                    counts[-1] += n
+            if batch.num_rows == 0:
+                continue
+            lang, term, source = (batch.column(c) for c in ("lang", "term", "source"))
+            new = changes(lang, term)
+            runs = np.flatnonzero(new)
+            parts = np.flatnonzero(new | changes(source))
+            docs = np.add.reduceat(batch.column("docs").to_numpy(), runs)
+            n = np.add.reduceat(batch.column("n").to_numpy(), parts)
+            bounds = np.append(np.searchsorted(parts, runs), len(parts))
+            last = len(runs) - 1
+            for k in dict.fromkeys([0, *np.flatnonzero(docs >= min_docs).tolist(), last]):
+                a, b = bounds[k], bounds[k + 1]
+                now = ((lang[runs[k]].as_py(), term[runs[k]].as_py()), int(docs[k]), source.take(pa.array(parts[a:b])).to_pylist(), n[a:b].tolist())
+                if k == 0 and open_ is not None:
+                    if open_[0] == now[0]:
+                        (_, d, sources, counts), own, ns = open_, now[2], now[3]
+                        if sources[-1] == own[0]:
+                            counts[-1] += ns[0]
+                            own, ns = own[1:], ns[1:]
+                        now = (now[0], d + now[1], sources + own, counts + ns)
+                    else:
+                        close(open_)
+                    open_ = None
+                if k == last:
+                    open_ = now
                 else:
-                    sources.append(source)
-                    counts.append(n)
+                    close(now)
             if len(done) >= 1000:
                 yield flush()
                 done = []
-        close()
+        close(open_)
         yield flush()
+        release()
 
     dealt = partial.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "doc")
     return dealt.select("lang", "term", "source", "docs", "n").mapInArrow(run, "lang string, term string, sources array<string>, counts array<long>")

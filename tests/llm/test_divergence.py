@@ -66,11 +66,17 @@ def test_against_a_plain_reading(spark, seed, sources, least, top):
 
 
 def test_small_bounds_change_nothing(spark, monkeypatch):
-    """Many flushes, salts and tiles give the same rows."""
+    """Many flushes, salts and tiles, runs over several batches, and texts taken alone give the same rows."""
     rows = corpus(5, 300, [f"s{k}" for k in range(9)])
-    for name, value in (("FLUSH", 40), ("CELLS", 12), ("RUN_TERMS", 5)):
+    for name, value in (("FLUSH", 40), ("CHUNK", 60), ("CELLS", 12), ("RUN_TERMS", 5)):
         monkeypatch.setattr(divergence, name, value)
-    assert run(spark, rows, min_docs=5, top=4) == plain(rows, 5, 4)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "5")
+    try:
+        assert run(spark, rows, min_docs=5, top=4) == plain(rows, 5, 4)
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_terms(monkeypatch):
