@@ -21,6 +21,7 @@ from plyset.cli import main
 from plyset.functions.predicates import count_character, every, fixed, some
 from plyset.games import chess, get_game
 from plyset.operators import checks
+from plyset.operators import automaton as automata
 from plyset.operators.automaton import Automaton, fold
 from plyset.operators.positions import PositionSet, bound_within, intersection, union
 from plyset.plans import moves
@@ -246,6 +247,54 @@ def q_automaton_change(spark, d):
     return ints(a.positions().frame())
 
 
+def of_flag(spark, d, f):
+    return Automaton.of(flag(spark, d, f))
+
+
+def q_nth(spark, d):
+    """The positions of A whose ranks are order keys."""
+    ranks = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("rank")).distinct()
+    return with_ints(of_flag(spark, d, "A").nth(ranks), "rank")
+
+
+def with_ints(df, *others):
+    return df.select(*others, *(F.col(c).cast("int").alias(c) for c in SHAPE.columns))
+
+
+def q_ranks(spark, d):
+    """Where the positions of R stand among those of A."""
+    return with_ints(of_flag(spark, d, "A").ranks(flag(spark, d, "R").frame()).withColumn("rank", F.col("rank").cast("long")), "rank")
+
+
+def q_automaton_contains(spark, d):
+    """Every line with a flag other than A, and whether A's automaton accepts its position; no line is dropped or made distinct."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_returnflag != 'A'")
+    rows = lines.selectExpr("l_orderkey", "l_partkey % 16 as c0", "l_suppkey % 16 as c1", "l_linenumber - 1 as c2", "cast(l_quantity as int) - 1 as c3")
+    return of_flag(spark, d, "A").accepts(rows).select("l_orderkey", "c2", "accepted")
+
+
+def q_together(spark, d):
+    sets = [of_flag(spark, d, f) for f in "ARN"]
+    return ints(automata.intersection(sets).positions().frame()).withColumn("kind", F.lit("all")).unionByName(ints(automata.union(sets).first(500).drop("rank")).withColumn("kind", F.lit("first of any")))
+
+
+def q_cost_fold(spark, d):
+    """Six sets by discount, paired by cost: what all hold, and how many any holds."""
+    sets = [Automaton.of(lineitem(spark, d, f"cast(round(l_discount * 100) as int) % 6 = {k}")) for k in range(6)]
+    return _one(spark, all_n=automata.fold_by_cost(sets, True).size(), any_n=automata.fold_by_cost(sets, False).size())
+
+
+def q_automaton_bounds(spark, d):
+    a = Automaton.of(flag(spark, d, "A") & PositionSet.fixed(spark, SHAPE, 0, 3))
+    return a.bounds().withColumn("fixed", F.lit(a.check_fixed(0, 3))).withColumn("within", F.lit(a.check_bound([{3}, set(range(16)), set(range(7)), set(range(50))]))).withColumn("linear", F.lit(a.is_linear()))
+
+
+def q_change_fixed(spark, d):
+    """A change of a slot that holds one character in all positions, which takes one pass."""
+    a = Automaton.of(flag(spark, d, "A") & PositionSet.fixed(spark, SHAPE, 2, 3))
+    return ints(a.change({2: (3, 5)}).positions().frame())
+
+
 def q_automaton_predicate(spark, d):
     """Sizes of sets that are never enumerated: 8**9 positions."""
     shape = Shape((8,) * 9)
@@ -454,6 +503,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "automaton_fold": q_fold,
     "quick_stats": q_quick_stats,
     "automaton_change": q_automaton_change,
+    "automaton_first_k": lambda s, d: with_ints(of_flag(s, d, "A").first(100, offset=1000), "rank"),
+    "automaton_nth": q_nth,
+    "automaton_ranks": q_ranks,
+    "automaton_contains_batch": q_automaton_contains,
+    "automaton_together": q_together,
+    "automaton_cost_fold": q_cost_fold,
+    "automaton_bounds": q_automaton_bounds,
+    "automaton_change_fixed": q_change_fixed,
     "automaton_predicate": q_automaton_predicate,
     "graph_sizes": q_graph_sizes,
     "graph_reversed": q_graph_reversed,
@@ -613,3 +670,17 @@ ORACLE_SQL |= {
 _PAWN = lambda f: f"concat('rnbqkbnr/pppppppp/8/8/', CASE WHEN r = 4 THEN {f} ELSE '8' END, '/', CASE WHEN r = 3 THEN {f} ELSE '8' END, '/', repeat('P', CAST(f AS INT)), '1', repeat('P', CAST(7 - f AS INT)), '/RNBQKBNR')"
 _ALONE = "concat(CASE WHEN f > 0 THEN CAST(f AS VARCHAR) ELSE '' END, 'P', CASE WHEN f < 7 THEN CAST(7 - f AS VARCHAR) ELSE '' END)"
 ORACLE_SQL["chess_codec"] = f"SELECT {_PAWN(_ALONE)} AS cells, CASE WHEN r = 4 THEN concat(chr(CAST(97 + f AS INT)), '3') ELSE '-' END AS passed FROM range(8) a(f), range(3, 5) b(r) UNION ALL SELECT concat('rnbqkbnr/pppppppp/8/8/8/', k), '-' FROM (VALUES ('N7/PPPPPPPP/R1BQKBNR'), ('2N5/PPPPPPPP/R1BQKBNR'), ('5N2/PPPPPPPP/RNBQKB1R'), ('7N/PPPPPPPP/RNBQKB1R')) t(k)"
+
+_RANKED = f"(SELECT row_number() OVER (ORDER BY c0, c1, c2, c3) - 1 AS rank, * FROM {_A})"
+_A3 = f"(SELECT * FROM {_A} WHERE c0 = 3)"
+_D6 = [_l(f"CAST(round(l_discount * 100) AS INT) % 6 = {k}") for k in range(6)]
+ORACLE_SQL |= {
+    "automaton_first_k": f"SELECT * FROM {_RANKED} ORDER BY rank LIMIT 100 OFFSET 1000",
+    "automaton_nth": f"SELECT * FROM {_RANKED} WHERE rank IN (SELECT o_orderkey FROM orders)",
+    "automaton_ranks": f"SELECT a.rank, r.* FROM {_R} r LEFT JOIN {_RANKED} a USING (c0, c1, c2, c3)",
+    "automaton_contains_batch": f"SELECT l_orderkey, CAST(l_linenumber - 1 AS INT) AS c2, (l_partkey % 16, l_suppkey % 16, l_linenumber - 1, CAST(l_quantity AS INT) - 1) IN (SELECT (c0, c1, c2, c3) FROM {_A}) AS accepted FROM lineitem WHERE l_returnflag <> 'A'",
+    "automaton_together": f"SELECT *, 'all' AS kind FROM ({_A[1:-1]} INTERSECT {_R[1:-1]} INTERSECT {_N[1:-1]}) UNION ALL SELECT *, 'first of any' AS kind FROM (SELECT * FROM {_l()} ORDER BY c0, c1, c2, c3 LIMIT 500)",
+    "automaton_cost_fold": f"SELECT (SELECT count(*) FROM ({' INTERSECT '.join(x[1:-1] for x in _D6)})) AS all_n, (SELECT count(*) FROM ({' UNION '.join(x[1:-1] for x in _D6)})) AS any_n",
+    "automaton_bounds": " UNION ALL ".join(f"SELECT DISTINCT CAST({i} AS INT) AS layer, c{i} AS c, true AS fixed, true AS within, (SELECT count(*) = count(DISTINCT c1) * count(DISTINCT c2) * count(DISTINCT c3) FROM {_A3}) AS linear FROM {_A3}" for i in range(4)),
+    "automaton_change_fixed": f"SELECT c0, c1, CAST(5 AS INT) AS c2, c3 FROM {_A} WHERE c2 = 3",
+}
