@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from plyset.functions import predicates as P
 from plyset.operators.positions import PositionSet
 from plyset.shape import Shape
-from plyset.storage import materialise
+from plyset.storage import materialise, materialise_once
 
 REJECT, ACCEPT = "0", "1"
 #: Rests of a predicate at one slot that the driver holds while it builds an automaton from it.
@@ -291,12 +291,22 @@ class Automaton:
     def complement(self) -> Automaton:
         return self.combine(self, lambda a, b: not a)
 
-    def combine(self, other: Automaton, keep: Callable[[bool, bool], bool]) -> Automaton:
-        """The product with another automaton: top down the pairs that occur, bottom up their states."""
+    def combine(self, other: Automaton, keep: Callable[[bool, bool], bool], folder: str | None = None) -> Automaton:
+        """The product with another automaton: top down the pairs that occur, bottom up their states.
+
+        With a ``folder``, layers are kept there under a name made of both roots and the operation, and a
+        later call, also by another driver, takes up the layers that are whole. They stay until deleted.
+        """
         if self.shape != other.shape:
             raise ValueError("automata of different shapes")
         constant = {(a, b): (ACCEPT if keep(a == ACCEPT, b == ACCEPT) else REJECT) for a in (REJECT, ACCEPT) for b in (REJECT, ACCEPT)}
 
+        told = repr((self.shape.sizes, self.root, other.root, sorted(constant.items())))
+        kept_at = None if folder is None else f"{folder.rstrip('/')}/{hashlib.sha256(told.encode()).hexdigest()}"
+
+        def layer(df: DataFrame, name: str) -> DataFrame:
+            return materialise(df, name) if kept_at is None else materialise_once(df, f"{kept_at}/{name}")
+
         def settled(a: str, b: str):
             """The result of pairs that need no look further down."""
             out = F.lit(None).cast("string")
@@ -314,7 +324,7 @@ class Automaton:
         for i in range(len(self.shape)):
             open_ = pairs.filter(settled("l", "r").isNull())
             met = open_.join(self._full(i).toDF("l", "ln"), "l").join(other._full(i).toDF("r", "rn"), "r")
-            steps.append(materialise(met.select("l", "r", F.arrays_zip("ln", "rn").alias("to")), "pairs"))
+            steps.append(layer(met.select("l", "r", F.arrays_zip("ln", "rn").alias("to")), f"pairs{i:03d}"))
             pairs = steps[-1].select(F.explode("to").alias("t")).select(F.col("t.ln").alias("l"), F.col("t.rn").alias("r")).distinct()
         known = pairs.select("l", "r", settled("l", "r").alias("state"))
         layers: list[DataFrame] = []
@@ -323,7 +333,7 @@ class Automaton:
             each = each.withColumn("s", settled("tl", "tr")).join(known.toDF("tl", "tr", "ks"), ["tl", "tr"], "left")
             rows = each.groupBy("l", "r").agg(F.sort_array(F.collect_list(F.struct("c", F.coalesce("s", "ks").alias("s")))).alias("o"))
             rows = rows.withColumn("next", F.transform("o", lambda x: x["s"]))
-            known = materialise(rows.select("l", "r", "next", _state_of().alias("state")), f"layer{i:03d}")
+            known = layer(rows.select("l", "r", "next", _state_of().alias("state")), f"layer{i:03d}")
             layers.insert(0, known.filter(~F.col("state").isin(REJECT, ACCEPT)).select("state", "next").distinct())
             known = known.select("l", "r", "state")
         top = known.first()
@@ -372,15 +382,27 @@ def fold(automata: list[Automaton], keep: Callable[[bool, bool], bool]) -> Autom
 
 
 def _together(automata: list[Automaton], absorbing: str) -> Automaton:
-    """All of them in one pass down and one up, for "and" (REJECT absorbs) or "or" (ACCEPT does).
-
-    Both are associative, commutative and idempotent, so what the operands' states lead to is a set of
-    states: the neutral constant and repetitions drop out, and the absorbing one settles the set.
-    """
+    """All of them in one pass down and one up, for "and" (REJECT absorbs) or "or" (ACCEPT does)."""
     first = automata[0]
     if any(a.shape != first.shape for a in automata):
         raise ValueError("automata of different shapes")
-    spark, shape = first.spark, first.shape
+    different = {a.root: a for a in automata}
+    tables = [functools.reduce(DataFrame.union, (_arrows(a.layers[i]) for a in different.values())).dropDuplicates(["state"]) for i in range(len(first.shape))]
+    return _determined(first.spark, first.shape, first.spark.createDataFrame([([*different],)], "m array<string>"), tables, absorbing)
+
+
+def _arrows(layer: DataFrame) -> DataFrame:
+    """A layer with a list of one state for each character."""
+    return layer.select("state", F.transform("next", lambda s: F.array(s)).alias("to"))
+
+
+def _determined(spark: SparkSession, shape: Shape, roots: DataFrame, tables: list[DataFrame], absorbing: str) -> Automaton:
+    """The automaton of a set of states (``m``, one row) whose characters lead to lists of states (``state``, ``to``), all to be met together.
+
+    "And" and "or" are associative, commutative and idempotent, so what the states lead to is a set of
+    states: the neutral constant and repetitions drop out, and the absorbing one settles the set. Top down
+    the sets that occur, bottom up their states; each layer is met once, whatever the number of operands.
+    """
     neutral = ACCEPT if absorbing == REJECT else REJECT
 
     def normal(states):
@@ -390,12 +412,11 @@ def _together(automata: list[Automaton], absorbing: str) -> Automaton:
     def name(members):
         return F.when(F.size(members) == 1, F.element_at(members, 1)).otherwise(F.sha2(F.concat_ws("&", members), 256))
 
-    now = spark.createDataFrame([([a.root for a in automata],)], "m array<string>").select(normal(F.col("m")).alias("m")).select(name(F.col("m")).alias("k"), "m")
-    steps: list[DataFrame] = []
+    start = roots.select(normal(F.col("m")).alias("m")).select(name(F.col("m")).alias("k"), "m")
+    now, steps = start, []
     for i, size in enumerate(shape.sizes):
-        rows = functools.reduce(DataFrame.union, (a.layers[i] for a in {a.root: a for a in automata}.values())).distinct()
-        met = now.filter(~F.col("k").isin(REJECT, ACCEPT)).select("k", F.explode("m").alias("state")).join(rows, "state").groupBy("k").agg(F.collect_list("next").alias("nexts"))
-        to = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: normal(F.transform("nexts", lambda n: F.element_at(n, c + 1))))
+        met = now.filter(~F.col("k").isin(REJECT, ACCEPT)).select("k", F.explode("m").alias("state")).join(tables[i], "state").groupBy("k").agg(F.collect_list("to").alias("all"))
+        to = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: normal(F.flatten(F.transform("all", lambda n: F.element_at(n, c + 1)))))
         steps.append(materialise(met.select("k", to.alias("to")), f"sets{i:03d}"))
         now = steps[-1].select(F.explode("to").alias("m")).distinct().select(name(F.col("m")).alias("k"), "m")
     known = spark.createDataFrame([], "k string, state string")
@@ -410,10 +431,76 @@ def _together(automata: list[Automaton], absorbing: str) -> Automaton:
         layers.insert(0, done.filter(~F.col("state").isin(REJECT, ACCEPT)).select("state", "next").distinct())
         known = done.select("k", "state")
     top = known.first()
-    if top is None:  # the roots settle it
-        roots = {a.root for a in automata} - {neutral}
-        return Automaton(spark, shape, absorbing if absorbing in roots else neutral, layers)
-    return Automaton(spark, shape, top["state"], layers)
+    return Automaton(spark, shape, top["state"] if top is not None else start.first()["k"], layers)
+
+
+def of_clauses(clauses: DataFrame, shape: Shape) -> Automaton:
+    """The positions that meet some clause of a table: its columns are the slots, and a null leaves a slot free.
+
+    Clauses are a trie: a node is what a clause asks of the slots so far, and shared beginnings are one
+    node. Its arrows go to the node that asks for the character and to the one that leaves the slot free;
+    where a clause asks nothing more, to ACCEPT. Sets of nodes are then the states. A clause with a
+    character out of range is met by nothing, one without any by all, and no clauses by none.
+    """
+    spark, slots = clauses.sparkSession, shape.columns
+    rows = clauses.select(*(F.col(c).cast("int").alias(n) for c, n in zip(clauses.columns, slots)))
+    fits = functools.reduce(lambda a, b: a & b, (F.col(n).isNull() | F.col(n).between(0, size - 1) for n, size in zip(slots, shape.sizes)), F.lit(True))
+    rows = materialise(rows.filter(fits).distinct(), "clauses")
+
+    def node(depth: int):
+        """The clause's node before a slot."""
+        asked = F.concat_ws(",", *(F.coalesce(F.col(n).cast("string"), F.lit("*")) for n in slots[:depth])) if depth else F.lit("")
+        more = functools.reduce(lambda a, b: a | b, (F.col(n).isNotNull() for n in slots[depth:]), F.lit(False))
+        return F.when(more, F.concat(F.lit("#"), asked)).otherwise(ACCEPT)
+
+    tables = []
+    for i, size in enumerate(shape.sizes):
+        edges = rows.select(node(i).alias("state"), F.struct(F.col(slots[i]).alias("c"), node(i + 1).alias("child")).alias("e")).filter(F.col("state") != ACCEPT)
+        grouped = edges.groupBy("state").agg(F.collect_set("e").alias("es"))
+        to = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: F.transform(F.filter("es", lambda e: e["c"].isNull() | (e["c"] == c)), lambda e: e["child"]))
+        tables.append(grouped.select("state", to.alias("to")))
+    roots = rows.select(node(0).alias("s")).agg(F.collect_set("s").alias("m"))  # the one root, or ACCEPT, or none
+    return _determined(spark, shape, roots, tables, ACCEPT)
+
+
+def image(a: Automaton, rules: DataFrame, backward: bool = False) -> Automaton:
+    """Where the rules lead from the accepted positions, in one pass for all rules (``backward``: what leads there).
+
+    ``rules`` has a row for each slot that a rule changes: ``rule``, ``slot``, ``before``, ``after``. A rule
+    applies to positions that hold every ``before`` and writes each ``after``. A state is followed together
+    with what is left of the rules, so that rules with equal rests go on as one, and a state whose rule is
+    done goes on alone. Rules with a character or slot out of range apply to nothing.
+    """
+    spark, shape = a.spark, a.shape
+    old, new = ("after", "before") if backward else ("before", "after")
+    sizes = F.array(*(F.lit(s) for s in shape.sizes))
+    ok = F.col("slot").between(0, len(shape) - 1)
+    ok = ok & F.col(old).between(0, F.try_element_at(sizes, F.col("slot") + 1) - 1) & F.col(new).between(0, F.try_element_at(sizes, F.col("slot") + 1) - 1)
+    rows = rules.select("rule", *(F.col(c).cast("int").alias(c) for c in ("slot", "before", "after"))).withColumn("ok", F.coalesce(ok, F.lit(False)))
+    entry = F.struct("slot", F.col(old).alias("old"), F.col(new).alias("new"))
+    rests = rows.groupBy("rule").agg(F.sort_array(F.collect_list(entry)).alias("rest"), F.every("ok").alias("ok")).filter("ok").select("rest").distinct()
+    key = lambda rest: F.array_join(F.transform(rest, lambda x: F.concat_ws(":", x["slot"], x["old"], x["new"])), ";")
+
+    def child(state, rest):
+        return F.when((state == REJECT) | (F.size(rest) == 0), state).otherwise(F.concat(state, F.lit("@"), key(rest)))
+
+    nodes = materialise(rests.select(F.lit(a.root).alias("s"), "rest"), "rules")
+    roots = nodes.select(child(F.col("s"), F.col("rest")).alias("r")).agg(F.collect_set("r").alias("m"))
+    tables = []
+    for i, size in enumerate(shape.sizes):
+        met = a._met(nodes.withColumnRenamed("s", "state"), i, a.layers[i])
+        met = met.withColumn("next", F.coalesce("next", F.array_repeat(F.col("state"), size)))
+        here = F.try_element_at("rest", F.lit(1))
+        changed = F.coalesce(here["slot"] == i, F.lit(False))
+        later = F.when(changed, F.slice("rest", 2, 1 << 20)).otherwise(F.col("rest"))
+        met = met.withColumn("later", later).withColumn("changed", changed).withColumn("old", here["old"]).withColumn("new", here["new"])
+        chars = F.sequence(F.lit(0), F.lit(size - 1))
+        to = F.transform(chars, lambda c: F.when(~F.col("changed"), F.element_at("next", c + 1)).when(F.col("new") == c, F.element_at("next", F.col("old") + 1)).otherwise(F.lit(REJECT)))
+        met = met.withColumn("to", to).select("state", "rest", "to", "later")
+        own = met.select(child(F.col("state"), F.col("rest")).alias("state"), F.transform("to", lambda s: F.array(child(s, F.col("later")))).alias("to"))
+        tables.append(_arrows(a.layers[i]).unionByName(own))
+        nodes = materialise(met.select(F.explode("to").alias("s"), F.col("later").alias("rest")).filter((F.col("s") != REJECT) & (F.size("rest") > 0)).distinct(), f"rules{i:03d}")
+    return _determined(spark, shape, roots, tables, ACCEPT)
 
 
 def intersection(automata: list[Automaton]) -> Automaton:

@@ -28,6 +28,7 @@ from plyset.plans import moves
 from plyset.plans.analysis import analyse
 from plyset.plans.game import packed, solve_forward_backward, unpacked, with_fractions
 from plyset.shape import Shape
+from plyset.sources.automata import AutomatonStore
 from plyset.sources.catalog import Catalog, write_tsv
 from plyset.storage import shared_dir
 
@@ -279,9 +280,9 @@ def q_together(spark, d):
 
 
 def q_cost_fold(spark, d):
-    """Six sets by discount, paired by cost: what all hold, and how many any holds."""
+    """Six sets by discount: how many positions all hold, paired by cost, and any, in one pass."""
     sets = [Automaton.of(lineitem(spark, d, f"cast(round(l_discount * 100) as int) % 6 = {k}")) for k in range(6)]
-    return _one(spark, all_n=automata.fold_by_cost(sets, True).size(), any_n=automata.fold_by_cost(sets, False).size())
+    return _one(spark, all_n=automata.fold_by_cost(sets, True).size(), any_n=automata.union(sets).size())
 
 
 def q_automaton_bounds(spark, d):
@@ -295,6 +296,44 @@ def q_change_fixed(spark, d):
     return ints(a.change({2: (3, 5)}).positions().frame())
 
 
+def q_clauses(spark, d):
+    """Lines that meet one of as many clauses as there are parts; slots that a clause leaves open are null."""
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    clauses = parts.selectExpr("if(p_size % 5 = 0, null, p_partkey * 7 % 16)", "if(p_size % 7 = 0, null, p_size % 16)", "if(p_size % 4 = 0, null, p_size % 7)", "p_partkey % 50")
+    return ints(automata.of_clauses(clauses, SHAPE).contains_batch(lineitem(spark, d)).frame())
+
+
+def q_image(spark, d):
+    """Positions of A moved by a rule of each nation, forward and back."""
+    nations = spark.read.parquet(f"{d}/nation.parquet")
+    rules = nations.selectExpr("n_nationkey as rule", "0 as slot", "n_nationkey % 16 as before", "(n_nationkey + 1) % 16 as after")
+    rules = rules.union(nations.selectExpr("n_nationkey", "2", "n_regionkey", "(n_regionkey + 2) % 7"))
+    a = of_flag(spark, d, "A")
+    found = [ints(automata.image(a, rules, back).positions().frame()).withColumn("back", F.lit(back)) for back in (False, True)]
+    return found[0].unionByName(found[1])
+
+
+def q_store(spark, d):
+    """Two overlapping sets kept with the states that they share, then one of them alone."""
+    folder = f"{shared_dir(spark)}/automata-{uuid.uuid4().hex[:12]}"
+    store, a, r = AutomatonStore(spark, folder), of_flag(spark, d, "A"), of_flag(spark, d, "R")
+    either = a | r
+    store.save(a, "returned")
+    store.save(either, "either")
+    both = store.states(SHAPE).count()
+    sizes = store.load("returned").size(), store.load(either.root).size()
+    store.unbind("either")
+    left = store.vacuum()["after"]
+    return _one(spark, both_states=both, a_n=sizes[0], either_n=sizes[1], left_states=left)
+
+
+def q_resumed(spark, d):
+    """A product whose layers are kept, taken up by operands that were built anew."""
+    folder = f"{shared_dir(spark)}/product-{uuid.uuid4().hex[:12]}"
+    found = [of_flag(spark, d, "A").combine(of_flag(spark, d, "R"), lambda x, y: x and not y, folder) for _ in range(2)]
+    return ints(found[1].positions().frame()).withColumn("same", F.lit(found[0] == found[1]))
+
+
 def q_automaton_predicate(spark, d):
     """Sizes of sets that are never enumerated: 8**9 positions."""
     shape = Shape((8,) * 9)
@@ -511,6 +550,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "automaton_cost_fold": q_cost_fold,
     "automaton_bounds": q_automaton_bounds,
     "automaton_change_fixed": q_change_fixed,
+    "dnf_clauses": q_clauses,
+    "automaton_image": q_image,
+    "automaton_store": q_store,
+    "automaton_resumed": q_resumed,
     "automaton_predicate": q_automaton_predicate,
     "graph_sizes": q_graph_sizes,
     "graph_reversed": q_graph_reversed,
@@ -684,3 +727,23 @@ ORACLE_SQL |= {
     "automaton_bounds": " UNION ALL ".join(f"SELECT DISTINCT CAST({i} AS INT) AS layer, c{i} AS c, true AS fixed, true AS within, (SELECT count(*) = count(DISTINCT c1) * count(DISTINCT c2) * count(DISTINCT c3) FROM {_A3}) AS linear FROM {_A3}" for i in range(4)),
     "automaton_change_fixed": f"SELECT c0, c1, CAST(5 AS INT) AS c2, c3 FROM {_A} WHERE c2 = 3",
 }
+
+
+def _distinct_residuals(sets: list[str]) -> str:
+    """How many different states several sets have together, without constants."""
+    one = "SELECT {layer} AS layer, list({code} ORDER BY {code}) AS s FROM {rows} GROUP BY {prefix}"
+    each = []
+    for layer, (code, prefix) in enumerate((("((c0 * 16 + c1) * 7 + c2) * 50 + c3", "()"), ("(c1 * 7 + c2) * 50 + c3", "c0"), ("c2 * 50 + c3", "c0, c1"), ("c3", "c0, c1, c2"))):
+        full = (89600, 5600, 350, 50)[layer]
+        each += [f"SELECT layer, s FROM ({one.format(layer=layer, code=code, rows=rows, prefix=prefix)}) WHERE len(s) < {full}" for rows in sets]
+    return f"(SELECT count(DISTINCT (layer, s)) FROM ({' UNION ALL '.join(each)}))"
+
+
+_RULES = "(SELECT n_nationkey % 16 AS b0, (n_nationkey + 1) % 16 AS a0, n_regionkey AS b2, (n_regionkey + 2) % 7 AS a2 FROM nation)"
+_CLAUSE = "(SELECT CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_partkey * 7 % 16 END AS k0, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size % 16 END AS k1, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size % 7 END AS k2, p_partkey % 50 AS k3 FROM part)"
+ORACLE_SQL |= {
+    "dnf_clauses": f"SELECT DISTINCT l.* FROM {_l()} l JOIN {_CLAUSE} k ON k3 = c3 AND coalesce(k0 = c0, true) AND coalesce(k1 = c1, true) AND coalesce(k2 = c2, true)",
+    "automaton_image": f"SELECT DISTINCT CAST(a0 AS INT) AS c0, c1, CAST(a2 AS INT) AS c2, c3, false AS back FROM {_A} JOIN {_RULES} ON c0 = b0 AND c2 = b2 UNION ALL SELECT DISTINCT CAST(b0 AS INT), c1, CAST(b2 AS INT), c3, true FROM {_A} JOIN {_RULES} ON c0 = a0 AND c2 = a2",
+    "automaton_store": f"SELECT {_distinct_residuals([_A, _l("l_returnflag IN ('A', 'R')")])} AS both_states, {_AN} AS a_n, {_EITHER} AS either_n, {_distinct_residuals([_A])} AS left_states",
+    "automaton_resumed": f"SELECT *, true AS same FROM (SELECT * FROM {_A} EXCEPT SELECT * FROM {_R})",
+}
