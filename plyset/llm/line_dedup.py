@@ -1,10 +1,12 @@
 """Line dedup by content-defined chunks of lines.
 
-A paragraph (a line of more than ``LONG`` words, or the lines of no more between two such) is cut at
-those words whose two-word hash is the least of some ``WINDOW`` hashes in a row, and at its ends.
-Insertions therefore shift no boundary but those beside them, and of a passage that two documents
-share, 2 * WINDOW + 1 words within a paragraph are enough for a chunk that both have. A chunk's hash
-covers ``COVER`` words of its paragraph at least, so that a short chunk is no chance hit.
+Lines of at most ``LONG`` words are hashed whole; of a block of such lines, chunks begin where the
+rolling hash over two line hashes is the least of some ``LINES`` in a row, and at the block's ends. A
+longer line is a paragraph of its own, in which passages begin and end anywhere: there each word is
+taken for a line, with ``WINDOW`` rolling hashes in a row. Insertions therefore shift no boundary but
+those beside them, and of a passage that two documents share, 2 * LINES + 1 lines of a block, or
+2 * WINDOW + 1 words within a paragraph, are enough for a chunk that both have. A chunk's hash covers
+``COVER`` words of its block or paragraph at least, so that a short chunk is no chance hit.
 
 1. A pass over whole texts gives each document's chunks: hashes and byte ranges. Grouped by hash, their
    smallest and largest document ids tell which chunks several documents hold; ids are aggregated before
@@ -41,7 +43,9 @@ from plyset.llm.bloom import KeyFilter, key_filter
 from plyset.llm.common import as_row, drop_staged, staged
 from plyset.llm.text import _BYTE, SEGMENT, SPACE, batches, mix, owners, range_hash, string_bytes, words
 
-LONG, WINDOW, COVER, AROUND, MIN_WORDS = 8, 16, 12, 40, 20
+LONG, LINES, WINDOW, COVER, AROUND, MIN_WORDS = 8, 2, 16, 12, 40, 20
+#: A hash that so many batches of documents hold is dealt to ``SALTS`` tasks instead of one.
+HOT, SALTS = 64, 64
 BLANK = bytes([9, 10, 11, 12, 13, 32])
 
 
@@ -69,19 +73,19 @@ def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.nd
     return out
 
 
-def least(hashes: np.ndarray, part: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Words whose two-word hash is the least (the last such) of some WINDOW in a row within a part that begins at first."""
-    n = len(hashes) - WINDOW
+def least(hashes: np.ndarray, part: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Lines whose rolling hash with the next is the least (the last such) of some ``window`` (a power of two) in a row within a part that begins at first."""
+    n = len(hashes) - window
     if n <= 0:
         return np.empty(0, np.int64)
     low = np.uint64(0xFFFFFF)
     place = (np.arange(len(hashes)) - first).astype(np.uint64) & low
     value = (mix(hashes[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[1:]) & ~low) | (low - place[:-1])
     size = 1
-    while size < WINDOW:
+    while size < window:
         value = np.minimum(value[:-size], value[size:])
         size *= 2
-    whole = np.flatnonzero(part[:n] == part[WINDOW:])
+    whole = np.flatnonzero(part[:n] == part[window:])
     back = (low - (value[whole] & low) - place[whole]) & low
     chosen = np.zeros(len(hashes), bool)
     chosen[whole + back.astype(np.int64)] = True
@@ -106,7 +110,14 @@ def chunks(column, long: int = LONG):
     part_starts = np.r_[0, part_ends[:-1]]
     part = np.cumsum(hard) - hard
     cut = np.r_[True, hard[:-1]]
-    cut[least(hashes, part, part_starts[part])] = True
+    at = np.flatnonzero(is_long | np.r_[True, last_of_line[:-1]])  # where a line begins, or what is taken for one
+    to = np.r_[at[1:], n]
+    of_lines, short = hashes[at], np.flatnonzero(~is_long[at])
+    of_lines[short] = ranges(hashes, at[short], to[short])
+    begin = np.searchsorted(at, part_starts)[part[at]]
+    for some, window in ((short, LINES), (np.flatnonzero(is_long[at]), WINDOW)):  # a block has lines of one kind
+        if len(some):
+            cut[at[some[least(of_lines[some], part[at[some]], np.searchsorted(some, begin[some]), window)]]] = True
     first = np.flatnonzero(cut)
     last = np.r_[first[1:], n]
     own = part[first]
@@ -145,7 +156,7 @@ def unpacked(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def holders(marked: DataFrame) -> DataFrame:
-    """h and the smallest and largest id of the documents that hold it, once for each batch."""
+    """h and the smallest and largest id of the documents that hold it, a row for each batch that does."""
 
     def run(stream):
         for batch in stream:
@@ -164,8 +175,18 @@ def holders(marked: DataFrame) -> DataFrame:
 PLACES = ("doc_id", "th", "k", "h", "a", "b")
 
 
-def places(marked: DataFrame, among: KeyFilter) -> DataFrame:
-    """A row for each chunk whose hash the filter holds: its document, number and bytes."""
+def copied(df: DataFrame, hot: KeyFilter) -> DataFrame:
+    """Rows by hash, those of hot hashes once for each salt; the filter says on both sides of a join which are hot, so a false hit does no harm."""
+    salts = F.when(hot.column(F.col("h")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return df.withColumn("salt", F.explode(salts))
+
+
+def salted(df: DataFrame, hot: KeyFilter) -> DataFrame:
+    return df.withColumn("salt", F.when(hot.column(F.col("h")), F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int")).otherwise(0))
+
+
+def places(marked: DataFrame, among: KeyFilter, hot: KeyFilter) -> DataFrame:
+    """A row for each chunk whose hash the filter holds: its document, number and bytes, and its salt."""
 
     def run(stream):
         for batch in stream:
@@ -174,9 +195,10 @@ def places(marked: DataFrame, among: KeyFilter) -> DataFrame:
             some = np.flatnonzero(among.test(h))
             own = row[some]
             doc, th = (batch.column(n).to_numpy()[own] for n in ("doc_id", "th"))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array((some - first[own]).astype(np.int32)), pa.array(h[some]), *(pa.array(at[some, i]) for i in (0, 1))], names=list(PLACES))
+            salt = np.where(hot.test(h[some]), th % SALTS, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array((some - first[own]).astype(np.int32)), pa.array(h[some]), *(pa.array(at[some, i]) for i in (0, 1)), pa.array(salt)], names=[*PLACES, "salt"])
 
-    return marked.mapInArrow(run, "doc_id long, th long, k int, h long, a int, b int")
+    return marked.mapInArrow(run, "doc_id long, th long, k int, h long, a int, b int, salt int")
 
 
 #: How lists are packed into one binary value each: a document's shared chunks, and its runs.
@@ -264,13 +286,14 @@ def rows_of(lists: DataFrame, among: KeyFilter, later: bool) -> DataFrame:
     return lists.select("doc_id", "th", "shared").mapInArrow(run, "doc_id long, th long, h long, a int, b int")
 
 
-def shared_chunks(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def shared_chunks(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, KeyFilter]:
     """``by_document``; per run's end its document, bytes a to b, side (0: before, 1: after) and the chunk that asks what lies
-    beside it; and per document that had chunks first those that are asked so."""
-    ends = holders(marked).groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    again = staged(ends.filter("first <> last").select("h", "first"), "again")
+    beside it; per document that had chunks first those that are asked so; and a filter of the hashes that many batches hold."""
+    ends = holders(marked).groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n"))
+    again = staged(ends.filter("first <> last").select("h", "first", "n"), "again")
     among = key_filter(again.select(F.col("h").alias("key")))
-    found = places(marked, among).join(again.hint("shuffle_hash"), "h").select(*PLACES, "first")
+    hot = key_filter(again.filter(F.col("n") >= HOT).select(F.col("h").alias("key")))
+    found = places(marked, among, hot).join(copied(again.select("h", "first"), hot).hint("shuffle_hash"), ["h", "salt"]).select(*PLACES, "first")
     lists = staged(by_document(found), "lists")
     asked = staged(ends_of(lists), "asked")
     which = staged(asked.select("h", "side").distinct(), "which")
@@ -278,7 +301,7 @@ def shared_chunks(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     wanted = rows_of(lists, among, False).join(which.hint("shuffle_hash"), "h")
     wanted = staged(wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "a", "b", "side")).alias("around")), "wanted")
     drop_staged(again, which)
-    return lists, asked, wanted
+    return lists, asked, wanted, hot
 
 
 def gathered(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,7 +406,7 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tagged = tagged.withColumn("th", F.xxhash64("text"))
     known = tagged.filter("id is not null and text is not null").select(F.col("id").alias("doc_id"), "text", "th")
     marked = staged(marks(known), "marks")
-    shared, asked, wanted = shared_chunks(marked)
+    shared, asked, wanted, hot = shared_chunks(marked)
     drop_staged(marked)
     may = key_filter(shared.select(F.xxhash64("doc_id", "th").alias("key")))
     tagged = tagged.withColumn("may", may.column(F.xxhash64("id", "th")))
@@ -395,7 +418,7 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     unlike = compared.filter("side < 0").select("h", "bytes").distinct().groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     apart = staged(unlike, "unlike")
     beside = staged(compared.filter("side >= 0").groupBy("h", "side").agg(F.collect_set("bytes").alias("beside")), "beside")
-    ends = asked.join(beside, ["h", "side"], "left").select(F.col("doc_id").alias("id"), "th", F.struct("a", "b", "side", "beside").alias("end"))
+    ends = salted(asked, hot).join(copied(beside, hot), ["h", "side", "salt"], "left").select(F.col("doc_id").alias("id"), "th", F.struct("a", "b", "side", "beside").alias("end"))
     ends = staged(ends.groupBy("id", "th").agg(F.collect_list("end").alias("ends")), "ends")
     none = F.array().cast("array<int>")
     # a document without runs was only compared: it passes

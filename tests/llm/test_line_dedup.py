@@ -184,6 +184,52 @@ def test_unlike_chunks_of_one_hash_are_held_back(spark, rng, monkeypatch):
     assert all(r.removed_words == 0 and r.text == rows[r.doc_id][1] for r in dedup(df).collect())
 
 
+@pytest.mark.parametrize("lines,words", [(5, 4), (6, 4), (7, 3), (5, 8), (20, 1), (3, 9), (2, 12)])
+def test_blocks_of_lines_are_always_found(spark, rng, lines, words):
+    """Blocks of 2 * LINES + 1 short lines at least, among others: every later copy goes."""
+    para = maker(rng)
+    block = "\n".join(para(words) for _ in range(lines))
+    around = lambda: "\n".join(para(rng.randint(1, 8)) for _ in range(rng.randint(1, 9)))
+    rows = [(i, f"{around()}\n{block}\n{around()}") for i in range(40)]
+    got = {r.doc_id: r for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].removed_words == 0
+    for i, text in rows[1:]:
+        assert got[i].text == text.replace(block + "\n", ""), i
+
+
+@pytest.mark.parametrize("words", [33, 36, 45])
+def test_passages_within_a_paragraph_are_always_found(spark, rng, words):
+    para = maker(rng)
+    passage = para(words)
+    rows = [(i, f"{para(rng.randint(1, 60))} {passage} {para(rng.randint(1, 60))}") for i in range(60)]
+    got = {r.doc_id: r for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(passage not in got[i].text and words - 1 <= got[i].removed_words <= words + 2 for i in range(1, 60))
+
+
+def test_lines_are_hashed_whole(rng):
+    """A boundary in a block of short lines begins a line, and a changed word moves only the boundaries beside its line."""
+    para = maker(rng)
+    lines = [para(rng.randint(2, 8)) for _ in range(60)]
+    cut = lambda own: {bytes(d[a:b]) for d, a, b in [(x[0], lo, hi) for x in [chunks(pa.array(["\n".join(own)]))] for lo, hi in zip(x[2], x[3])]}
+    whole = cut(lines)
+    assert all(set(c.decode().split("\n")) <= set(lines) for c in whole)
+    other = cut([*lines[:30], "changed " + lines[30], *lines[31:]])
+    assert len(whole - other) <= 3 and len(other - whole) <= 3
+
+
+def test_hot_hashes_are_dealt_out(spark, rng, monkeypatch):
+    """Results are the same where every shared hash is hot."""
+    from plyset.llm import line_dedup
+
+    para = maker(rng)
+    p = para(70)
+    df = spark.createDataFrame([(i, f"{para(30)}\n{p}\n{para(20)} {p if i % 2 else para(9)}") for i in range(30)], "doc_id long, text string").repartition(6)
+    want = sorted(map(tuple, dedup(df).collect()))
+    for name, value in (("HOT", 1), ("SALTS", 3)):
+        monkeypatch.setattr(line_dedup, name, value)
+    assert sorted(map(tuple, dedup(df).collect())) == want
+
+
 def test_told_apart_compares_bytes():
     import numpy as np
 
