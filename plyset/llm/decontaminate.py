@@ -16,10 +16,12 @@ apart in the item, and one or two in the text. Such pairs are hashed alike whate
    stretch that an alignment can take (3n - 2tn words), the words around are a window; each window
    is aligned with the item, all windows of a batch at once.
 
-The pass reads the documents in place, without a shuffle: the test items are a query set. They
-are taken in blocks of at most ``BLOCK`` bytes of text, chosen by a hash of their ids, so what is
-sent to the workers has a fixed bound. ``leaks`` reads the documents once for each block; ``clean`` reads
-them once, and sends each batch through all blocks.
+A benchmark of at most ``BLOCK`` bytes of text is sent to the workers whole, and the pass reads the
+documents in place, without a shuffle. Beyond that nothing of it goes through the driver: seeds are a
+table, the pairs of the texts that a key filter lets through meet them in a join, windows are found where
+the hits of a text and an item meet, and only the windows' words go on to the alignment. The number of
+passes over the documents is three at any size of the benchmark. Joins whose side of the documents can
+have a popular key (a pair, an item, a text) are dealt by salts.
 
 Defined results: null and empty texts, and items of fewer than ``SEED`` words, leak nothing;
 repeated rows are reported each, as are items of equal text; ids may be null; empty tables give no
@@ -30,14 +32,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyset.llm.common import as_row
+from plyset.llm.bloom import key_filter
+from plyset.llm.common import Scratch, as_row, bounded_batches, drop_staged, without
 from plyset.llm.text import batches, mix, owners, string_bytes, words
 
 SEED, BLOCK = 3, 8 << 20
 HITS = 1 << 20
+SALTS = 16
 MATCH, MISS, GAP = 2, -1, -1
 LEAKS = "doc_id long, item_id long, score double, start_word long, end_word long"
 
@@ -140,6 +144,25 @@ def windows_of(item: np.ndarray, doc: np.ndarray, at: np.ndarray, need: np.ndarr
     return list(zip(doc[a].tolist(), item[a].tolist(), (at[a] - span[item[a]]).tolist(), (at[b] + span[item[b]]).tolist()))
 
 
+def judged(todo: list[tuple], threshold: float):
+    """Of windows (document, item, the item's words, the window's words, the window's place): (document, item, score, first and last word) of those that reach the threshold."""
+    todo = sorted(todo, key=lambda w: (len(w[2]), len(w[3])))
+    k = 0
+    while k < len(todo):  # windows of like size together, in bounded memory
+        n = k
+        while n < len(todo) and n - k < 2048 and (n == k or (n - k + 1) * len(todo[n][3]) <= 1 << 20):
+            n += 1
+        some = todo[k:n]
+        k = n
+        scores, ends = align([w[2] for w in some], [w[3] for w in some])
+        good = [x for x in range(len(some)) if scores[x] >= threshold * MATCH * len(some[x][2])]
+        if good:  # where it begins: the same alignment backwards
+            _, begins = align([some[x][2][::-1] for x in good], [some[x][3][: ends[x]][::-1] for x in good])
+        for x, back in zip(good, begins if good else ()):
+            d, i, own, _, lo = some[x]
+            yield d, i, int(scores[x]) / (MATCH * len(own)), lo + int(ends[x]) - int(back), lo + int(ends[x])
+
+
 def finder(spark, items: list, threshold: float):
     """A function of batches of texts that gives each with its leaks (row, item_id, score, start_word, end_word); or nothing, if no item is long enough."""
     hashes, item, first = words_of(pa.array([r.text for r in items], pa.large_string()))
@@ -181,49 +204,171 @@ def finder(spark, items: list, threshold: float):
                 for d, n, a, b in windows_of(seeds.item[posting], doc[where], where, need, span):
                     todo.append((d, n, max(0, a - int(first[d])), min(int(first[d + 1]), b) - int(first[d])))
                 i = j
-            todo.sort(key=lambda w: (lengths[w[1]], w[3] - w[2]))
             best: dict[tuple[int, int], tuple] = {}
-            k = 0
-            while k < len(todo):  # windows of like size together, in bounded memory
-                cells, n = 0, k
-                while n < len(todo) and n - k < 2048 and (n == k or (n - k + 1) * (todo[n][3] - todo[n][2]) <= 1 << 20):
-                    n += 1
-                some = todo[k:n]
-                k = n
-                spans = [words_[first[d] + lo : first[d] + hi] for d, _, lo, hi in some]
-                scores, ends = align([texts[i] for _, i, _, _ in some], spans)
-                good = [x for x in range(len(some)) if scores[x] >= threshold * MATCH * lengths[some[x][1]]]
-                if good:  # where it begins: the same alignment backwards
-                    _, begins = align([texts[some[x][1]][::-1] for x in good], [spans[x][: ends[x]][::-1] for x in good])
-                for x, back in zip(good, begins if good else ()):
-                    d, i, lo, _ = some[x]
-                    row = (int(scores[x]) / (MATCH * int(lengths[i])), lo + int(ends[x]) - int(back), lo + int(ends[x]))
-                    if (d, i) not in best or row[0] > best[d, i][0]:
-                        best[d, i] = row
+            for d, i, score, begin, end in judged([(d, i, texts[i], words_[first[d] + lo : first[d] + hi], lo) for d, i, lo, hi in todo], threshold):
+                if (d, i) not in best or score > best[d, i][0]:
+                    best[d, i] = (score, begin, end)
             yield part, [(d, ids[i], *row) for (d, i), row in best.items()]
 
     return search
 
 
-def blocks_of(items: DataFrame):
-    """The items in blocks of about ``BLOCK`` bytes of text."""
+def listed(items: DataFrame) -> tuple[DataFrame, list | None]:
+    """The items without repeated rows, and as a list, if they have at most ``BLOCK`` bytes of text."""
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK)
-    for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        yield sorted(own, key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
+    if size > BLOCK:
+        return items, None
+    return items, sorted(items.collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
     """A row (doc_id, item_id, score, start_word, end_word) per document and item that it leaks."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = spark.createDataFrame([], LEAKS)
-    for own in blocks_of(items):
-        find = finder(spark, own, threshold)
-        if find is not None:
-            out = out.unionByName(docs.mapInArrow(rows_of(find), LEAKS))
+    items, own = listed(items)
+    if own is None:
+        found = leaking_texts(docs, items, threshold)
+        may = key_filter(found.select("key").distinct())
+        named = docs.select("doc_id", F.xxhash64("text").alias("key")).filter(may.column(F.col("key"))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        return named.join(copies(found), ["key", "salt"]).select("doc_id", "item_id", "score", "start_word", "end_word")
+    find = finder(spark, own, threshold)
+    return spark.createDataFrame([], LEAKS) if find is None else docs.mapInArrow(rows_of(find), LEAKS)
+
+
+def copies(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def item_pairs(items: DataFrame) -> DataFrame:
+    """(item, n, at, gram) of all pairs of the items of at least ``SEED`` words, and their words as hashes."""
+
+    def run(stream):
+        for part in batches(stream, "text", 1 << 20):
+            hashes, item, first = words_of(part.column("text"))
+            lengths, keys = np.diff(first), part.column("item").to_numpy()
+            at, grams = map(np.concatenate, zip(*pairs_of(hashes, item)))
+            some = lengths[item[at]] >= SEED
+            at, grams = at[some], grams[some]
+            own = item[at]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(lengths[own]), pa.array(at - first[own]), pa.array(grams.view(np.int64))], names=["item", "n", "at", "gram"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, n long, at long, gram long")
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    def run(stream):
+        for part in batches(stream, "text", 1 << 20):
+            hashes, _, first = words_of(part.column("text"))
+            words_ = [hashes[first[k] : first[k + 1]].tobytes() for k in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column("item").combine_chunks(), part.column("item_id").combine_chunks(), pa.array(words_, pa.binary())], names=["item", "item_id", "words"])
+
+    return items.select("item", "item_id", "text").mapInArrow(run, "item long, item_id long, words binary")
+
+
+def seed_table(items: DataFrame, threshold: float) -> DataFrame:
+    """(gram, item, n): the pairs of all items without each item's most frequent starts, as ``seeds_of`` chooses them."""
+    pairs = item_pairs(items)
+    often = pairs.groupBy("gram").agg(F.count("*").alias("often"))
+    starts = pairs.join(often, "gram").groupBy("item", "n", "at").agg(F.max("often").alias("often"), F.collect_set("gram").alias("grams"))
+    need = F.greatest(F.ceil(F.lit(threshold) * F.col("n") - 1e-9) - 1, F.lit(1))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("often"), "at")) - 1
+    return starts.withColumn("rank", rank).filter(F.col("rank") >= F.floor(need / 2)).select(F.explode("grams").alias("gram"), "item", "n").distinct()
+
+
+def hits_of(texts: DataFrame, among) -> DataFrame:
+    """(key, gram, at) of the pairs in the texts that the filter lets through."""
+
+    def run(stream):
+        for part in batches(stream, "text", 2 << 20):
+            words_, doc, first = words_of(part.column("text"))
+            keys = part.column("key").to_numpy()
+            for at, grams in pairs_of(words_, doc):
+                grams = grams.view(np.int64)
+                for k in range(0, len(at), 1 << 18):
+                    some = np.flatnonzero(among.test(grams[k : k + (1 << 18)])) + k
+                    own = doc[at[some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(grams[some]), pa.array(at[some] - first[own])], names=["key", "gram", "at"])
+
+    return texts.mapInArrow(run, "key long, gram long, at long")
+
+
+def window_table(hits: DataFrame, threshold: float) -> DataFrame:
+    """(key, item, lo, hi): where enough hits of an item lie close together in a text. Runs of a text and an item may go on from batch to batch."""
+    names = ("key", "item", "n", "at")
+
+    def found(c):
+        key, item, n, at = c
+        run_ = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (item[1:] != item[:-1])]) - 1
+        first = np.searchsorted(run_, np.arange(run_[-1] + 1))
+        need = needed(n[first], threshold)
+        span = np.floor((3 - 2 * threshold) * n[first] + 1e-9).astype(np.int64)
+        rows = windows_of(run_, run_, at, need - need // 2, span)
+        g, _, lo, hi = map(np.array, zip(*rows)) if rows else [np.empty(0, np.int64)] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[first][g], item[first][g], np.maximum(lo, 0), hi)], names=["key", "item", "lo", "hi"])
+
+    def run(stream):
+        held = None
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(c).to_numpy() for c in names]
+            held = own if held is None else [np.r_[x, y] for x, y in zip(held, own)]
+            key, item = held[:2]
+            whole = int(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (item[1:] != item[:-1])])[-1])
+            if whole:
+                yield found([x[:whole] for x in held])
+                held = [x[whole:].copy() for x in held]
+        if held is not None:
+            yield found(held)
+
+    dealt = hits.select(*names).repartition("key", "item").sortWithinPartitions("key", "item", "at")
+    return dealt.mapInArrow(run, "key long, item long, lo long, hi long")
+
+
+def window_words(texts: DataFrame) -> DataFrame:
+    """(key, item, lo, words) of the windows listed with each text."""
+
+    def run(stream):
+        for part in batches(stream, "text", 2 << 20):
+            words_, _, first = words_of(part.column("text"))
+            lists, keys = part.column("windows").to_pylist(), part.column("key").to_pylist()
+            rows = [(keys[k], w["item"], w["lo"], words_[first[k] + w["lo"] : min(first[k] + w["hi"], first[k + 1])].tobytes()) for k, own in enumerate(lists) for w in own]
+            for k in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 4096]), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "item", "lo", "words"])
+
+    return texts.select("key", "text", "windows").mapInArrow(run, "key long, item long, lo long, words binary")
+
+
+def leaking_texts(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(key, item_id, score, start_word, end_word), staged: the texts, by their hash, that leak an item, all in joins."""
+    bounded_batches(docs.sparkSession)
+    scratch = Scratch()
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    seeds = scratch.staged(seed_table(items, threshold), "seeds")
+    among = key_filter(seeds.select(F.col("gram").alias("key")).distinct())
+    texts = docs.filter("text is not null").select(F.xxhash64("text").alias("key"), "text")
+    hits = hits_of(texts, among).withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+    met = hits.join(copies(seeds), ["gram", "salt"]).select("key", "item", "n", "at")
+    windows = scratch.staged(window_table(met, threshold), "windows")
+    may = key_filter(windows.select("key").distinct())
+    listed_ = windows.groupBy("key").agg(F.collect_set(F.struct("item", "lo", "hi")).alias("windows"))
+    once = texts.filter(may.column(F.col("key"))).dropDuplicates(["key"]).join(listed_, "key")
+    sliced = window_words(once).withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+    sides = sliced.join(copies(item_words(items).withColumnRenamed("words", "own")), ["item", "salt"]).select("key", "item_id", "lo", "words", "own")
+
+    def run(stream):
+        for batch in stream:
+            columns = [batch.column(c).to_pylist() for c in ("key", "item_id", "own", "words", "lo")]
+            todo = [(k, i, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), lo) for k, i, a, b, lo in zip(*columns) if b]
+            rows = list(judged(todo, threshold))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["key", "item_id", "score", "start_word", "end_word"])
+
+    scored = sides.mapInArrow(run, "key long, item_id long, score double, start_word long, end_word long")
+    best = scored.groupBy("key", "item_id").agg(F.max(F.struct("score", F.negative("start_word").alias("s"), F.negative("end_word").alias("e"))).alias("b"))
+    out = scratch.staged(best.select("key", "item_id", "b.score", F.negative("b.s").alias("start_word"), F.negative("b.e").alias("end_word")), "leaks")
+    scratch.drop(out)
     return out
 
 
@@ -242,13 +387,19 @@ def rows_of(find):
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that leak no item, all columns kept under any name; each row is judged by its own text.
 
-    One pass, without a shuffle: rows go through one block of items after another.
+    One pass without a shuffle for a benchmark that is sent to the workers. Of a larger one, the texts that
+    leak are found first and then left out.
     """
+    items, own = listed(items)
+    if own is None:
+        found = leaking_texts(docs.select(F.col("text").cast("string")), items, threshold)
+        bad = Scratch().staged(found.select("key").distinct(), "leaking")
+        drop_staged(found)
+        return without(docs, F.xxhash64(F.col("text").cast("string")), bad)
     left = docs.select(as_row(docs, "text").alias("row"), F.col("text").cast("string").alias("text"))
-    for own in blocks_of(items):
-        find = finder(docs.sparkSession, own, threshold)
-        if find is not None:
-            left = left.mapInArrow(clean_of(find), left.schema)
+    find = finder(docs.sparkSession, own, threshold)
+    if find is not None:
+        left = left.mapInArrow(clean_of(find), left.schema)
     kind = docs.schema["text"].dataType
     return left.select(*(F.col("text").cast(kind).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
