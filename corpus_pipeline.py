@@ -69,7 +69,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Stages 1, 2, 3 (bands of hashes) and 5 (search) can't be said in SQL; tests check them by brute force.
+#: Stages 1, 2, 3 (bands of hashes) and 5 (search) can't be said in SQL; tests check what each stage keeps by plain readings.
 ORACLE_SQL = None
 
 
