@@ -18,6 +18,8 @@ from plyset.llm.text import mix
 
 BITS, PROBES = 10, 6
 MAX_FILTER = 64 << 20
+#: A key filter with fewer bits for each key would let most others pass: then the join is a plain one.
+LEAST_BITS = 4
 
 
 def bits_at(items: np.ndarray, level: np.ndarray, size: int) -> np.ndarray:
@@ -91,9 +93,29 @@ class KeyFilter:
         return held(keys)
 
 
-def key_filter(keys: DataFrame, max_filter: int = MAX_FILTER) -> KeyFilter:
-    """A filter of the frame's ``key`` column (longs) of ``max_filter`` bytes at most, broadcast to the workers."""
+class Same:
+    """Says the same of every key; nothing is built or sent."""
+
+    def __init__(self, says: bool):
+        self.says = says
+
+    def test(self, keys: np.ndarray) -> np.ndarray:
+        return np.full(len(keys), self.says)
+
+    def column(self, keys):
+        return F.lit(self.says)
+
+
+def key_filter(keys: DataFrame, max_filter: int | None = None, beyond: bool = True) -> KeyFilter | Same:
+    """A filter of the frame's ``key`` column (longs) of ``max_filter`` (``MAX_FILTER``) bytes at most, broadcast to the workers.
+
+    With more keys than that can tell apart (``LEAST_BITS`` each) it is none: every key gets the answer
+    ``beyond``. True means that all rows go into the join that the filter stands before, which is exact at any size.
+    """
     n = keys.count()
+    max_filter = MAX_FILTER if max_filter is None else max_filter
+    if n * LEAST_BITS > max_filter * 8:
+        return Same(beyond)
     buckets = max(1, n >> 17)
     share = max_filter * 8 // buckets
 

@@ -292,7 +292,7 @@ def shared_chunks(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, K
     ends = holders(marked).groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n"))
     again = staged(ends.filter("first <> last").select("h", "first", "n"), "again")
     among = key_filter(again.select(F.col("h").alias("key")))
-    hot = key_filter(again.filter(F.col("n") >= HOT).select(F.col("h").alias("key")))
+    hot = key_filter(again.filter(F.col("n") >= HOT).select(F.col("h").alias("key")), beyond=False)
     found = places(marked, among, hot).join(copied(again.select("h", "first"), hot).hint("shuffle_hash"), ["h", "salt"]).select(*PLACES, "first")
     lists = staged(by_document(found), "lists")
     asked = staged(ends_of(lists), "asked")

@@ -126,10 +126,14 @@ def full_sets(docs: DataFrame, n: int, needed: KeyFilter) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, size_a, size_b, common) of candidate pairs, on full sets. A hub's set goes to its pairs, skew and all."""
+    """(a, b, size_a, size_b, common) of candidate pairs, on full sets. The pairs of a hub are dealt to ``HUB_SALTS`` tasks, each with the hub's set."""
+    often = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= SPREAD)
+    hub = key_filter(often.select(F.xxhash64("a").alias("key")), beyond=False).column(F.xxhash64("a"))  # asked on both sides, so a false hit does no harm
     b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    both = pairs.select("a", "b").join(b, "b").join(a, "a")
+    a = a.withColumn("z", F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = pairs.select("a", "b").withColumn("z", F.when(hub, F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS)).cast("int")).otherwise(0))
+    both = dealt.join(b, "b").join(a, ["a", "z"])
     return both.select("a", "b", F.size("sa").alias("size_a"), F.size("sb").alias("size_b"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
 
@@ -138,6 +142,8 @@ LINKED = "100 * common >= 80 * (size_a + size_b - common)"
 
 #: Members of a family that meet its centre's set, or its majority's, in one group of a join.
 SPREAD = 512
+#: Tasks that the candidate pairs of a centre with at least ``SPREAD`` of them are dealt to.
+HUB_SALTS = 64
 
 
 def missed(checked: DataFrame, found: DataFrame, sets: DataFrame, kept: Scratch) -> DataFrame | None:

@@ -60,7 +60,7 @@ class Encoder:
         if self.fast is not None and not any(t in text for t in self.added):
             try:
                 return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
-            except Exception:  # noqa: BLE001  the split of very long white space can exceed its limits
+            except ValueError:  # the split of very long white space exceeds its limits
                 pass
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 

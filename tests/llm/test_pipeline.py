@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from test_decontaminate import smith_waterman
 from test_near_dedup import brute
 
 
@@ -63,6 +64,42 @@ def test_stages_take_effect(spark, folder):
     assert set(after[3]) == set(after[2]) - {300}
 
 
+def test_stages_against_brute_force(spark, folder):
+    """What each stage keeps of the same documents, by plain readings: leaks by full alignment, line dedup by shared words, pieces by the tokenizer."""
+    from tokenizers import Tokenizer
+
+    from plyset.llm.queries import tokenizer_file
+
+    base, docs, _ = folder
+    source, stages = spark.read.parquet(f"{base}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    texts = {d[0]: d[1] for d in docs}
+    item = spark.read.parquet(f"{base}/benchmark.parquet").first().text.lower().split()
+    kept = {r.doc_id for r in stages["benchmark decontamination"](spark, source, base).collect()}
+    assert kept == {i for i, t in texts.items() if smith_waterman(item, (t or "").lower().split()) < len(item)}
+
+    letters = {i for i, t in texts.items() if t and any(c.isalpha() for c in t)}
+    assert {r.doc_id for r in stages["language ID"](spark, source, base).collect()} == letters
+
+    cleaned = {r.doc_id: r.text for r in stages["line dedup"](spark, source, base).collect()}
+    for i, t in texts.items():
+        own, left = (t or "").split(), (cleaned.get(i) or "").split()
+        runs = {k for k in range(len(own) - 32) for j, o in texts.items() if j < i and o and " ".join(own[k : k + 33]) in " ".join(o.split())}
+        if t and not runs:
+            assert len(left) >= len(own) - 32, i  # nothing of 33 words in a row stands in an earlier document
+        for k in runs:
+            assert " ".join(own[k : k + 33]) not in " ".join(left), i
+
+    slow = Tokenizer.from_file(tokenizer_file())
+    pieces = stages["best-fit packing"](spark, source, base).collect()
+    for i, t in texts.items():
+        own = sorted((r for r in pieces if r.doc_id == i), key=lambda r: r.piece)
+        assert sum(r.length for r in own) == len(slow.encode(t or "", add_special_tokens=False).ids) + 1
+        assert [r.start for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
+    for s in {r.sequence_id for r in pieces}:
+        own = sorted((r.offset, r.length) for r in pieces if r.sequence_id == s)
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+
+
 def test_run(spark, folder):
     base, _, _ = folder
     out = corpus_pipeline.run(spark, base).collect()
