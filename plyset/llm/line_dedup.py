@@ -34,6 +34,8 @@ kept as they are, under any name: they travel as one struct, which ``cleaned`` r
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,34 +102,36 @@ def chunks(column, long: int = LONG):
     if n == 0:
         none = np.empty(0, np.int64)
         return data, none, none, none, none, none.astype(np.uint64)
-    doc = owners(starts, offsets)
-    line = np.searchsorted(np.flatnonzero(data == 10), starts) + doc  # lines differ where a break or a text's end lies between
-    last_of_line = np.r_[line[1:] != line[:-1], True]
-    of_line = np.cumsum(last_of_line) - last_of_line
-    is_long = (np.bincount(of_line) > long)[of_line]
-    hard = np.r_[doc[1:] != doc[:-1], True] | last_of_line & (is_long | np.r_[is_long[1:], False])
-    part_ends = np.flatnonzero(hard) + 1
-    part_starts = np.r_[0, part_ends[:-1]]
+    at = np.unique(np.searchsorted(starts, np.r_[offsets[:-1], np.flatnonzero(data == 10)]))  # where a line begins
+    at = at[at < n]
+    size = np.diff(np.r_[at, n])
+    doc = owners(starts[at], offsets)
+    is_long = size > long
+    hard = np.r_[doc[1:] != doc[:-1], True] | is_long | np.r_[is_long[1:], False]  # a block has lines of one kind
     part = np.cumsum(hard) - hard
-    cut = np.r_[True, hard[:-1]]
-    at = np.flatnonzero(is_long | np.r_[True, last_of_line[:-1]])  # where a line begins, or what is taken for one
-    to = np.r_[at[1:], n]
-    of_lines, short = hashes[at], np.flatnonzero(~is_long[at])
-    of_lines[short] = ranges(hashes, at[short], to[short])
-    begin = np.searchsorted(at, part_starts)[part[at]]
-    for some, window in ((short, LINES), (np.flatnonzero(is_long[at]), WINDOW)):  # a block has lines of one kind
-        if len(some):
-            cut[at[some[least(of_lines[some], part[at[some]], np.searchsorted(some, begin[some]), window)]]] = True
+    part_ends = (at + size)[hard]
+    part_starts = np.r_[0, part_ends[:-1]]
+    cut = np.zeros(n, bool)
+    cut[part_starts] = True
+    short = np.flatnonzero(~is_long)
+    if len(short):
+        own = part[short]
+        cut[at[short[least(ranges(hashes, at[short], (at + size)[short]), own, np.searchsorted(own, own), LINES)]]] = True
+    if len(short) < len(at):
+        size = size[is_long]
+        words_of = np.arange(n) if not len(short) else np.flatnonzero(np.repeat(is_long, np.diff(np.r_[at, n])))
+        begin = np.repeat(np.cumsum(size) - size, size)
+        cut[words_of[least(hashes[words_of], begin, begin, WINDOW)]] = True
     first = np.flatnonzero(cut)
     last = np.r_[first[1:], n]
-    own = part[first]
+    own = np.searchsorted(part_ends, first, "right")
     to = np.minimum(part_ends[own], np.maximum(last, first + COVER))
     since = np.where(to - first < COVER, np.maximum(part_starts[own], to - COVER), first)
     # boundaries depend on words alone, hashes on the white space between a chunk's words as well
     key = ranges(spaced(data, starts, ends, hashes), since + 1, to)
     key = mix(hashes[since] * np.uint64(0x9FB21C651E98DF25) + key)
     key = mix(key + ((first - since) << 32 | (last - first)).astype(np.uint64))
-    return data, doc[first], starts[first], ends[last - 1], last - first, key
+    return data, owners(starts[first], offsets), starts[first], ends[last - 1], last - first, key
 
 
 MARKED = "doc_id long, th long, h binary, at binary"
@@ -389,7 +393,7 @@ def extended(text: bytes, s: int, e: int, before: list[bytes], after: list[bytes
     return s - left, e + right
 
 
-def joined_up(text: bytes, drop: list[tuple[int, int]]) -> list[list[int]]:
+def joined_up(text: bytes, drop: Iterable[tuple[int, int]]) -> list[list[int]]:
     """Ranges to drop, in order, joined where only white space lies between; whole lines go with their break."""
     whole: list[list[int]] = []
     for s, e in sorted(drop):
@@ -439,10 +443,12 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             lists = part.column("ends").combine_chunks()
             of = np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
             begin, end, side, beside = (lists.flatten().field(n).to_pylist() for n in ("a", "b", "side", "beside"))
-            shared = part.column("shared").to_pylist()
+            of_shared, shared = loaded(part.column("shared"), OWN)
+            first, last = (offsets[of_shared] + shared[c] for c in "ab")  # ascending: chunks lie in order
             bads = part.column("bad").to_pylist()
             gone, pieces = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
             kept: list[tuple[int, int]] = []
+            cuts: list[tuple[int, int, int]] = []
             sizes = np.diff(offsets)
             for row in range(part.num_rows):
                 lo, hi = int(offsets[row]), int(offsets[row + 1])
@@ -451,24 +457,25 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 found: dict[tuple, list] = {}
                 for r in range(of[row], of[row + 1]):
                     found.setdefault((begin[r], end[r]), [[], []])[side[r]] += beside[r] or []
-                drop = []
+                drop = {}
                 for (a, b), sides in found.items():
                     s, e = extended(text, a, b, *sides)
-                    if len(text[s:e].split()) >= min_words and not any(a <= x < b for x in bad):
-                        drop.append((s, e))
+                    size = len(text[s:e].split())
+                    if size >= min_words and not any(a <= x < b for x in bad):
+                        drop[s, e] = size
                 at = 0
                 if drop:
                     whole = joined_up(text, drop)
-                    gone[row] = sum(len(text[s:e].split()) for s, e in whole)
-                    own = np.frombuffer(shared[row], OWN)
-                    first, last = np.unique(own["a"]), np.unique(own["b"])
-                    pieces[row] = sum(np.searchsorted(first, e) - np.searchsorted(last, s, "right") for s, e in whole)
+                    gone[row] = sum(drop[s, e] if (s, e) in drop else len(text[s:e].split()) for s, e in whole)
                     for s, e in whole:
+                        cuts.append((row, lo + s, lo + e))
                         kept.append((lo + at, lo + s))
                         line = (s == 0 or text[s - 1 : s] == b"\n") and text[e : e + 1] == b"\n"
                         sizes[row] -= e + line - s
                         at = e + line
                 kept.append((lo + at, hi))
+            row, s, e = np.array(cuts, np.int64).reshape(-1, 3).T
+            np.add.at(pieces, row, np.searchsorted(first, e) - np.searchsorted(last, s, "right"))  # chunks of rows before count on both sides
             a, b = np.array(kept, np.int64).reshape(-1, 2).T
             left, _ = gathered(data, a, b)
             text = pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(left))
