@@ -168,7 +168,7 @@ def holders(marked: DataFrame) -> DataFrame:
             if not len(h):
                 continue
             doc = batch.column("doc_id").to_numpy()[row]
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h, doc = h[order], doc[order]
             at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(np.minimum.reduceat(doc, at)), pa.array(np.maximum.reduceat(doc, at))], names=["h", "first", "last"])
@@ -373,6 +373,10 @@ def common(own: bytes, other: bytes) -> int:
     One word alone beyond a line break may be alike by chance and isn't counted, unless it is the whole line.
     """
     n, to = 0, min(len(own), len(other))
+    if own[:1] != other[:1]:
+        return 0
+    if own[:to] == other[:to]:
+        n = to
     while n < to:  # the longest common beginning, by halves
         half = (n + to + 1) // 2
         n, to = (half, to) if own[n:half] == other[n:half] else (n, half - 1)
@@ -442,7 +446,11 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             data, offsets = string_bytes(part.column("text"))
             lists = part.column("ends").combine_chunks()
             of = np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
-            begin, end, side, beside = (lists.flatten().field(n).to_pylist() for n in ("a", "b", "side", "beside"))
+            ends = lists.flatten()
+            begin, end, side = (ends.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("a", "b", "side"))
+            near = ends.field("beside")
+            of_near = np.r_[0, np.cumsum(near.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].tolist()
+            near = near.flatten().to_pylist()
             of_shared, shared = loaded(part.column("shared"), OWN)
             first, last = (offsets[of_shared] + shared[c] for c in "ab")  # ascending: chunks lie in order
             bads = part.column("bad").to_pylist()
@@ -456,7 +464,7 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 bad = bads[row]
                 found: dict[tuple, list] = {}
                 for r in range(of[row], of[row + 1]):
-                    found.setdefault((begin[r], end[r]), [[], []])[side[r]] += beside[r] or []
+                    found.setdefault((begin[r], end[r]), [[], []])[side[r]] += near[of_near[r] : of_near[r + 1]]
                 drop = {}
                 for (a, b), sides in found.items():
                     s, e = extended(text, a, b, *sides)
