@@ -34,6 +34,21 @@ def boards(spark: SparkSession, *fens: str) -> DataFrame:
     return spark.createDataFrame([(C.Board.parse(f).key(),) for f in fens], "board string")
 
 
+def placed(df: DataFrame, pieces: dict[str, str], white: bool = True) -> DataFrame:
+    """The table with a ``board`` column: each column of ``pieces`` holds the square (0 is a8, 63 is h1) of a piece of its letter.
+
+    Rows with a null, an impossible or a doubly used square have no board and go.
+    """
+    columns = list(pieces)
+    spots = F.array(*(F.col(c).cast("int") for c in columns))
+    sound = F.forall(spots, lambda s: F.coalesce(s.between(0, 63), F.lit(False))) & (F.size(F.array_distinct(spots)) == len(columns))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(*(F.when(F.col(c).cast("int") == i, F.lit(k)) for c, k in pieces.items()), F.lit("1")))
+    rows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(56), F.lit(8)), lambda y: F.array_join(F.slice(cells, y + 1, 8), "")), "/")
+    for n in range(8, 1, -1):  # runs of empty squares are counted, the longest first
+        rows = F.replace(rows, F.lit("1" * n), F.lit(str(n)))
+    return df.filter(sound).withColumn("board", F.concat(rows, F.lit(f" {'wb'[not white]} - -")))
+
+
 def successors(df: DataFrame) -> DataFrame:
     """(board, move, next, n): legal moves of each board; ``n`` (how often a board was met) is handed on."""
     if "n" not in df.columns:
@@ -143,6 +158,37 @@ def check(side: int) -> P.Predicate:
     return P.every([king(side), P.some([P.every([P.Among(s, _own("k", side)), threat(side, s)]) for s in SQUARES])])
 
 
+def attacks(side: int) -> list[tuple[int, int, int, int]]:
+    """(square, from, pieces, between) of all ways in which the side that isn't ``side`` attacks a square, the sets as masks."""
+    bits = lambda chars: sum(1 << c for c in chars)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    out = []
+    for s in SQUARES:
+        for kind, steps, far in (("n", C._KNIGHT, False), ("k", C._ROOK + C._BISHOP, False), ("rq", C._ROOK, True), ("bq", C._BISHOP, True)):
+            out += [(s, i, bits(_own(kind, 1 - side)), signed(bits(way[:n]))) for way in C.rays(s, steps, far) for n, i in enumerate(way)]
+        y = s // 8 + (1 if side == 1 else -1)
+        out += [(s, y * 8 + s % 8 + dx, bits(_own("p", 1 - side)), 0) for dx in (-1, 1) if 0 <= y < 8 and 0 <= s % 8 + dx < 8]
+    return out
+
+
+def in_check(slots: DataFrame, side: int) -> DataFrame:
+    """The table of slots with a column ``in_check``: the same as ``check``, for tables of many boards.
+
+    The king's square finds the lines that attack it in a table of 64 rows; no predicate over all squares is compiled.
+    A side without exactly one king isn't in check.
+    """
+    ways = slots.sparkSession.createDataFrame(attacks(side), "square int, at int, pieces long, free long")
+    ways = ways.groupBy("square").agg(F.collect_list(F.struct("at", "pieces", "free")).alias("ways"))
+    cells = F.array(*(F.col(f"c{i}").cast("int") for i in SQUARES))
+    kings = F.lit(next(iter(_own("k", side))))
+    held = F.aggregate(F.transform("cells", lambda c, i: F.when(c != 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    df = slots.withColumn("cells", cells).withColumn("held", held)
+    one = F.size(F.filter("cells", lambda c: c == kings)) == 1
+    df = df.withColumn("square", F.when(one, F.array_position("cells", kings).cast("int") - 1))
+    attacked = F.expr("exists(ways, w -> held & w.free = 0L and shiftright(w.pieces, cells[w.at]) & 1L = 1L)")
+    return df.join(F.broadcast(ways), "square", "left").withColumn("in_check", F.coalesce(attacked, F.lit(False))).drop("cells", "held", "square", "ways")
+
+
 def not_check(side: int) -> P.Predicate:
     return ~check(side)
 

@@ -1,8 +1,9 @@
 """Registered queries of the set engine, each with SQL that says the same.
 
-Set algebra runs over all of ``lineitem``, encoded as positions of shape (16, 16, 7, 50). Games have
-no input tables; their SQL is a closed formula where there is one, else the published or
-independently computed counts.
+Set algebra runs over all of ``lineitem``, encoded as positions of shape (16, 16, 7, 50). Games are
+played from positions that tables hold in ``board_queries``; those here start from the games' own
+boards, and their SQL is a closed formula where there is one, else the published or independently
+computed counts.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plyset import board_queries
 from plyset.functions.board import show_column
 from plyset.cli import main
 from plyset.functions.predicates import count_character, every, fixed, some
@@ -491,12 +493,12 @@ def q_cli(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "accept": lambda s, d: ints(PositionSet.accept(s, Shape((2, 3, 4))).frame()),
-    "reject": lambda s, d: ints(PositionSet.reject(s, Shape((2, 3, 4))).frame()),
+    "accept": lambda s, d: ints((lineitem(s, d) & PositionSet.accept(s, SHAPE)).frame()),
+    "reject": lambda s, d: ints((lineitem(s, d) & PositionSet.reject(s, SHAPE)).frame()),
     "fixed_layer": lambda s, d: ints((lineitem(s, d) & PositionSet.fixed(s, SHAPE, 2, 3)).frame()),
     "count_character": lambda s, d: ints((lineitem(s, d) & PositionSet.count_character(s, SHAPE, 0, 1, 2)).frame()),
     "count_pieces": lambda s, d: ints((lineitem(s, d) & PositionSet.count_pieces(s, SHAPE, 3)).frame()),
-    "from_strings": lambda s, d: ints(PositionSet.from_strings(s, Shape((3, 3)), [(0, 1), (2, 2), (0, 1)]).frame()),
+    "from_strings": lambda s, d: ints((lineitem(s, d) - PositionSet.from_strings(s, SHAPE, [(0, 0, c, 9) for c in (0, 1, 2, 3, 4, 5, 6, 0)])).frame()),
     "from_strings_lineitem": lambda s, d: ints(lineitem(s, d).frame()),
     "intersection": lambda s, d: ints((flag(s, d, "A") & flag(s, d, "R")).frame()),
     "union": lambda s, d: ints((flag(s, d, "A") | flag(s, d, "R")).frame()),
@@ -607,12 +609,12 @@ def _residuals(layer: int) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    "accept": "SELECT CAST(a.r AS INT) AS c0, CAST(b.r AS INT) AS c1, CAST(c.r AS INT) AS c2 FROM range(2) a(r), range(3) b(r), range(4) c(r)",
-    "reject": "SELECT CAST(0 AS INT) AS c0, CAST(0 AS INT) AS c1, CAST(0 AS INT) AS c2 WHERE false",
+    "accept": f"SELECT * FROM {_l()}",
+    "reject": f"SELECT * FROM {_l()} WHERE false",
     "fixed_layer": f"SELECT * FROM {_l()} WHERE c2 = 3",
     "count_character": f"SELECT * FROM {_l()} WHERE CAST(c0 = 0 AS INT) + CAST(c1 = 0 AS INT) + CAST(c2 = 0 AS INT) + CAST(c3 = 0 AS INT) BETWEEN 1 AND 2",
     "count_pieces": f"SELECT * FROM {_l()} WHERE CAST(c0 <> 0 AS INT) + CAST(c1 <> 0 AS INT) + CAST(c2 <> 0 AS INT) + CAST(c3 <> 0 AS INT) = 3",
-    "from_strings": "SELECT CAST(c0 AS INT) AS c0, CAST(c1 AS INT) AS c1 FROM (VALUES (0, 1), (2, 2)) t(c0, c1)",
+    "from_strings": f"SELECT * FROM {_l()} WHERE NOT (c0 = 0 AND c1 = 0 AND c3 = 9)",
     "from_strings_lineitem": f"SELECT * FROM {_l()}",
     "intersection": f"SELECT * FROM {_A} INTERSECT SELECT * FROM {_R}",
     "union": f"SELECT * FROM {_A} UNION SELECT * FROM {_R}",
@@ -747,3 +749,6 @@ ORACLE_SQL |= {
     "automaton_store": f"SELECT {_distinct_residuals([_A, _l("l_returnflag IN ('A', 'R')")])} AS both_states, {_AN} AS a_n, {_EITHER} AS either_n, {_distinct_residuals([_A])} AS left_states",
     "automaton_resumed": f"SELECT *, true AS same FROM (SELECT * FROM {_A} EXCEPT SELECT * FROM {_R})",
 }
+
+QUERIES |= board_queries.QUERIES
+ORACLE_SQL |= board_queries.ORACLE_SQL
