@@ -140,11 +140,11 @@ SQUARES = {"wk": "o_orderkey % 64", "bk": "(o_custkey * 5 + 11) % 64", "br": "(o
 LETTERS = {"wk": "K", "bk": "k", "br": "r", "bb": "b", "bn": "n"}
 
 
-def endgames(spark, d) -> DataFrame:
-    """Orders as boards with a white king to move against king, rook, bishop and knight; kings don't touch."""
+def endgames(spark, d, pieces: dict[str, str] = LETTERS) -> DataFrame:
+    """Orders as boards with a white king to move against king, rook, bishop and knight, or some of these; kings don't touch."""
     rows = orders(spark, d).select("o_orderkey", *(F.expr(e).cast("int").alias(c) for c, e in SQUARES.items()))
     apart = F.greatest(F.abs(F.expr("wk % 8 - bk % 8")), F.abs(F.expr("wk div 8 - bk div 8"))) > 1
-    return chess.placed(rows.filter(apart), LETTERS)
+    return chess.placed(rows.filter(apart), pieces)
 
 
 def q_chess_states(spark, d):
@@ -164,6 +164,15 @@ def q_chess_moves(spark, d):
     return rows.join(found, "board").select("o_orderkey", "move", F.length(F.regexp_replace("cells", "[^a-z]", "")).cast("long").alias("black_left"))
 
 
+ROOK = {k: LETTERS[k] for k in ("wk", "bk", "br")}
+
+
+def q_chess_divide(spark, d):
+    """Orders as king against king and rook: pairs of moves by the first, from the generator with equal boards merged."""
+    rows = endgames(spark, d, ROOK)
+    return rows.select("o_orderkey", "board").join(chess.divide_of(rows, 2), "board").select("o_orderkey", "move", "paths")
+
+
 def q_chess_codec(spark, d):
     """Every order's board as FEN, and what its slots say of each piece's square."""
     rows = endgames(spark, d)
@@ -194,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_amazons": counted("amazons_4x4", 1, AMAZONS),
     "orders_chess_states": q_chess_states,
     "orders_chess_moves": q_chess_moves,
+    "orders_chess_divide": q_chess_divide,
     "orders_chess_codec": q_chess_codec,
     "lines_chess_between": q_chess_between,
 }
@@ -315,6 +325,24 @@ def _attacked(k: str) -> str:
 _KX, _KY = _far("wk", "bk")
 _ENDGAMES = "(SELECT * FROM (SELECT o_orderkey, " + ", ".join(f"{e} AS {c}" for c, e in SQUARES.items()) + f" FROM orders) WHERE len(list_distinct([wk, bk, br, bb, bn])) = 5 AND greatest({_KX}, {_KY}) > 1)"
 _KING = f"(SELECT * FROM (SELECT g.*, wk + 8 * dy + dx AS t FROM {_ENDGAMES} g, range(-1, 2) u(dx), range(-1, 2) v(dy) WHERE (dx <> 0 OR dy <> 0) AND wk % 8 + dx BETWEEN 0 AND 7 AND wk // 8 + dy BETWEEN 0 AND 7) WHERE NOT {_attacked('t')})"
+#: King against king and rook: a white move, then what the black king and the rook, if it is still there, can do.
+_ROOKS = f"(SELECT * FROM (SELECT o_orderkey, {', '.join(f'{SQUARES[c]} AS {c}' for c in ('wk', 'bk', 'br'))} FROM orders) WHERE wk <> bk AND wk <> br AND bk <> br AND greatest({_KX}, {_KY}) > 1)"
+_EIGHT = "range(-1, 2) u(dx), range(-1, 2) v(dy) WHERE (dx <> 0 OR dy <> 0)"
+
+
+def _beside(s: str) -> str:
+    return f"{s} % 8 + dx BETWEEN 0 AND 7 AND {s} // 8 + dy BETWEEN 0 AND 7"
+
+
+_RX, _RY = _far("br", "t")
+_TX, _TY = _far("t", "bk")
+_ROOK_SEES = f"(br <> t AND ({_RX} = 0 OR {_RY} = 0) AND {_clear('br', 't', ('bk',), True)})"
+_DIVIDE = f"""
+WITH w AS (SELECT * FROM (SELECT g.*, wk + 8 * dy + dx AS t FROM {_ROOKS} g, {_EIGHT} AND {_beside('wk')}) WHERE NOT {_ROOK_SEES} AND greatest({_TX}, {_TY}) > 1),
+k AS (SELECT o_orderkey, t, count(*) AS n FROM (SELECT w.*, bk + 8 * dy + dx AS b FROM w, {_EIGHT} AND {_beside('bk')}) WHERE greatest(abs(b % 8 - t % 8), abs(b // 8 - t // 8)) > 1 AND (b <> br OR br = t) GROUP BY o_orderkey, t),
+r AS (SELECT o_orderkey, t, count(*) AS n FROM w, range(64) x(b) WHERE br <> t AND b <> br AND b <> bk AND (b % 8 = br % 8 OR b // 8 = br // 8) AND {_clear('br', 'b', ('bk', 't'), True)} GROUP BY o_orderkey, t)
+SELECT o_orderkey, concat({{wk}}, {{t}}) AS move, CAST(coalesce(k.n, 0) + coalesce(r.n, 0) AS BIGINT) AS paths FROM w LEFT JOIN k USING (o_orderkey, t) LEFT JOIN r USING (o_orderkey, t) WHERE coalesce(k.n, 0) + coalesce(r.n, 0) > 0
+"""
 _FILE = lambda s: f"chr(CAST(97 + {s} % 8 AS INT)), CAST(8 - {s} // 8 AS VARCHAR)"
 _CELL = lambda s: "CASE " + " ".join(f"WHEN {c} = {s} THEN '{k}'" for c, k in LETTERS.items()) + " ELSE '1' END"
 _FEN = " || '/' || ".join("concat(" + ", ".join(_CELL(8 * y + x) for x in range(8)) + ")" for y in range(8))
@@ -343,6 +371,7 @@ ORACLE_SQL: dict[str, str] = {
     "orders_amazons": _AMAZONS,
     "orders_chess_states": f"SELECT o_orderkey, attacked AS \"check\", attacked AS in_check, attacked AND n = 0 AS checkmate, NOT attacked AND n = 0 AS stalemate, n AS moves FROM (SELECT g.o_orderkey, {_attacked('wk')} AS attacked, coalesce(n, 0) AS n FROM {_ENDGAMES} g LEFT JOIN (SELECT o_orderkey, count(*) AS n FROM {_KING} GROUP BY o_orderkey) USING (o_orderkey))",
     "orders_chess_moves": f"SELECT o_orderkey, concat({_FILE('wk')}, {_FILE('t')}) AS move, CAST(4 - CAST(t IN (br, bb, bn) AS INT) AS BIGINT) AS black_left FROM {_KING}",
+    "orders_chess_divide": _DIVIDE.format(wk=_FILE("wk"), t=_FILE("t")),
     "orders_chess_codec": f"SELECT o_orderkey, concat({_FEN}, ' w - -') AS board, {', '.join(f'CAST({c} AS INT) AS {c}' for c in SQUARES)} FROM {_ENDGAMES}",
     "lines_chess_between": f"WITH s AS (SELECT i.r AS a, j.r AS b, abs(i.r % 8 - j.r % 8) AS dx, abs(i.r // 8 - j.r // 8) AS dy FROM range(64) i(r), range(64) j(r) WHERE i.r <> j.r), t AS ({_TABLE}) SELECT l_orderkey, l_linenumber, CAST(a AS INT) AS a, CAST(b AS INT) AS b, piece, CAST(n AS INT) AS n FROM ({_MOVED}) JOIN t USING (a, b)",
 }

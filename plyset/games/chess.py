@@ -86,12 +86,21 @@ def perft(spark: SparkSession, fen: str, depth: int) -> DataFrame:
 
 def divide(spark: SparkSession, fen: str, depth: int) -> DataFrame:
     """move, paths: perft by first move."""
-    now = successors(boards(spark, fen)).select("move", F.col("next").alias("board"), "n")
+    return divide_of(boards(spark, fen), depth).select("move", "paths")
+
+
+def divide_of(df: DataFrame, depth: int) -> DataFrame:
+    """board, move, paths: perft of each distinct board of a table by first move; boards without a move have no row.
+
+    Equal boards behind one first move are merged with their multiplicities, and moves of a board that many
+    share are generated once for all.
+    """
+    now = successors(df.select("board").distinct()).select(F.col("board").alias("root"), "move", F.col("next").alias("board"), "n")
     for _ in range(depth - 1):
-        step = successors(now.select("board").distinct()).select("board", "next")
-        now = now.join(step, "board").groupBy("move", F.col("next").alias("board")).agg(F.sum("n").alias("n"))
         now = materialise(now, "divide")
-    return now.groupBy("move").agg(F.sum("n").alias("paths"))
+        step = successors(now.select("board").distinct()).select("board", "next")
+        now = now.join(step, "board").groupBy("root", "move", F.col("next").alias("board")).agg(F.sum("n").alias("n"))
+    return now.groupBy(F.col("root").alias("board"), "move").agg(F.sum("n").alias("paths"))
 
 
 def states(df: DataFrame) -> DataFrame:

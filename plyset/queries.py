@@ -103,12 +103,17 @@ def q_automaton_algebra(spark, d):
     return _one(spark, both_n=(a & r).size(), any_n=(a | r).size(), only_n=(a - r).size(), not_n=a.complement().size(), same=(a | r) == Automaton.of(lineitem(spark, d, "l_returnflag in ('A', 'R')")))
 
 
+def heaps_among(spark, d, found: PositionSet) -> DataFrame:
+    """The heaps of lines that belong to a set."""
+    return ints((found & board_queries.small_heaps(spark, d, "true")).frame())
+
+
 def q_nim(kind: str) -> Callable:
     def run(spark, d):
         g = get_game("normalnim_3x4")
         s = g.solver(spark)
         df = s.losing(0, 12) if kind == "losing" else s.winning(0, 12)
-        return ints(unpacked(df, g.shape).frame())
+        return heaps_among(spark, d, unpacked(df, g.shape))
 
     return run
 
@@ -128,7 +133,7 @@ def q_nim_moves(direction: str) -> Callable:
 
 def q_nim_before(spark, d):
     g = get_game("normalnim_3x4")
-    return ints(g.backward(0, PositionSet.matching(spark, g.shape, count_character(g.shape, 0, 3))).frame())
+    return heaps_among(spark, d, g.backward(0, PositionSet.matching(spark, g.shape, count_character(g.shape, 0, 3))))
 
 
 def q_frontier(name: str, plies: int) -> Callable:
@@ -361,18 +366,18 @@ def q_graph_reversed(spark, d):
 
 def q_reachable(spark, d):
     g = get_game("normalnim_3x4")
-    return ints(g.reachable(spark, 0, 3).frame())
+    return heaps_among(spark, d, g.reachable(spark, 0, 3))
 
 
 def q_nim_unknown(spark, d):
     g = get_game("normalnim_3x4")
-    return ints(unpacked(g.solver(spark).unknown(0, 2), g.shape).frame())
+    return heaps_among(spark, d, unpacked(g.solver(spark).unknown(0, 2), g.shape))
 
 
 def q_nim_built(kind: str, k: int) -> Callable:
     def run(spark, d):
         g = get_game("normalnim_3x4")
-        return ints(unpacked(getattr(g.solver(spark), kind)(1, k), g.shape).frame())
+        return heaps_among(spark, d, unpacked(getattr(g.solver(spark), kind)(1, k), g.shape))
 
     return run
 
@@ -750,5 +755,9 @@ ORACLE_SQL |= {
     "automaton_resumed": f"SELECT *, true AS same FROM (SELECT * FROM {_A} EXCEPT SELECT * FROM {_R})",
 }
 
+_HEAPS = "SELECT l_partkey % 5 AS c0, l_suppkey % 5 AS c1, l_linenumber % 5 AS c2 FROM lineitem"
+for _name in ("nim_losing", "nim_winning", "nim_before_predicate", "reachable", "nim_unknown", "nim_losing_2", "nim_winning_1"):
+    ORACLE_SQL[_name] = f"SELECT * FROM ({ORACLE_SQL[_name]}) WHERE (c0, c1, c2) IN (SELECT (c0, c1, c2) FROM ({_HEAPS}))"
+
 QUERIES |= board_queries.QUERIES
 ORACLE_SQL |= board_queries.ORACLE_SQL
