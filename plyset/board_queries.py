@@ -182,10 +182,14 @@ def q_chess_codec(spark, d):
     return rows.select("o_orderkey", "board").join(slots.select("board", *where), "board")
 
 
+#: Parts and suppliers of lines as squares that something moves from and to.
+MOVE = ("cast(l_partkey % 64 as int) as a", "cast((l_suppkey * 3 + l_linenumber) % 64 as int) as b")
+
+
 def q_chess_between(spark, d):
     """Parts of lines as moves on an empty board: which pieces may go so from where to where, and how many squares lie between."""
     table = spark.createDataFrame([(k, a, b, len(w)) for k, a, b, w in C.move_table()], "piece string, a int, b int, n int")
-    rows = lines(spark, d).selectExpr("l_orderkey", "l_linenumber", "cast(l_partkey % 64 as int) as a", "cast((l_suppkey * 3 + l_linenumber) % 64 as int) as b")
+    rows = lines(spark, d).selectExpr("l_orderkey", "l_linenumber", *MOVE)
     return rows.join(F.broadcast(table), ["a", "b"])  # 64 * 64 moves of eight kinds at most
 
 
@@ -355,7 +359,7 @@ _TABLE = " UNION ALL ".join([
     "SELECT 'P', a, b, dy - 1 FROM s WHERE a // 8 BETWEEN 1 AND 6 AND b < a AND ((dy = 1 AND dx <= 1) OR (dy = 2 AND dx = 0 AND a // 8 = 6))",
     "SELECT 'p', a, b, dy - 1 FROM s WHERE a // 8 BETWEEN 1 AND 6 AND b > a AND ((dy = 1 AND dx <= 1) OR (dy = 2 AND dx = 0 AND a // 8 = 1))",
 ])
-_MOVED = "SELECT l_orderkey, l_linenumber, l_partkey % 64 AS a, (l_suppkey * 3 + l_linenumber) % 64 AS b FROM lineitem"
+MOVED = "SELECT l_orderkey, l_linenumber, l_partkey % 64 AS a, (l_suppkey * 3 + l_linenumber) % 64 AS b FROM lineitem"
 
 ORACLE_SQL: dict[str, str] = {
     "lines_nim": f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, result FROM {_NIM}",
@@ -373,5 +377,5 @@ ORACLE_SQL: dict[str, str] = {
     "orders_chess_moves": f"SELECT o_orderkey, concat({_FILE('wk')}, {_FILE('t')}) AS move, CAST(4 - CAST(t IN (br, bb, bn) AS INT) AS BIGINT) AS black_left FROM {_KING}",
     "orders_chess_divide": _DIVIDE.format(wk=_FILE("wk"), t=_FILE("t")),
     "orders_chess_codec": f"SELECT o_orderkey, concat({_FEN}, ' w - -') AS board, {', '.join(f'CAST({c} AS INT) AS {c}' for c in SQUARES)} FROM {_ENDGAMES}",
-    "lines_chess_between": f"WITH s AS (SELECT i.r AS a, j.r AS b, abs(i.r % 8 - j.r % 8) AS dx, abs(i.r // 8 - j.r // 8) AS dy FROM range(64) i(r), range(64) j(r) WHERE i.r <> j.r), t AS ({_TABLE}) SELECT l_orderkey, l_linenumber, CAST(a AS INT) AS a, CAST(b AS INT) AS b, piece, CAST(n AS INT) AS n FROM ({_MOVED}) JOIN t USING (a, b)",
+    "lines_chess_between": f"WITH s AS (SELECT i.r AS a, j.r AS b, abs(i.r % 8 - j.r % 8) AS dx, abs(i.r // 8 - j.r // 8) AS dy FROM range(64) i(r), range(64) j(r) WHERE i.r <> j.r), t AS ({_TABLE}) SELECT l_orderkey, l_linenumber, CAST(a AS INT) AS a, CAST(b AS INT) AS b, piece, CAST(n AS INT) AS n FROM ({MOVED}) JOIN t USING (a, b)",
 }

@@ -29,6 +29,7 @@ from plyset.operators.positions import PositionSet, bound_within, intersection,
 from plyset.plans import moves
 from plyset.plans.analysis import analyse
 from plyset.plans.game import packed, solve_forward_backward, unpacked, with_fractions
+from plyset.plans.judged import from_code
 from plyset.shape import Shape
 from plyset.sources.automata import AutomatonStore
 from plyset.sources.catalog import Catalog, write_tsv
@@ -151,15 +152,21 @@ def q_ttt_shares(spark, d):
     return with_fractions(solve_forward_backward(get_game("tictactoe_2"), spark, 4)).select("ply", F.round("win_share", 6).alias("win_share"), F.round("lose_share", 6).alias("lose_share"), F.round("unknown_share", 6).alias("unknown_share"))
 
 
-def q_ttt_lost(spark, d):
+def ttt_boards(spark, d) -> PositionSet:
+    """The boards that lines spell, each once."""
     g = get_game("tictactoe_3")
-    return _one(spark, lost_n=PositionSet.matching(spark, g.shape, g.lost(0)).size(), moves_n=g.has_moves(spark, 0).size())
+    rows = board_queries.lines(spark, d).select(from_code(F.expr(board_queries.TTT), g.shape).alias("p"))
+    return unpacked(rows, g.shape, distinct=True)
+
+
+def q_ttt_lost(spark, d):
+    g, boards = get_game("tictactoe_3"), ttt_boards(spark, d)
+    return _one(spark, lost_n=(boards & PositionSet.matching(spark, g.shape, g.lost(0))).size(), moves_n=(boards & g.has_moves(spark, 0)).size())
 
 
 def q_ttt_boards(spark, d):
     g = get_game("tictactoe_3")
-    rows = g.positions_forward(spark, 2).frame()
-    return rows.select(show_column(g.shape.columns, 3, ".xo").alias("board"))
+    return ttt_boards(spark, d).frame().select(show_column(g.shape.columns, 3, ".xo").alias("board"))
 
 
 def q_breakthrough_reversed(spark, d):
@@ -342,10 +349,10 @@ def q_resumed(spark, d):
 
 
 def q_automaton_predicate(spark, d):
-    """Sizes of sets that are never enumerated: 8**9 positions."""
-    shape = Shape((8,) * 9)
-    three, some_ = (Automaton.matching(spark, shape, p) for p in (count_character(shape, 0, 3), count_character(shape, 1, 1, 9)))
-    return _one(spark, three_n=three.size(), both_n=(three & some_).size())
+    """Sets that are never enumerated, of 89,600 positions, met with those of A."""
+    a = of_flag(spark, d, "A")
+    some_, three = (Automaton.matching(spark, SHAPE, p) for p in (count_character(SHAPE, 0, 1, 2), count_character(SHAPE, 1, 1, 3)))
+    return _one(spark, some_n=some_.size(), a_both_n=automata.intersection([a, some_, three]).size())
 
 
 def q_graph_sizes(spark, d):
@@ -384,7 +391,8 @@ def q_nim_built(kind: str, k: int) -> Callable:
 
 def q_othello_won(spark, d):
     g = get_game("othello_2x2")
-    return ints((PositionSet.matching(spark, g.shape, g.won(0)) & PositionSet.matching(spark, g.shape, g.legal())).frame())
+    boards = unpacked(board_queries.lines(spark, d).select(from_code(F.expr("l_partkey % 81"), g.shape).alias("p")), g.shape, distinct=True)
+    return ints((boards & PositionSet.matching(spark, g.shape, g.won(0)) & PositionSet.matching(spark, g.shape, g.legal())).frame())
 
 
 def q_names(spark, d):
@@ -464,13 +472,18 @@ def q_chess_codec(spark, d):
     return p.mapInArrow(back, "board string").select(F.split("board", " ")[0].alias("cells"), F.split("board", " ")[3].alias("passed"))
 
 
+def moved(spark, d, table: DataFrame) -> DataFrame:
+    """Rows of a table of moves whose squares some line holds."""
+    return table.join(board_queries.lines(spark, d).selectExpr(*board_queries.MOVE).distinct(), ["a", "b"], "left_semi")
+
+
 def q_chess_between(spark, d):
     c = chess.C
-    return spark.createDataFrame([(a, b, len(w)) for a in range(64) for b in range(64) if (w := c.between(a, b)) is not None], "a int, b int, n int")
+    return moved(spark, d, spark.createDataFrame([(a, b, len(w)) for a in range(64) for b in range(64) if (w := c.between(a, b)) is not None], "a int, b int, n int"))
 
 
 def q_chess_move_table(spark, d):
-    return spark.createDataFrame([(k, a, b, len(w)) for k, a, b, w in chess.C.move_table()], "piece string, a int, b int, n int")
+    return moved(spark, d, spark.createDataFrame([(k, a, b, len(w)) for k, a, b, w in chess.C.move_table()], "piece string, a int, b int, n int"))
 
 
 def q_chess_uci(spark, d):
@@ -662,9 +675,9 @@ _TTT = "(SELECT " + ", ".join(f"(i // {3**k}) % 3 AS c{k}" for k in range(9)) +
 _LINE = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (2, 4, 6))
 _O = "(" + " OR ".join("(" + " AND ".join(f"c{i} = 2" for i in line) + ")" for line in _LINE) + ")"
 _EMPTY = "(" + " OR ".join(f"c{i} = 0" for i in range(9)) + ")"
-ORACLE_SQL["ttt_lost"] = f"SELECT (SELECT count(*) FROM {_TTT} WHERE {_O}) AS lost_n, (SELECT count(*) FROM {_TTT} WHERE NOT {_O} AND {_EMPTY}) AS moves_n"
-_CELL = lambda k: f"CASE WHEN i = {k} THEN 'x' WHEN j = {k} THEN 'o' ELSE '.' END"
-ORACLE_SQL["ttt_boards"] = "SELECT " + " || chr(10) || ".join("concat_ws(' ', " + ", ".join(_CELL(3 * y + x) for x in range(3)) + ")" for y in range(3)) + " AS board FROM range(9) a(i), range(9) b(j) WHERE i <> j"
+_SPELT = f"(SELECT DISTINCT b.* FROM {_TTT} b JOIN (SELECT {board_queries.TTT} AS code FROM lineitem) ON code = {' + '.join(f'{3**k} * c{k}' for k in range(9))})"
+ORACLE_SQL["ttt_lost"] = f"SELECT (SELECT count(*) FROM {_SPELT} WHERE {_O}) AS lost_n, (SELECT count(*) FROM {_SPELT} WHERE NOT {_O} AND {_EMPTY}) AS moves_n"
+ORACLE_SQL["ttt_boards"] = "SELECT " + " || chr(10) || ".join("concat_ws(' ', " + ", ".join(f"substr('.xo', CAST(c{3 * y + x} + 1 AS INT), 1)" for x in range(3)) + ")" for y in range(3)) + f" AS board FROM {_SPELT}"
 
 
 # -- the operators that no other query names ----------------------------------------------------
@@ -677,6 +690,7 @@ _FAR = "CAST(greatest(dx, dy) - 1 AS INT) AS n"
 _AN, _RN, _NN = (f"(SELECT count(*) FROM {x})" for x in (_A, _R, _N))
 _EITHER = f"(SELECT count(*) FROM (SELECT * FROM {_A} UNION SELECT * FROM {_R}))"
 _FEW = f"(SELECT * FROM {_A} WHERE c2 = 6)"
+_COUNT = lambda c: "(" + " + ".join(f"CAST(c{i} = {c} AS INT)" for i in range(4)) + ")"
 
 
 def _ends(*columns: int) -> str:
@@ -693,14 +707,14 @@ ORACLE_SQL |= {
     "automaton_fold": f"SELECT (SELECT count(*) FROM (SELECT * FROM {_A} INTERSECT SELECT * FROM {_R} INTERSECT SELECT * FROM {_N})) AS all_n, (SELECT count(*) FROM {_l()}) AS any_n",
     "quick_stats": "SELECT concat((SELECT sum(states) FROM (" + " UNION ALL ".join(_residuals(i) for i in range(4)) + f")), ' states, ', {_AN}, ' positions') AS stats",
     "automaton_change": f"SELECT CAST(2 AS INT) AS c0, c1, CAST(5 AS INT) AS c2, c3 FROM {_A} WHERE c0 = 1 AND c2 = 3",
-    "automaton_predicate": "SELECT CAST(84 * 117649 AS BIGINT) AS three_n, CAST(84 * (117649 - 46656) AS BIGINT) AS both_n",
+    "automaton_predicate": f"SELECT (SELECT count(*) FROM {_U} WHERE {_COUNT(0)} BETWEEN 1 AND 2) AS some_n, (SELECT count(*) FROM {_A} WHERE {_COUNT(0)} BETWEEN 1 AND 2 AND {_COUNT(1)} BETWEEN 1 AND 3) AS a_both_n",
     "graph_sizes": "SELECT CAST(h AS INT) AS heaps, CAST(m AS INT) AS most, CAST(2 + h * t AS INT) AS nodes, CAST(2 * h * t AS INT) AS edges, CAST(2 + h * t AS INT) AS pruned, CAST(h * t AS INT) AS rules FROM (SELECT h, m, m * (m + 1) // 2 AS t FROM (VALUES (1, 3), (2, 3), (3, 4)) v(h, m))",
     "graph_reversed": ORACLE_SQL["nim_backward"],
     "reachable": f"SELECT * FROM {_NIM} WHERE 12 - c0 - c1 - c2 >= 3",
     "nim_unknown": f"SELECT * FROM {_NIM} EXCEPT SELECT * FROM {_W1} EXCEPT SELECT * FROM {_L2}",
     "nim_losing_2": f"SELECT * FROM {_L2}",
     "nim_winning_1": f"SELECT * FROM {_W1}",
-    "othello_won": "SELECT * FROM (SELECT " + ", ".join(f"CAST((i // {3**k}) % 3 AS INT) AS c{k}" for k in range(4)) + " FROM range(81) t(i)) WHERE c0 * c1 * c2 * c3 > 0 AND CAST(c0 = 1 AS INT) + CAST(c1 = 1 AS INT) + CAST(c2 = 1 AS INT) + CAST(c3 = 1 AS INT) > 2",
+    "othello_won": "SELECT * FROM (SELECT " + ", ".join(f"CAST((i // {3**k}) % 3 AS INT) AS c{k}" for k in range(4)) + " FROM range(81) t(i) WHERE i IN (SELECT l_partkey % 81 FROM lineitem)) WHERE c0 * c1 * c2 * c3 > 0 AND CAST(c0 = 1 AS INT) + CAST(c1 = 1 AS INT) + CAST(c2 = 1 AS INT) + CAST(c3 = 1 AS INT) > 2",
     "result_names": "SELECT concat('backward,ply_max=', lpad(CAST(p AS VARCHAR), 3, '0'), ',side=', s, ',', k) AS name FROM (VALUES ('losing'), ('winning'), ('unknown')) a(k), (VALUES (0), (7), (12)) b(p), range(2) c(s) UNION ALL SELECT concat('forward,ply=', lpad(CAST(p AS VARCHAR), 3, '0')) FROM range(3) t(p) UNION ALL SELECT concat(k, ',side_to_move=', s) FROM (VALUES ('lost'), ('won')) a(k), range(2) c(s) UNION ALL SELECT concat('has_moves-side=', s) FROM range(2) c(s)",
     "validated": "SELECT true AS losing_ok, false AS losing_bad, true AS winning_ok, false AS winning_bad, true AS moves_ok, true AS solved_ok, true AS parts_ok",
     "analysis": _values("ply, win, lose, unknown", [(0, 1, 0, 0), (1, 0, 4, 0), (2, 12, 0, 0), (3, 0, 12, 0)], "CAST(ply AS INT) AS ply, CAST(win AS INT) AS win, CAST(lose AS INT) AS lose, CAST(unknown AS INT) AS unknown"),
@@ -759,5 +773,8 @@ _HEAPS = "SELECT l_partkey % 5 AS c0, l_suppkey % 5 AS c1, l_linenumber % 5 AS c
 for _name in ("nim_losing", "nim_winning", "nim_before_predicate", "reachable", "nim_unknown", "nim_losing_2", "nim_winning_1"):
     ORACLE_SQL[_name] = f"SELECT * FROM ({ORACLE_SQL[_name]}) WHERE (c0, c1, c2) IN (SELECT (c0, c1, c2) FROM ({_HEAPS}))"
 
+for _name in ("chess_between", "chess_move_table"):
+    ORACLE_SQL[_name] = f"SELECT * FROM ({ORACLE_SQL[_name]}) WHERE (a, b) IN (SELECT (a, b) FROM ({board_queries.MOVED}))"
+
 QUERIES |= board_queries.QUERIES
 ORACLE_SQL |= board_queries.ORACLE_SQL
