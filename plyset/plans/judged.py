@@ -91,11 +91,16 @@ def judged(game: Game, positions: DataFrame, side: int, plies: int) -> DataFrame
 
 
 def answered(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Every row of a table with what is known of its position ``p``; a position that most rows share is no hot key."""
+    """Every row of a table with what is known of its position ``p``; a position that most rows share is no hot key.
+
+    Beyond ``MOST_BROADCAST`` positions the rows are salted by their other columns, so only rows that are wholly equal
+    stay together.
+    """
     answers = materialise(answers, "answers")
     if answers.count() <= MOST_BROADCAST:
         return rows.join(F.broadcast(answers), "p")
-    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    others = [F.col(f"`{c}`") for c, kind in rows.dtypes if c != "p" and "map<" not in kind]  # a row made again gets the same salt
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)) if others else F.lit(0).cast("long"))
     spread = answers.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(spread, ["p", "_salt"]).drop("_salt")
 

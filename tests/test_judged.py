@@ -56,6 +56,7 @@ def test_every_row_is_answered(spark, monkeypatch):
     monkeypatch.setattr(J, "MOST_BROADCAST", 0)
     salted = J.answered(rows, told)
     assert sorted(map(tuple, salted.select("p", "id", "result_of_mine", "result").collect())) == broadcast and len(broadcast) == 400
+    assert J.answered(rows.select("p"), told).count() == 400 == J.answered(rows.withColumn("a.b", F.create_map("id", "id")), told).count()
     assert {(r.id, r.result) for r in salted.collect()} == {(i, -1 if (3 if i < 300 else i % 4) == 1 else 1) for i in range(400)}
 
 

@@ -7,7 +7,7 @@ from plyset.board_queries import QUERIES as BOARDS
 from plyset.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["accept", "reject", "fixed_layer", "count_character", "count_pieces", "from_strings", "from_strings_lineitem", "intersection", "union", "difference", "inverse", "intersection_vector", "union_vector", "change", "change_complement", "size", "layer_bound", "is_linear", "first_k", "contains_batch", "checks", "automaton_layers", "nim_forward", "nim_backward", "nim_before_predicate", "ttt_lost", "ttt_boards", "chess_divide", "chess_frontier", "dnf", "bound_within", "fingerprint", "quick_stats", "automaton_change", "automaton_first_k", "automaton_nth", "automaton_ranks", "automaton_contains_batch", "automaton_together", "automaton_cost_fold", "automaton_bounds", "automaton_change_fixed", "dnf_clauses", "automaton_image", "automaton_store", "automaton_resumed", "graph_sizes", "graph_reversed", "reachable", "nim_unknown", "othello_won", "result_names", "chess_ends", "chess_mated", "chess_targets", "chess_codec", "chess_between", "chess_move_table", "chess_uci", "chess_unmoves", "cli", *BOARDS]
+FAST = ["accept", "reject", "fixed_layer", "count_character", "count_pieces", "from_strings", "from_strings_lineitem", "intersection", "union", "difference", "inverse", "intersection_vector", "union_vector", "change", "change_complement", "size", "layer_bound", "is_linear", "first_k", "contains_batch", "checks", "automaton_layers", "nim_forward", "nim_backward", "nim_before_predicate", "ttt_lost", "ttt_boards", "chess_divide", "chess_frontier", "dnf", "bound_within", "fingerprint", "quick_stats", "automaton_change", "automaton_first_k", "automaton_nth", "automaton_ranks", "automaton_contains_batch", "automaton_together", "automaton_cost_fold", "automaton_bounds", "automaton_change_fixed", "dnf_clauses", "automaton_image", "automaton_store", "automaton_resumed", "graph_sizes", "graph_reversed", "reachable", "nim_unknown", "othello_won", "result_names", "chess_ends", "chess_mated", "chess_targets", "chess_codec", "chess_between", "chess_move_table", "chess_uci", "chess_unmoves", "cli", *(n for n in BOARDS if n not in ("lines_nim_whole", "lines_nim_shares"))]  # two that repeat much of lines_nim
 
 
 def test_every_query_has_sql():
