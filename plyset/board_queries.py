@@ -17,7 +17,7 @@ from plyset.operators import checks
 from plyset.operators.positions import PositionSet
 from plyset.plans import moves
 from plyset.plans.game import packed, unpacked, with_fractions
-from plyset.plans.judged import answered, encoded, from_code, holds, judged, mobility, reached, shares
+from plyset.plans.judged import answered, encoded, from_code, holds, judged, mobility, reached, shares, with_moves
 
 HEAPS = ("l_partkey % 16", "l_suppkey % 16", "l_orderkey % 16")
 
@@ -115,7 +115,7 @@ def counted(name: str, side: int, code: str) -> Callable:
     def run(spark, d):
         g = get_game(name)
         rows = orders(spark, d).withColumn("code", F.expr(code)).withColumn("p", from_code(F.col("code"), g.shape))
-        return answered(rows, mobility(g, rows, side)).select("o_orderkey", "code", "moves")
+        return with_moves(g, rows, side).select("o_orderkey", "code", "moves")
 
     return run
 

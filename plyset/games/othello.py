@@ -69,6 +69,19 @@ class Othello(Game):
         turned = F.transform("p", lambda c, i: F.when(F.array_contains("put", i), F.lit(own).cast("tinyint")).otherwise(c))
         return grouped.select("p", turned.alias("q"))
 
+    @lru_cache(maxsize=None)  # noqa: B019
+    def results(self, side: int):
+        """One for each square: a placement turns discs in all directions that enclose some."""
+        if len(self.shape) > 64:
+            return None
+        own, other, found = side + 1, 2 - side, {}
+        for at, between, end in self.turns():
+            found.setdefault(at, []).append({at: frozenset([0]), end: frozenset([own]), **{i: frozenset([other]) for i in between}})
+        return list(found.values())
+
+    def passing(self, side: int):
+        return self.results(1 - side)
+
     def edges(self, positions: DataFrame, side: int) -> DataFrame:
         placed = self.placements(positions, side)
         stuck = positions.join(placed.select("p").distinct(), "p", "left_anti")

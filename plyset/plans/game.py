@@ -72,6 +72,17 @@ class Game:
         """All (p, q) with a move from p to q; a pair can repeat if two rules make it."""
         return M.apply(self._allowed(positions, side), self.rules(side), self.shape)
 
+    @lru_cache(maxsize=None)  # noqa: B019
+    def results(self, side: int) -> list[list[dict[int, frozenset[int]]]] | None:
+        """What a position must hold for each different result of a move (see ``moves.results``); nothing where moves aren't such rules."""
+        if len(self.shape) > 64:
+            return None
+        return M.results(self.rules(side), self.shape)
+
+    def passing(self, side: int) -> list[list[dict[int, frozenset[int]]]]:
+        """What makes a position without another result its own only one."""
+        return []
+
     def forward(self, side: int, s: PositionSet) -> PositionSet:
         """All results of one move, each once."""
         return unpacked(self.edges(packed(s, self.shape), side).select(F.col("q").alias("p")), self.shape, distinct=True)

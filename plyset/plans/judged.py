@@ -11,11 +11,14 @@ of the table gets its answer; an empty table gives no rows; a null or malformed
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyset.functions import predicates as P
 from plyset.plans.game import Game
+from plyset.plans.moves import count_results
 from plyset.shape import Shape
 from plyset.storage import materialise
 
@@ -46,11 +49,45 @@ def holds(p: P.Predicate) -> Column:
     return p.column(lambda i: F.col("p")[i])
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that must not go through the driver: files and shuffles of positions are a fraction of their size in memory."""
+    return df.hint("merge")
+
+
+def moves_of(game: Game, side: int) -> Column | None:
+    """How many different positions one move leads to from ``p``; nothing where the game's moves can't be counted on slots alone."""
+    found = game.results(side)
+    if found is None:
+        return None
+    passing, slots = game.passing(side), len(game.shape)
+
+    def count(p: pa.Array) -> pa.Array:
+        cells = p.flatten().to_numpy(zero_copy_only=False).reshape(-1, slots)
+        n = count_results(cells, found)
+        if passing:
+            n = np.where(n > 0, n, count_results(cells, passing) > 0)
+        return pa.array(n, pa.int64())
+
+    may, counted = game.may_move(side), F.arrow_udf(count, "long")(F.col("p"))
+    return counted if may is P.ALWAYS else F.when(holds(may), counted).otherwise(F.lit(0).cast("long"))
+
+
+def with_moves(game: Game, rows: DataFrame, side: int) -> DataFrame:
+    """Every row of a table with ``moves``, the number of different positions that one move leads to from its ``p``.
+
+    Counted row by row without a shuffle or a join where the game's moves are rules of slots.
+    """
+    moves = moves_of(game, side)
+    return answered(rows, mobility(game, rows, side)) if moves is None else rows.withColumn("moves", moves)
+
+
 def mobility(game: Game, positions: DataFrame, side: int) -> DataFrame:
     """p, moves: how many different positions one move leads to, 0 where there is none."""
-    own = positions.select("p").distinct()
+    own, moves = positions.select("p").distinct(), moves_of(game, side)
+    if moves is not None:
+        return own.select("p", moves.alias("moves"))
     counted = game.edges(own, side).distinct().groupBy("p").agg(F.count("*").alias("moves"))
-    return own.join(counted, "p", "left").select("p", F.coalesce("moves", F.lit(0).cast("long")).alias("moves"))
+    return own.join(shuffled(counted), "p", "left").select("p", F.coalesce("moves", F.lit(0).cast("long")).alias("moves"))
 
 
 def reached(game: Game, positions: DataFrame, side: int, plies: int) -> list[DataFrame]:
@@ -82,27 +119,27 @@ def judged(game: Game, positions: DataFrame, side: int, plies: int) -> DataFrame
         if later is None:  # only whether there is a move
             sums = edges.groupBy("p").agg(F.lit(0).alias("some"), F.lit(0).alias("every"))
         else:
-            met = edges.join(later.withColumnRenamed("p", "q"), "q")
+            met = edges.join(shuffled(later.withColumnRenamed("p", "q")), "q")
             sums = met.groupBy("p").agg(F.max((F.col("result") == -1).cast("int")).alias("some"), F.min((F.col("result") == 1).cast("int")).alias("every"))
         stuck = F.lit(-1 if game.normal_play else 0)
         value = F.coalesce(told, F.when(F.col("some").isNull(), stuck).when(F.col("some") == 1, 1).when(F.col("every") == 1, -1), F.lit(0))
-        later = materialise(own.join(sums, "p", "left").select("p", value.cast("int").alias("result")), "judged")
+        later = materialise(own.join(shuffled(sums), "p", "left").select("p", value.cast("int").alias("result")), "judged")
     return later
 
 
-def answered(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Every row of a table with what is known of its position ``p``; a position that most rows share is no hot key.
+def answered(rows: DataFrame, answers: DataFrame, on: tuple[str, ...] = ("p",)) -> DataFrame:
+    """Every row of a table with what is known of its position ``p``, or of what else spells it; one that most rows share is no hot key.
 
-    Beyond ``MOST_BROADCAST`` positions the rows are salted by their other columns, so only rows that are wholly equal
-    stay together.
+    Beyond ``MOST_BROADCAST`` answers the rows are salted by their other columns, so only rows that are wholly equal
+    stay together; the answers never go through the driver then, however small their files are.
     """
     answers = materialise(answers, "answers")
     if answers.count() <= MOST_BROADCAST:
-        return rows.join(F.broadcast(answers), "p")
-    others = [F.col(f"`{c}`") for c, kind in rows.dtypes if c != "p" and "map<" not in kind]  # a row made again gets the same salt
+        return rows.join(F.broadcast(answers), list(on))
+    others = [F.col(f"`{c}`") for c, kind in rows.dtypes if c not in on and "map<" not in kind]  # a row made again gets the same salt
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)) if others else F.lit(0).cast("long"))
     spread = answers.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, ["p", "_salt"]).drop("_salt")
+    return salted.join(shuffled(spread), [*on, "_salt"]).drop("_salt")
 
 
 def shares(rows: DataFrame, *keys: str) -> DataFrame:

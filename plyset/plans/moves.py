@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,3 +208,47 @@ def apply(positions: DataFrame, rules: list[Rule], shape: Shape) -> DataFrame:
         made = met.select("p", new.alias("q"))
         out = made if out is None else out.unionByName(made)
     return positions.select("p", F.col("p").alias("q")).limit(0) if out is None else out
+
+
+def results(rules: list[Rule], shape: Shape) -> list[list[dict[int, frozenset[int]]]] | None:
+    """For each different result of a move, by what it writes, the conditions of which one must hold.
+
+    Nothing where that can't be told from the rules: where one tests more than single slots, or may write what is
+    there already, so that two writings can make the same position.
+    """
+    found: dict[tuple, list[dict[int, frozenset[int]]]] = {}
+    for rule in rules:
+        sets, rest = split(rule)
+        if rest is not P.ALWAYS or not rule.put or any(after in sets.get(i, range(shape.sizes[i])) for i, after in rule.put):
+            return None
+        found.setdefault(rule.put, []).append(sets)
+    return list(found.values())
+
+
+def count_results(cells: np.ndarray, found: list[list[dict[int, frozenset[int]]]]) -> np.ndarray:
+    """How many of the results each position has; a row of ``cells`` for each position, at most 64 slots.
+
+    Slots that hold one of some characters are a bit mask for each position, so a condition is a few comparisons.
+    """
+    masks: dict[frozenset[int], np.ndarray] = {}
+
+    def mask(chars: frozenset[int]) -> np.ndarray:
+        if chars not in masks:
+            masks[chars] = np.zeros(len(cells), np.uint64)
+            for i in range(cells.shape[1]):
+                masks[chars] |= np.isin(cells[:, i], list(chars)).astype(np.uint64) << np.uint64(i)
+        return masks[chars]
+
+    n = np.zeros(len(cells), np.int64)
+    for ways in found:
+        some = np.zeros(len(cells), bool)
+        for sets in ways:
+            need: dict[frozenset[int], int] = {}
+            for i, chars in sets.items():
+                need[chars] = need.get(chars, 0) | 1 << i
+            holds = np.ones(len(cells), bool)
+            for chars, bits in need.items():
+                holds &= mask(chars) & np.uint64(bits) == np.uint64(bits)
+            some |= holds
+        n += some
+    return n

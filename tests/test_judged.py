@@ -3,9 +3,11 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from plyset.functions import predicates as P
 from plyset.games import chess, get_game
 from plyset.operators.positions import PositionSet
 from plyset.plans import judged as J
+from plyset.plans import moves
 from plyset.plans.game import packed
 
 
@@ -89,3 +91,41 @@ def test_placed_and_in_check(spark):
             assert told == {b: chess.C.Board.parse(b).check() for b in boards.values()}
     bare = chess.as_slots(spark.createDataFrame([("8/8/8/8/8/8/8/r7 w - -",), ("K6K/8/8/8/8/8/8/r7 w - -",)], "board string"))
     assert [r.in_check for r in chess.in_check(bare, 0).collect()] == [False, False]
+
+
+@pytest.mark.parametrize(("name", "side", "step"), [("amazons_4x4", 1, 40_000_003), ("tictactoe_3", 0, 97), ("normalnim_3x3", 1, 1)])
+def test_moves_of_every_row_need_no_join(spark, name, side, step):
+    g = get_game(name)
+    codes = list(range(0, g.shape.universe, step))
+    rows = spark.createDataFrame([(c,) for c in codes * 2], "code long").withColumn("p", J.from_code(F.col("code"), g.shape))
+    df = J.with_moves(g, rows, side)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    got = sorted((tuple(r.p), r.moves) for r in df.collect())
+    assert got == sorted((tuple(r.p), len(set(g.successors(side, tuple(r.p))))) for r in rows.collect())
+
+
+def test_moves_that_may_meet_are_counted_on_their_results(spark):
+    class Odd(type(get_game("tictactoe_2"))):
+        """Two rules of which the second may write what is there."""
+
+        def rules(self, side):
+            return [moves.Rule(P.fixed(self.shape, 0, 1), ((1, 1),)), moves.Rule(P.fixed(self.shape, 0, 1), ((2, 1),))]
+
+        def may_move(self, side):
+            return P.ALWAYS
+
+    g = Odd(2)
+    assert g.results(0) is None
+    told = {tuple(r.p): r.moves for r in J.with_moves(g, positions(spark, g, [(1, 1, 1, 0), (1, 0, 1, 0), (1, 0, 0, 0), (0, 0, 0, 0)]), 0).collect()}
+    assert told == {(1, 1, 1, 0): 1, (1, 0, 1, 0): 2, (1, 0, 0, 0): 2, (0, 0, 0, 0): 0}
+
+
+def test_many_answers_never_go_through_the_driver(spark, monkeypatch):
+    g = get_game("normalnim_2x3")
+    rows = spark.range(400).select("id", J.encoded([F.col("id") % 4, F.lit(1)], g.shape).alias("p"))
+    told = J.judged(g, rows, 0, 4)
+    monkeypatch.setattr(J, "MOST_BROADCAST", 0)
+    df = J.answered(rows, told)
+    assert df.count() == 400
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
