@@ -93,7 +93,7 @@ def test_placed_and_in_check(spark):
     assert [r.in_check for r in chess.in_check(bare, 0).collect()] == [False, False]
 
 
-@pytest.mark.parametrize(("name", "side", "step"), [("amazons_4x4", 1, 40_000_003), ("breakthrough_3x4", 1, 9973), ("tictactoe_3", 0, 97), ("normalnim_3x3", 1, 1)])
+@pytest.mark.parametrize(("name", "side", "step"), [("amazons_4x4", 1, 40_000_003), ("othello_4x4", 0, 400_003), ("breakthrough_3x4", 1, 9973), ("tictactoe_3", 0, 97), ("normalnim_3x3", 1, 1)])
 def test_moves_of_every_row_need_no_join(spark, name, side, step):
     g = get_game(name)
     codes = list(range(0, g.shape.universe, step))
