@@ -225,9 +225,13 @@ def q_catalog(spark, d):
     write_tsv(catalog.load_by_name("either").frame(), f"{folder}/tsv")
     tsv = spark.read.option("sep", "\t").option("header", True).csv(f"{folder}/tsv").count()
     by_hash = catalog.load_by_hash(loose).size()
+    catalog.vacuum()  # what has a name stays, also where the loose set equals one that has
+    other = Catalog(spark, f"{folder}/other")
+    other.save(a, "returned")
+    other.save(~r)  # a complement never has the hash of rows, whatever the lines hold: this one alone goes
     return _one(
         spark, by_name_n=catalog.load_by_name("returned").size(), by_hash_n=by_hash, got_hash_n=catalog.get(key).size(), got_name_n=catalog.get("copy").size(), built_n=built[0],
-        kept_n=built[1], same_key=key == again, other_key=key != loose, tsv_n=tsv, gone_n=len(catalog.vacuum()), names_n=catalog.names().filter("name not like '#%'").count(),
+        kept_n=built[1], same_key=key == again, other_key=key != loose, tsv_n=tsv, gone_n=len(other.vacuum()), names_n=catalog.names().filter("name not like '#%'").count(),
     )
 
 

@@ -31,6 +31,25 @@ def test_agrees_with_sql(spark, name):
     assert sorted(map(repr, told.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
 
 
+def agrees(spark, name, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    for path in folder.glob("*.parquet"):
+        con.execute(f"create view {path.stem} as select * from '{path}{'/*.parquet' if path.is_dir() else ''}'")
+    told = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in told.description]
+    rows = QUERIES[name](spark, str(folder)).select(*columns).collect()
+    assert sorted(map(repr, told.fetchall())) == sorted(repr(tuple(r)) for r in rows)
+
+
+@pytest.mark.parametrize("flags", ["AR", "ARRR", "A"])  # equal sets, one within the other, one empty
+def test_catalog_where_sets_coincide(spark, tmp_path, flags):
+    rows = [(k, k, 1, 5.0, f) for f in set(flags) for k in range(10 * flags.count(f))]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    agrees(spark, "catalog", tmp_path)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).columns == ["c0", "c1", "c2", "c3"]
