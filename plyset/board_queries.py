@@ -17,7 +17,7 @@ from plyset.operators import checks
 from plyset.operators.positions import PositionSet
 from plyset.plans import moves
 from plyset.plans.game import packed, unpacked, with_fractions
-from plyset.plans.judged import answered, encoded, from_code, holds, judged, mobility, reached, shares, with_moves
+from plyset.plans.judged import answered, encoded, from_code, holds, judged, mobility, reached, shares, shuffled, spelled, with_moves
 
 HEAPS = ("l_partkey % 16", "l_suppkey % 16", "l_orderkey % 16")
 
@@ -101,12 +101,18 @@ def q_nim_validated(spark, d):
 TTT = "(l_orderkey * 9973 + l_partkey * 31 + l_linenumber * 7) % 19683"
 
 
+def ttt_boards(rows: DataFrame) -> DataFrame:
+    """The different codes of lines and the board of each."""
+    return spelled(rows, ("code",), from_code(F.col("code"), get_game("tictactoe_3").shape))
+
+
 def q_ttt(spark, d):
     """Every line as a board of noughts and crosses, x to move: result within two plies, moves, and whether it is lost as it stands."""
     g = get_game("tictactoe_3")
-    rows = lines(spark, d).withColumn("code", F.expr(TTT)).withColumn("p", from_code(F.col("code"), g.shape))
-    both = judged(g, rows, 0, 2).join(mobility(g, rows, 0), "p").withColumn("lost", holds(g.lost(0)))
-    return answered(rows, both).select("l_orderkey", "l_linenumber", "code", "result", "moves", "lost")
+    rows = lines(spark, d).withColumn("code", F.expr(TTT))
+    boards = ttt_boards(rows)
+    both = judged(g, boards, 0, 2).join(shuffled(mobility(g, boards, 0)), "p").withColumn("lost", holds(g.lost(0)))
+    return answered(rows, boards.join(shuffled(both), "p"), ("code",)).select("l_orderkey", "l_linenumber", "code", "result", "moves", "lost")
 
 
 def counted(name: str, side: int, code: str) -> Callable:

@@ -49,6 +49,11 @@ def holds(p: P.Predicate) -> Column:
     return p.column(lambda i: F.col("p")[i])
 
 
+def spelled(rows: DataFrame, on: tuple[str, ...], p: Column) -> DataFrame:
+    """Each different value of the columns ``on`` with the position ``p`` that it spells, so that positions are made once and not for every row."""
+    return materialise(rows.select(*on).distinct(), "spelled").withColumn("p", p)
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """The side of a join that must not go through the driver: files and shuffles of positions are a fraction of their size in memory."""
     return df.hint("merge")

@@ -3,6 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from plyset import board_queries
 from plyset.functions import predicates as P
 from plyset.games import chess, get_game
 from plyset.operators.positions import PositionSet
@@ -129,3 +130,15 @@ def test_many_answers_never_go_through_the_driver(spark, monkeypatch):
     df = J.answered(rows, told)
     assert df.count() == 400
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boards_of_lines_are_made_once(spark, tmp_path):
+    spark.createDataFrame([(k % 50, k % 7, k % 3) for k in range(600)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = board_queries.QUERIES["lines_tictactoe"](spark, str(tmp_path))
+    assert df.count() == 600
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "raise_error" not in plan and "no character" not in plan.split("Join")[0]  # rows meet answers by their code, no position is made for a row
+    g = get_game("tictactoe_3")
+    for r in df.distinct().collect():
+        p = tuple(r.code // 3**i % 3 for i in range(9))
+        assert (r.result, r.moves, r.lost) == (value(g, 0, p, 2), len(set(g.successors(0, p))), g.lost(0).holds(p))
