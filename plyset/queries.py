@@ -154,14 +154,15 @@ def q_ttt_shares(spark, d):
 
 def ttt_boards(spark, d) -> PositionSet:
     """The boards that lines spell, each once."""
-    g = get_game("tictactoe_3")
-    rows = board_queries.lines(spark, d).select(from_code(F.expr(board_queries.TTT), g.shape).alias("p"))
-    return unpacked(rows, g.shape, distinct=True)
+    rows = board_queries.lines(spark, d).select(F.expr(board_queries.TTT).alias("code"))
+    return unpacked(board_queries.ttt_boards(rows), get_game("tictactoe_3").shape, distinct=True)
 
 
 def q_ttt_lost(spark, d):
+    """How many of all boards are lost as they stand and how many have moves, and how many of those that lines spell."""
     g, boards = get_game("tictactoe_3"), ttt_boards(spark, d)
-    return _one(spark, lost_n=(boards & PositionSet.matching(spark, g.shape, g.lost(0))).size(), moves_n=(boards & g.has_moves(spark, 0)).size())
+    lost, moving = PositionSet.matching(spark, g.shape, g.lost(0)), g.has_moves(spark, 0)
+    return _one(spark, lost_n=lost.size(), moves_n=moving.size(), spelt_lost_n=(boards & lost).size(), spelt_moves_n=(boards & moving).size())
 
 
 def q_ttt_boards(spark, d):
@@ -680,7 +681,7 @@ _LINE = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4
 _O = "(" + " OR ".join("(" + " AND ".join(f"c{i} = 2" for i in line) + ")" for line in _LINE) + ")"
 _EMPTY = "(" + " OR ".join(f"c{i} = 0" for i in range(9)) + ")"
 _SPELT = f"(SELECT DISTINCT b.* FROM {_TTT} b JOIN (SELECT {board_queries.TTT} AS code FROM lineitem) ON code = {' + '.join(f'{3**k} * c{k}' for k in range(9))})"
-ORACLE_SQL["ttt_lost"] = f"SELECT (SELECT count(*) FROM {_SPELT} WHERE {_O}) AS lost_n, (SELECT count(*) FROM {_SPELT} WHERE NOT {_O} AND {_EMPTY}) AS moves_n"
+ORACLE_SQL["ttt_lost"] = "SELECT " + ", ".join(f"(SELECT count(*) FROM {b} WHERE {_O}) AS {n}lost_n, (SELECT count(*) FROM {b} WHERE NOT {_O} AND {_EMPTY}) AS {n}moves_n" for n, b in (("", _TTT), ("spelt_", _SPELT)))
 ORACLE_SQL["ttt_boards"] = "SELECT " + " || chr(10) || ".join("concat_ws(' ', " + ", ".join(f"substr('.xo', CAST(c{3 * y + x} + 1 AS INT), 1)" for x in range(3)) + ")" for y in range(3)) + f" AS board FROM {_SPELT}"
 
 

@@ -1,9 +1,11 @@
+import itertools
 import os
 
 import pytest
 
 import __spark_entry__ as entry
 from plyset.board_queries import QUERIES as BOARDS
+from plyset.games import get_game
 from plyset.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -50,6 +52,16 @@ def test_catalog_where_sets_coincide(spark, tmp_path, flags):
     agrees(spark, "catalog", tmp_path)
 
 
+def test_ttt_lost_counts_all_boards_and_those_of_lines(spark, tmp_path):
+    spark.createDataFrame([(k, k, 1) for k in range(9)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    agrees(spark, "ttt_lost", tmp_path)
+    row = QUERIES["ttt_lost"](spark, str(tmp_path)).first()
+    every = list(itertools.product(range(3), repeat=9))
+    g = get_game("tictactoe_3")
+    assert (row.lost_n, row.moves_n) == (sum(g.lost(0).holds(p) for p in every), sum(bool(g.successors(0, p)) for p in every))
+    assert row.spelt_lost_n + row.spelt_moves_n <= 9
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).columns == ["c0", "c1", "c2", "c3"]
