@@ -18,6 +18,7 @@ from plyset.operators.positions import PositionSet
 from plyset.plans import moves
 from plyset.plans.game import packed, unpacked, with_fractions
 from plyset.plans.judged import answered, encoded, from_code, holds, judged, mobility, reached, shares, shuffled, spelled, with_moves
+from plyset.storage import materialise
 
 HEAPS = ("l_partkey % 16", "l_suppkey % 16", "l_orderkey % 16")
 
@@ -146,28 +147,36 @@ SQUARES = {"wk": "o_orderkey % 64", "bk": "(o_custkey * 5 + 11) % 64", "br": "(o
 LETTERS = {"wk": "K", "bk": "k", "br": "r", "bb": "b", "bn": "n"}
 
 
-def endgames(spark, d, pieces: dict[str, str] = LETTERS) -> DataFrame:
-    """Orders as boards with a white king to move against king, rook, bishop and knight, or some of these; kings don't touch."""
-    rows = orders(spark, d).select("o_orderkey", *(F.expr(e).cast("int").alias(c) for c, e in SQUARES.items()))
+def endgames(spark, d, pieces: dict[str, str] = LETTERS) -> tuple[DataFrame, DataFrame]:
+    """Orders with the squares of a white king to move and of king, rook, bishop and knight against it, or some of these;
+    and the board of each different placement, where no square is used twice and kings don't touch."""
+    rows = orders(spark, d).select("o_orderkey", *(F.expr(SQUARES[c]).cast("int").alias(c) for c in pieces))
     apart = F.greatest(F.abs(F.expr("wk % 8 - bk % 8")), F.abs(F.expr("wk div 8 - bk div 8"))) > 1
-    return chess.placed(rows.filter(apart), pieces)
+    seats = materialise(rows.select(*pieces).filter(apart).distinct(), "seats")
+    return rows, materialise(chess.placed(seats, pieces), "boards")
+
+
+def told_of(rows: DataFrame, boards: DataFrame, told: DataFrame, pieces: dict[str, str] = LETTERS) -> DataFrame:
+    """Every order with what is known of its board: by its squares, so that no board is spelt for a row."""
+    return answered(rows, boards.join(shuffled(told), "board"), tuple(pieces))
 
 
 def q_chess_states(spark, d):
     """Check, mate and stalemate of every order's board, from the generator; check by the lines of attack on the slots as well."""
-    rows = endgames(spark, d)
-    boards = rows.select("board").distinct()
-    free = chess.in_check(chess.as_slots(boards), 0).select("board", "in_check")
-    moved = chess.successors(boards).groupBy("board").agg(F.count("*").alias("moves"))
-    told = chess.states(boards).join(free, "board").join(moved, "board", "left")
-    return rows.join(told, "board").select("o_orderkey", "check", "in_check", "checkmate", "stalemate", F.coalesce("moves", F.lit(0).cast("long")).alias("moves"))
+    rows, boards = endgames(spark, d)
+    each = chess.spread(boards)
+    free = chess.in_check(chess.as_slots(each), 0).select("board", "in_check")
+    moved = chess.successors(each).groupBy("board").agg(F.count("*").alias("moves"))
+    told = chess.states(each).join(shuffled(free), "board").join(shuffled(moved), "board", "left")
+    return told_of(rows, boards, told).select("o_orderkey", "check", "in_check", "checkmate", "stalemate", F.coalesce("moves", F.lit(0).cast("long")).alias("moves"))
 
 
 def q_chess_moves(spark, d):
     """Every legal move of every order's board in UCI text, with the cells that it leads to."""
-    rows = endgames(spark, d)
-    found = chess.successors(rows.select("board").distinct()).select("board", "move", F.split("next", " ")[0].alias("cells"))
-    return rows.join(found, "board").select("o_orderkey", "move", F.length(F.regexp_replace("cells", "[^a-z]", "")).cast("long").alias("black_left"))
+    rows, boards = endgames(spark, d)
+    found = chess.successors(chess.spread(boards)).select("board", "move", F.split("next", " ")[0].alias("cells"))
+    left = F.length(F.regexp_replace("cells", "[^a-z]", "")).cast("long")
+    return told_of(rows, boards, found.select("board", "move", left.alias("black_left"))).select("o_orderkey", "move", "black_left")
 
 
 ROOK = {k: LETTERS[k] for k in ("wk", "bk", "br")}
@@ -175,17 +184,18 @@ ROOK = {k: LETTERS[k] for k in ("wk", "bk", "br")}
 
 def q_chess_divide(spark, d):
     """Orders as king against king and rook: pairs of moves by the first, from the generator with equal boards merged."""
-    rows = endgames(spark, d, ROOK)
-    return rows.select("o_orderkey", "board").join(chess.divide_of(rows, 2), "board").select("o_orderkey", "move", "paths")
+    rows, boards = endgames(spark, d, ROOK)
+    return told_of(rows, boards, chess.divide_of(boards, 2), ROOK).select("o_orderkey", "move", "paths")
 
 
 def q_chess_codec(spark, d):
     """Every order's board as FEN, and what its slots say of each piece's square."""
-    rows = endgames(spark, d)
-    slots = chess.as_slots(rows.select("board").distinct())
+    rows, boards = endgames(spark, d)
+    slots = chess.as_slots(chess.spread(boards))
     cells = F.array(*(F.col(f"c{i}") for i in range(64)))
-    where = [(F.array_position(cells, F.lit(C.PIECES.index(LETTERS[c])).cast("tinyint")) - 1).cast("int").alias(c) for c in SQUARES]
-    return rows.select("o_orderkey", "board").join(slots.select("board", *where), "board")
+    where = [(F.array_position(cells, F.lit(C.PIECES.index(LETTERS[c])).cast("tinyint")) - 1).cast("int").alias(f"{c}_told") for c in SQUARES]
+    told = told_of(rows, boards, slots.select("board", *where))
+    return told.select("o_orderkey", "board", *(F.col(f"{c}_told").alias(c) for c in SQUARES))
 
 
 #: Parts and suppliers of lines as squares that something moves from and to.

@@ -49,6 +49,11 @@ def placed(df: DataFrame, pieces: dict[str, str], white: bool = True) -> DataFra
     return df.filter(sound).withColumn("board", F.concat(rows, F.lit(f" {'wb'[not white]} - -")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Each distinct board once, dealt to all cores: boards are small rows, but to generate their moves is slow."""
+    return df.select("board").distinct().repartition(df.sparkSession.sparkContext.defaultParallelism, "board")
+
+
 def successors(df: DataFrame) -> DataFrame:
     """(board, move, next, n): legal moves of each board; ``n`` (how often a board was met) is handed on."""
     if "n" not in df.columns:
@@ -95,10 +100,10 @@ def divide_of(df: DataFrame, depth: int) -> DataFrame:
     Equal boards behind one first move are merged with their multiplicities, and moves of a board that many
     share are generated once for all.
     """
-    now = successors(df.select("board").distinct()).select(F.col("board").alias("root"), "move", F.col("next").alias("board"), "n")
+    now = successors(spread(df)).select(F.col("board").alias("root"), "move", F.col("next").alias("board"), "n")
     for _ in range(depth - 1):
         now = materialise(now, "divide")
-        step = successors(now.select("board").distinct()).select("board", "next")
+        step = successors(spread(now)).select("board", "next")
         now = now.join(step, "board").groupBy("root", "move", F.col("next").alias("board")).agg(F.sum("n").alias("n"))
     return now.groupBy(F.col("root").alias("board"), "move").agg(F.sum("n").alias("paths"))
 

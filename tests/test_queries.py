@@ -62,6 +62,21 @@ def test_ttt_lost_counts_all_boards_and_those_of_lines(spark, tmp_path):
     assert row.spelt_lost_n + row.spelt_moves_n <= 9
 
 
+def test_ttt_boards_reads_lines_once(spark, tmp_path):
+    spark.createDataFrame([(k % 5, k, 1) for k in range(90)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    agrees(spark, "ttt_boards", tmp_path)
+    plan = QUERIES["ttt_boards"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan  # boards come from the different codes, kept once
+
+
+@pytest.mark.parametrize("name", ["orders_chess_moves"])
+def test_chess_boards_are_placed_once(spark, tmp_path, name):
+    spark.createDataFrame([(k, k % 9) for k in range(300)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    agrees(spark, name, tmp_path)
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan  # orders meet answers by their squares, no board is spelt for a row
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).columns == ["c0", "c1", "c2", "c3"]
