@@ -69,7 +69,7 @@ def test_ttt_boards_reads_lines_once(spark, tmp_path):
     assert "l_orderkey" not in plan  # boards come from the different codes, kept once
 
 
-@pytest.mark.parametrize("name", ["orders_chess_moves", "orders_chess_codec"])
+@pytest.mark.parametrize("name", ["orders_chess_moves", "orders_chess_codec", "orders_chess_states"])
 def test_chess_boards_are_placed_once(spark, tmp_path, name):
     spark.createDataFrame([(k, k % 9) for k in range(300)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     agrees(spark, name, tmp_path)
