@@ -184,3 +184,14 @@ def test_agrees_with_sql(spark, name):
     df = entry.queries()[name](spark, DATA)
     assert sorted(df.columns) == sorted(columns)
     assert sorted(map(repr, told.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
+
+
+def test_a_measure_is_taken_once_of_each_text(spark):
+    rows = [*TEXTS, ("\r\n𝔸A1𝟙 \n", "de"), ("\n" * 3, "en"), ("12 34", "fr"), ("a" * 100_000 + "Z.", "es")]
+    texts = spark.createDataFrame(rows, "text string, lang string")
+    found = text_positions.positions(texts, CONFIG)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 4 and "translate(" not in plan and plan.count("char_length(text") + plan.count("length(text") <= 2
+    names = Shape(tuple([1] * len(CONFIG["slots"]))).columns
+    got = Counter({tuple(r[c] for c in names): r.texts for r in found.collect()})
+    assert got == Counter(plain_position(t, g) for t, g in rows)
