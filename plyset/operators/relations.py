@@ -13,6 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: So many different groups are bits of one integer for each position; with more they are gathered as lists.
+MOST_BITS = 63
+
+
+def owned(held: DataFrame, within: list[str], slots: Sequence[str]) -> DataFrame:
+    """How many positions (``_n``) each list of owners (``_o``, sorted) holds alone.
+
+    A few groups are gathered as bits: that is a plain hash aggregate, while lists fall back to sorting all positions.
+    """
+    names = [r[0] for r in held.select("_g").distinct().limit(MOST_BITS + 1).collect()]
+    if not 0 < len(names) <= MOST_BITS:
+        owners = held.groupBy(*within, *slots).agg(F.sort_array(F.collect_set("_g")).alias("_o"))
+        return owners.groupBy(*within, "_o").agg(F.count("*").alias("_n"))
+    every = F.sort_array(F.array(*map(F.lit, names)))
+    at = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    bits = held.select(*within, *slots, at(F.array_position(every, F.col("_g")).cast("int") - 1).alias("_m"))
+    masks = bits.groupBy(*within, *slots).agg(F.bit_or("_m").alias("_m")).groupBy(*within, "_m").agg(F.count("*").alias("_n"))
+    return masks.select(*within, F.filter(every, lambda g, i: F.col("_m").bitwiseAND(at(i)) != 0).alias("_o"), "_n")
+
+
 def relations(rows: DataFrame, slots: Sequence[str], group: str, within: Sequence[str] = ()) -> DataFrame:
     """For every two groups (``a`` < ``b``) of equal ``within``: a_n, b_n, both_n, either_n, subset, superset, disjoint.
 
@@ -20,8 +40,7 @@ def relations(rows: DataFrame, slots: Sequence[str], group: str, within: Sequenc
     """
     within = list(within)
     held = rows.filter(F.col(group).isNotNull()).select(*within, *slots, F.col(group).alias("_g"))
-    owners = held.groupBy(*within, *slots).agg(F.sort_array(F.collect_set("_g")).alias("_o"))
-    lists = owners.groupBy(*within, "_o").agg(F.count("*").alias("_n"))
+    lists = owned(held, within, slots)
     pairs = lists.select(*within, "_n", "_o", F.posexplode("_o").alias("_i", "a"))
     pairs = pairs.select(*within, "_n", "a", F.explode(F.slice("_o", F.col("_i") + 1, F.size("_o"))).alias("b"))
     common = pairs.groupBy(*within, "a", "b").agg(F.sum("_n").alias("both_n"))

@@ -195,3 +195,13 @@ def test_a_measure_is_taken_once_of_each_text(spark):
     names = Shape(tuple([1] * len(CONFIG["slots"]))).columns
     got = Counter({tuple(r[c] for c in names): r.texts for r in found.collect()})
     assert got == Counter(plain_position(t, g) for t, g in rows)
+
+
+def test_groups_are_bits_as_they_are_lists(spark, monkeypatch):
+    from plyset.operators import relations as R
+
+    df = spark.createDataFrame([(k % 3, k * 7 % 11, f"g{k % n}") for n in (5, 63) for k in range(400)], "m int, x int, g string")
+    some = relations(df, ["x"], "g", ["m"])
+    assert "collect_set" not in some._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(R, "MOST_BITS", 0)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, relations(df, ["x"], "g", ["m"]).collect()))
