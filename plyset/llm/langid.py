@@ -7,7 +7,7 @@ vector machines one against the rest; the languages of a family by one for each
 
 Learning takes a bounded sample: about ``SAMPLE`` documents of each language (fewer, where more than
 ``MOST / SAMPLE`` languages share ``MOST``), chosen by a hash of their rows at a rate that follows
-the count, equal rows once; their feature vectors (fixed size) are collected, not their texts. Scoring is one pass
+the count, equal rows once; their feature vectors (without zeros) are collected, not their texts. Scoring is one pass
 over whole texts in batches: a histogram and a product with a matrix of all machines' weights. The
 model is a matrix of ``DIMENSIONS`` by the number of machines.
 
@@ -79,20 +79,49 @@ def features(column: pa.Array) -> np.ndarray:
     return out
 
 
-def machine(x: np.ndarray, y: np.ndarray, cost: float = 2.0, rounds: int = 12) -> np.ndarray:
-    """Weights of a linear support vector machine (y: -1 or 1), classes weighted alike."""
-    w = np.zeros(x.shape[1], np.float32)
+class Rows:
+    """Feature vectors without their zeros: a sample takes a fraction of its matrix, and one row at a time is whole."""
+
+    def __init__(self, parts: list[bytes]):
+        sizes = [len(b) // 6 for b in parts]
+        self.of = [np.frombuffer(b, np.float32, n) for b, n in zip(parts, sizes)]
+        self.at = [np.frombuffer(b, np.uint16, n, 4 * n) for b, n in zip(parts, sizes)]
+        self.row, self.last = np.zeros(DIMENSIONS, np.float32), 0
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def whole(self, i: int) -> np.ndarray:
+        """Row ``i``, until the next one is asked for."""
+        self.row[self.at[self.last]] = 0
+        self.row[self.at[i]] = self.of[i]
+        self.last = i
+        return self.row
+
+    @staticmethod
+    def packed(x: np.ndarray) -> list[bytes]:
+        """Each row of a matrix as bytes: its values but zeros, then their columns."""
+        return [row[k].tobytes() + k.astype(np.uint16).tobytes() for row in x for k in (np.flatnonzero(row),)]
+
+
+def machine(x: Rows, rows: np.ndarray, y: np.ndarray, cost: float = 2.0, rounds: int = 12) -> np.ndarray:
+    """Weights of a linear support vector machine on some rows (y: -1 or 1 for each), classes weighted alike."""
+    w = np.zeros(DIMENSIONS, np.float32)
     alpha = np.zeros(len(y))
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     diagonal = 1 / (2 * cost * weight)
-    square = np.einsum("ij,ij->i", x, x).astype(np.float64) + diagonal
+    square = diagonal.copy()
+    for i, k in enumerate(rows):
+        own = x.whole(k)[None]
+        square[i] += np.einsum("ij,ij->i", own, own)[0].astype(np.float64)
     order = np.random.default_rng(11)
     for _ in range(rounds):
         for i in order.permutation(len(y)):
-            gradient = y[i] * float(x[i] @ w) - 1 + diagonal[i] * alpha[i]
+            k = rows[i]
+            gradient = y[i] * float(x.whole(k) @ w) - 1 + diagonal[i] * alpha[i]
             new = max(alpha[i] - gradient / square[i], 0.0)
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w[x.at[k]] += np.float32((new - alpha[i]) * y[i]) * x.of[k]
                 alpha[i] = new
     return w
 
@@ -100,20 +129,21 @@ def machine(x: np.ndarray, y: np.ndarray, cost: float = 2.0, rounds: int = 12) -
 class Model:
     """Families with their languages, and the weights of all machines as the columns of one matrix."""
 
-    def __init__(self, x: np.ndarray, langs: np.ndarray):
+    def __init__(self, x: Rows | np.ndarray, langs: np.ndarray):
+        x = x if isinstance(x, Rows) else Rows(Rows.packed(x))
         self.langs = sorted(set(langs.tolist()))
         of = np.array([FAMILY.get(v, v) for v in langs])
         self.families = {f: [v for v in self.langs if FAMILY.get(v, v) == f] for f in sorted(set(of.tolist()))}
         columns = []
         names = list(self.families)
         if len(names) > 1:
-            columns += [machine(x, np.where(of == f, 1.0, -1.0)) for f in names]
+            columns += [machine(x, np.arange(len(x)), np.where(of == f, 1.0, -1.0)) for f in names]
         self.pairs: dict[str, list[tuple[int, int]]] = {}
         for f, own in self.families.items():
             self.pairs[f] = list(itertools.combinations(range(len(own)), 2))
             for a, b in self.pairs[f]:
-                some = (langs == own[a]) | (langs == own[b])
-                columns.append(machine(x[some], np.where(langs[some] == own[a], 1.0, -1.0)))
+                some = np.flatnonzero((langs == own[a]) | (langs == own[b]))
+                columns.append(machine(x, some, np.where(langs[some] == own[a], 1.0, -1.0)))
         self.weights = np.stack(columns, axis=1) if columns else np.zeros((DIMENSIONS, 0), np.float32)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +180,7 @@ def vectors(docs: DataFrame) -> DataFrame:
             for lo in range(0, part.num_rows, 128):
                 some = part.slice(lo, 128)
                 x = features(some.column("text"))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id").combine_chunks(), some.column("lang").combine_chunks(), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").combine_chunks(), some.column("lang").combine_chunks(), pa.array(Rows.packed(x), pa.binary())], names=["doc_id", "lang", "x"])
 
     return docs.select("doc_id", "lang", F.lower("text").alias("text")).mapInArrow(run, "doc_id long, lang string, x binary")
 
@@ -164,12 +194,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Model | No
     each = min(sample, max(1, most // len(counts)))
     rates = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, rate double")
     some = docs.join(F.broadcast(rates), "lang").filter(drawn(F.xxhash64("doc_id", "lang", "text"), F.col("rate")))
-    rows = vectors(some.select("doc_id", "text", "lang").distinct()).collect()
+    some = vectors(some.select("doc_id", "text", "lang").distinct())
+    rows = some.collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.x))
     if not rows:
         return None
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), -1)
-    return Model(x, np.array([r.lang for r in rows]))
+    return Model(Rows([bytes(r.x) for r in rows]), np.array([r.lang for r in rows]))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -194,3 +194,16 @@ def test_features_and_votes_against_plain_python():
         best = int(np.argmax(votes))
         want = sure(margins[i, ranked[0]] - margins[i, ranked[1]]) * (sure(weakest[best]) if len(own) > 1 else 1)
         assert model.langs[got[i]] == own[best] and abs(score[i] - want) < 1e-6
+
+
+def test_vectors_to_learn_from_are_collected_without_their_zeros(spark):
+    import pyarrow as pa
+
+    texts = ["the cat sat on the mat", "der hund und die katze", "", "a"]
+    x = langid.features(pa.array(texts))
+    rows = sorted(langid.vectors(spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")).collect())
+    assert [len(r.x) for r in rows] == [6 * np.count_nonzero(v) for v in x]  # not a whole row of the matrix for each
+    held = langid.Rows([bytes(r.x) for r in rows])
+    assert all(np.allclose(held.whole(k), v) for k, v in [*enumerate(x), *reversed(list(enumerate(x)))])
+    many, langs = np.tile(x, (5, 1)), np.array(["en", "de", "en", "fr"] * 5)
+    assert (langid.Model(many, langs).weights == langid.Model(langid.Rows(langid.Rows.packed(many)), langs).weights).all()
