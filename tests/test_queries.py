@@ -77,6 +77,14 @@ def test_chess_boards_are_placed_once(spark, tmp_path, name):
     assert "array_join" not in plan  # orders meet answers by their squares, no board is spelt for a row
 
 
+@pytest.mark.parametrize("name", ["orders_breakthrough"])
+def test_moves_of_orders_send_nothing_to_the_driver(spark, tmp_path, name):
+    spark.createDataFrame([(k * 7919, k % 9) for k in range(300)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    agrees(spark, name, tmp_path)
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan and "Exchange" not in plan  # one pass over the orders, no broadcast
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).columns == ["c0", "c1", "c2", "c3"]
