@@ -77,7 +77,7 @@ def test_chess_boards_are_placed_once(spark, tmp_path, name):
     assert "array_join" not in plan  # orders meet answers by their squares, no board is spelt for a row
 
 
-@pytest.mark.parametrize("name", ["orders_breakthrough"])
+@pytest.mark.parametrize("name", ["orders_breakthrough", "orders_othello"])
 def test_moves_of_orders_send_nothing_to_the_driver(spark, tmp_path, name):
     spark.createDataFrame([(k * 7919, k % 9) for k in range(300)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     agrees(spark, name, tmp_path)
