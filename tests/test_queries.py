@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from plyset.board_queries import QUERIES as BOARDS
+from plyset.board_queries import endgames
 from plyset.games import get_game
 from plyset.queries import ORACLE_SQL, QUERIES
 
@@ -77,6 +78,16 @@ def test_chess_boards_are_placed_once(spark, tmp_path, name):
     assert "array_join" not in plan  # orders meet answers by their squares, no board is spelt for a row
 
 
+def test_more_orders_spell_no_more_boards(spark, tmp_path):
+    counts = []
+    for times in (1, 3):
+        keys = [(a + 64 * 977 * n, b + 64 * 31 * n) for n in range(times) for a in range(64) for b in range(64)]
+        spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/{times}/orders.parquet")
+        counts.append(tuple(df.count() for df in endgames(spark, f"{tmp_path}/{times}")))
+    (rows, boards), (more_rows, same_boards) = counts
+    assert (rows, more_rows) == (4096, 3 * 4096) and 0 < same_boards == boards <= 4096
+
+
 @pytest.mark.parametrize("name", ["orders_breakthrough", "orders_othello"])
 def test_moves_of_orders_send_nothing_to_the_driver(spark, tmp_path, name):
     spark.createDataFrame([(k * 7919, k % 9) for k in range(300)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
